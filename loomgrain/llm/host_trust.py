@@ -58,29 +58,14 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) between different hosts: links of the pages, and one link each way between a subdomain and its parent.
+    """(src, dst, weight) between different hosts: how many pages of src (host, html) link to dst.
 
     Links are combined before the shuffle, so a host that has a third of all
     links is one row for each partner and task.
     """
-    links = (
-        pages.select("host", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), 1), host_of))).alias("dst"))
-        .where("dst <> host AND dst <> '' AND host <> ''")
-        .groupBy(F.col("host").alias("src"), "dst")
-        .agg(F.count("*").cast("double").alias("weight"))
-    )
-    parent = F.regexp_extract("host", r"\A[^.]+\.(.+\..+)\z", 1)
-    sub = pages.select("host").distinct().select("host", parent.alias("parent")).where("parent <> ''")
-    # ancestors up to the registered name: deep hosts have few labels
-    chain = sub
-    for _ in range(8):
-        sub = sub.select(F.col("parent").alias("host"), F.regexp_extract("parent", r"\A[^.]+\.(.+\..+)\z", 1).alias("parent")).where("parent <> ''")
-        chain = chain.unionByName(sub)
-    both = chain.distinct().select(F.explode(F.array(
-        F.struct(F.col("host").alias("src"), F.col("parent").alias("dst")),
-        F.struct(F.col("parent").alias("src"), F.col("host").alias("dst")),
-    )).alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("weight"))
-    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), 1), host_of))
+    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
+    return links.where("dst <> src AND dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
@@ -110,9 +95,9 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
 def judge_urls(pages: DataFrame, rules: list[Rule], block_share: float = 0.5, damping: float = 0.85, rounds: int = 12) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of each row of ``pages`` (page_id, url, html).
 
-    Seeds are the pages that rules decide: a host's share of the allowed pages is
-    its trust seed, its share of the blocked ones its distrust seed. Where no rule
-    fits, a host is blocked if distrust > block_share * (trust + distrust), that
+    Seeds are hosts of which rules decide over half the pages: they are trusted by
+    the number of allowed pages, or distrusted by the number of blocked ones. A
+    host with a few blocked pages is no seed. Where no rule fits, a host is blocked if distrust > block_share * (trust + distrust), that
     is, with the default, if distrust is larger; a host that neither reaches is allowed.
 
     Nulls: a null url has empty host and path, fits no rule and is allowed; a null
@@ -124,15 +109,16 @@ def judge_urls(pages: DataFrame, rules: list[Rule], block_share: float = 0.5, da
     slim = materialise(judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("by_rule")), "url-rules")
     edges = materialise(host_edges(judged), "host-edges")
     seeds = materialise(
-        slim.where("host <> '' AND by_rule IS NOT NULL").groupBy("host").agg(
+        slim.where("host <> ''").groupBy("host").agg(
+            F.count("*").alias("n"),
             F.count_if(F.col("by_rule") == "allow").cast("double").alias("good"),
             F.count_if(F.col("by_rule") == "block").cast("double").alias("bad"),
-        ),
+        ).where("2 * good > n OR 2 * bad > n"),
         "host-seeds",
     )
-    trust = personalised_pagerank(edges, seeds.select("host", F.col("good").alias("seed")), damping, rounds)
+    trust = personalised_pagerank(edges, seeds.where("2 * good > n").select("host", F.col("good").alias("seed")), damping, rounds)
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_pagerank(turned, seeds.select("host", F.col("bad").alias("seed")), damping, rounds)
+    distrust = personalised_pagerank(turned, seeds.where("2 * bad > n").select("host", F.col("bad").alias("seed")), damping, rounds)
     by_host = materialise(
         trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust"))
         .unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))
