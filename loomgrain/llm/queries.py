@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, read_back
 from .common import table
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .host_trust import Rule, judge_urls
 from .html_extract import extract_main_text
 from .mixing import mix_sources
+from .quality import classify
 from .simhash import near_duplicates
 from .warc import archive_pages
 
@@ -50,6 +52,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -71,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_chat_formatting": op4_chat_formatting,
+    "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_simhash": op10_simhash,

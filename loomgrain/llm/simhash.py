@@ -101,7 +101,6 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1
     """Links (a, b) that connect all fingerprints ``fp`` of ``distinct`` within ``radius`` of each other."""
     if bucket_rows < 1 << (radius + 1):
         raise ValueError("bucket_rows is at least 2 ** (radius + 1)")
-    spark = distinct.sparkSession
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +115,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1
         else:
             shared = [r["fixed"] for r in level.select("fixed").distinct().collect()]  # at most (2 ** (radius + 1) - 1) ** levels
             tables = [(f, f | m) for f in shared for m in covering_masks([p for p in range(64) if not f >> p & 1], radius)]
-        masks = spark.createDataFrame([(_signed(f), _signed(m)) for f, m in tables], "fixed long, mask long")
-        buckets = (
-            level.join(F.broadcast(masks), "fixed")
-            .select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "mask", "fp")
-        )
+        deeper = {}
+        for fixed, mask in tables:
+            deeper.setdefault(_signed(fixed), []).append(_signed(mask))
+        masks = F.create_map(*[x for f, ms in deeper.items() for x in (F.lit(f), F.array(*map(F.lit, ms)))])
+        buckets = level.select("fp", F.explode(masks[F.col("fixed")]).alias("mask"))
+        buckets = buckets.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "mask", "fp")
         sized = buckets.withColumn("n", F.expr("count(*) OVER (PARTITION BY bucket)")).where("n > 1")
         sized = materialise(sized, "simhash-buckets")
         small = sized.where(F.col("n") <= bucket_rows).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
