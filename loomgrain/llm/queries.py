@@ -13,6 +13,7 @@ from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .host_trust import Rule, judge_urls
 from .html_extract import extract_main_text
+from .lm_score import score_documents
 from .mixing import mix_sources
 from .quality import classify
 from .simhash import near_duplicates
@@ -52,6 +53,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
