@@ -1,15 +1,627 @@
-"""The registered queries for the retrieval engine and the SQL that gives the same rows."""
+"""The registered queries of the retrieval engine and the SQL that gives the same rows in DuckDB."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from loomgrain.functions import secrets as secret_rules
+from loomgrain.functions import text as tx
+from loomgrain.functions.vectors import quantised
+from loomgrain.operators import chat, chunking, index, relations, search
+from loomgrain.operators import timeline as tl
+from loomgrain.operators.embedding import HashEmbedder, embedded
+from loomgrain.sources import files as fs
+from loomgrain.sources import fixtures as fx
+from loomgrain.sources import services
+from loomgrain.streaming.watch import debounced
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLE_SQL[query.__name__] = sql
+        return query
+
+    return add
+
+
+def _first_vector(spark: SparkSession, d: str) -> list[float]:
+    return fx.table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+
+
+def _first_text(spark: SparkSession, d: str) -> str:
+    return fx.table(spark, d, "benchmark").orderBy("item_id").select("text").first()[0]
+
+
+def _first_keywords(spark: SparkSession, d: str) -> list[str]:
+    rows = fx.table(spark, d, "benchmark").orderBy("item_id").limit(1).select(tx.keywords(F.col("text")).alias("k"))
+    return rows.first()[0]
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_KEYWORDS = f"""list_filter(regexp_extract_all(substr({{0}}, 1, 1000), '[^\\s[:punct:]]+'), lambda w: strlen(w) > 3 AND lower(w) NOT IN ({_STOP}))[1:20]"""
+_Q = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
+_L2 = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE)))"
+_DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
+
+# ---- nearest neighbours ----
+
+
+def _nearest(where: str = "", distance: str = f"round({_L2.format(a='embedding', b='q')}, 6)") -> str:
+    return f"SELECT vec_id, {distance} AS distance FROM (SELECT *, {_Q} AS q FROM embeddings) t {where} ORDER BY distance, vec_id LIMIT 20"
+
+
+@registered(_nearest())
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = search.vector_topk(fx.table(spark, d, "embeddings"), _first_vector(spark, d), 20, None, "l2", "vec_id", "embedding", "label")
+    return found.select("vec_id", "distance")
+
+
+@registered(_nearest("WHERE label IN (1, 3, 5)"))
+def vector_topk_ws(spark: SparkSession, d: str) -> DataFrame:
+    found = search.vector_topk(fx.table(spark, d, "embeddings"), _first_vector(spark, d), 20, [1, 3, 5], "l2", "vec_id", "embedding", "label")
+    return found.select("vec_id", "distance")
+
+
+@registered(_nearest("", f"round(1 - {_DOT.format(a='embedding', b='q')} / (sqrt({_DOT.format(a='embedding', b='embedding')}) * sqrt({_DOT.format(a='q', b='q')})), 6) + 0.0"))
+def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    found = search.vector_topk(fx.table(spark, d, "embeddings"), _first_vector(spark, d), 20, None, "cosine", "vec_id", "embedding", "label")
+    return found.select("vec_id", "distance")
+
+
+@registered(f"""
+SELECT query_id, rank, id, distance FROM (
+  SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS id, round({_L2.format(a='e.embedding', b='q.embedding')}, 6) AS distance
+    FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The queries are the rows whose identifier is divisible by 50, against all rows."""
+    own = fx.table(spark, d, "embeddings")
+    queries = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.vector_topk_batch(own, queries, 10, "vec_id", "embedding")
+
+
+@registered(f"""
+WITH m AS (SELECT vec_id, embedding, coalesce(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 0) AS top FROM embeddings),
+s AS (SELECT *, CASE WHEN top > 0 THEN top / 127 ELSE 1.0 END AS scale FROM m)
+SELECT vec_id, round(scale, 9) AS scale, array_to_string(list_transform(embedding, lambda x: cast(round(x::DOUBLE / scale) AS INTEGER)), ',') AS codes FROM s""")
+def quantize_int8(spark: SparkSession, d: str) -> DataFrame:
+    q = quantised(F.col("embedding"))
+    rows = fx.table(spark, d, "embeddings").select("vec_id", q.alias("q"))
+    return rows.select("vec_id", F.round("q.scale", 9).alias("scale"), F.array_join(F.transform("q.codes", lambda x: x.cast("string")), ",").alias("codes"))
+
+
+# ---- keywords and hybrid search ----
+
+
+@registered(f"SELECT item_id, array_to_string({_KEYWORDS.format('text')}, '|') AS keywords FROM benchmark")
+def keywords(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "benchmark").select("item_id", F.array_join(tx.keywords(F.col("text")), "|").alias("keywords"))
+
+
+_WORDS = f"(SELECT list_transform({_KEYWORDS.format('text')}, lambda w: lower(w)) FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1))"
+_HIT = f"len(list_filter({_WORDS}, lambda w: contains(low, w))) > 0"
+
+
+@registered(f"SELECT id, \"filePath\" FROM (SELECT *, lower(document) AS low FROM ({fx.CHUNKS})) WHERE {_HIT} ORDER BY id LIMIT 20")
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.keyword_search(fx.chunks(spark, d), _first_keywords(spark, d), 20).select("id", "filePath")
+
+
+_HYBRID = f"""
+WITH c AS (SELECT *, lower(document) AS low FROM ({fx.CHUNKS})),
+near AS (SELECT id, document, "filePath", round({_L2.format(a='vector', b='q')}, 6) AS distance FROM (SELECT *, {_Q} AS q FROM c WHERE vector IS NOT NULL) ORDER BY distance, id LIMIT 20),
+exact AS (SELECT id, document, "filePath", 0.0::DOUBLE AS distance FROM c WHERE {_HIT} ORDER BY id LIMIT 20),
+every AS (SELECT *, 0 AS src, row_number() OVER (ORDER BY id) AS place FROM exact UNION ALL SELECT *, 1, row_number() OVER (ORDER BY distance, id) FROM near),
+once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY src, place) = 1 ORDER BY src, place LIMIT 20),
+hybrid AS (SELECT id, document, "filePath", distance, cast(row_number() OVER (ORDER BY src, place) AS INTEGER) AS rank FROM once)
+"""
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return search.hybrid_search(fx.chunks(spark, d), _first_vector(spark, d), _first_keywords(spark, d), 20)
+
+
+@registered(_HYBRID + 'SELECT rank, id, "filePath", distance FROM hybrid')
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d).select("rank", "id", "filePath", "distance")
+
+
+@registered(f"""SELECT id, "filePath", 0 AS "lineRangeStart", substr(document, 1, 200) AS snippet FROM (
+  SELECT *, round({_L2.format(a='vector', b='q')}, 6) AS distance FROM (SELECT *, {_Q} AS q FROM ({fx.CHUNKS}) WHERE vector IS NOT NULL) ORDER BY distance, id LIMIT 10)""")
+def search_files(spark: SparkSession, d: str) -> DataFrame:
+    found = search.vector_topk(fx.chunks(spark, d), _first_vector(spark, d), 10)
+    return found.select("id", "filePath", F.lit(0).alias("lineRangeStart"), F.substring("document", 1, 200).alias("snippet"))
+
+
+@registered(_HYBRID + 'SELECT "filePath", min(rank) AS rank FROM hybrid WHERE "filePath" <> \'\' GROUP BY "filePath"')
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    return search.citations(_hybrid(spark, d))
+
+
+@registered(_HYBRID + "SELECT string_agg(concat('--- Context ', rank, ' ---', chr(10), document), chr(10) || chr(10) ORDER BY rank) AS context FROM hybrid")
+def rag_context(spark: SparkSession, d: str) -> DataFrame:
+    return chat.context_block(_hybrid(spark, d))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@registered(
+    _HYBRID
+    + f""", ctx AS (SELECT string_agg(concat('--- Context ', rank, ' ---', chr(10), document), chr(10) || chr(10) ORDER BY rank) AS c FROM hybrid)
+SELECT 0 AS position, 'system' AS role, concat({_quoted(chat.BASE_PROMPT)}, chr(10), chr(10), 'PINNED CONTEXT:', chr(10), 'None', chr(10), chr(10), 'CONTEXT:', chr(10), c) AS content FROM ctx
+UNION ALL SELECT 1, 'user', concat((SELECT text FROM benchmark ORDER BY item_id LIMIT 1), {_quoted(chat.FOLLOW_UP_REQUEST)})"""
+)
+def rag_messages(spark: SparkSession, d: str) -> DataFrame:
+    system = chat.context_block(_hybrid(spark, d)).select(F.lit(0).alias("position"), F.lit("system").alias("role"), chat.system_message(F.col("context")).alias("content"))
+    user = spark.createDataFrame([(1, "user", _first_text(spark, d) + chat.FOLLOW_UP_REQUEST)], "position int, role string, content string")
+    return system.unionByName(user)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("n_files"))
+    """Hybrid search with its citations' ranks."""
+    return hybrid_search(spark, sf_dir)
+
+
+# ---- re-ranking ----
+
+_TOKENS = "regexp_extract_all(lower({0}), '[^\\s[:punct:]]+')"
+_BM25 = f"""
+cand AS (SELECT id, document, {_TOKENS.format('document')} AS toks FROM ({fx.CHUNKS})),
+terms AS (SELECT DISTINCT unnest({_WORDS}) AS term),
+stats AS (SELECT count(*) AS docs, avg(len(toks)) AS mean FROM cand),
+tf AS (SELECT id, len(toks) AS n, term, len(list_filter(toks, lambda t: t = term)) AS tf FROM cand, terms),
+df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
+bm AS (SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score FROM tf JOIN df USING (term), stats GROUP BY id)
+"""
+
+
+@registered(f"WITH {_BM25} SELECT id, score FROM bm")
+def bm25(spark: SparkSession, d: str) -> DataFrame:
+    return search.bm25(fx.chunks(spark, d), _first_keywords(spark, d))
+
+
+_NEAR30 = f"""near AS (SELECT id, cast(row_number() OVER (ORDER BY distance, id) AS INTEGER) AS rank FROM (
+  SELECT id, round({_L2.format(a='vector', b='q')}, 6) AS distance FROM (SELECT *, {_Q} AS q FROM ({fx.CHUNKS}) WHERE vector IS NOT NULL) ORDER BY distance, id LIMIT 30)),
+lex AS (SELECT id, cast(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 30)),
+fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT * FROM near UNION ALL SELECT * FROM lex) GROUP BY id)"""
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    own = fx.chunks(spark, d)
+    rank = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
+    near = rank(search.vector_topk(own, _first_vector(spark, d), 30).select("id", "distance"), "distance", "id")
+    lexical = rank(search.bm25(own, _first_keywords(spark, d)).orderBy(F.desc("score"), "id").limit(30), F.desc("score"), "id")
+    return search.reciprocal_ranks(near, lexical)
+
+
+@registered(f"WITH {_BM25}, {_NEAR30} SELECT id, rrf FROM fused")
+def rrf(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d)
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length(lower({0}))), lambda i: substr(lower({0}), i, 2)))"
+_CROSS = f"""q AS (SELECT text AS qt, list_distinct({_TOKENS.format('text')}) AS qtok, {_GRAMS.format('text')} AS qgram FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)),
+parts AS (SELECT id, coalesce(len(list_intersect(qtok, list_distinct({_TOKENS.format('document')})))::DOUBLE / nullif(len(qtok), 0), 0) AS cover,
+  coalesce(len(list_intersect(qgram, {_GRAMS.format('document')}))::DOUBLE / nullif(len(list_distinct(list_concat(qgram, {_GRAMS.format('document')}))), 0), 0) AS jac,
+  CASE WHEN len(list_intersect(qtok, list_distinct({_TOKENS.format("substr(document, 1, ceil(length(document) / 4.0)::INTEGER)")}))) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS early
+  FROM ({fx.CHUNKS}), q),
+ce AS (SELECT id, round(CASE WHEN cover < 0.5 THEN (cover + jac + early) / 3 * 0.5 ELSE (cover + jac + early) / 3 END, 6) AS cross_score FROM parts)"""
+
+
+@registered(f"WITH {_CROSS} SELECT id, cross_score FROM ce")
+def cross_score(spark: SparkSession, d: str) -> DataFrame:
+    return fx.chunks(spark, d).select("id", search.cross_score(F.col("document"), _first_text(spark, d)).alias("cross_score"))
+
+
+@registered(f"""WITH {_BM25}, {_NEAR30}, {_CROSS},
+s AS (SELECT id, rrf, cross_score FROM fused JOIN ce USING (id)),
+z AS (SELECT id, coalesce((rrf - min(rrf) OVER ()) / nullif(max(rrf) OVER () - min(rrf) OVER (), 0), 1) AS a,
+  coalesce((cross_score - min(cross_score) OVER ()) / nullif(max(cross_score) OVER () - min(cross_score) OVER (), 0), 1) AS b FROM s)
+SELECT id, round(0.6 * a + 0.4 * b, 6) AS final FROM z ORDER BY final DESC, id LIMIT 8""")
+def rerank(spark: SparkSession, d: str) -> DataFrame:
+    fused = _fused(spark, d)
+    own = fx.chunks(spark, d).join(F.broadcast(fused), "id")  # at most twice thirty rows
+    scored = own.select("id", "rrf", search.cross_score(F.col("document"), _first_text(spark, d)).alias("cross"))
+    return search.reranked(scored)
+
+
+# ---- chunking ----
+
+_LINES = "SELECT *, CASE WHEN list_extract(a, -1) = '' THEN a[1:len(a) - 1] ELSE a END AS ls FROM (SELECT *, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM ({0}))"
+
+
+@registered(f"""
+WITH l AS ({_LINES.format(fx.FILES)}),
+w AS (SELECT "workspaceId", file_path, cast(s AS INTEGER) AS "lineRangeStart", cast(least(s + 50, len(ls)) AS INTEGER) AS "lineRangeEnd", array_to_string(ls[s + 1:s + 50], chr(10)) AS document FROM l, range(0, len(ls), 40) r(s))
+SELECT "workspaceId", file_path AS "filePath", "lineRangeStart", "lineRangeEnd", md5(document) AS document_md5,
+  cast(row_number() OVER (PARTITION BY "workspaceId", file_path ORDER BY "lineRangeStart") - 1 AS INTEGER) AS "chunkIndex" FROM w WHERE regexp_matches(document, '\\S')""")
+def line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    found = chunking.line_chunks(fx.files(spark, d))
+    return found.select("workspaceId", "filePath", "lineRangeStart", "lineRangeEnd", F.md5("document").alias("document_md5"), "chunkIndex")
+
+
+@registered(f"""
+SELECT "workspaceId", file_path AS "filePath", cast(s // 256 AS INTEGER) AS "chunkIndex", md5(substr(content, s + 1, 512)) AS document_md5,
+  cast(s // 2000 * 2000 AS INTEGER) AS "parentStart", md5(substr(content, s // 2000 * 2000 + 1, 2000)) AS parent_md5
+FROM ({fx.FILES}) t, range(0, length(content), 256) r(s)""")
+def parent_child(spark: SparkSession, d: str) -> DataFrame:
+    found = chunking.parent_child(fx.files(spark, d))
+    return found.select("workspaceId", "filePath", "chunkIndex", F.md5("document").alias("document_md5"), "parentStart", F.md5("parentText").alias("parent_md5"))
+
+
+@registered(f"SELECT file_path, array_to_string(ls[3:6], chr(10)) AS content, len(ls) AS total_lines FROM ({_LINES.format(fx.FILES)})")
+def read_slice(spark: SparkSession, d: str) -> DataFrame:
+    return fx.files(spark, d).select("file_path", tx.read_slice(F.col("content"), 2, 6).alias("r")).select("file_path", "r.*")
+
+
+_CODE = {
+    "a.py": "import os\n\n\nclass Store:\n    def __init__(self):\n        self.rows = []\n        self.size = 0\n        self.open = True\n\n    def add(self, row):\n        self.rows.append(row)\n        self.size += 1\n        return load_rows(self)\n\n\ndef load_rows(store):\n    out = []\n    for r in store.rows:\n        out.append(r)\n    return out\n",
+    "b.rs": "pub struct Store {\n    rows: Vec<u8>,\n    size: usize,\n    open: bool,\n}\n\nimpl Store {\n    pub fn add(&mut self, row: u8) {\n        // { not a brace\n        self.rows.push(row);\n        self.size += 1;\n    }\n}\n",
+    "c.ts": "export class Store {\n  rows: string[] = [];\n  add(row: string): void {\n    this.rows.push(row);\n    const text = '}';\n    show(text);\n  }\n}\n",
+}
+
+
+@registered()
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of three small source files, the fixtures having none."""
+    code = spark.createDataFrame([("w", p, c) for p, c in _CODE.items()], "workspaceId string, file_path string, content string")
+    return chunking.chunks(code).drop("id")
+
+
+@registered()
+def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    own = fx.files(spark, d).select("file_path", F.col("content").alias("document"))
+    return embedded(own, HashEmbedder()).select("file_path", "vector")
+
+
+# ---- files ----
+
+_VISIBLE = "NOT regexp_matches(file_path, '(^|/)\\.[^/]')"
+_FOLDERS = "|".join(x.rstrip("/").replace(".", "\\.") for x in fs.DEFAULT_IGNORES if x.endswith("/"))
+_NOT_IGNORED = f"NOT regexp_matches(file_path, '(^|/)({_FOLDERS})/') AND NOT regexp_matches(file_path, '(^|/)[^/]*\\.min\\.(js|css)(/|$)')"
+_EXT = "lower(regexp_extract(file_path, '[^/.][^/]*\\.([^./]+)$', 1))"
+_WANTED = f"{_VISIBLE} AND {_NOT_IGNORED} AND {_EXT} IN ({', '.join(repr(e) for e in fs.EXTENSIONS)})"
+
+
+@registered(f"SELECT file_path, md5(content) AS content_md5 FROM ({fx.PATHS}) WHERE {_WANTED} AND size <= 10485760 AND regexp_matches(content, '\\S')")
+def crawl_filter(spark: SparkSession, d: str) -> DataFrame:
+    return fs.wanted_files(fx.paths(spark, d)).select("file_path", F.md5("content").alias("content_md5"))
+
+
+@registered(f"SELECT file_path, mtime FROM ({fx.PATHS}) WHERE {_WANTED}")
+def crawl_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return fs.wanted_paths(fx.paths(spark, d)).select("file_path", "mtime")
+
+
+_TREE = f"""
+WITH f AS (SELECT string_split(file_path, '/') AS p FROM ({fx.PATHS}) WHERE {_VISIBLE} AND {_NOT_IGNORED}),
+n AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, CASE WHEN i = len(p) THEN 'file' ELSE 'directory' END AS type, cast(i - 1 AS INTEGER) AS depth FROM f, range(1, len(p) + 1) r(i)),
+k AS (SELECT path, regexp_replace(path, '/?[^/]+$', '') AS parent, regexp_extract(path, '[^/]+$') AS name, type, depth FROM n {{0}})
+SELECT *, cast(row_number() OVER (PARTITION BY parent ORDER BY type, lower(name), name) AS INTEGER) AS position FROM k"""
+
+
+@registered(_TREE.format(""))
+def file_tree(spark: SparkSession, d: str) -> DataFrame:
+    return fs.file_tree(fx.paths(spark, d))
+
+
+@registered(_TREE.format("WHERE depth < 3"))
+def project_map(spark: SparkSession, d: str) -> DataFrame:
+    return fs.file_tree(fx.paths(spark, d), depth=3)
+
+
+@registered(f"""SELECT ext, n AS files, round(100.0 * n / sum(n) OVER (), 4) AS percent FROM (SELECT {_EXT} AS ext, count(*) AS n FROM ({fx.PATHS}) GROUP BY 1)""")
+def language_split(spark: SparkSession, d: str) -> DataFrame:
+    return tl.language_split(fx.paths(spark, d).select(tx.extension(F.col("file_path")).alias("ext")))
+
+
+@registered("SELECT page_id, substr(regexp_replace(lower(url), '[^\\p{L}\\p{N}]+', '_', 'g'), 1, 80) AS slug FROM pages")
+def workspace_slug(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "pages").select("page_id", tx.slug(F.col("url")).alias("slug"))
+
+
+# ---- index lifecycle ----
+
+
+def _file_keys(spark: SparkSession, d: str) -> DataFrame:
+    return fx.files(spark, d).select(F.col("workspaceId").alias("workspace_id"), "file_path", "mtime")
+
+
+_DIFF = f"""SELECT f."workspaceId" AS workspace_id, f.file_path, f.mtime,
+  CASE WHEN m.mtime IS NULL THEN 'new' WHEN m.model <> 'm' THEN 'model' WHEN f.mtime > m.mtime THEN 'modified' END AS reason
+  FROM ({fx.FILES}) f LEFT JOIN ({fx.MANIFEST}) m ON f."workspaceId" = m.workspace_id AND f.file_path = m.file_path"""
+
+
+@registered(f"SELECT * FROM ({_DIFF}) WHERE reason IS NOT NULL")
+def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
+    return index.needs_indexing(_file_keys(spark, d), fx.manifest(spark, d), "m")
+
+
+_STALE = f"""SELECT workspace_id, file_path FROM ({fx.MANIFEST}) m WHERE NOT EXISTS (SELECT 1 FROM ({fx.FILES}) f WHERE f."workspaceId" = m.workspace_id AND f.file_path = m.file_path)"""
+
+
+@registered(_STALE)
+def stale_files(spark: SparkSession, d: str) -> DataFrame:
+    return index.stale(fx.manifest(spark, d), _file_keys(spark, d))
+
+
+@registered(f"""
+WITH n AS (SELECT workspace_id, file_path, mtime, 2 AS chunk_count, 'm' AS model FROM ({_DIFF}) WHERE reason IS NOT NULL),
+k AS (SELECT * FROM ({fx.MANIFEST}) m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.workspace_id = m.workspace_id AND n.file_path = m.file_path))
+SELECT * FROM (SELECT * FROM k UNION ALL SELECT * FROM n) a WHERE NOT EXISTS (SELECT 1 FROM ({_STALE}) s WHERE s.workspace_id = a.workspace_id AND s.file_path = a.file_path)""")
+def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
+    old, now = fx.manifest(spark, d), _file_keys(spark, d)
+    new = index.needs_indexing(now, old, "m").select("workspace_id", "file_path", "mtime", F.lit(2).alias("chunk_count"), F.lit("m").alias("model"))
+    return index.upserted(old, new, index.stale(old, now))
+
+
+_DOOMED = f"SELECT * FROM ({_DIFF}) WHERE reason IS NOT NULL"
+
+
+@registered(f"""SELECT c.id, c."filePath" FROM ({fx.CHUNKS}) c WHERE NOT EXISTS (SELECT 1 FROM ({_DOOMED}) x WHERE x.workspace_id = c."workspaceId" AND x.file_path = c."filePath")""")
+def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
+    changed = index.needs_indexing(_file_keys(spark, d), fx.manifest(spark, d), "m")
+    doomed = changed.select(F.col("workspace_id").alias("workspaceId"), F.col("file_path").alias("filePath"))
+    return index.without_files(fx.chunks(spark, d).select("id", "filePath", "workspaceId"), doomed).select("id", "filePath")
+
+
+@registered(f"""SELECT len(vector) AS dim, count(*) AS chunks FROM ({fx.CHUNKS}) WHERE vector IS NOT NULL GROUP BY 1""")
+def index_count(spark: SparkSession, d: str) -> DataFrame:
+    return fx.chunks(spark, d).where("vector IS NOT NULL").groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("chunks"))
+
+
+# ---- secrets ----
+
+
+def _scan_sql(source: str, key: str) -> str:
+    """Every rule's matches by the lengths of what lies between them, the earliest rule at each offset."""
+    redacted = "CASE WHEN length(s) <= 8 THEN concat(substr(s, 1, 3), '***') ELSE concat(substr(s, 1, least(4, length(s) // 3)), '…', right(s, least(4, length(s) // 3))) END"
+    parts = []
+    for k, (kind, pattern) in enumerate(secret_rules.RULES):
+        p = _quoted(pattern.replace("\\A", "^").replace("\\z", "$"))
+        parts.append(f"""
+  SELECT {key}, {k} AS ord, '{kind}' AS kind, {redacted} AS preview,
+    list_sum(list_transform(gaps[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: strlen(x))), 0) + strlen(pre[i]) AS off
+  FROM (SELECT {key}, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS whole, regexp_extract_all(text, {p}, 1) AS pre, regexp_extract_all(text, {p}, 2) AS sec FROM {source}) t,
+    range(1, len(whole) + 1) r(i), LATERAL (SELECT sec[i] AS s) z""")
+    return f"SELECT {key}, kind, preview, cast(off AS BIGINT) AS \"offset\" FROM ({' UNION ALL '.join(parts)}) QUALIFY row_number() OVER (PARTITION BY {key}, off ORDER BY ord) = 1"
+
+
+@registered(_scan_sql("documents", "doc_id"))
+def shield_scan(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.table(spark, d, "documents").where(secret_rules.has_secret(F.col("text")))
+    return rows.select("doc_id", F.explode(secret_rules.secrets(F.col("text"))).alias("m")).select("doc_id", "m.*")
+
+
+_ANY = " OR ".join(f"regexp_matches(text, {_quoted(p.replace(chr(92) + 'A', '^').replace(chr(92) + 'z', '$'))})" for _, p in secret_rules.RULES)
+
+
+@registered(f"SELECT conv_id, turn, role = 'user' AND ({_ANY}) AS blocked FROM conversations")
+def shield_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Messages to a cloud provider that wait for the user's consent."""
+    rows = fx.table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", ((F.col("role") == "user") & secret_rules.has_secret(F.col("text"))).alias("blocked"))
+
+
+# ---- timeline and watch ----
+
+_RECENT = f"""recent AS (SELECT * FROM ({fx.CHANGES}) WHERE mtime > (SELECT max(epoch_us(ts)) / 1000.0 FROM events) - 86400000 ORDER BY mtime DESC, file_path LIMIT 40)"""
+
+
+def _recent(spark: SparkSession, d: str) -> DataFrame:
+    own = fx.changes(spark, d)
+    return tl.timeline(own, own.agg(F.max("mtime")).first()[0])
+
+
+@registered(f"WITH {_RECENT} SELECT file_path, mtime, 'modified' AS change_type, substr(content, 1, 1000) AS current_content FROM recent")
+def timeline_24h(spark: SparkSession, d: str) -> DataFrame:
+    return _recent(spark, d).select("file_path", "mtime", F.lit("modified").alias("change_type"), tl.snippet(F.col("content"), F.col("size")).alias("current_content"))
+
+
+@registered(f"""WITH {_RECENT} SELECT string_agg(concat('- ', file_path, ' (modified ', strftime(make_timestamp(cast(floor(mtime) AS BIGINT) * 1000), '%Y-%m-%d %H:%M:%S'), ')',
+  chr(10), '  Content snippet:', chr(10), '```', chr(10), substr(content, 1, 1000), chr(10), '```'), chr(10) || chr(10) ORDER BY mtime DESC, file_path) AS text FROM recent""")
+def timeline_prompt(spark: SparkSession, d: str) -> DataFrame:
+    rows = _recent(spark, d).select(F.col("file_path").alias("relative_path"), "mtime", tl.snippet(F.col("content"), F.col("size")).alias("current_content"))
+    return tl.timeline_prompt(rows)
+
+
+@registered(f"""
+WITH e AS (SELECT "workspaceId", ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS starts FROM ({fx.CHANGES}) WINDOW w AS (PARTITION BY "workspaceId" ORDER BY ts)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY "workspaceId" ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+SELECT "workspaceId", min(ts) AS "start", max(ts) + INTERVAL 6 HOURS AS "end", count(*) AS events FROM g GROUP BY "workspaceId", burst""")
+def debounce_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of a user's changes; the events are hours apart, so the gap is."""
+    own = fx.changes(spark, d).select("workspaceId", F.col("file_path").alias("path"), "ts")
+    return debounced(own, gap="6 hours")
+
+
+# ---- conversations ----
+
+_HEADING = "(?is)(\\n|^)\\s*(FOLLOW_UP_SUGGESTIONS|Follow-up suggestions|Follow up suggestions|Follow-up question)s?\\s*:?\\s*(\\n|$).*"
+
+
+@registered(f"""
+SELECT conv_id, turn, CASE WHEN lower(role) = 'assistant' THEN 'assistant' ELSE 'user' END AS role,
+  substr(CASE WHEN lower(role) = 'assistant' THEN regexp_replace(text, '{_HEADING}', '') ELSE text END, 1, 500) AS content
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back BETWEEN 2 AND 21""")
+def history_window(spark: SparkSession, d: str) -> DataFrame:
+    return chat.history_window(fx.table(spark, d, "conversations"))
+
+
+_TITLES = f"""SELECT s.id, CASE WHEN title IN ('', 'New Chat') AND f.first IS NOT NULL THEN CASE WHEN length(first) > 30 THEN concat(substr(first, 1, 30), '...') ELSE first END ELSE title END AS title, s."updatedAt"
+  FROM ({fx.SESSIONS}) s LEFT JOIN (SELECT session_id, min_by(content, idx) AS first FROM ({fx.MESSAGES}) WHERE role = 'user' GROUP BY 1) f ON s.id = f.session_id"""
+
+
+@registered(_TITLES)
+def chat_titles(spark: SparkSession, d: str) -> DataFrame:
+    return chat.titled(fx.sessions(spark, d), fx.messages(spark, d))
+
+
+@registered(f"SELECT * FROM ({_TITLES}) ORDER BY \"updatedAt\" DESC, id LIMIT 50")
+def chat_retention(spark: SparkSession, d: str) -> DataFrame:
+    named = chat.titled(fx.sessions(spark, d), fx.messages(spark, d))
+    return chat.retained(chat.worth_keeping(named, fx.messages(spark, d))).select("id", "title", "updatedAt")
+
+
+@registered(f"""SELECT s.id, concat('# ', any_value(s.title), chr(10), chr(10), string_agg(concat('## ', CASE WHEN role = 'user' THEN '👤 You' ELSE '🤖 Assistant' END, chr(10), chr(10), content,
+  CASE WHEN len(citations) > 0 THEN concat(chr(10), chr(10), '*Sources: ', array_to_string(list_transform(citations, lambda c: regexp_extract(c, '[^/\\\\]*$')), ', '), '*') ELSE '' END),
+  concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY idx)) AS markdown FROM ({fx.SESSIONS}) s JOIN ({fx.MESSAGES}) m ON s.id = m.session_id GROUP BY s.id""")
+def chat_export_md(spark: SparkSession, d: str) -> DataFrame:
+    return chat.export_markdown(fx.sessions(spark, d), fx.messages(spark, d))
+
+
+@registered(f"""SELECT -1 AS session_id, concat(title, ' (Branch)') AS title, idx, content FROM ({fx.SESSIONS}) s JOIN ({fx.MESSAGES}) m ON s.id = m.session_id WHERE s.id = 1 AND idx <= 2""")
+def chat_branch(spark: SparkSession, d: str) -> DataFrame:
+    own, rows = chat.branched(fx.sessions(spark, d), fx.messages(spark, d), 1, 2, -1)
+    return rows.join(own.select(F.col("id").alias("session_id"), "title"), "session_id").select("session_id", "title", "idx", "content")
+
+
+@registered(f"""SELECT session_id, array_to_string(list_filter(max_by(citations, idx), lambda c: c <> '/a/f1.md'), '|') AS files FROM ({fx.MESSAGES}) WHERE role = 'assistant' GROUP BY session_id""")
+def context_secondary(spark: SparkSession, d: str) -> DataFrame:
+    return chat.secondary_context(fx.messages(spark, d), ["/a/f1.md"]).select("session_id", F.array_join("files", "|").alias("files"))
+
+
+@registered(f"SELECT conv_id, turn, regexp_matches(text, {_quoted(tx.GREETING.replace(chr(92) + 'A', '^').replace(chr(92) + 'z', '$'))}) AS greeting FROM conversations")
+def greeting(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", tx.is_greeting(F.col("text")).alias("greeting"))
+
+
+@registered("""
+WITH a AS (SELECT conv_id, turn, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM conversations),
+b AS (SELECT conv_id, turn, list_transform(CASE WHEN list_extract(ls, -1) = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: trim(x)) AS ls FROM a),
+c AS (SELECT conv_id, turn, list_filter(list_transform(ls, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '^[0-9. ]+', ''), '^\\[+', ''), '\\]+$', ''))), lambda x: strlen(x) > 5)[1:3] AS s FROM b)
+SELECT conv_id, turn, array_to_string(s, '|') AS suggestions FROM c""")
+def followups(spark: SparkSession, d: str) -> DataFrame:
+    """Each message as the numbered block of suggestions after an answer."""
+    answer = F.concat(F.lit("Answer.\n" + tx.FOLLOW_UP_MARK), F.col("text"))
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tx.follow_ups(answer), "|").alias("suggestions"))
+
+
+@registered("""
+SELECT conv_id, turn, u.position, u.type, u.content, u.complete FROM (
+  SELECT conv_id, turn, unnest([{'position': 0, 'type': 'text', 'content': 'a ', 'complete': NULL::BOOLEAN},
+    {'position': 1, 'type': 'think', 'content': regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'complete': true}, {'position': 2, 'type': 'text', 'content': ' b ', 'complete': NULL},
+    {'position': 3, 'type': 'think', 'content': regexp_replace(text, '^\\s+', ''), 'complete': false}]) AS u FROM conversations)""")
+def think_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each message as a closed and then as an open thought."""
+    body = F.concat(F.lit("a <think> "), "text", F.lit(" </think> b <think> "), "text")
+    rows = fx.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(tx.think_segments(body)).alias("position", "s"))
+    return rows.select("conv_id", "turn", "position", "s.*")
+
+
+# ---- graph ----
+
+
+@registered(f"""
+WITH c AS (SELECT * FROM ({fx.LINES}) WHERE name <> ''), n AS (SELECT DISTINCT "workspaceId", "filePath", name AS "toName" FROM c)
+SELECT c."workspaceId", c."filePath", c.id, c.name AS "fromName", n."toName", 'reference' AS kind FROM c JOIN n ON c."workspaceId" = n."workspaceId" AND c."filePath" = n."filePath"
+WHERE c.name <> n."toName" AND contains(document, n."toName") AND regexp_matches(document, concat('(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', n."toName", '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])'))""")
+def reference_edges(spark: SparkSession, d: str) -> DataFrame:
+    return relations.reference_edges(fx.named_lines(spark, d))
+
+
+_NODES = f"""SELECT name, max_by(kind, {{'a': "filePath", 'b': "chunkIndex", 'c': id}}) AS kind, max_by("filePath", {{'a': "filePath", 'b': "chunkIndex", 'c': id}}) AS "filePath" FROM ({fx.LINES}) WHERE name <> '' GROUP BY name"""
+
+
+@registered(_NODES)
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return relations.graph_nodes(fx.named_lines(spark, d))
+
+
+@registered(ORACLE_SQL["reference_edges"].replace("SELECT c.\"workspaceId\", c.\"filePath\", c.id, c.name AS", "SELECT c.name AS").replace("WHERE c.name <>", "WHERE c.\"workspaceId\" = 'src1' AND c.name <>"))
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return relations.graph_edges(relations.reference_edges(fx.named_lines(spark, d)), "src1")
+
+
+@registered(f"""
+WITH n AS (SELECT name, max_by(kind, {{'a': "filePath", 'b': "chunkIndex", 'c': id}}) AS kind FROM ({fx.LINES}) WHERE name <> '' AND "workspaceId" = 'src1' GROUP BY name),
+i AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS i FROM n)
+SELECT name, cast(i % 5 * 200 AS INTEGER) AS x, cast(i // 5 * 150 AS BIGINT) AS y, contains(kind, 'function') AS is_function FROM i""")
+def graph_layout(spark: SparkSession, d: str) -> DataFrame:
+    return relations.graph_layout(relations.graph_nodes(fx.named_lines(spark, d), "src1"))
+
+
+# ---- palette, edits and service answers ----
+
+_ACTIONS = [("New chat", "Start over", 0), ("Export chat", "As Markdown", 1), ("Search files", "In all workspaces", 2), ("Show timeline", "Recent changes", 3)]
+_FUZZY = "(regexp_matches(lower(label), '(?s)s.*r.*c') OR regexp_matches(lower(coalesce(detail, '')), '(?s)s.*r.*c'))"
+
+
+@registered(f"""
+WITH a AS (SELECT * FROM (VALUES {', '.join(f"('action', 0, {_quoted(x)}, {_quoted(y)}, {n})" for x, y, n in _ACTIONS)}) v(category, kind, label, detail, position)),
+c AS (SELECT 'chat', 1, title, NULL::VARCHAR, id FROM ({fx.SESSIONS})),
+f AS (SELECT 'file', 2, regexp_extract(file_path, '[^/]*$'), file_path, doc_id FROM ({fx.FILES}) ORDER BY doc_id LIMIT 200)
+SELECT category, label, detail, position FROM (SELECT * FROM a UNION ALL SELECT * FROM c UNION ALL SELECT * FROM f) WHERE {_FUZZY} ORDER BY kind, position LIMIT 50""")
+def fuzzy_palette(spark: SparkSession, d: str) -> DataFrame:
+    actions = spark.createDataFrame(_ACTIONS, "label string, detail string, position long")
+    chats = fx.sessions(spark, d).select(F.col("title").alias("label"), F.lit(None).cast("string").alias("detail"), F.col("id").alias("position"))
+    own = fx.files(spark, d).select(tx.basename(F.col("file_path")).alias("label"), F.col("file_path").alias("detail"), F.col("doc_id").alias("position"))
+    return tl.palette(actions, chats, own, "src")
+
+
+@registered("SELECT doc_id, md5(replace(text, 'the', 'THE')) AS edited, md5('new') AS created FROM documents")
+def apply_diff(spark: SparkSession, d: str) -> DataFrame:
+    edit = lambda old, new: F.md5(tx.apply_edit(F.col("text"), F.lit(old), F.lit(new)))
+    return fx.table(spark, d, "documents").select("doc_id", edit("the", "THE").alias("edited"), edit("", "new").alias("created"))
+
+
+@registered("SELECT conv_id, turn, concat('/f/', cast(turn AS VARCHAR)) AS \"filePath\", text AS \"newContent\" FROM conversations WHERE turn % 2 = 1")
+def diff_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Proposed edits in answers: JSON blocks with a path and the new content; every second message here has one."""
+    body = F.to_json(F.struct(F.concat(F.lit("/f/"), F.col("turn").cast("string")).alias("filepath"), F.col("text").alias("newContent")))
+    text = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("See:\n```json\n"), body, F.lit("\n```\nDone."))).otherwise(F.col("text"))
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```json\s*\n(.*?)```"), 1)
+    rows = fx.table(spark, d, "conversations").select("conv_id", "turn", F.explode(blocks).alias("b"))
+    found = rows.select("conv_id", "turn", F.get_json_object("b", "$.filepath").alias("filePath"), F.get_json_object("b", "$.newContent").alias("newContent"))
+    return found.where('filePath IS NOT NULL AND newContent IS NOT NULL')
+
+
+_CATALOGUE = json.dumps({"data": [{"id": "a/one", "name": "One", "pricing": {"prompt": "0"}}, {"id": "b/two", "name": "Two", "pricing": {"prompt": "0.002"}}, {"id": "c/three", "name": "Three"}]})
+
+
+@registered("SELECT * FROM (VALUES ('a/one', 'One', 'free'), ('b/two', 'Two', 'paid'), ('c/three', 'Three', 'paid')) v(id, name, tier)")
+def model_partition(spark: SparkSession, d: str) -> DataFrame:
+    return services.model_groups(spark.createDataFrame([(_CATALOGUE,)], "body string"))
+
+
+_ANSWERS = [
+    ("tavily", json.dumps({"results": [{"title": "T1", "url": "u1", "content": "x" * 600}, {"title": "T2", "content": "no url"}]})),
+    ("serper", json.dumps({"organic": [{"title": "S1", "link": "l1", "snippet": "s"}, {"title": "S2", "link": "l2"}]})),
+    ("other", "{}"),
+]
+
+
+@registered("SELECT * FROM (VALUES ('tavily', 0, 'T1', 'u1', repeat('x', 500)), ('serper', 0, 'S1', 'l1', 's'), ('serper', 1, 'S2', 'l2', '')) v(provider, rank, title, url, snippet)")
+def web_results_parse(spark: SparkSession, d: str) -> DataFrame:
+    return services.web_results(spark.createDataFrame(_ANSWERS, "provider string, body string"))
+
+
+@registered("SELECT conv_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, text AS token FROM conversations")
+def ndjson_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as the token stream of a local server."""
+    line = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message")))
+    bodies = chat.joined_in_order(fx.table(spark, d, "conversations"), ["conv_id"], "turn", line, "\n").withColumnRenamed("text", "body")
+    return services.ndjson_tokens(bodies)
+
+
+@registered("SELECT conv_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, text AS token FROM conversations")
+def sse_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as the event stream of a cloud server, with an end mark and something after it."""
+    delta = F.struct(F.struct(F.col("text").alias("content")).alias("delta"))
+    line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(delta).alias("choices"))))
+    bodies = chat.joined_in_order(fx.table(spark, d, "conversations"), ["conv_id"], "turn", line, "\n\n")
+    return services.sse_tokens(bodies.select("conv_id", F.concat("text", F.lit("\n\ndata: [DONE]\n\ndata: {}")).alias("body")))

@@ -1 +1 @@
-
+"""Readers, file filters and parsers of service answers."""
