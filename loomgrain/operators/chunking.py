@@ -117,7 +117,7 @@ def brace_symbols(source: str, rust: bool) -> list[Symbol]:
             closing[stack.pop()] = m.start()
     starts = [0, *(m.end() for m in re.finditer("\n", quiet))]
     line = lambda at: bisect.bisect_right(starts, at) - 1
-    found = []
+    found: dict[int, Symbol] = {}  # by opening brace; the more telling patterns come first
     for pattern, kind in _RUST if rust else _SCRIPT:
         for m in re.finditer(rf"(?m)(?:^|(?<=[{{}};\s]))(?:export\s+)?(?:default\s+)?({pattern})", quiet):
             brace = quiet.find("{", m.end())
@@ -125,8 +125,8 @@ def brace_symbols(source: str, rust: bool) -> list[Symbol]:
             if brace < 0 or brace not in closing or (0 <= stop < brace):
                 continue
             name = None if kind == "method_definition" else m[2]
-            found.append(Symbol(kind, name, line(m.start(1)), line(closing[brace])))
-    return sorted(set(found), key=lambda s: (s.start, -s.end, s.kind))
+            found.setdefault(brace, Symbol(kind, name, line(m.start(1)), line(closing[brace])))
+    return sorted(found.values(), key=lambda s: (s.start, -s.end, s.kind))
 
 
 #: Chunkers by extension; more can be registered.
