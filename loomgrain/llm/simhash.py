@@ -113,7 +113,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1
         if out is None:
             tables = [(0, m) for m in covering_masks(list(range(64)), radius)]
         else:
-            shared = [r["fixed"] for r in level.select("fixed").distinct().collect()]  # at most (2 ** (radius + 1) - 1) ** levels
+            shared = [r["fixed"] % (1 << 64) for r in level.select("fixed").distinct().collect()]  # at most (2 ** (radius + 1) - 1) ** levels
             tables = [(f, f | m) for f in shared for m in covering_masks([p for p in range(64) if not f >> p & 1], radius)]
         deeper = {}
         for fixed, mask in tables:
