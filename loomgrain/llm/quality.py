@@ -170,43 +170,44 @@ def train(docs: DataFrame, labels: DataFrame, target: Column, name: str, with_wo
     return Model(words, fit_logistic(x, y), float(np.log(y.mean() / (1 - y.mean()))))
 
 
-def _shrunk(groups: DataFrame, prior: Column, strength: float, n: str, s: str, name: str) -> DataFrame:
-    return groups.withColumn(name, (F.lit(strength) * prior + F.col(s)) / (F.lit(strength) + F.col(n)))
-
-
-def _strength(groups: DataFrame, mean: float, n: str, s: str) -> float:
-    """Prior strength by moments: the less the groups' rates spread beyond chance, the stronger."""
-    row = groups.where(F.col(n) > 0).agg(
-        F.sum(F.pow(F.col(s) - F.col(n) * mean, 2)).alias("ss"), F.sum(n).alias("n"), F.sum(F.col(n) * F.col(n)).alias("nn")
-    ).first()
-    chance = mean * (1 - mean)
-    if not row["n"] or chance <= 0 or row["nn"] <= row["n"]:
+def _strength(groups: DataFrame, mean: Column, n: str, s: str) -> float:
+    """Prior strength by moments: the less the groups' sums spread around ``n`` times their mean beyond chance, the stronger."""
+    spread = F.pow(F.col(s) - F.col(n) * mean, 2) / (mean * (1 - mean))
+    row = groups.agg(F.sum(spread).alias("spread"), F.sum(n).alias("n"), F.sum(F.col(n) * F.col(n)).alias("nn")).first()
+    if not row["n"] or row["nn"] <= row["n"]:
         return 100.0
-    # sum of (s - n m)^2 is about chance * (n + (nn - n) * rho) with rho = 1 / (strength + 1)
-    rho = (row["ss"] / chance - row["n"]) / (row["nn"] - row["n"])
+    # the spread is about n + (nn - n) * rho with rho = 1 / (strength + 1)
+    rho = (row["spread"] - row["n"]) / (row["nn"] - row["n"])
     return float(np.clip(1 / rho - 1, 2.0, 1e4)) if rho > 0 else 1e4
 
 
+def _rate(rate: Column) -> Column:
+    return F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
+
+
 def with_posteriors(scored: DataFrame, name: str) -> DataFrame:
     """Adds ``{name}``: the posterior of each row from its log odds ``{name}_llr`` and its site.
 
-    ``scored`` has host, path and llr columns; hosts and paths are grouped over all
-    rows, with sums combined before the shuffle.
+    ``scored`` has host, path, ``{name}_llr`` and ``{name}_p``. Hosts and paths are
+    grouped over all rows, with sums combined before the shuffle; a row's own part
+    is taken out of its host and path again.
     """
     llr, p = F.col(f"{name}_llr"), F.col(f"{name}_p")
     by_path = materialise(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "quality-paths")
     row = by_path.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = min(max((row["s"] or 0.0) / row["n"], 1e-4), 1 - 1e-4) if row["n"] else 0.5
-    hosts = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    hosts = _shrunk(hosts, F.lit(mean), strength := _strength(hosts, mean, "hn", "hs"), "hn", "hs", "host_rate")
-    paths = by_path.join(hosts.select(F.col("host").alias("_h"), "host_rate"), F.col("host").eqNullSafe(F.col("_h"))).drop("_h")
-    inner = _strength(by_path, mean, "n", "s")
-    sites = materialise(paths.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", "n", "s"), "quality-sites")
-    joined = scored.join(sites, scored["host"].eqNullSafe(F.col("_host")) & scored["path"].eqNullSafe(F.col("_path"))).drop("_host", "_path")
-    site = (F.lit(max(inner, strength)) * F.col("host_rate") + F.col("s") - p) / (F.lit(max(inner, strength)) + F.col("n") - 1)
-    site = F.least(F.greatest(site, F.lit(1e-4)), F.lit(1 - 1e-4))
+    mean = min(max(row["s"] / row["n"], 1e-4), 1 - 1e-4) if row["n"] else 0.5
+    hosts = by_path.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    outer = _strength(hosts, F.lit(mean), "hn", "hs")
+    sites = materialise(
+        by_path.withColumnsRenamed({"host": "_of", "path": "_path"}).join(hosts, F.col("_of").eqNullSafe(F.col("_host"))).select("_host", "_path", "n", "s", "hn", "hs"),
+        "quality-sites",
+    )
+    inner = _strength(sites, _rate((F.lit(outer * mean) + F.col("hs")) / (F.lit(outer) + F.col("hn"))), "n", "s")
+    joined = scored.join(sites, scored["host"].eqNullSafe(F.col("_host")) & scored["path"].eqNullSafe(F.col("_path")))
+    host_rate = (F.lit(outer * mean) + F.col("hs") - p) / (F.lit(outer) + F.col("hn") - 1)
+    site = _rate((F.lit(inner) * host_rate + F.col("s") - p) / (F.lit(inner) + F.col("n") - 1))
     logit = llr + F.log(site / (1 - site))
-    return joined.withColumn(f"{name}_site", site).withColumn(name, 1 / (1 + F.exp(-logit))).drop("host_rate", "n", "s")
+    return joined.withColumn(f"{name}_site", site).withColumn(name, 1 / (1 + F.exp(-logit))).drop("_host", "_path", "n", "s", "hn", "hs")
 
 
 def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", cut: float = 0.5) -> DataFrame:
