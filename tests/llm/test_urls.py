@@ -1,0 +1,71 @@
+import pytest
+from pyspark.sql import functions as F
+
+from loomgrain.llm.host_trust import Rule, host_edges, host_of, judge_urls, longest_rule, path_of, personalised_pagerank
+from loomgrain.llm.queries import URL_RULES
+
+URLS = [
+    (None, "", ""), ("", "", ""), ("nothing", "", ""), ("http://A.Example.NET/en/x?y#z", "a.example.net", "/en/x"), ("x://h", "h", ""), ("x://h?p=://b/c", "h", ""),
+    ("https://h:80/a/b#c", "h:80", "/a/b"), ("a://b://c/d", "b:", "//c/d"), ("://É.net/", "É.net", "/"), ("http:///p", "", "/p"),
+]
+
+
+@pytest.mark.parametrize(("url", "host", "path"), URLS)
+def test_parts(spark, url, host, path):
+    row = spark.createDataFrame([(url,)], "u string").select(host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p")).first()
+    assert (row.h, row.p) == (host, path)
+
+
+def plain_rule(host, path):
+    fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.text), default=None)
+    return (best.text, best.verdict) if best else None
+
+
+def test_rules(spark):
+    hosts = ["net", "a.net", "xnet", "example.net", "m.example.net", "example.com", "w.example.com", "org", "a.org", "borg", "", "badexample.net"]
+    paths = ["", "/", "/en/", "/en", "/en/x", "/de/y", "/fr/z", "/fr"]
+    df = spark.createDataFrame([(h, p) for h in hosts for p in paths], "h string, p string")
+    for r in df.withColumn("r", longest_rule(F.col("h"), F.col("p"), URL_RULES)).collect():
+        assert (tuple(r.r) if r.r else None) == plain_rule(r.h, r.p)
+    with pytest.raises(ValueError):
+        longest_rule(F.col("h"), F.col("p"), URL_RULES * 1000)
+    assert df.select(longest_rule(F.col("h"), F.col("p"), []).alias("r")).where("r IS NOT NULL").count() == 0
+
+
+def test_pagerank_equals_loop(spark):
+    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 2.0), ("d", "c", 1.0), ("c", "e", 2.0)]
+    seeds = {"a": 2.0, "d": 1.0}
+    out = {}
+    for s, _, w in edges:
+        out[s] = out.get(s, 0) + w
+    start = {h: w / 3 for h, w in seeds.items()}
+    rank = dict(start)
+    for _ in range(9):
+        new = {h: 0.15 * w for h, w in start.items()}
+        for s, t, w in edges:
+            new[t] = new.get(t, 0) + 0.85 * rank.get(s, 0) * w / out[s]
+        rank = new
+    got = personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(list(seeds.items()), "host string, seed double"), rounds=9, cut_every=2)
+    assert {r.host: r.rank for r in got.collect()} == pytest.approx(rank)
+
+
+def link(*hosts):
+    return "".join(f"<a class='x' HREF=\"http://{h}/p\">t</a>" for h in hosts)
+
+
+def test_verdicts_follow_links(spark):
+    pages = [
+        (1, "http://good.org/fr/", link("friend.com")), (2, "http://friend.com/", link("friend2.com", "friend.com")), (3, "http://friend2.com/", None),
+        (4, "http://spam.net/x", "<p>no links</p>"), (5, "http://farm.com/", link("spam.net", "spam.net")), (6, "http://farm2.com/", link("farm.com")),
+        (7, "http://lone.com/a", ""), (8, None, link("spam.net")), (9, "bad", None), (10, "http://friend.com/", link("farm2.com")), (5, "http://farm.com/", None),
+    ]
+    df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, verdict string")
+    got = judge_urls(df, URL_RULES).collect()
+    assert len(got) == len(pages)
+    verdict = {r.page_id: (r.verdict, r.rule) for r in got}
+    assert verdict == {1: ("allow", "org/fr/"), 2: ("allow", None), 3: ("allow", None), 4: ("block", "net/"), 5: ("block", None), 6: ("block", None), 7: ("allow", None), 8: ("allow", None), 9: ("allow", None), 10: ("allow", None)}
+    assert judge_urls(df.limit(0), URL_RULES).count() == 0
+    assert {r.verdict for r in judge_urls(df, [Rule("block", "nowhere.example")]).collect()} == {"allow"}
+    edges = host_edges(df.select(host_of(F.col("url")).alias("host"), "html"))
+    assert {(r.src, r.dst, r.weight) for r in edges.collect()} == {("good.org", "friend.com", 1.0), ("friend.com", "friend2.com", 1.0), ("farm.com", "spam.net", 1.0), ("farm2.com", "farm.com", 1.0), ("friend.com", "farm2.com", 1.0)}
