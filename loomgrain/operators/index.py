@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _KEYS = ["workspace_id", "file_path"]
 
@@ -53,15 +55,17 @@ class IndexStore:
 
     def _read(self, name: str) -> DataFrame | None:
         try:
-            row = self.spark.read.text(self._pointer(name)).first()
-        except AnalysisException:
+            current = json.loads(self.spark.read.text(self._pointer(name)).first()[0])
+        except AnalysisException:  # nothing stored yet
             return None
-        return self.spark.read.parquet(f"{self.root}/{name}/{row[0]}")
+        schema = StructType.fromJson(current["schema"])  # an empty version has no file to take it from
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{current['version']}")
 
     def _write(self, name: str, df: DataFrame, by: list[str]) -> None:
         version = uuid.uuid4().hex
         df.write.partitionBy(*by).parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        current = json.dumps({"version": version, "schema": df.schema.jsonValue()})
+        self.spark.createDataFrame([(current,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
 
     def chunks(self) -> DataFrame | None:
         return self._read("chunks")
