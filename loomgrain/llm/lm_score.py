@@ -202,9 +202,12 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 12 <<
         q2 = np.where(p2 > 0, np.floor(l2 * STEPS), 1).astype(np.int64)
         q1 = np.where(p1 > 0, np.floor(l1 * STEPS), 1).astype(np.int64)
         l2, l1 = np.where(p2 > 0, l2, 0), np.where(p1 > 0, l1, 0)
-        cell, place = np.unique(np.column_stack((bucket_of(context), q2, q1)), axis=0, return_inverse=True)
-        sums = [np.bincount(place.reshape(-1), weights=own_pairs[here] * x, minlength=len(cell)) for x in (1, l2, l1)]
-        return pa.Table.from_arrays([*(pa.array(cell[:, k].astype(np.int32)) for k in range(3)), *map(pa.array, sums)], [x.split()[0] for x in _BINS.split(", ")])
+        # one number a cell: estimates are above 2 ** -200, so the binned ones have a width of 512
+        code = (bucket_of(context).astype(np.int64) * 512 + (q2 + 500)) * 512 + (q1 + 500)
+        cell, place = np.unique(code, return_inverse=True)
+        sums = [np.bincount(place, weights=own_pairs[here] * x, minlength=len(cell)).astype(np.float64) for x in (1, l2, l1)]
+        parts = (cell // 512**2, cell // 512 % 512 - 500, cell % 512 - 500)
+        return pa.Table.from_arrays([*(pa.array(x.astype(np.int32)) for x in parts), *map(pa.array, sums)], [x.split()[0] for x in _BINS.split(", ")])
 
     def with_answers(fn, schema: str) -> DataFrame:
         return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fn, schema)
@@ -214,7 +217,7 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 12 <<
         (r["bucket"], r["weight"], 2 ** (r["log2"] / r["weight"]) if r["q2"] < 1 else 0.0, 2 ** (r["log1"] / r["weight"]) if r["q1"] < 1 else 0.0)
         for r in materialise(bins, "lm-held-out").orderBy("bucket", "q2", "q1").collect()
     ]
-    weights = learn_weights(np.array(cells, np.float64).reshape(-1, 4), floor)
+    weights = learn_weights(np.array(cells, np.float64).reshape(-1, 4), floor) if n else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
     def score(texts: pa.Table, got: pa.Table) -> pa.Table:
         own = _block_of(texts)
