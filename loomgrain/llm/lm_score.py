@@ -16,7 +16,9 @@ that answers carry no keys. The block finds the order again from its texts.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +38,27 @@ _ANSWERS = "block long, kind int, shard long, totals binary, n_distinct long, n_
 _BINS = "bucket int, q2 int, q1 int, weight double, log2 double, log1 double"
 
 
+#: Bytes of a hash that are sent; the shard tells apart what they don't.
+KEY_BYTES = 7
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
 @dataclass
 class Block:
     """The tokens of some documents as numbers of their distinct words and pairs."""
 
     ends: np.ndarray  # end of each document in the tokens
     word: np.ndarray  # word number of each token
-    before: np.ndarray  # word number of the token before; the end of a text stands before its start
-    pair: np.ndarray  # pair number of each token
+    pair: np.ndarray  # pair number of each token with the one before it; the end of a text stands before its start
     pair_before: np.ndarray  # word number of each pair's first
     pair_word: np.ndarray  # word number of each pair's second
     train: np.ndarray  # whether each token is learned from
@@ -51,25 +66,28 @@ class Block:
 
     @classmethod
     def of(cls, texts: list[bytes], train: np.ndarray) -> Block:
-        tokens: list[bytes] = []
-        ends = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            tokens += text.lower().split()  # on bytes: A-Z and ASCII white space only
-            tokens.append(b"")  # the end of the text; no word is empty
-            ends[k] = len(tokens)
-        number = {w: k for k, w in enumerate(dict.fromkeys(tokens))}
-        word = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        number: dict[bytes, int] = defaultdict(count().__next__)  # words get numbers as they come; only distinct ones are kept
+        end = number[b""]  # the end of a text; no word is empty
+        parts = []
+        for text in texts:
+            words = text.lower().split()  # on bytes: A-Z and ASCII white space only
+            words.append(b"")
+            parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(sizes)
+        word = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        del parts
+        before = np.concatenate((np.array([end], np.int32), word[:-1]))[: len(word)]
         n = len(number)
-        before = np.concatenate(([number[b""]], word[:-1])) if n else word
-        both, pair = np.unique(before * n + word, return_inverse=True)
-        first, second = np.divmod(both, max(1, n))
-        words = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, n)
-        pairs = words[first] * np.uint64(0x9E3779B97F4A7C15) + words[second]
+        both, pair = np.unique(before.astype(np.int64) * n + word, return_inverse=True)
+        del before
+        first, second = np.divmod(both, n)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, n)
+        pairs = hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second]
         pairs ^= pairs >> np.uint64(32)
         pairs *= np.uint64(0xD6E8FEB86659FD93)
         pairs ^= pairs >> np.uint64(32)
-        sizes = np.diff(ends, prepend=0)
-        return cls(ends, word, before, pair.reshape(-1), first, second, np.repeat(train, sizes), (words, pairs))
+        return cls(ends, word, pair.reshape(-1).astype(np.int32), first, second, np.repeat(train, sizes), (hashes, pairs))
 
     def own(self, kind: int) -> np.ndarray:
         """Counts of the words (0) or pairs (1) in this block's training texts."""
@@ -131,7 +149,7 @@ def learn_weights(bins: np.ndarray, floor: float, rounds: int = 100) -> np.ndarr
     return out
 
 
-def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 12 << 20, min_blocks: int = 8) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 8 << 20, min_blocks: int = 8) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): SCORES.
 
     Learns from rows where ``held_out`` (over doc_id) is not true; null counts as
@@ -158,12 +176,12 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 12 <<
         for kind in (0, 1):
             order, starts = own.order(kind, shards)
             keys, counts = own.keys[kind][order], own.own(kind)[order].astype(np.int32)
-            out += [(kind, s, key[0].as_py(), keys[a:b].tobytes(), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if b > a]
+            out += [(kind, s, key[0].as_py(), _packed(keys[a:b]), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if b > a]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _REQUESTS.split(", ")])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("keys")]
+        keys = [_unpacked(k.as_py()) for k in table.column("keys")]
         counts = np.concatenate([np.frombuffer(c.as_py(), np.int32) for c in table.column("counts")])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(place.reshape(-1), weights=counts, minlength=len(distinct)).astype(np.int64)
