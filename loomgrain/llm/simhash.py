@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     groups = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     joined = components(fingerprint_links(groups.select("fp"), radius, bucket_rows))
     labelled = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    # written out, so that the join deals the fingerprints anew and a hot component can be split
+    least = materialise(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-components")
     of = labelled.join(least, "component").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return own.join(of, "fp").select("doc_id", text, "component_id")
