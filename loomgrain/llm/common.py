@@ -41,9 +41,24 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loomgrain-{spark.sparkContext.applicationId}"
 
 
+#: Applications whose folder is already marked for deletion.
+_marked: set[str] = set()
+
+
+def _filesystem(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; nothing is created yet."""
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder. The application's part of that folder goes when the driver ends."""
+    root = scratch_root(spark)
+    if root not in _marked:
+        fs, path = _filesystem(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(root)
+    return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 @contextmanager
@@ -78,6 +93,6 @@ def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what this application has written to the shared folder so far."""
+    fs, path = _filesystem(spark, scratch_root(spark))
+    fs.delete(path, True)
