@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,14 @@ FOLLOW_UP_HEADING = r"(?i)(?:\n|\A)\s*(?:FOLLOW_UP_SUGGESTIONS|Follow-up suggest
 FOLLOW_UP_MARK = "FOLLOW_UP_SUGGESTIONS:"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it, also from inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Lines of a text: split at LF or CRLF, without the empty one after a last line end; an empty text has none."""
-    parts = F.split(text, r"\r?\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, r"\r?\n"), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def is_blank(text: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.functions.text import extension, is_blank, lines
+from loomgrain.functions.text import bound, extension, is_blank, lines
 
 WINDOW, STEP = 50, 40
 #: Fewest lines of a symbol beyond its first.
@@ -30,14 +30,17 @@ def line_windows(text: Column, window: int = WINDOW, step: int = STEP) -> Column
     Starts are counted from 0, ends are exclusive. No shuffle: the windows of a
     text are numbered where the text is.
     """
-    own = lines(text)
-    n = F.size(own)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
-    def one(start: Column) -> Column:
-        return F.struct(start.alias("start"), F.least(start + window, n).alias("end"), F.array_join(F.slice(own, start + 1, F.lit(window)), "\n").alias("document"))
+    def windows(own: Column) -> Column:
+        n = F.size(own)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+        def one(start: Column) -> Column:
+            return F.struct(start.alias("start"), F.least(start + window, n).alias("end"), F.array_join(F.slice(own, start + 1, F.lit(window)), "\n").alias("document"))
+
+        return F.filter(F.transform(starts, one), lambda w: ~is_blank(w["document"]))
 
-    kept = F.filter(F.transform(starts, one), lambda w: ~is_blank(w["document"]))
+    kept = bound(lines(text), windows)
     return F.transform(kept, lambda w, i: F.struct(i.alias("chunkIndex"), w["start"].alias("lineRangeStart"), w["end"].alias("lineRangeEnd"), w["document"].alias("document")))
 
 
