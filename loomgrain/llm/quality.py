@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Bounds of the fitted model: labelled rows read, candidate words kept, bytes of one text that training reads whole.
+#: Bounds of the fitted model: labelled documents read, words kept, and the fewest documents that a word is in.
 MAX_LABELLED = 12_000
 MAX_WORDS = 128
 MIN_DOCS = 5
@@ -145,16 +145,26 @@ def telling_words(labelled: DataFrame, target: str, most: int = MAX_WORDS) -> li
     return [bytes(r["word"]) for r in best.where(g > 12).collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, target: Column, name: str, with_words: bool, max_labelled: int = MAX_LABELLED) -> Model | None:
-    """Fit ``target`` (a boolean over the labels) on at most ``max_labelled`` labelled rows, in the order of a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, name: str, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(body, ``name``) of at most ``max_labelled`` labelled documents, in the order of a hash of doc_id.
 
-    The bound is the only sampling here; all documents are scored. None if the
-    labels have one class only.
+    Of rows that share a doc_id, the one with the least text stands for all, so
+    that the bound holds for rows too.
     """
     chosen = labels.where(target.isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).alias(name))
     chosen = materialise(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "quality-labels")
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body")
-    rows = materialise(docs.select("doc_id", body).join(F.broadcast(chosen), "doc_id").select("body", name), "quality-sample")
+    found = docs.select("doc_id", body).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", name).agg(F.min("body").alias("body"))
+    return materialise(found.select("body", name), "quality-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, target: Column, name: str, with_words: bool, max_labelled: int = MAX_LABELLED) -> Model | None:
+    """Fit ``target`` (a boolean over the labels) on the labelled sample.
+
+    Its bound is the only sampling here; all documents are scored. None if the
+    labels have one class only.
+    """
+    rows = labelled_sample(docs, labels, target, name, max_labelled)
     words = telling_words(rows, name) if with_words else []
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,5 +263,3 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that ``classify`` rejects; a document is a doc_id, its rejected rows decide."""
     bad = materialise(classify(docs, labels).where("rejected").select(F.col("doc_id").alias("_id")).distinct(), "quality-rejects")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
-
-

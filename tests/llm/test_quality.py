@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgrain.llm.quality import N_STATS, classify, drop_rejected, fit_logistic, stats, train, with_posteriors, words_of
+from loomgrain.llm.quality import N_STATS, classify, drop_rejected, fit_logistic, labelled_sample, stats, train, with_posteriors, words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -61,3 +61,13 @@ def test_odd_tables(spark):
     assert train(docs, labels.where("quality = 1"), F.col("quality") == 0, "low", False) is None
     left = drop_rejected(docs, labels)
     assert left.columns == docs.columns and 0.7 * docs.count() < left.count() < docs.count()
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """A labelled document that repeats many times is one row of the sample, with its least text."""
+    docs = spark.createDataFrame([(1, f"text {i:03}") for i in range(300)] + [(2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (None, 1), (4, 0)], "doc_id long, quality int")
+    found = labelled_sample(docs, labels, F.col("quality") == 0, "low").collect()
+    assert sorted((bytes(r["body"]), r["low"]) for r in found) == [(b"", False), (b"c", False), (b"text 000", True)]
+    assert labelled_sample(docs, labels, F.col("quality") == 0, "low", max_labelled=2).count() <= 2
+    assert labelled_sample(docs.limit(0), labels, F.col("quality") == 0, "low").count() == 0
