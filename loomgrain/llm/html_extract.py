@@ -3,15 +3,19 @@
 The standard library's streaming parser turns a page into *lines*, one for each
 block of text, with the number of tags seen since the line before. The ratio of
 text to tags of each line is smoothed with a Gaussian, and a threshold splits the
-lines into content and the rest. The content lines select a *region*: the
-smallest element that holds nearly all of their text. All lines of the region
-are returned, short ones too, apart from lines inside boilerplate elements.
+lines into content and the rest. The content lines select a *region*: article or
+main elements if they hold most of the content, else the smallest element that
+holds all content lines. All lines of the region are returned, short ones too, and
+so are content lines outside it; lines inside boilerplate elements are not. Lines
+that mainly consist of links neither widen the region nor are added to it; other
+lines of ten words or more do and are, whatever their ratio.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -49,6 +53,10 @@ MARKED = frozenset(
 )
 #: Elements that can be the region; paragraphs, headings, lists and tables are parts of one.
 CONTAINERS = frozenset("html body main article section div center td".split())
+#: Headings and their ranks.
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
+#: Words from which on a line that isn't mainly links is content whatever its ratio.
+PROSE = 10
 #: Elements that are too wide to be boilerplate whatever their class says.
 _WIDE = frozenset(["html", "body", "main", "article"])
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -57,12 +65,18 @@ _OPEN_TAG = re.compile(r"<[!/?a-zA-Z]")
 
 @dataclass
 class Line:
-    """One block of text: its place in the tree, the tags before it and whether boilerplate holds it."""
+    """One block of text: its place in the tree, the tags before it, whether boilerplate holds it, its links and its rank."""
 
     text: str
     tags: int
     path: tuple[int, ...]
     dropped: bool
+    linked: int = 0  # characters inside links, without white space
+    rank: int = 0  # 1 to 6 for headings
+
+    @property
+    def is_links(self) -> bool:
+        return 2 * self.linked > len(self.text)
 
 
 @dataclass
@@ -77,6 +91,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # name, number (-1: inline), boilerplate
         self.parts: list[str] = []
         self.tags = 0
+        self.linked = 0
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't needed
@@ -88,8 +103,10 @@ class Lines(HTMLParser):
         self.parts.clear()
         if text:
             path = tuple(n for _, n, _ in self.stack if n >= 0)
-            self.lines.append(Line(text, self.tags, path, any(x for _, _, x in self.stack)))
+            rank = next((HEADINGS[name] for name, n, _ in reversed(self.stack) if n >= 0 and name in HEADINGS), 0)
+            self.lines.append(Line(text, self.tags, path, any(x for _, _, x in self.stack), self.linked, rank))
             self.tags = 0
+        self.linked = 0
 
     def _pop(self, depth: int) -> None:
         del self.stack[depth:]
@@ -144,6 +161,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if any(name == "a" for name, _, _ in self.stack):
+            self.linked += len("".join(data.split()))
 
     def finish(self) -> list[Line]:
         self.close()
@@ -185,7 +204,28 @@ def content_lines(lines: list[Line], sigma: float = 1.0) -> list[bool]:
     return [r >= cut for r in ratios]
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
+def region(lines: list[Line], content: list[bool], names: list[str]) -> list[Line]:
+    """The lines of the article, given which lines are content and the element names by number."""
+    # a few very long lines raise the threshold above short paragraphs, so prose counts as well
+    chosen = [(c or len(x.text.split()) >= PROSE) and not x.is_links for x, c in zip(lines, content, strict=True)]
+    if not any(chosen):
+        chosen = content
+    for kind in ("article", "main"):
+        within = [any(names[n] == kind for n in x.path) for x in lines]
+        held = sum(len(x.text) for x, c, w in zip(lines, chosen, within, strict=True) if c and w)
+        if any(within) and 2 * held >= sum(len(x.text) for x, c in zip(lines, chosen, strict=True) if c):
+            taken = [c or w for c, w in zip(chosen, within, strict=True)]
+            for k in range(len(lines) - 2, -1, -1):  # a heading goes with what it heads
+                after = lines[k + 1]
+                taken[k] |= bool(lines[k].rank) and taken[k + 1] and (not after.rank or after.rank > lines[k].rank)
+            return [x for x, t in zip(lines, taken, strict=True) if t]
+        chosen = [c or w for c, w in zip(chosen, within, strict=True)]
+    held = Counter(n for x, c in zip(lines, chosen, strict=True) if c for n in x.path if names[n] in CONTAINERS)
+    whole = max((n for n, k in held.items() if k == sum(chosen)), default=None)
+    return [x for x in lines if whole is None or whole in x.path]
+
+
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article of one page; blocks in page order joined by an empty line. Null and empty pages give ''."""
     if not html:
         return ""
@@ -194,24 +234,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     cut = last > html.rfind(">") and _OPEN_TAG.match(html, last)
     parser.feed(html[:last] if cut else html)  # a tag that the end of the page cuts off is no text
     lines = [x for x in parser.finish() if not x.dropped]
-    chosen = content_lines(lines, sigma)
-    weight: dict[int, int] = {}
-    total = 0
-    for line, is_content in zip(lines, chosen, strict=True):
-        if is_content:
-            total += len(line.text)
-            for n in (n for n in line.path if parser.names[n] in CONTAINERS):
-                weight[n] = weight.get(n, 0) + len(line.text)
-    if not total:
-        return ""
-    # articles that hold content are the region; without any, the deepest element with nearly all content is
-    inside = {n for n in weight if parser.names[n] == "article"} or {n for n in weight if parser.names[n] == "main"}
-    if sum(len(x.text) for x, c in zip(lines, chosen, strict=True) if c and not inside.isdisjoint(x.path)) < total / 2:
-        inside = set()
-    if not inside:
-        full = [n for n, w in weight.items() if w >= share * total]
-        inside = {max(full)} if full else set()
-    return "\n\n".join(x.text for x in lines if not inside or not inside.isdisjoint(x.path))
+    return "\n\n".join(x.text for x in region(lines, content_lines(lines, sigma), parser.names))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", sigma: float = 1.0) -> DataFrame:

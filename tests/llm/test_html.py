@@ -38,6 +38,27 @@ def test_page_without_article():
     assert main_text(page).split("\n\n") == ["Title", *["Words of a text that goes on for long."] * 5, "Ok."]
 
 
+LONG, LAST = "<p>" + "Words of a text that goes on for long. " * 30 + "</p>", "The last paragraph is content as well, though it is short. " * 3
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div><div>{long}</div><div><p>{last}</p></div></div></body>", "<body><div>{long}</div><p>{last}</p></body>", "<p>{last}</p><article>{long}</article>",
+    "<main><p>{last}</p><article>{long}</article></main>", "<article>{long}</article><article><p>{last}</article>", "<main>{long}</main><section><p>{last}</section>",
+])
+def test_no_content_line_is_lost(page):
+    blocks = main_text(page.format(long=LONG * 2, last=LAST)).split("\n\n")
+    assert LAST.strip() in blocks and len(blocks) == 3
+
+
+def test_short_article_and_lines_around():
+    menu = "<div><ul>" + "<li><a href=x>Entry</a></li>" * 4 + "</ul></div>"
+    page = f"<body>{menu}<h1>Title</h1><article>{LONG}</article><article><p>Short.</p></article><div><a href=y>{'More of this site ' * 30}</a></div></body>"
+    assert main_text(page).split("\n\n") == ["Title", main_text(LONG), "Short."]
+    page = f"<body>{menu}<div>{LONG}<p>Ok.</p></div><div><a href=y>{'More of this site ' * 30}</a></div></body>"
+    assert main_text(page).split("\n\n") == [main_text(LONG), "Ok."]
+    assert main_text(f"<body><article><p>Card.</article><div>{LONG}</div></body>").split("\n\n") == ["Card.", main_text(LONG)]
+
+
 def test_very_long_page():
     blocks = [f"Paragraph {k} has some words in it." for k in range(20_000)]
     assert main_text("<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>") == "\n\n".join(blocks)
