@@ -31,7 +31,7 @@ INLINE = frozenset(
 )
 #: Elements whose text never belongs to the article.
 DROPPED = frozenset(
-    "head title script style noscript template nav header footer aside form button select option textarea input dialog iframe object svg canvas audio video map menu".split()
+    "head title script style noscript template nav header footer aside button select option textarea input dialog iframe object svg canvas audio video map menu".split()
 )
 #: An end tag is implied for these when one of the same list opens.
 CLOSES = {
@@ -43,14 +43,25 @@ CLOSES = {
     "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]),
 }
-#: Words in class, id or role that mark menus, adverts, notices, sidebars, forms and reader comments.
+#: Words in class, id or role that mark menus, adverts, notices, sidebars and reader comments.
 MARKED = frozenset(
-    """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion
-    nav navbar navigation menu submenu breadcrumb breadcrumbs pager pagination header masthead footer sidebar aside rail widget widgets
-    comment comments commentlist discussion replies disqus cookie cookies consent notice notices alert gdpr popup modal overlay
-    newsletter subscribe subscription signup login form search share sharing social related recommended recommendations
-    complementary contentinfo skip toolbar""".split()
+    """ad ads advert adverts advertisement advertising adsense sponsored promo promoted
+    nav navbar navigation submenu breadcrumb breadcrumbs pager pagination footer sidebar
+    comment comments commentlist disqus cookie cookies consent gdpr popup modal newsletter subscribe signup complementary contentinfo""".split()
 )
+#: Words that mark the same, but also stand for topics and parts of articles.
+WEAK = frozenset(
+    """banner sponsor promotion menu header masthead aside rail widget widgets discussion replies notice notices alert overlay
+    subscription login form search share sharing social related recommended recommendations skip toolbar""".split()
+)
+#: Words that stand beside weak ones in names of parts of a page.
+PARTS = frozenset("area bar block box button buttons container icon icons inner item items left link links list module outer panel posts right section stories top wrap wrapper".split())
+#: Words that make a name one of the page's layout, as has-sidebar, and those that do so at its end, as form-page.
+LAYOUT, LAYOUT_END = frozenset("has with without no".split()), frozenset("page layout template theme enabled".split())
+#: Words of marks that never wrap the article.
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+#: Lists and such, which an id may mark besides containers.
+GROUPS = frozenset("ul ol dl table fieldset form".split())
 #: Elements that can be the region; paragraphs, headings, lists and tables are parts of one.
 CONTAINERS = frozenset("html body main article section div center td".split())
 #: Headings and their ranks.
@@ -63,6 +74,28 @@ _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _OPEN_TAG = re.compile(r"<[!/?a-zA-Z]")
 
 
+def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """How names mark an element: form, comments, strong, weak, weak-id, or '' if they don't."""
+    if tag == "form":
+        return "form"
+    if tag in _WIDE:
+        return ""
+    found = set()
+    for k, v in attrs:
+        if not v or k not in ("class", "id", "role") or (k == "id" and tag in HEADINGS):
+            continue
+        for token in v.split():
+            in_order = [w.lower() for w in _NAME.findall(token)]
+            words = set(in_order)
+            if not words.isdisjoint(LAYOUT) or LAYOUT_END.issuperset(in_order[-1:]):
+                continue
+            if not words.isdisjoint(MARKED):
+                found.add("strong" if words.isdisjoint(COMMENTS) else "comments")
+            elif not words.isdisjoint(WEAK) and words <= WEAK | PARTS and (k != "id" or tag in CONTAINERS or tag in GROUPS):
+                found.add("weak-id" if k == "id" else "weak")
+    return next((kind for kind in ("comments", "strong", "weak", "weak-id") if kind in found), "")
+
+
 @dataclass
 class Line:
     """One block of text: its place in the tree, the tags before it, whether boilerplate holds it, its links and its rank."""
@@ -92,6 +125,7 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
+        self.marks: dict[int, str] = {}  # kind of mark by number
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't needed
@@ -129,13 +163,16 @@ class Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        words = {w.lower() for k, v in attrs if v and k in ("class", "id", "role") for w in _NAME.findall(v)}
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        out = tag in DROPPED or hidden or (tag not in _WIDE and not MARKED.isdisjoint(words))
+        kind = mark_of(tag, attrs)
+        # an inline element is a small part of its line; in headings and code, names mean other things
+        out = tag in DROPPED or hidden or (not block and kind in ("strong", "comments") and not any(name in HEADINGS or name in ("pre", "code") for name, _, _ in self.stack))
         number = -1
         if block:
             number = len(self.names)
             self.names.append(tag)
+            if kind:
+                self.marks[number] = kind
         elif out:
             self._flush()
         self.stack.append((tag, number, out))
@@ -204,6 +241,66 @@ def content_lines(lines: list[Line], sigma: float = 1.0) -> list[bool]:
     return [r >= cut for r in ratios]
 
 
+def unmarked(parser: Lines, lines: list[Line], sigma: float, share: float) -> list[Line]:
+    """``lines`` without those of marked elements that are boilerplate by their content too.
+
+    Outer elements are judged first. An element that holds half of the page's text, and
+    ``share`` of it and what no mark holds, is a wrapper of the article and stays, unless
+    an article or main lies outside all marks, or comments mark it and any other text is left.
+    A form without prose is none. Of the others strong marks, comments and forms go. Weak ones
+    go if they are mainly links or have no content line, or, unless an id alone marks them, hold
+    less than 1 - ``share`` of the content; those that an id alone marks stay if they have a heading.
+    """
+    spans: dict[int, list[int]] = {}
+    for k, x in enumerate(lines):
+        for n in x.path:
+            if n in parser.marks:
+                spans.setdefault(n, [k, k])[1] = k + 1
+    if not spans:
+        return lines
+    live = set(spans)
+    free: list[Line] = []
+
+    def outside() -> None:
+        free[:] = [x for x in lines if live.isdisjoint(x.path)]
+
+    outside()
+    total = sum(len(x.text) for x in lines)
+    content = content_lines(lines, sigma) if any(parser.marks[n].startswith("weak") for n in spans) else []
+    weight = sum(len(x.text) for x, c in zip(lines, content, strict=False) if c)
+    out = bytearray(len(lines))
+    for n in sorted(spans):
+        lo, hi = spans[n]
+        if out[lo]:
+            continue  # inside one that goes
+        kind, own = parser.marks[n], lines[lo:hi]
+        size = sum(len(x.text) for x in own)
+        if kind.startswith("weak"):
+            held = sum(len(x.text) for x, c in zip(own, content[lo:hi], strict=True) if c)
+            links = 2 * sum(x.linked for x in own) > size
+            go = links or not held or held < (1 - share) * weight
+            if kind == "weak-id":
+                go = links or (not held and not any(x.rank for x in own))
+        else:
+            go = 2 * size < total
+            if not go:
+                live.discard(n)
+                outside()
+                rest = [x for x in free if n not in x.path]
+                left = sum(len(x.text) for x in rest)
+                go = size < share * (size + left) or any(parser.names[m] in ("article", "main") for x in rest for m in x.path)
+                go = go or (kind == "comments" and left > 0)
+                go = go or (kind == "form" and not any(x.rank or len(x.text.split()) >= PROSE for x in own))
+        if go:
+            out[lo:hi] = b"\1" * (hi - lo)
+            live.add(n)
+        else:
+            live.discard(n)
+        if 2 * size >= total:
+            outside()
+    return [x for x, o in zip(lines, out, strict=True) if not o]
+
+
 def region(lines: list[Line], content: list[bool], names: list[str]) -> list[Line]:
     """The lines of the article, given which lines are content and the element names by number."""
     # a few very long lines raise the threshold above short paragraphs, so prose counts as well
@@ -225,7 +322,7 @@ def region(lines: list[Line], content: list[bool], names: list[str]) -> list[Lin
     return [x for x in lines if whole is None or whole in x.path]
 
 
-def main_text(html: str | None, sigma: float = 1.0) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     """The article of one page; blocks in page order joined by an empty line. Null and empty pages give ''."""
     if not html:
         return ""
@@ -233,7 +330,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     last = html.rfind("<")
     cut = last > html.rfind(">") and _OPEN_TAG.match(html, last)
     parser.feed(html[:last] if cut else html)  # a tag that the end of the page cuts off is no text
-    lines = [x for x in parser.finish() if not x.dropped]
+    lines = unmarked(parser, [x for x in parser.finish() if not x.dropped], sigma, share)
     return "\n\n".join(x.text for x in region(lines, content_lines(lines, sigma), parser.names))
 
 

@@ -59,6 +59,26 @@ def test_short_article_and_lines_around():
     assert main_text(f"<body><article><p>Card.</article><div>{LONG}</div></body>").split("\n\n") == ["Card.", main_text(LONG)]
 
 
+@pytest.mark.parametrize("page", [
+    '<article>{a}<section id="discussion"><h2>D</h2>{b}</section></article>', '<article>{a}<h2 id="related-work">D</h2>{b}</article>', '<article>{a}<h2 id="search">D</h2>{b}</article>',
+    '<div class="content has-sidebar">{a}<h2>D</h2>{b}</div>', '<div class="form-page">{a}<h2>D</h2>{b}</div>', '<div class="sidebar-right">{a}<h2>D</h2>{b}</div><footer>end</footer>',
+    "<form><input>{a}<h2>D</h2>{b}<select><option>o</select></form>", '<form><article>{a}<h2>D</h2>{b}</article><div class="sidebar">{b}{a}</div></form>',
+    '<div class="form-page"><div>{a}<h2>D</h2>{b}</div><div id="comments">{a}{a}{a}</div></div>', '<article>{a}<section id="search"><h2>D</h2><p>{b}</section></article>',
+])
+def test_marked_words_alone_drop_nothing(page):
+    assert main_text(page.format(a=LONG, b=f"<p>{LAST}</p>")).split("\n\n") == [main_text(LONG), "D", LAST.strip()]
+
+
+@pytest.mark.parametrize("extra", [
+    '<div class="ad">{b}</div>', '<div id="comments"><article class="comment">{a}{a}{a}</article></div>', '<div class="related-posts"><ul><li><a href=x>{b}</a></ul></div>', '<div class="sidebar">{b}</div>',
+    '<div class="page-sidebar">{b}</div>', '<div id="search"><form>{b}<input></form></div>', '<div class="social share"><a href=x>one</a><a href=y>two</a></div>', '<div class="notice">{c}</div>', "<form>{b}</form>", '<p><span class="ad">Buy now</span></p>',
+])
+def test_marked_boilerplate_goes(extra):
+    page = "<body><div>{a}{a}{a}{a}</div>" + extra + "</body>"
+    assert main_text(page.format(a=LONG, b=f"<p>{LAST}</p>", c="<p>This site is moving, and some of its links fail until then.</p>")).split("\n\n") == [main_text(LONG)] * 4
+    assert main_text("<form>Name <input><button>Go</button></form>") == ""
+
+
 def test_very_long_page():
     blocks = [f"Paragraph {k} has some words in it." for k in range(20_000)]
     assert main_text("<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>") == "\n\n".join(blocks)
