@@ -64,6 +64,8 @@ COMMENTS = frozenset("comment comments commentlist disqus".split())
 GROUPS = frozenset("ul ol dl table fieldset form".split())
 #: Elements that can be the region; paragraphs, headings, lists and tables are parts of one.
 CONTAINERS = frozenset("html body main article section div center td".split())
+#: Elements that may stand in a head; any other ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Headings and their ranks.
 HEADINGS = {f"h{k}": k for k in range(1, 7)}
 #: Words from which on a line that isn't mainly links is content whatever its ratio.
@@ -145,7 +147,17 @@ class Lines(HTMLParser):
     def _pop(self, depth: int) -> None:
         del self.stack[depth:]
 
+    def _end_head(self, tag: str) -> None:
+        """The end tag of head is optional: ``tag`` ('' for text) ends an open one that it may not stand in."""
+        names = [name for name, _, _ in self.stack]
+        if "head" in names and tag not in IN_HEAD:
+            k = names.index("head")
+            if k == len(names) - 1 or (tag == "body" and "template" not in names[k:]):
+                self._flush()
+                self._pop(k)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._end_head(tag)
         self.tags += 1
         block = tag not in INLINE
         if tag == "br":
@@ -197,6 +209,8 @@ class Lines(HTMLParser):
             self._flush()
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._end_head("")
         self.parts.append(data)
         if any(name == "a" for name, _, _ in self.stack):
             self.linked += len("".join(data.split()))

@@ -27,6 +27,8 @@ def test_article_alone():
         ("<article>a &lt;b&gt; &#233;&nbsp;c</article>", "a <b> é c"),
         ("<article><p>cut &am", "cut &am"), ("<article><p>cut <a hr", "cut"), ("<article>x<!-- y -->z</article>", "xz"),
         ("<nav>menu</nav>", ""), ("<p>a</div></p><p>b</p>", "a\n\nb"), ("< 3 and 4 > 2", "< 3 and 4 > 2"),
+        ("<html><head><title>T</title><body><p>text</p>", "text"), ("<head><title>T</title>\n<p>text</p>", "text"), ("<head><meta name=a> text", "text"), ("<head><a href=x>text</a> too", "text too"),
+        ("<head><noscript><p>n</p></noscript><style>s</style><title>T</title></head><body>text", "text"), ("<head><template><p>n</p></template><body><p>text", "text"), ("<head><noscript><p>n<body><p>text", "text"),
     ],
 )
 def test_odd_pages(html, text):
