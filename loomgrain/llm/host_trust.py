@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .common import materialise
 
 #: Rules become literals of the plan, so their number is bounded.
 MAX_RULES = 2000
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^\s"'<>]+)"""
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]+)"""
 
 
 @dataclass(frozen=True)
@@ -63,18 +64,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     Links are combined before the shuffle, so a host that has a third of all
     links is one row for each partner and task.
     """
-    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), 1), host_of))
+    whole = lambda u: F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)  # noqa: E731  no scheme: the page's own
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), 1), lambda u: host_of(whole(u))))
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
     return links.where("dst <> src AND dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, cut_every: int = 4, tolerance: float = 1e-6) -> DataFrame:
     """(host, rank): rank spread from ``seeds`` (host, seed >= 0) over ``edges`` (src, dst, weight).
 
     Each round sends ``damping`` of a host's rank along its edges by weight and
     returns the rest to the seeds; rank of hosts without edges ends there. The
-    rounds are few joins and groupings; every ``cut_every`` rounds the ranks are
-    written out, which cuts the lineage. Hosts that no seed reaches have no row.
+    rounds are joins and groupings; every ``cut_every`` rounds the ranks are
+    written out, which cuts the lineage. They end after ``rounds``, or, if that is
+    None, when since the last writing no host is new and none's rank changed by more
+    than ``tolerance`` of itself, so that the summed change is at most ``tolerance``.
+    Hosts that no seed reaches have no row.
     """
     total = seeds.agg(F.sum("seed")).first()[0]
     if not total:
@@ -82,17 +87,22 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     start = seeds.where("seed > 0").select("host", (F.col("seed") / total).alias("seed"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("of"))
     flow = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("of")).alias("part")), "host-flow")
-    rank = start.select("host", F.col("seed").alias("rank"))
-    for k in range(1, rounds + 1):
+    rank = written = start.select("host", F.col("seed").alias("rank"))
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         sent = flow.join(rank, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("part")).alias("rank"))
         back = start.select("host", (F.lit(1 - damping) * F.col("seed")).alias("rank"))
         rank = sent.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % cut_every == 0 and k < rounds:
+        if k % cut_every == 0 and k != rounds:
             rank = materialise(rank, "host-rank")
+            if rounds is None:
+                moved = F.abs(F.col("rank") - F.coalesce("before", F.lit(0.0))) > tolerance * F.col("rank")
+                if rank.join(written.withColumnRenamed("rank", "before"), "host", "left").where(moved).isEmpty():
+                    break
+                written = rank
     return rank
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], block_share: float = 0.5, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], block_share: float = 0.5, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of each row of ``pages`` (page_id, url, html).
 
     Seeds are hosts of which rules decide over half the pages: they are trusted by

@@ -69,3 +69,17 @@ def test_verdicts_follow_links(spark):
     assert {r.verdict for r in judge_urls(df, [Rule("block", "nowhere.example")]).collect()} == {"allow"}
     edges = host_edges(df.select(host_of(F.col("url")).alias("host"), "html"))
     assert {(r.src, r.dst, r.weight) for r in edges.collect()} == {("good.org", "friend.com", 1.0), ("friend.com", "friend2.com", 1.0), ("farm.com", "spam.net", 1.0), ("farm2.com", "farm.com", 1.0), ("friend.com", "farm2.com", 1.0)}
+
+
+def test_far_hosts_and_links_without_scheme(spark):
+    chain = [f"h{k}.com" for k in range(20)]
+    pages = [(k, f"http://{h}/", f'<a href="//{(chain + ["spam.net"])[k + 1]}/">t</a>') for k, h in enumerate(chain)] + [(99, "http://spam.net/", None)]
+    got = judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()
+    assert {r.verdict for r in got} == {"block"}
+    assert {r.page_id: r.distrust for r in got} == pytest.approx({99: 0.15} | {k: 0.15 * 0.85 ** (20 - k) for k in range(20)})
+
+
+def test_ranks_converge(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    got = personalised_pagerank(edges, spark.createDataFrame([("a", 1.0)], "host string, seed double"), damping=0.5)
+    assert {r.host: r.rank for r in got.collect()} == pytest.approx({"a": 2 / 3, "b": 1 / 3}, rel=1e-5)
