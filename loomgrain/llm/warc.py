@@ -3,9 +3,10 @@
 The writer puts one gzip member a record into archives in the shared folder; each
 task writes its own files and returns their names, and only names that a finished
 task returned are read. The reader checks every record (gzip checksum, lengths,
-digests). After a failed check it searches for the next gzip member that starts
-with a version line, or the next version line of a plain archive, goes on from
-there and reports the bytes between as a quarantined gap.
+digests), also where a gzip member has several. After a failed check it searches
+for the next gzip member that starts with a version line and for the next version
+line of a plain record, goes on from whichever comes first and reports the bytes
+between as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -84,10 +85,9 @@ class Record:
         return self.fields.get("warc-payload-digest", "").removeprefix("sha1:")
 
 
-def parse_record(data: bytes | memoryview, at: int = 0) -> Record:
+def parse_record(data: bytes, at: int = 0) -> Record:
     """The record that starts at ``at``; ValueError says which check failed."""
-    data = bytes(data[at:]) if at else bytes(data)
-    version = _VERSION_LINE.match(data)
+    version = _VERSION_LINE.match(data, at)
     if not version:
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n", version.end() - 2)
@@ -109,7 +109,7 @@ def parse_record(data: bytes | memoryview, at: int = 0) -> Record:
         if want and want != f"sha1:{base32_sha1(payload)}":
             raise ValueError("payload digest does not fit")
         full = len(payload)
-    return Record(fields, payload, full, start + size + 4)
+    return Record(fields, payload, full, start + size + 4 - at)
 
 
 def _member(data: memoryview, at: int) -> tuple[bytes, int]:
@@ -124,12 +124,9 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     return out, len(data) - at - len(engine.unused_data)
 
 
-def _next_start(data: bytes, at: int, gz: bool) -> int:
-    """Where the next record may start, at or after ``at``; the end of the data if none does."""
-    if not gz:
-        found = _VERSION_LINE.search(data, at)
-        return found.start() if found else len(data)
-    while (at := data.find(MAGIC, at)) >= 0:
+def _next_member(data: bytes, at: int, end: int) -> int:
+    """Where the next gzip member of records may start, at or after ``at``; ``end`` if none does before it."""
+    while 0 <= (at := data.find(MAGIC, at)) < end:
         try:
             # enough to see the version line; the whole member is checked when it is read
             if _VERSION_LINE.match(zlib.decompressobj(31).decompress(data[at : at + 4096], 16)):
@@ -137,38 +134,62 @@ def _next_start(data: bytes, at: int, gz: bool) -> int:
         except zlib.error:
             pass
         at += 1
-    return len(data)
+    return end
+
+
+def _inside(raw: bytes) -> list[Record | str]:
+    """The records of one gzip member, with a reason for each gap between them; ValueError if none is good."""
+    out: list[Record | str] = []
+    at, good = 0, False
+    while at < len(raw):
+        try:
+            record = parse_record(raw, at)
+        except ValueError as e:
+            if not out or not isinstance(out[-1], str):
+                out.append(str(e))
+            found = _VERSION_LINE.search(raw, at + 1)
+            at = found.start() if found else len(raw)
+            continue
+        out.append(record)
+        at += record.size
+        good = True
+    if not good:
+        raise ValueError(out[0] if out else "no version line")
+    return out
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
     """(offset, length, record) of each good record and (offset, length, reason) of each quarantined gap.
 
     Offsets and lengths are bytes of the archive as stored; together they cover all of it.
+    Of several records or gaps inside one gzip member the last has its length and the others have 0.
     """
-    gz = data[:2] == MAGIC[:2] or (not _VERSION_LINE.match(data) and data.find(MAGIC) >= 0)
     view, at = memoryview(data), 0
     bad_from, reason = -1, ""
+    line = -1  # the next version line of a plain record, as far as it was searched
     while at < len(data):
         try:
-            if gz:
-                if data[at : at + 3] != MAGIC:
-                    raise ValueError("no gzip member")
+            if data[at : at + 3] == MAGIC:
                 raw, size = _member(view[: at + (1 << 31)], at)
-                record = parse_record(raw)
-                if record.size != len(raw):
-                    raise ValueError("length does not fit")
+                found = _inside(raw)
+            elif not _VERSION_LINE.match(data, at):
+                raise ValueError("no gzip member" if data[:2] == MAGIC[:2] else "no version line")
             else:
-                record = parse_record(view, at)
-                size = record.size
+                found = [parse_record(data, at)]
+                size = found[0].size
         except ValueError as e:
             if bad_from < 0:
                 bad_from, reason = at, str(e)
-            at = _next_start(data, at + 1, gz)
+            if line <= at:
+                m = _VERSION_LINE.search(data, at + 1)
+                line = m.start() if m else len(data)
+            at = _next_member(data, at + 1, line)
             continue
         if bad_from >= 0:
             yield bad_from, at - bad_from, reason
             bad_from = -1
-        yield at, size, record
+        for k, x in enumerate(found, 1):
+            yield at, size if k == len(found) else 0, x
         at += size
     if bad_from >= 0:
         yield bad_from, len(data) - bad_from, reason

@@ -60,6 +60,24 @@ def test_salvage_plain():
     assert list(warc.salvage(b"")) == [] and ids(b"nothing here") == ["no version line"]
 
 
+def test_salvage_plain_with_gzip_bodies():
+    own = [warc.build_record(k, "u", warc.MAGIC + b"body" * 9, "response", None, "d") for k in range(3)]
+    data = b"X" + b"".join(own)[1:]
+    assert ids(data) == ["no version line", "<urn:page:1>", "<urn:page:2>"]
+    covered(data)
+
+
+def test_salvage_member_of_several_records():
+    own = [gzip.decompress(m) for m in members()]
+    data = gzip.compress(b"".join(own)) + own[0]
+    assert ids(data) == [f"<urn:page:{k}>" for k in (0, 1, 2, 3, 0)]
+    covered(data)
+    own[1] = own[1].replace(b"payload 1", b"PAYLOAD 1", 1)
+    data = gzip.compress(b"".join(own))
+    assert ids(data) == ["<urn:page:0>", "payload digest does not fit" if b"Block-Digest" not in own[1] else "block digest does not fit", "<urn:page:2>", "<urn:page:3>"]
+    covered(data)
+
+
 def test_table(spark):
     rows = [(1, "u", "same"), (3, None, "same"), (3, "u", "same"), (2, "u", None), (4, "u", ""), (None, "u", "x"), (None, "u", "same"), (5, "u", "é" * 50_000)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload string")
