@@ -92,6 +92,24 @@ def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """A written copy of ``df`` and the name of the column in it that tells its rows apart.
+
+    Stages that drop rows decide by this number, so that null and repeated
+    identifiers and rows that are equal in every column are no obstacle.
+    """
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), tag), name
+
+
+def without(df: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """``df`` (as ``numbered`` made it) without the rows whose numbers are in the one column of ``dropped``."""
+    gone = dropped.toDF("_gone")
+    return df.join(gone, df[row] == gone["_gone"], "left_anti").drop(row)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder so far."""
     fs, path = _filesystem(spark, scratch_root(spark))

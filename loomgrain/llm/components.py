@@ -18,8 +18,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: each joins every node's links
     with the smallest of its neighbours, so the number of links never grows, and
     the rounds grow with the logarithm of the longest path. Each round is a
-    written table. Links of a node to itself and repeated links change nothing;
-    nulls are not nodes.
+    written table, and so are the smallest neighbours that it is joined with, so
+    that both sides of these joins are dealt anew and a hub's links can be split.
+    Links of a node to itself and repeated links change nothing; nulls are not nodes.
     """
     edges = materialise(
         links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -31,10 +32,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour is linked to the smallest one
         around = _both_ways(edges)
         least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        least = materialise(least, "large-star-least")
         larger = around.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(larger.distinct(), "large-star")
         # small star: the smaller neighbours and the node itself are linked to the smallest one
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "small-star-least")
         smaller = large.join(least, F.col("a") == F.col("n"))
         new = materialise(
             smaller.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered, without
 
 #: Letters A-Z to lower case; letters, digits and all bytes beyond ASCII stay; the rest parts words.
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -172,6 +172,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, m
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; a document is a doc_id, its rows that match decide."""
-    bad = materialise(find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """``docs`` without the rows that hold a benchmark item; rows decide, so null and repeated doc_ids don't matter."""
+    own, row = numbered(docs, "leak-rows")
+    found = find_leaks(own.select(F.col(row).alias("doc_id"), "text"), benchmark, similarity)
+    return without(own, row, materialise(found.select("doc_id").distinct(), "leaks"))

@@ -11,6 +11,9 @@ A bucket of a table holds the fingerprints that agree on its mask. Inside one, a
 task compares bits and emits a spanning forest of the links, never all pairs.
 Buckets beyond ``bucket_rows`` are split again by covering masks over the bits
 that are still free, down to buckets whose size the free bits bound.
+
+``near_duplicates`` returns the components of these links. ``drop_near_duplicates``
+takes them as candidates only and compares the texts' shingles.
 """
 
 from __future__ import annotations
@@ -21,32 +24,53 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered, without
 from .components import components
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of one text (UTF-8); null, empty and blank texts give zero."""
+def _shingle_hashes(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words count as one shingle, no words give none."""
     words = (text or b"").lower().split()  # on bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
     flat = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(flat, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    hashes = np.array([digest(flat[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], ">u8")
+    return np.array([digest(flat[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     over = np.zeros(64, np.float64)
     for k in range(0, len(hashes), 65536):  # bounds the memory of very long texts
-        bits = np.unpackbits(hashes[k : k + 65536].view(np.uint8)).reshape(-1, 64).astype(np.float32)
+        bits = np.unpackbits(hashes[k : k + 65536].astype(">u8").view(np.uint8)).reshape(-1, 64).astype(np.float32)
         over += np.ones(len(bits), np.float32) @ bits
     return int.from_bytes(np.packbits(2 * over > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of one text (UTF-8); null, empty and blank texts give zero."""
+    return _majority(_shingle_hashes(text, shingle, seed))
+
+
+def several_fingerprints(text: bytes | None, shingle: int, seed: int, how_many: int) -> list[int]:
+    """``how_many`` fingerprints of one text: the first is ``fingerprint``, the others come from the same hashes, mixed anew each time."""
+    hashes = _shingle_hashes(text, shingle, seed)
+    out = [_majority(hashes)]
+    for k in range(1, how_many):
+        mixed = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # fixed values of a 64-bit mixer
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        out.append(_majority(mixed))
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """id_col and ``fp``, the fingerprint as a signed long, for each row."""
 
@@ -97,38 +121,50 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(fps[k]), int(fps[label[k]])) for k in range(len(fps)) if label[k] != k]
 
 
+def _masks_of(radius: int):
+    """Column function: the covering masks of the bits that ``fixed`` leaves free, each together with ``fixed``."""
+
+    @F.pandas_udf("array<long>")
+    def of(fixed: pd.Series) -> pd.Series:
+        known: dict[int, list[int]] = {}
+        for f in fixed.unique().tolist():
+            free = [p for p in range(64) if not f >> p & 1]
+            known[f] = [_signed(f % (1 << 64) | m) for m in covering_masks(free, radius)]
+        return fixed.map(known)
+
+    return of
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1024) -> DataFrame:
-    """Links (a, b) that connect all fingerprints ``fp`` of ``distinct`` within ``radius`` of each other."""
+    """Links (space, a, b) that connect all fingerprints ``fp`` of one ``space`` of ``distinct`` within ``radius`` of each other.
+
+    Buckets are counted by a grouping, combined before its shuffle, and the counts
+    are joined back, so that no task sees a whole hot bucket before it is split.
+    """
     if bucket_rows < 1 << (radius + 1):
         raise ValueError("bucket_rows is at least 2 ** (radius + 1)")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [x for fps in batch.column(0) for x in spanning_links(np.array(fps.as_py(), np.int64), radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+            pairs = [(s, *x) for s, fps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in spanning_links(np.array(fps.as_py(), np.int64), radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["space", "a", "b"])
 
     out = None
-    level = distinct.select("fp", F.lit(0).cast("long").alias("fixed"))  # fixed: the bits that the bucket's rows share
+    first = F.array(*map(F.lit, map(_signed, covering_masks(list(range(64)), radius))))
+    level = distinct.select("space", "fp", F.explode(first).alias("mask"))
     while True:
-        if out is None:
-            tables = [(0, m) for m in covering_masks(list(range(64)), radius)]
-        else:
-            shared = [r["fixed"] % (1 << 64) for r in level.select("fixed").distinct().collect()]  # at most (2 ** (radius + 1) - 1) ** levels
-            tables = [(f, f | m) for f in shared for m in covering_masks([p for p in range(64) if not f >> p & 1], radius)]
-        deeper = {}
-        for fixed, mask in tables:
-            deeper.setdefault(_signed(fixed), []).append(_signed(mask))
-        masks = F.create_map(*[x for f, ms in deeper.items() for x in (F.lit(f), F.array(*map(F.lit, ms)))])
-        buckets = level.select("fp", F.explode(masks[F.col("fixed")]).alias("mask"))
-        buckets = buckets.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "mask", "fp")
-        sized = buckets.withColumn("n", F.expr("count(*) OVER (PARTITION BY bucket)")).where("n > 1")
-        sized = materialise(sized, "simhash-buckets")
-        small = sized.where(F.col("n") <= bucket_rows).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-        found = small.select("fps").mapInArrow(links, "a long, b long")
+        buckets = level.select(F.xxhash64("space", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "space", "mask", "fp")
+        counts = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-counts")
+        sized = materialise(buckets.join(counts, "bucket"), "simhash-buckets")
+        # a hash that two buckets share only makes one of them larger
+        small = sized.where(F.col("n") <= bucket_rows).groupBy("bucket", "space").agg(F.collect_list("fp").alias("fps"))
+        found = small.select("space", "fps").mapInArrow(links, "space int, a long, b long")
         out = found if out is None else out.unionByName(found)
-        level = sized.where(F.col("n") > bucket_rows).select("fp", F.col("mask").alias("fixed"))
-        if level.isEmpty():
+        large = sized.where(F.col("n") > bucket_rows)
+        if large.isEmpty():
             return out
+        # the bits that a bucket's rows share are fixed; the next tables cover the others
+        level = large.select("space", "fp", F.explode(_masks_of(radius)("mask")).alias("mask"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, bucket_rows: int = 1024) -> DataFrame:
@@ -143,7 +179,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     """
     own = materialise(fingerprints(docs, shingle=shingle, seed=seed), "fingerprints")
     groups = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(fingerprint_links(groups.select("fp"), radius, bucket_rows))
+    joined = components(fingerprint_links(groups.select(F.lit(0).alias("space"), "fp"), radius, bucket_rows))
     labelled = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     # written out, so that the join deals the fingerprints anew and a hot component can be split
     least = materialise(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-components")
@@ -152,13 +188,114 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return own.join(of, "fp").select("doc_id", text, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` with one row for each component: that of the smallest doc_id.
+def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; fewer words than a shingle count as one, and none as the empty one."""
+    words = text.lower().split()
+    grams = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``similarity``."""
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def _lead(table: pa.Table, shingle: int, similarity: float) -> pa.Table:
+    """The rows of one block that are settled: (uid, leader). A row whose ``place`` is positive may lead; the others may follow."""
+    uids, places, bodies = table.column("uid").to_pylist(), table.column("place").to_pylist(), table.column("body")
+    salt = table.column("salt")[0].as_py()
+    leaders: list[tuple[int, np.ndarray]] = []
+    settled: list[tuple[int, int]] = []
+    for k in sorted(range(len(uids)), key=lambda k: (not places[k], places[k], uids[k])):
+        own = _shingle_set(bodies[k].as_py(), shingle)
+        leader = next((u for u, s in leaders if alike(s, own, similarity)), None)
+        if leader is None and places[k]:
+            leader = uids[k]
+            leaders.append((leader, own))
+        if leader is not None and (salt == 0 or not places[k]):
+            settled.append((uids[k], leader))
+    return pa.table({"uid": pa.array([x[0] for x in settled], pa.int64()), "leader": pa.array([x[1] for x in settled], pa.int64())})
+
+
+def similar_groups(
+    rows: DataFrame,
+    similarity: float = 0.8,
+    shingle: int = 5,
+    radius: int = 5,
+    fingerprints: int = 4,
+    link_shingle: int = 2,
+    seed: int = 42,
+    bucket_rows: int = 1024,
+    block_rows: int = 512,
+    block_bytes: int = 16 << 20,
+) -> DataFrame:
+    """(uid, leader) of the rows of ``rows`` (uid, id, text) that have a near copy; leader is the uid of the row that stands for them.
+
+    Candidates are rows that links of covering LSH connect: in some of the several
+    fingerprints of a text they differ in at most ``radius`` bits. These are of
+    shingles of ``link_shingle`` words, because an edit changes fewer of these, so
+    that similar texts are within a small radius. The decision is exact: the
+    Jaccard similarity of the sets of ``shingle``-word shingles. Among connected
+    rows, in the order of id (nulls last), text and uid, a row leads if no leader
+    before it is similar, else it follows the first that is. So each follower is
+    similar to its leader, and no two leaders that are connected are similar.
+
+    Rows meet the next 16 to 64 possible leaders in blocks of a bounded size; rows
+    without a similar one go to the next round, so no group is gathered in one task. ``uid`` tells
+    rows apart; a null text counts as empty; an empty table gives no rows.
+    """
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.array(several_fingerprints(t, link_shingle, seed, fingerprints), np.uint64).view(np.int64))
+
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    own = materialise(rows.select("uid", F.posexplode(of(body)).alias("space", "fp")), "near-fingerprints")
+    firsts = materialise(own.groupBy("space", "fp").agg(F.min("uid").alias("first")), "near-firsts")
+    links = fingerprint_links(firsts.select("space", "fp"), radius, bucket_rows)
+    for end in ("a", "b"):  # from fingerprints to the first rows that have them
+        links = links.join(firsts.toDF("space", end, f"row_{end}"), ["space", end])
+    within = own.join(firsts, ["space", "fp"]).where("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b"))
+    links = links.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).unionByName(within)
+    found = components(links).select(F.col("node").alias("uid"), "component")
+    order = [F.col("id").isNull(), F.col("id"), F.col("sha"), F.col("uid")]
+    members = rows.select("uid", "id", body.alias("body"), F.sha2(body, 256).alias("sha")).join(found, "uid")
+    open_rows = materialise(members, "near-members")
+
+    out, candidates = None, 16
+    while True:
+        place = F.row_number().over(Window.partitionBy("component").orderBy(*order))
+        first = open_rows.select("component", "id", "sha", "uid").withColumn("place", place).where(F.col("place") <= candidates)
+        first = materialise(first.select(F.col("uid").alias("_uid"), "place"), "near-candidates")
+        placed = materialise(open_rows.join(first, F.col("uid") == F.col("_uid"), "left").drop("_uid"), "near-placed")
+        sums = placed.where("place IS NULL").groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes"))
+        blocks = F.ceil(F.greatest(F.col("n") / block_rows, F.col("bytes") / block_bytes)).cast("long")
+        sums = materialise(sums.select(F.col("component").alias("_of"), blocks.alias("blocks")), "near-blocks")
+        dealt = placed.join(sums, F.col("component") == F.col("_of"), "left")
+        spread = F.sequence(F.lit(0).cast("long"), F.greatest(F.coalesce("blocks", F.lit(1)), F.lit(1)) - 1)
+        salts = F.when(F.col("place").isNotNull(), spread).otherwise(F.array(F.pmod(F.xxhash64("uid"), F.col("blocks"))))
+        cells = dealt.select("component", F.explode(salts).alias("salt"), "uid", F.coalesce("place", F.lit(0)).alias("place"), "body")
+        settled = cells.groupBy("component", "salt").applyInArrow(lambda t: _lead(t, shingle, similarity), "uid long, leader long")
+        settled = materialise(settled, "near-settled")
+        out = settled if out is None else out.unionByName(settled)
+        rest = open_rows.join(settled.select(F.col("uid").alias("_uid")), F.col("uid") == F.col("_uid"), "left_anti")
+        open_rows = materialise(rest, "near-members")
+        if open_rows.isEmpty():
+            return out
+        candidates = min(2 * candidates, 64)
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
+    """``docs`` with one row for each group of ``similar_groups``, the one that leads it; rows without near copies stay.
 
-    Rows with a null doc_id go if their component has an identifier, and else
-    stay. Rows that repeat the smallest doc_id all stay if they are in its component.
+    Rows decide, not identifiers: a row with a null or repeated doc_id goes only
+    if a row that stays is similar to it. Of rows equal in every column one stays.
+    A null text counts as empty; other columns may have any names.
     """
-    found = near_duplicates(docs, radius)
-    drop = found.where("doc_id IS NULL OR doc_id <> component_id").where("component_id IS NOT NULL")
-    drop = materialise(drop.select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]), "left_anti")
+    own, row = numbered(docs, "near-rows")
+    found = similar_groups(own.select(F.col(row).alias("uid"), F.col("doc_id").alias("id"), "text"), similarity, **options)
+    return without(own, row, materialise(found.where("uid <> leader").select("uid"), "near-copies"))

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -6,7 +7,7 @@ import pytest
 import xxhash
 from test_dedup import brute_components
 
-from loomgrain.llm.simhash import covering_masks, drop_near_duplicates, fingerprint, fingerprint_links, near_duplicates, spanning_links
+from loomgrain.llm.simhash import covering_masks, drop_near_duplicates, fingerprint, fingerprint_links, near_duplicates, several_fingerprints, spanning_links
 
 
 def plain_fingerprint(text):
@@ -26,6 +27,13 @@ def test_fingerprint(text):
     assert fingerprint(None if text is None else text.encode()) == plain_fingerprint(text)
 
 
+def test_several_fingerprints():
+    text = b"a b c d e f g h " * 40
+    own = several_fingerprints(text, 2, 42, 4)
+    assert own[0] == fingerprint(text, 2, 42) and len(set(own)) == 4 and several_fingerprints(b"", 2, 42, 4) == [0] * 4
+    assert all(16 < (a ^ b).bit_count() < 48 for a, b in itertools.combinations(own, 2))
+
+
 def test_spark_hashes_alike(spark):
     from pyspark.sql import functions as F
 
@@ -77,7 +85,7 @@ def test_links_equal_brute_force(spark, bucket_rows):
     dense = {base ^ sum(1 << b for b in rng.sample(range(16), rng.randint(0, 6))) for _ in range(300)}  # buckets that must be split
     fps = sorted(set(clustered(rng, 12, 14)) | dense)
     signed = [f - 2**64 if f >> 63 else f for f in fps]
-    got = fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4, bucket_rows).collect()
+    got = fingerprint_links(spark.createDataFrame([(0, f) for f in signed], "space int, fp long"), 4, bucket_rows).collect()
     links = [(r.a % 2**64, r.b % 2**64) for r in got]
     assert same_partition(components_of(links, fps), components_of(near_pairs(fps, 4), fps))
 
@@ -108,6 +116,78 @@ def test_table(spark):
         if i is not None:
             least[comp[fp[t]]] = min(i, least.get(comp[fp[t]], i))
     assert sorted((r.doc_id or -1, r.component_id) for r in got) == sorted((i or -1, least[comp[fp[t]]]) for i, t in rows)
-    left = sorted(r.doc_id for r in drop_near_duplicates(df).collect())
-    assert left == sorted(least.values())
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def shingles(text, size=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1)))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def texts_with_copies(rng, groups=40):
+    """Texts and edited copies of them on both sides of the similarity of 0.8, null and repeated identifiers among them."""
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(groups):
+        text = rng.choices(words, k=rng.choice([3, 8, 60, 200, 400]))
+        rows.append((10 * k, " ".join(text)))
+        for j in range(rng.randint(0, 5)):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), round(rng.choice([0, 0.005, 0.01, 0.02, 0.05]) * len(copy))):
+                copy[at] = "edited"
+            rows.append((10 * k + 1 + j, " ".join(copy).upper() + " "))
+    return rows
+
+
+def plain_leaders(rows, radius=5, how_many=4):
+    """Rows that stay, by loops: connected rows in order, each leads unless a leader before it is similar."""
+    fps = [several_fingerprints((t or "").encode(), 2, 42, how_many) for _, t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if any((x ^ y).bit_count() <= radius for x, y in zip(fps[a], fps[b]))]
+    found = brute_components(links)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, hashlib.sha256((rows[k][1] or "").encode()).hexdigest(), k))
+    own = [shingles(t) for _, t in rows]
+    leaders = {}
+    for k in order:
+        before = leaders.setdefault(found.get(k, k), [])
+        if not any(jaccard(own[k], own[j]) >= 0.8 for j in before):
+            before.append(k)
+    return sorted(k for x in leaders.values() for k in x)
+
+
+@pytest.mark.parametrize("block_rows", [3, 512])
+def test_drop_near_duplicates(spark, block_rows):
+    rng = random.Random(5)
+    rows = texts_with_copies(rng)
+    rows += [(None, rows[0][1]), (None, "alone without a number"), (None, "alone without a number"), (1, "an unlike text of number one"), (None, None), (7000, ""), (7000, " "), (9, "x " * 30_000)]
+    df = spark.createDataFrame([(i, t, "z", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row string, k int")
+    left = drop_near_duplicates(df, block_rows=block_rows)
+    assert left.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    want = [rows[k] for k in plain_leaders(rows)]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+    assert (1, "an unlike text of number one") in kept and kept.count((None, "alone without a number")) == 1
+    own = [shingles(t) for _, t in kept]
+    assert all(any(jaccard(shingles(t), s) >= 0.8 for s in own) for _, t in rows)  # no text is lost
+    alike = [(a, b) for a, b in itertools.combinations(range(len(kept)), 2) if jaccard(own[a], own[b]) >= 0.8]
+    pairs = sum(jaccard(shingles(a[1]), shingles(b[1])) >= 0.8 for a, b in itertools.combinations(rows, 2))
+    assert len(alike) <= 0.05 * pairs
+    assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_hot_group_takes_several_rounds(spark):
+    """One component with more leaders than a round tries, and many copies of each."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(300)]
+    texts = []
+    for k in range(40):
+        own = list(common)
+        for at in rng.sample(range(300), 12):
+            own[at] = f"own{k}"
+        texts += [" ".join(own)] + [" ".join([*own, f"tail{j}"]) for j in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = sorted(r.doc_id for r in drop_near_duplicates(df, block_rows=20, radius=8, bucket_rows=1024).collect())
+    assert left == plain_leaders(list(enumerate(texts)), radius=8) and len(left) > 16
