@@ -27,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) stays."""
     return drop_near_duplicates(docs)
 
 
