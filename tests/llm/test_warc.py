@@ -1,6 +1,8 @@
 import gzip
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrain.llm import warc
 from loomgrain.llm.common import scratch
@@ -103,3 +105,46 @@ def test_reader_reports_gaps(spark, tmp_path):
     assert [(r.page_id, r.gap is not None) for r in rows] == [(0, False), (1, False), (None, True), (3, False)]
     assert rows[0].payload == b"payload 0 " and rows[2].length == len(own[2])
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+@pytest.mark.parametrize("kind", ["gzip", "plain", "damaged", "lines", "lengths"])
+def test_time_is_in_proportion(kind):
+    """Four times the records take about four times as long, damaged ones too."""
+    record = warc.build_record(1, "http://h/", b"payload of a page " * 60, "response", None, "d")
+    one = {
+        "gzip": gzip.compress(record),
+        "plain": record,
+        "damaged": record.replace(b"payload", b"PAYLOAD", 1),
+        "lines": warc.VERSION + b"x" * 300,  # headers that never end
+        "lengths": record.replace(b"Content-Length: 1", b"Content-Length: 9", 1).replace(b"Content-Length: ", b"Content-Length: 900"),
+    }[kind]
+
+    def seconds(n):
+        data, start = one * n, time.perf_counter()
+        found = sum(1 for _ in warc.salvage(data))
+        assert found == (n if kind in ("gzip", "plain") else 1)
+        return time.perf_counter() - start
+
+    n = 200 if kind == "lines" else 4000
+    if kind == "lines":
+        assert seconds(4 * n) < 5
+    else:
+        assert min(seconds(4 * n) for _ in range(2)) < 8 * max(seconds(n), 0.02)
+
+
+def test_payload_of_half_the_pages_is_split(spark):
+    """The join's partition of a very common payload is split, so that no task writes half of the archives."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        html = F.when(F.col("id") % 2 == 0, F.lit("common")).otherwise(F.concat(F.lit("page "), F.col("id") % 10_001))
+        pages = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("page_id"), F.sha2(F.col("id").cast("string"), 512).alias("url"), html.alias("html"))
+        marked = warc.mark_revisits(pages).where("length(url) > 0")
+        tasks = marked.select(F.spark_partition_id().alias("p"), "record_type", "url").withColumn("record_type", F.when(F.length("url") > 0, F.col("record_type"))).groupBy("p").agg(F.count_if(F.col("record_type") == "revisit").alias("n")).collect()
+        assert sum(r.n for r in tasks) >= 19_999
+        assert max(r.n for r in tasks) < 15_000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
