@@ -9,6 +9,7 @@ algorithm gives the smallest edit distance between the item and any passage.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,11 +23,21 @@ from .common import materialise, numbered, without
 #: Letters A-Z to lower case; letters, digits and all bytes beyond ASCII stay; the rest parts words.
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
+#: Scripts that put no spaces between words (Thai, Lao, Myanmar, Khmer, kana, bopomofo, Han), and the marks between their sentences.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3040-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+_WIDE_MARKS = re.compile("[\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+#: First bytes of characters that may be of such a script.
+_MAYBE_UNSPACED = re.compile(rb"[\xe0-\xf0]")
+
 MATCHES = "doc_id long, item_id long, distance int, budget int, start_word long, end_word long"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_KEPT).split()
+    """Runs of letters and digits, A-Z lower-cased; each character of a script without spaces is a word."""
+    text = text or b""
+    if _MAYBE_UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", _WIDE_MARKS.sub(" ", text.decode("utf-8", "replace"))).encode()
+    return text.translate(_KEPT).split()
 
 
 def budget_of(m: int, similarity: float) -> int:
@@ -68,20 +79,18 @@ def best_passage(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds a block of items in documents. Items of fewer than ``min_words`` words match only a document of just these words."""
+    """Finds a block of items in documents."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], similarity: float, min_words: int) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes | None]], similarity: float) -> None:
         self.items: list[tuple[list[int | None], list[bytes], int]] = []
-        self.short: dict[bytes, list[int | None]] = {}
         number: dict[bytes, int] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
             key = b" ".join(words)
-            if len(words) < min_words:
-                if words:
-                    self.short.setdefault(key, []).append(item_id)
-            elif key in number:
+            if not words:
+                continue
+            if key in number:
                 self.items[number[key]][0].append(item_id)
             else:
                 k = budget_of(len(words), similarity)
@@ -100,8 +109,6 @@ class Matcher:
         """(item_id, distance, budget, start_word, end_word): the best passage for each item within its budget."""
         words = words_of(text)
         flat = b" ".join(words)
-        for item_id in self.short.get(flat, []):
-            yield item_id, 0, 0, 0, len(words)
         if not self.any or not words:
             return
         ends = None
@@ -132,29 +139,35 @@ class Matcher:
                     yield item_id, best[0], k, best[1], best[2]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, block_items: int = 10_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each document row and benchmark item that it holds: doc_id, item_id, distance, budget, start_word, end_word.
 
-    Words are runs of letters and digits, A-Z lower-cased; distances are word
-    edits, at most (1 - similarity) of the item's words; the place is that of the
-    best passage, the earliest of equally good ones. Nulls: a null text counts as
-    empty, a null doc_id or item_id is returned as null. Items with equal words
-    all match; repeated documents match each. Items without words match nothing.
-    Empty tables give no rows; other columns are not read.
-
-    Items reach the tasks in blocks of about ``block_items``, one scan of the
-    documents for each block; texts are read whole.
+    Words are runs of letters and digits, A-Z lower-cased, and single characters of
+    scripts without spaces; distances are word edits, at most (1 - similarity) of
+    the item's words, so that items of fewer than five words are found unchanged;
+    the place is that of the best passage, the earliest of equally good ones.
+    Nulls: a null text counts as empty, a null doc_id or item_id is returned as
+    null. Items with equal words all match; repeated documents match each. Items
+    without words match nothing. Empty tables give no rows; other columns are not
+    read.
+
+    Distinct item texts reach the tasks in blocks of about ``block_bytes``, one
+    scan of the documents for each block; texts are read whole. Their identifiers,
+    however many share a text, are joined to the matches.
     """
-    count = benchmark.count()
-    blocks = max(1, math.ceil(count / block_items))
     body = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias("body")
-    items = benchmark.select(F.col("item_id").cast("long"), body("text"), F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
+    given = benchmark.select(F.col("item_id").cast("long"), body("text"))
+    items = materialise(given.select("body").distinct().withColumn("number", F.monotonically_increasing_id()), "leak-items")
+    ids = materialise(given.join(items, "body").select(F.col("number").alias("_number"), F.col("item_id").alias("_item")), "leak-ids")
+    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    items = items.withColumn("block", F.pmod(F.xxhash64("body"), F.lit(blocks)))
     texts = docs.select(F.col("doc_id").cast("long"), body("text"))
     names = [x.split()[0] for x in MATCHES.split(", ")]
 
     def scan(own: list[tuple[int | None, bytes]]) -> DataFrame:
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(own, similarity, min_words)
+            matcher = Matcher(own, similarity)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             for batch in batches:
                 rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in matcher.matches(t.as_py())]
@@ -165,10 +178,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, m
 
     out = None
     for n in range(blocks):
-        own = [(r["item_id"], bytes(r["body"])) for r in items.where(F.col("block") == n).collect()]  # one block of items
+        own = [(r["number"], bytes(r["body"])) for r in items.where(F.col("block") == n).collect()]  # one block of items
         found = scan(own)
         out = found if out is None else out.unionByName(found)
-    return out
+    named = out.join(ids, out["item_id"] == ids["_number"])
+    return named.select("doc_id", F.col("_item").alias("item_id"), *names[2:])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:

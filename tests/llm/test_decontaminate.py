@@ -53,8 +53,8 @@ def edited(rng, words, edits):
 def test_matches_equal_brute_force():
     rng = random.Random(11)
     vocabulary = [b"w%d" % k for k in range(60)]
-    items = [(k, b" ".join(rng.choices(vocabulary, k=rng.randint(5, 40)))) for k in range(30)]
-    matcher = Matcher(items, 0.8, 5)
+    items = [(k, b" ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 3, 4, *range(5, 41)])))) for k in range(40)]
+    matcher = Matcher(items, 0.8)
     hits = 0
     for _ in range(150):
         text = rng.choices(vocabulary, k=rng.randint(0, 120))
@@ -77,8 +77,40 @@ def test_tables(spark):
     docs = [(10, f"before {item} after"), (11, item.replace("zeta", "other") + " rest"), (12, "clean text of its own that has nothing"), (13, None), (14, ""), (15, "Too, short"), (16, "this is too short"), (None, item), (17, "one two three four five six"), (17, "x " * 50_000 + item), (18, "alpha beta gamma delta")]
     d = spark.createDataFrame([(i, t, "z", 1) for i, t in docs], "doc_id long, text string, item_id string, distance int")
     b = spark.createDataFrame([(i, t, "z") for i, t in bench], "item_id long, text string, doc_id string")
-    want = {(10, 1, 0), (10, 2, 0), (11, 1, 1), (11, 2, 1), (15, 5, 0), (None, 1, 0), (None, 2, 0), (17, None, 0), (17, 1, 0), (17, 2, 0)}
-    for block in (2, 10_000):
-        assert {(r.doc_id, r.item_id, r.distance) for r in find_leaks(d, b, block_items=block).collect()} == want
-    assert sorted(r.doc_id for r in drop_leaks(d, b).collect()) == [12, 13, 14, 16, 18]
+    want = {(10, 1, 0), (10, 2, 0), (11, 1, 1), (11, 2, 1), (15, 5, 0), (None, 1, 0), (None, 2, 0), (17, None, 0), (17, 1, 0), (17, 2, 0), (16, 5, 0)}
+    for block in (60, 4 << 20):
+        assert {(r.doc_id, r.item_id, r.distance) for r in find_leaks(d, b, block_bytes=block).collect()} == want
+    assert sorted(r.doc_id for r in drop_leaks(d, b).collect()) == [12, 13, 14, 18]
     assert find_leaks(d.limit(0), b).count() == 0 and find_leaks(d, b.limit(0)).count() == 0
+
+
+HAN = "\u6625\u7720\u4e0d\u89c9\u6653\u5904\u5904\u95fb\u557c\u9e1f\u591c\u6765\u98ce\u96e8\u58f0\u82b1\u843d\u77e5\u591a\u5c11"
+
+
+def test_unspaced_scripts():
+    assert words_of("ab\u6625c \u7720\u3002D".encode()) == [b"ab", "\u6625".encode(), b"c", "\u7720".encode(), b"d"]
+    assert words_of("\ud55c\uad6d \u00e9\u20ac".encode()) == ["\ud55c\uad6d".encode(), "\u00e9\u20ac".encode()]  # scripts with spaces stay words
+    rng = random.Random(3)
+    items = [(0, HAN), (1, HAN[:3]), (2, "\u0e01\u0e02\u0e03\u0e04\u0e05\u0e06")]
+    matcher = Matcher([(i, t.encode()) for i, t in items], 0.8)
+    hits = 0
+    for _ in range(60):
+        text = [chr(0x4E00 + rng.randrange(500)) for _ in range(rng.randint(0, 60))]
+        for _, body in items:
+            words = [w.decode() for w in edited(rng, [c.encode() for c in body], rng.randint(0, min(6, len(body) - 1)))]
+            at = rng.randint(0, len(text))
+            text[at:at] = words
+        flat = "".join(text).encode()
+        got = {i: d for i, d, *_ in matcher.matches(flat)}
+        want = {i: d for i, t in items if (d := table_distance([c.encode() for c in t], words_of(flat))) <= len(t) // 5}
+        assert got == want
+        hits += len(want)
+    assert hits > 60
+
+
+def test_short_items_are_passages(spark):
+    docs = spark.createDataFrame([(1, "well the lazy dog runs home"), (None, f"xx{HAN}yy"), (None, "clean"), (3, "the lazy dogs run")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the lazy dog runs"), (2, HAN), (3, HAN), (3, HAN), (None, "Dog!")], "item_id long, text string")
+    got = sorted(str((r.doc_id, r.item_id)) for r in find_leaks(docs, bench, block_bytes=20).collect())
+    assert got == sorted(map(str, [(1, 1), (1, None), (None, 2), (None, 3), (None, 3)]))
+    assert sorted(str(r.doc_id) for r in drop_leaks(docs, bench).collect()) == ["3", "None"]
