@@ -68,17 +68,24 @@ def stats(text: bytes) -> list[float]:
     ]
 
 
-def words_of(text: bytes) -> set[bytes]:
-    """Distinct words, A-Z lower-cased, and with a ``*`` the starts of four and five bytes that longer words have."""
-    own = set(_TOKEN.findall(text.lower()))
-    return own | {w[:4] + b"*" for w in own if len(w) > 4} | {w[:5] + b"*" for w in own if len(w) > 5}
+def words_of(text: bytes) -> Counter:
+    """Counts of words, A-Z lower-cased, and with a ``*`` of the starts of four and five bytes that longer words have."""
+    own = Counter(_TOKEN.findall(text.lower()))
+    out = Counter(own)
+    for w, n in own.items():
+        for size in (4, 5):
+            if len(w) > size:
+                out[w[:size] + b"*"] += n
+    return out
 
 
 def features(text: bytes | None, words: list[bytes]) -> list[float]:
+    """Shape of the text, its squares, and for each of ``words`` the root of its share of the text, up to a twenty-fifth."""
     text = text or b""
     shape = stats(text)
-    own = words_of(text) if words else set()
-    return [1.0, *shape, *(x * x for x in shape), *(float(w in own) for w in words)]
+    own = words_of(text) if words else Counter()
+    n = max(1, sum(c for w, c in own.items() if not w.endswith(b"*")))
+    return [1.0, *shape, *(x * x for x in shape), *(min(1.0, 5 * math.sqrt(own[w] / n)) if w in own else 0.0 for w in words)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 60) -> np.ndarray:
@@ -125,7 +132,7 @@ def telling_words(labelled: DataFrame, target: str, most: int = MAX_WORDS) -> li
             seen: Counter = Counter()
             hit: Counter = Counter()
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = words_of(text.as_py() or b"")
+                own = words_of(text.as_py() or b"").keys()
                 seen.update(own)
                 if y:
                     hit.update(own)

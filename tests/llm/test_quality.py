@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -20,6 +22,60 @@ def test_held_out_accuracy(spark):
     assert sum(r.rejected for r in low) >= 0.9 * len(low)
 
 
+def test_held_out_toxic(spark):
+    """Toxic documents that are not of low quality as well, so that the toxic target alone must reject them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    got = classify(docs, labels.where("doc_id % 3 <> 0")).select("doc_id", "rejected", F.col("toxic").alias("p")).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    toxic = [r for r in got if r.toxic == 1 and r.quality == 1]
+    clean = [r for r in got if r.quality == 1 and r.toxic == 0]
+    assert len(toxic) > 100 and sum(r.p >= 0.5 for r in toxic) >= 0.95 * len(toxic)
+    assert sum(r.rejected for r in got if r.toxic == 1) >= 0.95 * sum(r.toxic == 1 for r in got)
+    assert len(clean) > 900 and sum(r.rejected for r in clean) <= 0.005 * len(clean)
+
+
+def plain_posteriors(rows):
+    """Posteriors by loops over dictionaries: rows are (host, path, log odds, probability)."""
+
+    def strength(groups):
+        n, nn = sum(k for k, _, _ in groups), sum(k * k for k, _, _ in groups)
+        if nn <= n:
+            return 100.0
+        rho = (sum((s - k * m) ** 2 / (m * (1 - m)) for k, s, m in groups) - n) / (nn - n)
+        return min(max(1 / rho - 1, 2.0), 1e4) if rho > 0 else 1e4
+
+    def rate(x):
+        return min(max(x, 1e-4), 1 - 1e-4)
+
+    hosts, paths = {}, {}
+    for host, path, _, p in rows:
+        for key, of in ((host, hosts), ((host, path), paths)):
+            n, s = of.get(key, (0, 0.0))
+            of[key] = (n + 1, s + p)
+    mean = rate(sum(r[3] for r in rows) / len(rows))
+    outer = strength([(n, s, mean) for n, s in hosts.values()])
+    inner = strength([(n, s, rate((outer * mean + hosts[h][1]) / (outer + hosts[h][0]))) for (h, _), (n, s) in paths.items()])
+    out = []
+    for host, path, llr, p in rows:
+        (hn, hs), (n, s) = hosts[host], paths[host, path]
+        of_host = (outer * mean + hs - p) / (outer + hn - 1)
+        site = rate((inner * of_host + s - p) / (inner + n - 1))
+        out.append(1 / (1 + math.exp(-(llr + math.log(site / (1 - site))))))
+    return out
+
+
+def test_posteriors_equal_loops(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for h in range(12):
+        for p in range(int(rng.integers(1, 5))):
+            bad = rng.beta(1, 6)
+            rows += [(None if h == 3 else f"h{h}", None if p == 2 else f"p{p}", float(rng.normal()), float(np.clip(rng.normal(bad, 0.1), 0, 1))) for _ in range(int(rng.integers(1, 60)))]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, host string, path string, low_llr double, low_p double")
+    got = {r.doc_id: r.low for r in with_posteriors(df, "low").collect()}
+    want = plain_posteriors(rows)
+    assert len(got) == len(rows) and np.allclose([got[k] for k in range(len(rows))], want, rtol=1e-9)
+
+
 def test_fit_logistic():
     rng = np.random.default_rng(0)
     x = np.column_stack((np.ones(4000), rng.normal(size=(4000, 2))))
@@ -33,7 +89,7 @@ def test_stats_of_odd_texts():
     for text in (b"", b" \n", b"a", b"A!!", b"\xff\xfe", b"word " * 50_000, b"x" * 100_000):
         got = stats(text)
         assert len(got) == N_STATS and np.isfinite(got).all()
-    assert words_of(b"Pathetic loser") == {b"pathetic", b"loser", b"path*", b"pathe*", b"lose*"}
+    assert words_of(b"Pathetic loser patHos") == {b"pathetic": 1, b"loser": 1, b"pathos": 1, b"path*": 2, b"pathe*": 1, b"patho*": 1, b"lose*": 1}
 
 
 def test_posteriors_shrink(spark):
