@@ -19,7 +19,13 @@ from .common import materialise
 
 #: Rules become literals of the plan, so their number is bounded.
 MAX_RULES = 2000
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]+)"""
+#: Parts of a page that hold no links of its own.
+_NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_HREF = r"""\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_LINK, _BASE = r"(?i)<(?:a|area)" + _HREF, r"(?i)<base" + _HREF
+#: Named character references that may stand in the part of a link that has the host.
+_NAMED = {"&amp;": "&", "&colon;": ":", "&sol;": "/", "&period;": ".", "&hyphen;": "-", "&Tab;": "", "&NewLine;": ""}
+_NUMBERED = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?"
 
 
 @dataclass(frozen=True)
@@ -58,15 +64,47 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
+def _decoded(link: Column) -> Column:
+    """A link with its character references replaced, as far as the host needs them."""
+    for name, char in _NAMED.items():
+        link = F.replace(link, F.lit(name), F.lit(char))
+    number = lambda r: F.regexp_extract(r, r"&#[xX]?([0-9a-fA-F]+)", 1)
+    hexed = lambda r: F.when(r.rlike("^&#[xX]"), number(r)).otherwise(F.conv(number(r), 10, 16))
+    char = lambda r: F.decode(F.unhex(F.lpad(hexed(r), 8, "0")), "UTF-32")
+    parts = F.split(link, _NUMBERED, -1)
+    chars = F.transform(F.regexp_extract_all(link, F.lit(f"({_NUMBERED})"), F.lit(1)), char)
+    whole = F.array_join(F.zip_with(parts, chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    return F.when(link.contains("&#"), whole).otherwise(link)
+
+
+def links_of(html: Column) -> Column:
+    """Array of the hosts that a page links to by ``a`` and ``area``, each once.
+
+    Links without a scheme have the page's own; links without a host are the
+    page's own, too, unless a ``base`` names another host. Character references
+    are decoded; links in comments, scripts and styles are none.
+    """
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), _NOT_SHOWN, " ")
+    found = lambda of, k: F.regexp_extract_all(shown, F.lit(of), F.lit(k))
+    quoted = F.zip_with(found(_LINK, 1), found(_LINK, 2), lambda a, b: F.concat(a, b))
+    hrefs = F.zip_with(quoted, found(_LINK, 3), lambda a, b: F.trim(_decoded(F.concat(a, b))))
+    whole = lambda u: F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)
+    absolute = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//"
+    far = F.transform(F.filter(hrefs, lambda u: u.rlike(absolute)), lambda u: host_of(whole(u)))
+    base = F.concat(*[F.regexp_extract(shown, _BASE, k) for k in (1, 2, 3)])
+    base = F.trim(_decoded(base))
+    near = F.exists(hrefs, lambda u: ~u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//|#)"))
+    own = F.when(base.rlike(absolute) & near, F.array(host_of(whole(base)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(far, own))
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight) between different hosts: how many pages of src (host, html) link to dst.
 
     Links are combined before the shuffle, so a host that has a third of all
     links is one row for each partner and task.
     """
-    whole = lambda u: F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)  # noqa: E731  no scheme: the page's own
-    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), 1), lambda u: host_of(whole(u))))
-    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
+    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(links_of(F.col("html"))).alias("dst"))
     return links.where("dst <> src AND dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -111,8 +149,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], block_share: float = 0.5, da
     is, with the default, if distrust is larger; a host that neither reaches is allowed.
 
     Nulls: a null url has empty host and path, fits no rule and is allowed; a null
-    html has no links. Repeated rows count as pages of their own. Empty tables
-    give no rows; other columns are not read.
+    html has no links. Very long pages are read whole. Repeated rows count as
+    pages of their own. Empty tables give no rows; other columns are not read.
     """
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     judged = judged.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
@@ -139,5 +177,3 @@ def judge_urls(pages: DataFrame, rules: list[Rule], block_share: float = 0.5, da
     bad = F.col("distrust") > block_share * (F.col("trust") + F.col("distrust"))
     verdict = F.coalesce("by_rule", F.when(bad, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
-
-

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomgrain.llm.host_trust import Rule, host_edges, host_of, judge_urls, longest_rule, path_of, personalised_pagerank
+from loomgrain.llm.host_trust import Rule, host_edges, host_of, judge_urls, links_of, longest_rule, path_of, personalised_pagerank
 from loomgrain.llm.queries import URL_RULES
 
 URLS = [
@@ -83,3 +83,61 @@ def test_ranks_converge(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
     got = personalised_pagerank(edges, spark.createDataFrame([("a", 1.0)], "host string, seed double"), damping=0.5)
     assert {r.host: r.rank for r in got.collect()} == pytest.approx({"a": 2 / 3, "b": 1 / 3}, rel=1e-5)
+
+
+@pytest.mark.parametrize(("html", "hosts"), [
+    (None, []), ("", []), ('<a href="http://a.com/x">', ["a.com"]), ("<A class=x HREF='HTTPS://A.Com'>", ["a.com"]), ("<a href=//b.org/p>t</a>", ["b.org"]), ('<area shape=rect href="http://c.net">', ["c.net"]),
+    ('<a href="https&#58;&#x2F;&#47;d.com/p">', ["d.com"]), ('<a href="https&colon;&sol;&sol;e.com?a=1&amp;b=2">', ["e.com"]), ('<a href="//&#233;t&#xE9;.fr/">', ["\u00e9t\u00e9.fr"]),
+    ('<base href="http://f.com/dir/"><a href="page">x</a>', ["f.com"]), ('<base href="//f.com/"><a href="#top">x</a>', []), ('<a href="page">x</a>', []), ('<a href="mailto:x@y.z">m</a>', []),
+    ('<!-- <a href="http://g.com"> --><script>"<a href=http://h.com>"</script><a href="http://i.com">', ["i.com"]), ('<abbr href="http://j.com">', []), ('<a data-href="http://k.com">', []),
+    ('<a href="http://l.com"><a href="http://l.com/2"><a href=" http://m.com ">', ["l.com", "m.com"]), ("<a\nid=1\nhref = 'http://n.com'>", ["n.com"]), ('<link href="http://o.com">', []),
+])
+def test_links(spark, html, hosts):
+    assert spark.createDataFrame([(html,)], "h string").select(links_of(F.col("h")).alias("l")).first().l == hosts
+
+
+def plain_verdicts(edges, pages, seeds, blocked):
+    """Ranks by loops until nothing moves, and the verdicts that follow where no rule fits."""
+
+    def ranks(links, start):
+        total = sum(start.values())
+        start = {h: w / total for h, w in start.items()} if total else {}
+        out, rank = {}, dict(start)
+        for s, _, w in links:
+            out[s] = out.get(s, 0) + w
+        for _ in range(300):
+            new = {h: 0.15 * w for h, w in start.items()}
+            for s, t, w in links:
+                if s in rank:
+                    new[t] = new.get(t, 0) + 0.85 * rank[s] * w / out[s]
+            rank = new
+        return rank
+
+    trust, distrust = ranks(edges, seeds), ranks([(t, s, w) for s, t, w in edges], blocked)
+    return {h: "block" if distrust.get(h, 0) > 0.5 * (trust.get(h, 0) + distrust.get(h, 0)) else "allow" for h in pages}
+
+
+def test_links_decide_most_verdicts(spark):
+    """A random graph of 60 hosts of which rules decide a few; verdicts and ranks against loops."""
+    import random
+
+    rng = random.Random(12)
+    names = [f"g{k}.org" for k in range(4)] + [f"s{k}.net" for k in range(4)] + [f"h{k}.com" for k in range(52)]
+    forms = ['<a href="http://{}/p">x</a>', "<area href=//{}>", "<a href='https&#58;//{}/'>y</a>", '<base href="http://{}/"><a href=z>z</a>']
+    pages, edges = [], {}
+    for k, host in enumerate(names):
+        path = "/fr/" if host.endswith(".org") else "/"
+        for copy in range(rng.randint(1, 3)):
+            to = [h for h in rng.sample(names, rng.randint(0, 3)) if h != host]
+            html = "".join(forms[rng.randrange(3) if n else rng.randrange(4)].format(h) for n, h in enumerate(to))
+            pages.append((10 * k + copy, f"http://{host}{path}", html))
+            for h in set(to):
+                edges[host, h] = edges.get((host, h), 0) + 1
+    count = {h: sum(u.split("/")[2] == h for _, u, _ in pages) for h in names}
+    want = plain_verdicts([(s, t, w) for (s, t), w in edges.items()], names, {h: count[h] for h in names[:4]}, {h: count[h] for h in names[4:8]})
+    got = judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()
+    free = {r.host: r.verdict for r in got if r.rule is None}
+    assert len(free) == 52 and free == {h: want[h] for h in free}
+    assert sum(v == "block" for v in free.values()) > 10 and sum(v == "allow" for v in free.values()) > 10
+    linked = [r for r in got if r.rule is None and r.trust + r.distrust > 0]
+    assert len({r.host for r in linked}) > 40
