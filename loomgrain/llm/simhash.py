@@ -195,30 +195,41 @@ def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is at least ``similarity``."""
-    least, most = sorted((len(a), len(b)))
-    if least < similarity * most - 1e-9:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= similarity * (len(a) + len(b) - common) - 1e-9
-
-
-def _lead(table: pa.Table, shingle: int, similarity: float) -> pa.Table:
-    """The rows of one block that are settled: (uid, leader). A row whose ``place`` is positive may lead; the others may follow."""
-    uids, places, bodies = table.column("uid").to_pylist(), table.column("place").to_pylist(), table.column("body")
-    salt = table.column("salt")[0].as_py()
-    leaders: list[tuple[int, np.ndarray]] = []
-    settled: list[tuple[int, int]] = []
-    for k in sorted(range(len(uids)), key=lambda k: (not places[k], places[k], uids[k])):
-        own = _shingle_set(bodies[k].as_py(), shingle)
-        leader = next((u for u, s in leaders if alike(s, own, similarity)), None)
-        if leader is None and places[k]:
-            leader = uids[k]
-            leaders.append((leader, own))
-        if leader is not None and (salt == 0 or not places[k]):
-            settled.append((uids[k], leader))
-    return pa.table({"uid": pa.array([x[0] for x in settled], pa.int64()), "leader": pa.array([x[1] for x in settled], pa.int64())})
+def _similar_to(sets: list[np.ndarray], pivots: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """For each of ``sets`` the numbers of the pivots whose Jaccard similarity with it is at least ``similarity``."""
+    sizes = np.array([len(x) for x in pivots])
+    owner = np.repeat(np.arange(len(pivots)), sizes)
+    every = np.concatenate(pivots)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    out = []
+    for own in sets:
+        lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        hit, n = lo[hi > lo], (hi - lo)[hi > lo]
+        places = np.repeat(hit - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        common = np.bincount(owner[places], minlength=len(pivots))
+        out.append(np.flatnonzero(common >= similarity * (len(own) + sizes - common) - 1e-9))
+    return out
+
+
+def _block_links(table: pa.Table, shingle: int, similarity: float) -> pa.Table:
+    """Links (a, b) that connect what is similar in one block: rows and pivots, and pivots among themselves. At most one a row."""
+    uids = table.column("uid").to_pylist()
+    sets = [_shingle_set(t.as_py(), shingle) for t in table.column("body")]
+    pivots = np.flatnonzero(table.column("pivot").to_numpy())
+    parent = list(range(len(uids)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k, found in enumerate(_similar_to(sets, [sets[p] for p in pivots], similarity)):
+        for p in pivots[found].tolist():
+            parent[root(k)] = root(p)
+    links = [(uids[k], uids[root(k)]) for k in range(len(uids)) if root(k) != k]
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
 def similar_groups(
@@ -230,23 +241,27 @@ def similar_groups(
     link_shingle: int = 2,
     seed: int = 42,
     bucket_rows: int = 1024,
+    pivots: int = 256,
     block_rows: int = 512,
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """(uid, leader) of the rows of ``rows`` (uid, id, text) that have a near copy; leader is the uid of the row that stands for them.
+    """(uid, stays) of the rows of ``rows`` (uid, id, text) that have a near copy; ``stays`` is the uid of the row that stands for its group.
 
     Candidates are rows that links of covering LSH connect: in some of the several
     fingerprints of a text they differ in at most ``radius`` bits. These are of
     shingles of ``link_shingle`` words, because an edit changes fewer of these, so
-    that similar texts are within a small radius. The decision is exact: the
-    Jaccard similarity of the sets of ``shingle``-word shingles. Among connected
-    rows, in the order of id (nulls last), text and uid, a row leads if no leader
-    before it is similar, else it follows the first that is. So each follower is
-    similar to its leader, and no two leaders that are connected are similar.
-
-    Rows meet the next 16 to 64 possible leaders in blocks of a bounded size; rows
-    without a similar one go to the next round, so no group is gathered in one task. ``uid`` tells
-    rows apart; a null text counts as empty; an empty table gives no rows.
+    that similar texts are within a small radius. The decision is exact: two
+    connected rows are linked if the Jaccard similarity of their sets of
+    ``shingle``-word shingles is at least ``similarity``, and a group is what these
+    links connect. Of a group the first row by id (nulls last), text and uid stays.
+
+    Rows are compared with up to ``pivots`` rows of their candidate group in blocks
+    of a bounded size; a block only tells what it connects, at most one link a row.
+    A further round is needed where more rows are left that were no pivots and are
+    not in the largest group found yet; that one's rows need no further comparison
+    with each other. So a large group of copies takes a round or two, and no group
+    is gathered in one task. ``uid`` tells rows apart; a null text counts as empty;
+    an empty table gives no rows.
     """
 
     @F.pandas_udf("array<long>")
@@ -262,40 +277,51 @@ def similar_groups(
     within = own.join(firsts, ["space", "fp"]).where("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b"))
     links = links.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).unionByName(within)
     found = components(links).select(F.col("node").alias("uid"), "component")
-    order = [F.col("id").isNull(), F.col("id"), F.col("sha"), F.col("uid")]
     members = rows.select("uid", "id", body.alias("body"), F.sha2(body, 256).alias("sha")).join(found, "uid")
-    open_rows = materialise(members, "near-members")
+    members = materialise(members, "near-members")
+    slim = members.select("uid", "component", "sha", F.octet_length("body").alias("bytes"))
 
-    out, candidates = None, 16
+    waiting, joined = slim, None  # rows that may have to be pivots, and the links found
     while True:
-        place = F.row_number().over(Window.partitionBy("component").orderBy(*order))
-        first = open_rows.select("component", "id", "sha", "uid").withColumn("place", place).where(F.col("place") <= candidates)
-        first = materialise(first.select(F.col("uid").alias("_uid"), "place"), "near-candidates")
-        placed = materialise(open_rows.join(first, F.col("uid") == F.col("_uid"), "left").drop("_uid"), "near-placed")
-        sums = placed.where("place IS NULL").groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes"))
-        blocks = F.ceil(F.greatest(F.col("n") / block_rows, F.col("bytes") / block_bytes)).cast("long")
-        sums = materialise(sums.select(F.col("component").alias("_of"), blocks.alias("blocks")), "near-blocks")
-        dealt = placed.join(sums, F.col("component") == F.col("_of"), "left")
-        spread = F.sequence(F.lit(0).cast("long"), F.greatest(F.coalesce("blocks", F.lit(1)), F.lit(1)) - 1)
-        salts = F.when(F.col("place").isNotNull(), spread).otherwise(F.array(F.pmod(F.xxhash64("uid"), F.col("blocks"))))
-        cells = dealt.select("component", F.explode(salts).alias("salt"), "uid", F.coalesce("place", F.lit(0)).alias("place"), "body")
-        settled = cells.groupBy("component", "salt").applyInArrow(lambda t: _lead(t, shingle, similarity), "uid long, leader long")
-        settled = materialise(settled, "near-settled")
-        out = settled if out is None else out.unionByName(settled)
-        rest = open_rows.join(settled.select(F.col("uid").alias("_uid")), F.col("uid") == F.col("_uid"), "left_anti")
-        open_rows = materialise(rest, "near-members")
-        if open_rows.isEmpty():
-            return out
-        candidates = min(2 * candidates, 64)
+        place = F.row_number().over(Window.partitionBy("component").orderBy("sha", "uid"))
+        chosen = waiting.select("uid", "component", "sha").withColumn("place", place).where(F.col("place") <= pivots)
+        chosen = materialise(chosen.select(F.col("uid").alias("_uid"), "component"), "near-pivots")
+        if chosen.isEmpty():
+            break
+        n, size = F.count("*"), F.sum("bytes")
+        blocks = F.ceil(F.greatest(n / block_rows, size / block_bytes)).cast("long")
+        sums = materialise(slim.join(chosen.select("component").distinct(), "component", "left_semi").groupBy("component").agg(blocks.alias("blocks")), "near-blocks")
+        dealt = members.select("uid", "component", "body").join(sums, "component").join(chosen.select("_uid"), F.col("uid") == F.col("_uid"), "left")
+        pivot = F.col("_uid").isNotNull()
+        salts = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("uid"), F.col("blocks"))))
+        cells = dealt.select("component", F.explode(salts).alias("salt"), "uid", pivot.alias("pivot"), "body")
+        new = cells.groupBy("component", "salt").applyInArrow(lambda t: _block_links(t, shingle, similarity), "a long, b long")
+        new = materialise(new, "near-links")
+        joined = new if joined is None else joined.unionByName(new)
+        # rows of small candidate groups have all been pivots; of the others, those outside the largest group wait
+        waiting = materialise(waiting.join(chosen.select("_uid"), F.col("uid") == F.col("_uid"), "left_anti"), "near-waiting")
+        if waiting.isEmpty():
+            break
+        groups = components(joined).toDF("_node", "group")
+        large = slim.join(waiting.select("component").distinct(), "component", "left_semi").join(groups, F.col("uid") == F.col("_node"), "left")
+        large = materialise(large.select("uid", "component", F.coalesce("group", "uid").alias("group")), "near-large")
+        largest = large.groupBy("component", "group").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("group", F.struct("n", "group")).alias("_largest"))
+        outside = large.join(largest.withColumnRenamed("component", "_of"), F.col("component") == F.col("_of")).where("group <> _largest").select(F.col("uid").alias("_uid"))
+        waiting = materialise(waiting.join(outside, F.col("uid") == F.col("_uid"), "left_semi"), "near-waiting")
+    groups = components(joined if joined is not None else links.limit(0)).toDF("_node", "group")
+    named = materialise(members.select("uid", "id", "sha").join(groups, F.col("uid") == F.col("_node")).drop("_node"), "near-groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "uid"))
+    stays = materialise(named.groupBy("group").agg(first.alias("first")).select(F.col("group").alias("_group"), F.col("first.uid").alias("stays")), "near-stays")
+    return named.join(stays, F.col("group") == F.col("_group")).select("uid", "stays")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
-    """``docs`` with one row for each group of ``similar_groups``, the one that leads it; rows without near copies stay.
+    """``docs`` with one row for each group of ``similar_groups``; rows without near copies stay.
 
     Rows decide, not identifiers: a row with a null or repeated doc_id goes only
-    if a row that stays is similar to it. Of rows equal in every column one stays.
+    if links of similar texts lead to a row that stays. Of rows equal in every column one stays.
     A null text counts as empty; other columns may have any names.
     """
     own, row = numbered(docs, "near-rows")
     found = similar_groups(own.select(F.col(row).alias("uid"), F.col("doc_id").alias("id"), "text"), similarity, **options)
-    return without(own, row, materialise(found.where("uid <> leader").select("uid"), "near-copies"))
+    return without(own, row, materialise(found.where("uid <> stays").select("uid"), "near-copies"))

@@ -143,35 +143,41 @@ def texts_with_copies(rng, groups=40):
     return rows
 
 
-def plain_leaders(rows, radius=5, how_many=4):
-    """Rows that stay, by loops: connected rows in order, each leads unless a leader before it is similar."""
-    fps = [several_fingerprints((t or "").encode(), 2, 42, how_many) for _, t in rows]
-    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if any((x ^ y).bit_count() <= radius for x, y in zip(fps[a], fps[b]))]
-    found = brute_components(links)
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, hashlib.sha256((rows[k][1] or "").encode()).hexdigest(), k))
+def plain_stays(rows, radius=5, how_many=4):
+    """Rows that stay, by loops: connected rows of a similarity of 0.8 are linked, and the first of each group stays."""
+    fps = np.array([several_fingerprints((t or "").encode(), 2, 42, how_many) for _, t in rows], np.uint64)
+    near = [(a, b) for a in range(len(rows)) for b in np.flatnonzero((np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= radius).any(axis=1)) + a + 1]
+    found = brute_components(near)
     own = [shingles(t) for _, t in rows]
-    leaders = {}
+    by = {}
+    for k, c in found.items():
+        by.setdefault(c, []).append(k)
+    linked = [(a, b) for x in by.values() for a, b in itertools.combinations(x, 2) if jaccard(own[a], own[b]) >= 0.8]
+    groups = brute_components(linked)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, hashlib.sha256((rows[k][1] or "").encode()).hexdigest(), k))
+    first = {}
     for k in order:
-        before = leaders.setdefault(found.get(k, k), [])
-        if not any(jaccard(own[k], own[j]) >= 0.8 for j in before):
-            before.append(k)
-    return sorted(k for x in leaders.values() for k in x)
+        first.setdefault(groups.get(k, k), k)
+    return sorted(first.values())
 
 
-@pytest.mark.parametrize("block_rows", [3, 512])
-def test_drop_near_duplicates(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "pivots"), [(3, 2), (512, 256)])
+def test_drop_near_duplicates(spark, block_rows, pivots):
     rng = random.Random(5)
     rows = texts_with_copies(rng)
     rows += [(None, rows[0][1]), (None, "alone without a number"), (None, "alone without a number"), (1, "an unlike text of number one"), (None, None), (7000, ""), (7000, " "), (9, "x " * 30_000)]
     df = spark.createDataFrame([(i, t, "z", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row string, k int")
-    left = drop_near_duplicates(df, block_rows=block_rows)
+    left = drop_near_duplicates(df, block_rows=block_rows, pivots=pivots)
     assert left.columns == df.columns
     kept = [(r.doc_id, r.text) for r in left.collect()]
-    want = [rows[k] for k in plain_leaders(rows)]
+    want = [rows[k] for k in plain_stays(rows)]
     assert sorted(map(str, kept)) == sorted(map(str, want))
     assert (1, "an unlike text of number one") in kept and kept.count((None, "alone without a number")) == 1
     own = [shingles(t) for _, t in kept]
-    assert all(any(jaccard(shingles(t), s) >= 0.8 for s in own) for _, t in rows)  # no text is lost
+    whole = [shingles(t) for _, t in rows]
+    linked = brute_components([(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if jaccard(whole[a], whole[b]) >= 0.8])
+    have = {linked.get(k, k) for k in range(len(rows)) if str(rows[k]) in set(map(str, kept))}
+    assert have == {linked.get(k, k) for k in range(len(rows))}  # no text is lost
     alike = [(a, b) for a, b in itertools.combinations(range(len(kept)), 2) if jaccard(own[a], own[b]) >= 0.8]
     pairs = sum(jaccard(shingles(a[1]), shingles(b[1])) >= 0.8 for a, b in itertools.combinations(rows, 2))
     assert len(alike) <= 0.05 * pairs
@@ -179,15 +185,21 @@ def test_drop_near_duplicates(spark, block_rows):
 
 
 def test_hot_group_takes_several_rounds(spark):
-    """One component with more leaders than a round tries, and many copies of each."""
+    """One candidate group of many unlike texts, copies of each, and edits of one text that are linked through it alone."""
     rng = random.Random(8)
     common = [f"c{k}" for k in range(300)]
     texts = []
-    for k in range(40):
+    for k in range(20):
         own = list(common)
         for at in rng.sample(range(300), 12):
             own[at] = f"own{k}"
         texts += [" ".join(own)] + [" ".join([*own, f"tail{j}"]) for j in range(6)]
+    for k in range(80):
+        own = list(common)
+        for at in rng.sample(range(300), 5):
+            own[at] = f"edit{k}"
+        texts.append(" ".join(own))
+    texts.append(" ".join(common))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    left = sorted(r.doc_id for r in drop_near_duplicates(df, block_rows=20, radius=8, bucket_rows=1024).collect())
-    assert left == plain_leaders(list(enumerate(texts)), radius=8) and len(left) > 16
+    left = sorted(r.doc_id for r in drop_near_duplicates(df, block_rows=20, radius=8, pivots=10).collect())
+    assert left == plain_stays(list(enumerate(texts)), radius=8) and 5 < len(left) <= 21
