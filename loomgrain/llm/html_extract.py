@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from dataclasses import dataclass, field
+from collections import defaultdict
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,8 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 HEADINGS = {f"h{k}": k for k in range(1, 7)}
 #: Words from which on a line that isn't mainly links is content whatever its ratio.
 PROSE = 10
+#: Share of the threshold that a content line's own ratio has at least.
+OWN = 0.1
 #: Elements that are too wide to be boilerplate whatever their class says.
 _WIDE = frozenset(["html", "body", "main", "article"])
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -100,11 +103,10 @@ def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> str:
 
 @dataclass
 class Line:
-    """One block of text: its place in the tree, the tags before it, whether boilerplate holds it, its links and its rank."""
+    """One block of text: the tags before it, whether boilerplate holds it, its links and its rank."""
 
     text: str
     tags: int
-    path: tuple[int, ...]
     dropped: bool
     linked: int = 0  # characters inside links, without white space
     rank: int = 0  # 1 to 6 for headings
@@ -113,21 +115,56 @@ class Line:
     def is_links(self) -> bool:
         return 2 * self.linked > len(self.text)
 
+    @property
+    def is_prose(self) -> bool:
+        return len(self.text.split()) >= PROSE
+
 
 @dataclass
-class Lines(HTMLParser):
-    """Parser events to lines. ``tree`` numbers the open block elements."""
+class Page:
+    """Lines and the block elements in the order of their start, each with the lines that it holds: those from ``lo`` to before ``hi``."""
+
+    lines: list[Line]
+    names: list[str]
+    marks: dict[int, str]  # kind of mark by number of the element
+    lo: np.ndarray
+    hi: np.ndarray
+
+    def only(self, kept: np.ndarray) -> Page:
+        """The page with the lines that ``kept`` marks."""
+        before = np.concatenate(([0], np.cumsum(kept)))
+        return Page([x for x, k in zip(self.lines, kept, strict=True) if k], self.names, self.marks, before[self.lo], before[self.hi])
+
+    def within(self, *names: str) -> np.ndarray:
+        """Which lines are in an element of one of these names."""
+        steps = np.zeros(len(self.lines) + 1, np.int64)
+        for n, name in enumerate(self.names):
+            if name in names:
+                steps[self.lo[n]] += 1
+                steps[self.hi[n]] -= 1
+        return np.cumsum(steps)[:-1] > 0
 
-    lines: list[Line] = field(default_factory=list)
-    names: list[str] = field(default_factory=list)  # element name by number
 
-    def __post_init__(self) -> None:
+class Lines(HTMLParser):
+    """Parser events to lines. Whatever an event asks of the open elements is kept up to date, so that the time doesn't grow with their depth."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number (-1: inline), boilerplate
+        self.lines: list[Line] = []
+        self.names: list[str] = []  # element name by number
+        self.marks: dict[int, str] = {}  # kind of mark by number
+        self.lo: list[int] = []
+        self.hi: list[int] = []
+        self.stack: list[tuple[str, int, bool]] = []  # open elements: name, number (-1: inline), boilerplate
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
+        self.blocks: list[int] = []  # places of block elements
+        self.wide: list[int] = []  # places of wide ones
+        self.ranks: list[int] = []  # ranks of open headings
+        self.literal = 0  # open headings and code
+        self.boilerplate = 0
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.marks: dict[int, str] = {}  # kind of mark by number
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't needed
@@ -138,21 +175,43 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            path = tuple(n for _, n, _ in self.stack if n >= 0)
-            rank = next((HEADINGS[name] for name, n, _ in reversed(self.stack) if n >= 0 and name in HEADINGS), 0)
-            self.lines.append(Line(text, self.tags, path, any(x for _, _, x in self.stack), self.linked, rank))
+            self.lines.append(Line(text, self.tags, self.boilerplate > 0, self.linked, self.ranks[-1] if self.ranks else 0))
             self.tags = 0
         self.linked = 0
 
+    def _push(self, tag: str, number: int, out: bool) -> None:
+        place = len(self.stack)
+        self.stack.append((tag, number, out))
+        self.open[tag].append(place)
+        if number >= 0:
+            self.blocks.append(place)
+        if tag in _WIDE:
+            self.wide.append(place)
+        if tag in HEADINGS:
+            self.ranks.append(HEADINGS[tag])
+        self.literal += tag in HEADINGS or tag in ("pre", "code")
+        self.boilerplate += out
+
     def _pop(self, depth: int) -> None:
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, number, out = self.stack.pop()
+            self.open[tag].pop()
+            if number >= 0:
+                self.blocks.pop()
+                self.hi[number] = len(self.lines)
+            if tag in _WIDE:
+                self.wide.pop()
+            if tag in HEADINGS:
+                self.ranks.pop()
+            self.literal -= tag in HEADINGS or tag in ("pre", "code")
+            self.boilerplate -= out
 
     def _end_head(self, tag: str) -> None:
         """The end tag of head is optional: ``tag`` ('' for text) ends an open one that it may not stand in."""
-        names = [name for name, _, _ in self.stack]
-        if "head" in names and tag not in IN_HEAD:
-            k = names.index("head")
-            if k == len(names) - 1 or (tag == "body" and "template" not in names[k:]):
+        if self.open["head"] and tag not in IN_HEAD:
+            k = self.open["head"][0]
+            held = self.open["template"] and self.open["template"][-1] > k
+            if k == len(self.stack) - 1 or (tag == "body" and not held):
                 self._flush()
                 self._pop(k)
 
@@ -165,29 +224,25 @@ class Lines(HTMLParser):
         if block:
             self._flush()
             # a block ends an open paragraph, and a list item or cell ends its predecessor
-            ends = CLOSES.get(tag, frozenset()) | {"p"}
-            for k in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[k][0]
-                if name in ends:
-                    self._pop(k)
-                    break
-                if name not in INLINE and name != "p" and not (name in ("td", "th") and tag == "tr"):
-                    break
+            if self.blocks and self.stack[self.blocks[-1]][0] in CLOSES.get(tag, frozenset()) | {"p"}:
+                self._pop(self.blocks[-1])
         if tag in VOID:
             return
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         kind = mark_of(tag, attrs)
         # an inline element is a small part of its line; in headings and code, names mean other things
-        out = tag in DROPPED or hidden or (not block and kind in ("strong", "comments") and not any(name in HEADINGS or name in ("pre", "code") for name, _, _ in self.stack))
+        out = tag in DROPPED or hidden or (not block and kind in ("strong", "comments") and not self.literal)
         number = -1
         if block:
             number = len(self.names)
             self.names.append(tag)
+            self.lo.append(len(self.lines))
+            self.hi.append(len(self.lines))
             if kind:
                 self.marks[number] = kind
         elif out:
             self._flush()
-        self.stack.append((tag, number, out))
+        self._push(tag, number, out)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -196,29 +251,30 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            name, number, out = self.stack[k]
-            if name == tag:
-                if number >= 0 or out:
-                    self._flush()
-                self._pop(k)
-                return
-            if number >= 0 and name in _WIDE and tag in INLINE:
+        if self.open[tag]:
+            k = self.open[tag][-1]
+            if tag in INLINE and self.wide and self.wide[-1] > k:
                 return  # an inline end tag closes nothing beyond its region
-        if tag == "p" or tag not in INLINE:
+            if self.stack[k][1] >= 0 or self.stack[k][2]:
+                self._flush()
+            self._pop(k)
+        elif tag == "p" or tag not in INLINE:
             self._flush()
 
     def handle_data(self, data: str) -> None:
         if not data.isspace():
             self._end_head("")
         self.parts.append(data)
-        if any(name == "a" for name, _, _ in self.stack):
+        if self.open["a"]:
             self.linked += len("".join(data.split()))
 
-    def finish(self) -> list[Line]:
+    def page(self) -> Page:
+        """The lines outside elements that never belong to an article."""
         self.close()
         self._flush()
-        return self.lines
+        self._pop(0)
+        whole = Page(self.lines, self.names, self.marks, np.array(self.lo, np.int64), np.array(self.hi, np.int64))
+        return whole.only(np.array([not x.dropped for x in self.lines], bool))
 
 
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -237,9 +293,11 @@ def content_lines(lines: list[Line], sigma: float = 1.0) -> list[bool]:
     """Which lines form the high cluster of smoothed text-to-tag ratios.
 
     Starts from the mean as threshold and moves it halfway between the two
-    clusters' means until it stays (two-means in one dimension).
+    clusters' means until it stays (two-means in one dimension). A line whose own
+    ratio is below ``OWN`` of the threshold is not lifted above it by its neighbours.
     """
-    ratios = smooth([len(x.text) / max(1, x.tags) for x in lines], sigma)
+    own = [len(x.text) / max(1, x.tags) for x in lines]
+    ratios = smooth(own, sigma)
     if not ratios:
         return []
     cut = sum(ratios) / len(ratios)
@@ -252,11 +310,11 @@ def content_lines(lines: list[Line], sigma: float = 1.0) -> list[bool]:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return [r >= cut for r in ratios]
+    return [r >= cut and x >= OWN * cut for r, x in zip(ratios, own, strict=True)]
 
 
-def unmarked(parser: Lines, lines: list[Line], sigma: float, share: float) -> list[Line]:
-    """``lines`` without those of marked elements that are boilerplate by their content too.
+def unmarked(page: Page, sigma: float, share: float) -> Page:
+    """``page`` without the lines of marked elements that are boilerplate by their content too.
 
     Outer elements are judged first. An element that holds half of the page's text, and
     ``share`` of it and what no mark holds, is a wrapper of the article and stays, unless
@@ -265,75 +323,83 @@ def unmarked(parser: Lines, lines: list[Line], sigma: float, share: float) -> li
     go if they are mainly links or have no content line, or, unless an id alone marks them, hold
     less than 1 - ``share`` of the content; those that an id alone marks stay if they have a heading.
     """
-    spans: dict[int, list[int]] = {}
-    for k, x in enumerate(lines):
-        for n in x.path:
-            if n in parser.marks:
-                spans.setdefault(n, [k, k])[1] = k + 1
+    lines = page.lines
+    spans = {n: (int(page.lo[n]), int(page.hi[n])) for n in page.marks if page.hi[n] > page.lo[n]}
     if not spans:
-        return lines
+        return page
     live = set(spans)
-    free: list[Line] = []
-
-    def outside() -> None:
-        free[:] = [x for x in lines if live.isdisjoint(x.path)]
-
-    outside()
-    total = sum(len(x.text) for x in lines)
-    content = content_lines(lines, sigma) if any(parser.marks[n].startswith("weak") for n in spans) else []
-    weight = sum(len(x.text) for x, c in zip(lines, content, strict=False) if c)
-    out = bytearray(len(lines))
+    cover = np.zeros(len(lines), np.int64)  # live marked elements around each line
+    for lo, hi in spans.values():
+        cover[lo:hi] += 1
+    size_of = np.array([len(x.text) for x in lines])
+    content = np.array(content_lines(lines, sigma)) if any(page.marks[n].startswith("weak") for n in spans) else np.zeros(len(lines), bool)
+    sums = lambda x: np.concatenate(([0], np.cumsum(x))).tolist()
+    sizes, links, helds = sums(size_of), sums([x.linked for x in lines]), sums(size_of * content)
+    ranked, prose = sums([x.rank > 0 for x in lines]), sums([x.rank > 0 or x.is_prose for x in lines])
+    article = page.within("article", "main")
+    total, weight = sizes[-1], helds[-1]
+    out = np.zeros(len(lines), bool)
     for n in sorted(spans):
         lo, hi = spans[n]
         if out[lo]:
             continue  # inside one that goes
-        kind, own = parser.marks[n], lines[lo:hi]
-        size = sum(len(x.text) for x in own)
+        kind, size = page.marks[n], sizes[hi] - sizes[lo]
         if kind.startswith("weak"):
-            held = sum(len(x.text) for x, c in zip(own, content[lo:hi], strict=True) if c)
-            links = 2 * sum(x.linked for x in own) > size
-            go = links or not held or held < (1 - share) * weight
+            held = helds[hi] - helds[lo]
+            go = 2 * (links[hi] - links[lo]) > size or not held or held < (1 - share) * weight
             if kind == "weak-id":
-                go = links or (not held and not any(x.rank for x in own))
+                go = 2 * (links[hi] - links[lo]) > size or (not held and ranked[hi] == ranked[lo])
         else:
             go = 2 * size < total
             if not go:
-                live.discard(n)
-                outside()
-                rest = [x for x in free if n not in x.path]
-                left = sum(len(x.text) for x in rest)
-                go = size < share * (size + left) or any(parser.names[m] in ("article", "main") for x in rest for m in x.path)
+                if n in live:
+                    live.discard(n)
+                    cover[lo:hi] -= 1
+                rest = cover == 0
+                rest[lo:hi] = False
+                left = int(size_of[rest].sum())
+                go = size < share * (size + left) or bool(article[rest].any())
                 go = go or (kind == "comments" and left > 0)
-                go = go or (kind == "form" and not any(x.rank or len(x.text.split()) >= PROSE for x in own))
+                go = go or (kind == "form" and prose[hi] == prose[lo])
         if go:
-            out[lo:hi] = b"\1" * (hi - lo)
-            live.add(n)
-        else:
+            out[lo:hi] = True
+            if n not in live:
+                live.add(n)
+                cover[lo:hi] += 1
+        elif n in live:
             live.discard(n)
-        if 2 * size >= total:
-            outside()
-    return [x for x, o in zip(lines, out, strict=True) if not o]
+            cover[lo:hi] -= 1
+    return page.only(~out)
 
 
-def region(lines: list[Line], content: list[bool], names: list[str]) -> list[Line]:
-    """The lines of the article, given which lines are content and the element names by number."""
+def region(page: Page, content: list[bool]) -> list[Line]:
+    """The lines of the article, given which lines are content."""
+    lines = page.lines
+    if not lines:
+        return []
     # a few very long lines raise the threshold above short paragraphs, so prose counts as well
-    chosen = [(c or len(x.text.split()) >= PROSE) and not x.is_links for x, c in zip(lines, content, strict=True)]
-    if not any(chosen):
-        chosen = content
+    chosen = np.array([(c or x.is_prose) and not x.is_links for x, c in zip(lines, content, strict=True)], bool)
+    if not chosen.any():
+        chosen = np.array(content, bool)
+    size_of = np.array([len(x.text) for x in lines])
     for kind in ("article", "main"):
-        within = [any(names[n] == kind for n in x.path) for x in lines]
-        held = sum(len(x.text) for x, c, w in zip(lines, chosen, within, strict=True) if c and w)
-        if any(within) and 2 * held >= sum(len(x.text) for x, c in zip(lines, chosen, strict=True) if c):
-            taken = [c or w for c, w in zip(chosen, within, strict=True)]
+        within = page.within(kind)
+        if within.any() and 2 * size_of[chosen & within].sum() >= size_of[chosen].sum():
+            taken = chosen | within
             for k in range(len(lines) - 2, -1, -1):  # a heading goes with what it heads
                 after = lines[k + 1]
                 taken[k] |= bool(lines[k].rank) and taken[k + 1] and (not after.rank or after.rank > lines[k].rank)
             return [x for x, t in zip(lines, taken, strict=True) if t]
-        chosen = [c or w for c, w in zip(chosen, within, strict=True)]
-    held = Counter(n for x, c in zip(lines, chosen, strict=True) if c for n in x.path if names[n] in CONTAINERS)
-    whole = max((n for n, k in held.items() if k == sum(chosen)), default=None)
-    return [x for x in lines if whole is None or whole in x.path]
+        chosen = chosen | within
+    held = np.concatenate(([0], np.cumsum(chosen)))
+    whole = np.flatnonzero(held[page.hi] - held[page.lo] == held[-1])
+    holder = next((n for n in whole[::-1].tolist() if page.names[n] in CONTAINERS), None)
+    if holder is None or not held[-1]:
+        return lines
+    lo, hi = int(page.lo[holder]), int(page.hi[holder])
+    while lo and lines[lo - 1].rank and (not lines[lo].rank or lines[lo].rank > lines[lo - 1].rank):
+        lo -= 1  # so does the heading before a region
+    return lines[lo:hi]
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
@@ -341,17 +407,20 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     if not html:
         return ""
     parser = Lines()
-    last = html.rfind("<")
-    cut = last > html.rfind(">") and _OPEN_TAG.match(html, last)
-    parser.feed(html[:last] if cut else html)  # a tag that the end of the page cuts off is no text
-    lines = unmarked(parser, [x for x in parser.finish() if not x.dropped], sigma, share)
-    return "\n\n".join(x.text for x in region(lines, content_lines(lines, sigma), parser.names))
+    # a tag or comment that the end of the page cuts off is no text, and what follows its start belongs to it
+    cut = _OPEN_TAG.search(html, html.rfind(">") + 1)
+    html = html[: cut.start()] if cut else html
+    comment = html.find("<!--", html.rfind("-->") + 1)
+    parser.feed(html[:comment] if comment >= 0 else html)
+    page = unmarked(parser.page(), sigma, share)
+    return "\n\n".join(x.text for x in region(page, content_lines(page.lines, sigma)))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", sigma: float = 1.0) -> DataFrame:
     """``pages`` with ``text`` (main text, '' if none) and ``n_chars`` (its code points) added.
 
-    A null page gives an empty text; every row gives a row, repeated ones too.
+    A null page gives an empty text; every row gives a row, repeated ones too. Pages are
+    read whole, however long or deeply nested; the time is in proportion to their length.
     Columns of ``pages`` named text or n_chars are replaced. Empty tables give no rows.
     """
 

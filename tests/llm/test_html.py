@@ -1,8 +1,11 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomgrain.llm import html_extract
 from loomgrain.llm.html_extract import content_lines, extract_main_text, main_text, smooth
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
@@ -25,7 +28,7 @@ def test_article_alone():
         (None, ""), ("", ""), ("   ", ""), ("<p></p>", ""), ("plain <b>bold</b>", "plain bold"), ("<p>only", "only"),
         ("<div><p>One two.<p>Three four.</div><form>f</form>", "One two.\n\nThree four."),
         ("<article>a &lt;b&gt; &#233;&nbsp;c</article>", "a <b> é c"),
-        ("<article><p>cut &am", "cut &am"), ("<article><p>cut <a hr", "cut"), ("<article>x<!-- y -->z</article>", "xz"),
+        ("<article><p>cut &am", "cut &am"), ("<article><p>cut <a hr", "cut"), ("<article>x<!-- y -->z</article>", "xz"), ("<p>x<!-- y <p>z</p>", "x"), ("<p>x <a href='y <b z", "x"),
         ("<nav>menu</nav>", ""), ("<p>a</div></p><p>b</p>", "a\n\nb"), ("< 3 and 4 > 2", "< 3 and 4 > 2"),
         ("<html><head><title>T</title><body><p>text</p>", "text"), ("<head><title>T</title>\n<p>text</p>", "text"), ("<head><meta name=a> text", "text"), ("<head><a href=x>text</a> too", "text too"),
         ("<head><noscript><p>n</p></noscript><style>s</style><title>T</title></head><body>text", "text"), ("<head><template><p>n</p></template><body><p>text", "text"), ("<head><noscript><p>n<body><p>text", "text"),
@@ -86,6 +89,60 @@ def test_very_long_page():
     assert main_text("<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>") == "\n\n".join(blocks)
 
 
+@pytest.mark.parametrize("make", [
+    lambda n: "<div>x" * n, lambda n: "<i>" * n + "<p>a</p>" * n, lambda n: "<b><article>" + "<i>" * n + "x</b>" * n, lambda n: '<div class="ad">word ' * n + "</div>" * n,
+    lambda n: "<div><p>Some words of a text that are content here, ten of them.</p>" * n, lambda n: "<!--" * n, lambda n: "<a href='" * n, lambda n: "<ul><li>" * n, lambda n: "<head><template>" * n,
+])
+def test_time_is_in_proportion(make):
+    """Nested, unclosed and marked elements: four times as many take about four times as long."""
+
+    def seconds(n):
+        start = time.perf_counter()
+        main_text(make(n))
+        return time.perf_counter() - start
+
+    assert min(seconds(32_000) for _ in range(2)) < 10 * max(seconds(8_000), 0.03)
+
+
+def prose(rng, n):
+    return " ".join(rng.choices("the a river stone house walks over under green old slowly bread wind and of to".split(), k=n)).capitalize() + "."
+
+
+def made_page(seed):
+    """A page without article or main, and the text that a reader would call its article. Layouts, tags and sizes vary."""
+    rng = random.Random(seed)
+    title, blocks, html = prose(rng, 4), [], []
+    for _ in range(rng.randint(4, 9)):
+        kind = rng.random()
+        if kind < 0.7:
+            text = prose(rng, rng.randint(25, 90))
+            blocks.append(text)
+            html.append(f"<p>{text.replace('river', '<em>river</em>')}</p>")
+        elif kind < 0.85:
+            items = [prose(rng, rng.randint(12, 20)) for _ in range(3)]
+            blocks += items
+            html.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+        else:
+            blocks.append(quote := prose(rng, 30))
+            html.append(f"<blockquote>{quote}</blockquote>")
+    body = "".join(html)
+    menu = "".join(f"<li><a href=/{k}>{prose(rng, 2)}</a></li>" for k in range(rng.randint(4, 12)))
+    short = "".join(f"<tr><td>{prose(rng, 1)}<td><b>{k}</b>" for k in range(rng.randint(3, 8)))
+    top, low = f"<div><ul>{menu}</ul></div>", f"<div><table>{short}</table></div>"
+    wrap = [f"<div><h1>{title}</h1>{body}</div>", f"<div><div><h1>{title}</h1></div><section>{body}</section></div>", f"<table><tr><td><h1>{title}</h1>{body}</table>", f"<center><h1>{title}</h1>{body}</center>"][seed % 4]
+    page = [f"<body>{top}{wrap}{low}</body>", f"<body>{low}{top}{wrap}</body>", f"<body>{wrap}{top}{low}</body>"][seed % 3]
+    return page, "\n\n".join([title, *blocks])
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_pages_without_article(seed, monkeypatch):
+    """No tag or class tells the article, so the clustering of lines decides: switched off, menus and tables come along."""
+    page, want = made_page(seed)
+    assert main_text(page) == want
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines, sigma=1.0: [True] * len(lines))
+    assert main_text(page) != want
+
+
 def test_smoothing_keeps_constants():
     assert smooth([3.0] * 9) == pytest.approx([3.0] * 9)
     assert content_lines([]) == []
