@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgrain.llm.mixing import mix_sources, ranked, sainte_lague
+from loomgrain.llm.mixing import _each_copy, mix_sources, ranked, sainte_lague
 
 
 def highest_quotients(votes, total):
@@ -79,3 +79,13 @@ def test_ranks(spark):
     df = spark.createDataFrame([(x,) for x in ("b", "a", None, "é", "Z")], "s string")
     rows = ranked(df, [F.col("s").isNull(), F.col("s")], "t").orderBy("idx").collect()
     assert [(r.s, r.idx) for r in rows] == [("Z", 0), ("a", 1), ("b", 2), ("é", 3), (None, 4)]
+
+
+def test_repeated_rows_are_dealt_in_blocks(spark):
+    rows = spark.createDataFrame([("a", 1, 7), ("b", 2, 3), ("c", 3, 1), (None, 4, 4)], "key string, size int, copies long")
+    got = _each_copy(rows, block=3).groupBy("key", "size", "copies").agg(F.collect_set("copy").alias("own"), F.count("*").alias("n")).collect()
+    assert len(got) == 4 and all(sorted(r.own) == list(range(r.copies)) and r.n == r.copies for r in got)
+    docs = docs_of(spark, [(7, "a", "one two three", "x", "y")]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("n")
+    got = mix_sources(docs.unionByName(docs_of(spark, [(8, "b", "four", "x", "y")])), shard_rows=100).collect()
+    assert len(got) == 2001 and abs(sum(r.taken for r in got if r.doc_id == 7) - next(r.target for r in got if r.doc_id == 7)) <= 16
+    assert all(r.taken <= 2 * r.size for r in got)
