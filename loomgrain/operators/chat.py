@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrain.functions.text import basename, cut_follow_ups
+from loomgrain.functions.text import basename, cut_follow_ups, is_greeting
 
 #: What the assistant is told before anything else; callers pass their own.
 BASE_PROMPT = "You answer questions about the given files. Use the context, prefer the pinned context, and say so when it has no answer."
@@ -99,6 +99,36 @@ def system_message(context: Column, pinned: Column | None = None, instruction: C
     )
 
 
+def model_messages(system: DataFrame, history: DataFrame, question: DataFrame) -> DataFrame:
+    """(conv_id, position, role, content) for a model: system messages (conv_id, content), then the turns of ``history``, then the question.
+
+    ``history`` is what ``history_window`` gives; the question (conv_id, content)
+    gets the request for follow-ups.
+    """
+    first = system.select("conv_id", F.lit(0).alias("_part"), F.lit(0).cast("long").alias("turn"), F.lit("system").alias("role"), "content")
+    turns = history.select("conv_id", F.lit(1).alias("_part"), F.col("turn").cast("long"), "role", "content")
+    last = question.select("conv_id", F.lit(2).alias("_part"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat("content", F.lit(FOLLOW_UP_REQUEST)).alias("content"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("_part", "turn")) - 1
+    return first.unionByName(turns).unionByName(last).select("conv_id", place.alias("position"), "role", "content")
+
+
+#: Replies to a greeting; callers pass their own.
+GREETINGS = ("Hello! What would you like to know about these files?", "Hi! Ask me anything about this workspace.", "Hey! Where shall we start?")
+
+
+def greeting_reply(question: Column, history_turns: Column, seed: Column, replies: tuple[str, ...] = GREETINGS) -> Column:
+    """A reply without search or model where a conversation starts with a greeting, else null; ``seed`` picks which."""
+    pick = F.get(F.array(*map(F.lit, replies)), F.pmod(seed, F.lit(len(replies))).cast("int"))
+    return F.when(is_greeting(question) & (F.coalesce(history_turns, F.lit(0)) == 0), pick)
+
+
+def proposed_edits(text: Column) -> Column:
+    """Array of (filePath, newContent): the JSON blocks of an answer that have both."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```json\s*\n(.*?)```"), 1)
+    read = lambda b: F.struct(F.get_json_object(b, "$.filepath").alias("filePath"), F.get_json_object(b, "$.newContent").alias("newContent"))
+    return F.filter(F.transform(blocks, read), lambda e: e["filePath"].isNotNull() & e["newContent"].isNotNull())
+
+
 def git_block(branch: str, files: list[str], diff: str, commits: list[str]) -> str:
     """What a prompt says of a repository's state."""
     rows = [

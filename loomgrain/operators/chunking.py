@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import bisect
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -78,16 +78,46 @@ class Symbol:
 
 
 def python_symbols(source: str) -> list[Symbol]:
-    """Functions and classes; decorators don't belong to them. A file that does not parse has none."""
+    """Functions and classes; decorators don't belong to them. A file that does not parse is read by its indentation."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return indented_symbols(source)
     kinds = {ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "function_definition", ast.ClassDef: "class_definition"}
     found = [Symbol(kinds[type(n)], n.name, n.lineno - 1, n.end_lineno - 1) for n in ast.walk(tree) if type(n) in kinds]
     return sorted(found, key=lambda s: (s.start, -s.end))
 
 
+_DEFINITION = re.compile(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)")
+
+
+def indented_symbols(source: str) -> list[Symbol]:
+    """Functions and classes of a Python file with errors: each goes on while lines are blank or indented more than its first."""
+    depth = lambda s: len(s.expandtabs(8)) - len(s.expandtabs(8).lstrip(" "))
+    own = source.split("\n")
+    found: list[Symbol] = []
+    open_symbols: list[tuple[int, int, str, str]] = []  # indentation, first line, kind and name
+    last = -1  # the last line that is not blank
+
+    def close(upto: int) -> None:
+        while open_symbols and open_symbols[-1][0] >= upto:
+            _, start, kind, name = open_symbols.pop()
+            found.append(Symbol(kind, name, start, last))
+
+    for k, text in enumerate(own):
+        if not text.strip():
+            continue
+        m = _DEFINITION.match(text)
+        # what closes brackets of a definition that goes on over several lines doesn't end it
+        if m or not text.lstrip().startswith((")", "]", "}")):
+            close(depth(text))
+        if m:
+            open_symbols.append((depth(text), k, "class_definition" if m[2] == "class" else "function_definition", m[3]))
+        last = k
+    close(-1)
+    return sorted(found, key=lambda s: (s.start, -s.end))
+
+
 #: What may stand before a declaration that braces enclose: pattern with its name, and kind.
 _RUST = [
     (r"(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*fn\s+(\w+)", "function_item"),
@@ -139,35 +169,42 @@ CHUNKERS: dict[str, Callable[[str], list[Symbol]]] = {
     **dict.fromkeys(("ts", "tsx", "js", "jsx"), lambda s: brace_symbols(s, rust=False)),
 }
 
-SYMBOLS = "workspaceId string, filePath string, chunkIndex int, lineRangeStart int, lineRangeEnd int, document string, kind string, name string"
+_SYMBOL = "array<struct<chunkIndex: int, lineRangeStart: int, lineRangeEnd: int, document: string, kind: string, name: string>>"
 
 
-def semantic_chunks(files: DataFrame) -> DataFrame:
-    """Symbols of at least four lines in source files, outer ones first; both a symbol and those inside it are chunks.
-
-    Line ranges are inclusive. The parser sees one file at a time.
-    """
+def symbols_of(path: Column, content: Column) -> Column:
+    """Array of the symbols of at least four lines in a source file, outer ones first; empty for other files. Line ranges are inclusive."""
     chunkers = dict(CHUNKERS)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for ws, path, content in batch.itertuples(index=False):
-                chunker = chunkers.get(path.rsplit(".", 1)[-1])
-                own = (content or "").split("\n")
-                kept = [s for s in (chunker(content or "") if chunker else []) if s.end - s.start >= MIN_SPAN]
-                out += [(ws, path, k, s.start, s.end, "\n".join(own[s.start : s.end + 1]), s.kind, s.name) for k, s in enumerate(kept)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
+    @F.pandas_udf(_SYMBOL)
+    def parse(paths: pd.Series, contents: pd.Series) -> pd.Series:
+        out = []
+        for path, text in zip(paths, contents, strict=True):
+            chunker = chunkers.get(path.rsplit(".", 1)[-1]) if text else None
+            own = text.split("\n") if chunker else []
+            kept = [s for s in chunker(text) if s.end - s.start >= MIN_SPAN] if chunker else []
+            out.append([(k, s.start, s.end, "\n".join(own[s.start : s.end + 1]), s.kind, s.name) for k, s in enumerate(kept)])
+        return pd.Series([[dict(zip(("chunkIndex", "lineRangeStart", "lineRangeEnd", "document", "kind", "name"), r, strict=True)) for r in rows] for rows in out], dtype=object)
 
-    code = files.where(extension(F.col("file_path")).isin(list(chunkers)))
-    return code.select("workspaceId", "file_path", "content").mapInPandas(parse, SYMBOLS)
+    code = extension(path).isin(list(chunkers))
+    return parse(F.when(code, path).otherwise(""), F.when(code, content))  # other files' texts stay out of Python
+
+
+_CHUNK = ["chunkIndex", "lineRangeStart", "lineRangeEnd", "document", "kind", "name"]
+
+
+def semantic_chunks(files: DataFrame) -> DataFrame:
+    """Symbols of source files; both a symbol and those inside it are chunks."""
+    rows = files.where(extension(F.col("file_path")).isin(list(CHUNKERS)))
+    rows = rows.select("workspaceId", F.col("file_path").alias("filePath"), F.explode(symbols_of(F.col("file_path"), F.col("content"))).alias("c"))
+    return rows.select("workspaceId", "filePath", *[f"c.{c}" for c in _CHUNK])
 
 
 def chunks(files: DataFrame) -> DataFrame:
-    """Semantic chunks where a file has any, line windows elsewhere."""
-    symbols = semantic_chunks(files)
-    has = symbols.select("workspaceId", F.col("filePath").alias("file_path")).distinct()
-    rest = files.join(has, ["workspaceId", "file_path"], "left_anti")
-    windows = line_chunks(rest).drop("id").withColumns({"kind": F.lit(None).cast("string"), "name": F.lit(None).cast("string")})
-    both = symbols.unionByName(windows)
+    """Semantic chunks where a file has any, line windows elsewhere. Each file is parsed once, where it is."""
+    rows = files.select("workspaceId", F.col("file_path").alias("filePath"), "content", symbols_of(F.col("file_path"), F.col("content")).alias("symbols"))
+    none = F.lit(None).cast("string")
+    windows = F.transform(line_windows(F.col("content")), lambda w: F.struct(*[w[c].alias(c) for c in _CHUNK[:4]], none.alias("kind"), none.alias("name")))
+    each = F.explode(F.when(F.size("symbols") > 0, F.col("symbols")).otherwise(windows))
+    both = rows.select("workspaceId", "filePath", each.alias("c")).select("workspaceId", "filePath", *[f"c.{c}" for c in _CHUNK])
     return both.withColumn("id", chunk_id("workspaceId", "filePath", "chunkIndex"))

@@ -6,13 +6,14 @@ import hashlib
 import json
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 
 BATCH = 8
@@ -62,13 +63,20 @@ class HttpEmbedder:
         return [self._post("/api/embeddings", {"model": self.model, "prompt": t})["embedding"] for t in texts]
 
 
-def embedded(chunks: DataFrame, embedder: Embedder, text_col: str = "document", batch: int = BATCH) -> DataFrame:
-    """``chunks`` with ``vector``. A task sends ``batch`` texts a call; ``coalesce`` the input to bound the calls in flight."""
+def embedded(chunks: DataFrame, embedder: Embedder, text_col: str = "document", batch: int = BATCH, counter: Accumulator | None = None) -> DataFrame:
+    """``chunks`` with ``vector``. A task sends ``batch`` texts a call; ``coalesce`` the input to bound the calls in flight.
+
+    ``counter`` counts the chunks embedded, those of repeated tasks again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(text_col).to_pylist()]
-            vectors = [v for k in range(0, len(texts), batch) for v in embedder.embed(texts[k : k + batch])]
+            vectors = []
+            for k in range(0, len(texts), batch):
+                vectors += embedder.embed(texts[k : k + batch])
+            if counter is not None:
+                counter.add(len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], [*b.schema.names, "vector"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
@@ -79,3 +87,17 @@ def embedded(chunks: DataFrame, embedder: Embedder, text_col: str = "document",
 def query_vector(embedder: Embedder, query: str) -> tuple[float, ...]:
     """Vector of a query text; the last hundred are kept."""
     return tuple(embedder.embed([query])[0])
+
+
+def hypothetical_vector(embedder: Embedder, query: str, answer: Callable[[str], str] | None = None) -> tuple[float, ...]:
+    """Vector of a made-up answer to the query, which is nearer to texts that hold the real one; of the query itself if there is none.
+
+    ``answer`` is any model that writes a short answer; it may fail or be missing.
+    """
+    text = ""
+    if answer is not None:
+        try:
+            text = answer(query) or ""
+        except (OSError, ValueError, RuntimeError):
+            text = ""
+    return query_vector(embedder, text if text.strip() else query)

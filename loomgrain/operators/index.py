@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,58 +42,163 @@ def without_files(rows: DataFrame, doomed: DataFrame) -> DataFrame:
 class IndexStore:
     """Chunks, edges and the manifest under one folder.
 
-    Chunks are partitioned by vector length and workspace, so a search reads one
-    length and the wanted workspaces. A change writes a new version beside the old
-    and moves the pointer last: a run that fails leaves the old version readable.
+    Rows lie in ``buckets`` by a hash of their file, and in those chunks are
+    partitioned by vector length and workspace, so a search reads one length and
+    the wanted workspaces. A change rewrites the buckets of the files that it
+    touches, beside the old ones, and one pointer for all three tables moves last:
+    a run that fails leaves the old state readable. ``vacuum`` deletes what no
+    recent pointer names. One writer at a time; a second one fails at the pointer.
     """
 
     spark: SparkSession
     root: str
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}.current"
-
-    def _read(self, name: str) -> DataFrame | None:
+    buckets: int = 16
+
+    def _fs(self, path: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+    def _names(self, path: str) -> list[str]:
+        fs, where = self._fs(path)
+        return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+    def _pointers(self) -> list[int]:
+        return sorted(int(n.split(".")[0]) for n in self._names(f"{self.root}/pointers") if n.endswith(".json"))
+
+    def state(self, number: int | None = None) -> dict:
+        """What the newest pointer, or that of the number, says: for each table its schema and the version that each bucket is in."""
+        known = self._pointers()
+        if not known:
+            return {"number": 0, "buckets": self.buckets, "tables": {}}
+        fs, path = self._fs(f"{self.root}/pointers/{(number or known[-1]):012}.json")
+        stream = fs.open(path)
         try:
-            current = json.loads(self.spark.read.text(self._pointer(name)).first()[0])
-        except AnalysisException:  # nothing stored yet
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def _point(self, state: dict) -> None:
+        state = state | {"number": state["number"] + 1}
+        fs, new = self._fs(f"{self.root}/pointers/{uuid.uuid4().hex}.new")
+        out = fs.create(new)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        _, place = self._fs(f"{self.root}/pointers/{state['number']:012}.json")
+        if fs.exists(place) or not fs.rename(new, place):
+            fs.delete(new, False)
+            raise RuntimeError("another writer has changed the index")
+
+    def _read(self, name: str, state: dict, only: list[int] | None = None) -> DataFrame | None:
+        known = state["tables"].get(name)
+        if known is None:
             return None
-        schema = StructType.fromJson(current["schema"])  # an empty version has no file to take it from
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{current['version']}")
-
-    def _write(self, name: str, df: DataFrame, by: list[str]) -> None:
+        schema = StructType.fromJson(known["schema"])
+        parts: dict[str, list[str]] = {}
+        for bucket, version in known["parts"].items():
+            if only is None or int(bucket) in only:
+                parts.setdefault(version, []).append(f"{self.root}/{name}/{version}/_bucket={bucket}")
+        out = None
+        for version, paths in sorted(parts.items()):
+            some = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}/{version}").parquet(*paths)
+            out = some if out is None else out.unionByName(some)
+        out = out if out is not None else self.spark.createDataFrame([], schema)
+        return out.drop("_bucket")
+
+    def _bucket(self, workspace: str, path: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(workspace, path), F.lit(buckets)).cast("int").alias("_bucket")
+
+    def _replaced(self, name: str, state: dict, doomed: DataFrame, touched: list[int], new: DataFrame, by: list[str]) -> dict:
+        """The table's entry in the pointer after a rewrite of the touched buckets."""
+        old = self._read(name, state, touched)
+        rows = without_files(old, doomed).unionByName(new.select(*old.columns)) if old is not None else new
+        rows = rows.withColumn("_bucket", self._bucket("workspaceId", "filePath", state["buckets"]))
         version = uuid.uuid4().hex
-        df.write.partitionBy(*by).parquet(f"{self.root}/{name}/{version}")
-        current = json.dumps({"version": version, "schema": df.schema.jsonValue()})
-        self.spark.createDataFrame([(current,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        rows.repartition("_bucket", *by).write.partitionBy("_bucket", *by).parquet(f"{self.root}/{name}/{version}")
+        parts = {b: v for b, v in state["tables"].get(name, {"parts": {}})["parts"].items() if int(b) not in touched}
+        parts |= {n.split("=")[1]: version for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("_bucket=")}
+        return {"schema": rows.schema.jsonValue(), "parts": parts}
 
     def chunks(self) -> DataFrame | None:
-        return self._read("chunks")
+        return self._read("chunks", self.state())
 
     def edges(self) -> DataFrame | None:
-        return self._read("edges")
+        return self._read("edges", self.state())
 
-    def replace_files(self, doomed: DataFrame, chunks: DataFrame, edges: DataFrame | None = None) -> None:
-        """Delete the rows of ``doomed`` files and append the new ones."""
+    def manifest(self, schema: StructType) -> DataFrame:
+        version = self.state().get("manifest")
+        return self.spark.read.schema(schema).parquet(version) if version else self.spark.createDataFrame([], schema)
+
+    def replace_files(self, doomed: DataFrame, chunks: DataFrame, edges: DataFrame | None = None, manifest: DataFrame | None = None) -> None:
+        """Delete the rows of ``doomed`` files, append the new ones and take over the manifest, all at once."""
+        state = self.state()
         new = chunks.withColumn("dim", F.size("vector"))
-        old = self.chunks()
-        self._write("chunks", without_files(old, doomed).unionByName(new.select(*old.columns)) if old is not None else new, ["dim", "workspaceId"])
-        if edges is not None:
-            old = self.edges()
-            self._write("edges", without_files(old, doomed).unionByName(edges.select(*old.columns)) if old is not None else edges, ["workspaceId"])
+        keys = doomed.select("workspaceId", "filePath").unionByName(new.select("workspaceId", "filePath"))
+        touched = [r[0] for r in keys.select(self._bucket("workspaceId", "filePath", state["buckets"])).distinct().collect()]  # at most as many as there are buckets
+        tables = dict(state["tables"])
+        if touched:
+            tables["chunks"] = self._replaced("chunks", state, doomed, touched, new, ["dim", "workspaceId"])
+            if edges is not None:
+                tables["edges"] = self._replaced("edges", state, doomed, touched, edges, ["workspaceId"])
+        state = state | {"tables": tables}
+        if manifest is not None:
+            state["manifest"] = f"{self.root}/manifest/{uuid.uuid4().hex}"
+            manifest.write.parquet(state["manifest"])
+        self._point(state)
+
+    def reset(self) -> None:
+        """Forget all chunks, edges and manifest entries; the schemas stay. Files stay until ``vacuum``."""
+        state = self.state()
+        tables = {name: t | {"parts": {}} for name, t in state["tables"].items()}
+        self._point({k: v for k, v in state.items() if k != "manifest"} | {"tables": tables})
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete versions and pointers that none of the newest ``keep`` pointers need; returns how many versions went."""
+        known = self._pointers()
+        kept = known[-max(1, keep):]
+        used = set()
+        for number in kept:
+            state = self.state(number)
+            used |= {v for t in state["tables"].values() for v in t["parts"].values()} | {state.get("manifest", "").rsplit("/", 1)[-1]}
+        gone = 0
+        for name in ("chunks", "edges", "manifest"):
+            for version in self._names(f"{self.root}/{name}"):
+                if version not in used:
+                    fs, path = self._fs(f"{self.root}/{name}/{version}")
+                    gone += bool(fs.delete(path, True))
+        for number in known[: -len(kept)] if kept else []:
+            fs, path = self._fs(f"{self.root}/pointers/{number:012}.json")
+            fs.delete(path, False)
+        return gone
+
+    def discard(self, path: str) -> None:
+        """Delete a folder of intermediate tables."""
+        fs, where = self._fs(path)
+        fs.delete(where, True)
 
     def count(self) -> int:
         chunks = self.chunks()
         return 0 if chunks is None else chunks.count()
 
 
-def progress(chunk_counts: DataFrame, order: list[str]) -> DataFrame:
-    """``chunk_counts`` (file_path, n) with the chunks and files done after each file and the files' share by chunks.
+def progress(chunk_counts: DataFrame) -> DataFrame:
+    """``chunk_counts`` (file_path, n) with the chunks and files done after each file, in the order of paths, and the files' share by chunks.
 
-    The running sum is over one row a file.
+    Sums run within a folder, and those of the folders before it are added.
     """
-    w = Window.orderBy(*order)
-    done = chunk_counts.withColumns({"chunks_done": F.sum("n").over(w), "files_done": F.row_number().over(w)})
+    folder = F.regexp_extract("file_path", r"(?s)\A(.*/)?", 0)
+    rows = chunk_counts.withColumn("_folder", folder)
+    sums = rows.groupBy("_folder").agg(F.sum("n").alias("_chunks"), F.count("*").alias("_files"))
+    before = Window.orderBy("_folder").rowsBetween(Window.unboundedPreceding, -1)  # one row a folder
+    sums = sums.select(F.col("_folder").alias("_of"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_chunks", "_files")])
+    w = Window.partitionBy("_folder").orderBy("file_path")
+    done = rows.withColumns({"_c": F.sum("n").over(w), "_f": F.row_number().over(w)}).join(sums, F.col("_folder") == F.col("_of"))
     totals = chunk_counts.agg(F.sum("n").alias("all_chunks"), F.count("*").alias("all_files"))
+    done = done.select("file_path", "n", (F.col("_chunks_before") + F.col("_c")).alias("chunks_done"), (F.col("_files_before") + F.col("_f")).alias("files_done"))
     share = F.expr("CASE WHEN all_chunks > 0 THEN chunks_done * all_files DIV all_chunks ELSE all_files END")
-    return done.crossJoin(F.broadcast(totals)).withColumn("processed_files", share)
+    return done.crossJoin(F.broadcast(totals)).withColumn("processed_files", share)  # one row of totals
+
+
+def percent_done(done: int | None, total: int | None, least: int = 5) -> int:
+    """What a progress bar shows: a rounded percentage, at least ``least`` so that something moves."""
+    return max(least, math.floor(100 * done / total + 0.5) if done and total else 0)

@@ -6,37 +6,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Runs of word characters, of any script.
+_RUNS = r"(?U)(\w+)"
+
+
 def reference_edges(chunks: DataFrame) -> DataFrame:
-    """(workspaceId, filePath, fromName, toName, kind): a named chunk refers to another name of its file as a whole word.
+    """(workspaceId, filePath, id, fromName, toName, kind): a named chunk refers to another name of its file as a whole word.
 
-    Joins on the file; texts are first searched for the plain name. Edges are distinct for each chunk.
+    An equi-join of each chunk's distinct words with the names of its file, so the
+    work grows with the text and not with chunks times names. A name that is not
+    one word is looked up by its first word and then searched for; a name has a
+    word character. Edges are distinct for each chunk.
     """
     named = chunks.where("name IS NOT NULL AND name <> ''")
-    names = named.select("workspaceId", "filePath", F.col("name").alias("toName")).distinct()
-    pairs = named.select("workspaceId", "filePath", "id", F.col("name").alias("fromName"), "document").join(names, ["workspaceId", "filePath"])
-    word = F.concat(F.lit(r"(?U)\b\Q"), F.col("toName"), F.lit(r"\E\b"))
-    refers = (F.col("fromName") != F.col("toName")) & F.contains("document", "toName") & F.regexp_like("document", word)
-    return pairs.where(refers).select("workspaceId", "filePath", "id", "fromName", "toName", F.lit("reference").alias("kind"))
+    names = named.select(F.col("workspaceId").alias("_ws"), F.col("filePath").alias("_file"), F.col("name").alias("toName")).distinct()
+    names = names.withColumn("_word", F.regexp_extract("toName", _RUNS, 1)).where("_word <> ''")
+    words = F.explode(F.array_distinct(F.regexp_extract_all("document", F.lit(_RUNS), 1)))
+    # one long leads the comparison of keys; the strings decide
+    key = lambda ws, file, word: F.xxhash64(ws, file, word).alias("_key")
+    left = named.select("workspaceId", "filePath", "id", F.col("name").alias("fromName"), words.alias("word"), "document")
+    plain = names.where("_word = toName").select(key("_ws", "_file", "_word"), "_ws", "_file", "toName")
+    found = left.select(key("workspaceId", "filePath", "word"), "workspaceId", "filePath", "id", "fromName", "word")
+    found = found.join(plain, "_key").where("workspaceId = _ws AND filePath = _file AND word = toName AND fromName <> toName")
+    columns = ["workspaceId", "filePath", "id", "fromName", "toName"]
+    odd = names.where("_word <> toName").select(key("_ws", "_file", "_word"), "_ws", "_file", "_word", "toName")
+    whole = F.concat(F.lit(r"(?U)\b\Q"), F.col("toName"), F.lit(r"\E\b"))
+    other = left.select(key("workspaceId", "filePath", "word"), "*").join(odd, "_key").where("workspaceId = _ws AND filePath = _file AND word = _word AND fromName <> toName")
+    other = other.where(F.contains("document", "toName") & F.regexp_like("document", whole))
+    return found.select(*columns).unionByName(other.select(*columns)).withColumn("kind", F.lit("reference"))
 
 
-def graph_nodes(chunks: DataFrame, workspace: str | None = None) -> DataFrame:
-    """(name, kind, filePath): named chunks, one a name, that of the largest (filePath, chunkIndex, id)."""
+def graph_nodes(chunks: DataFrame, workspace: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(name, kind, filePath): named chunks, one a name, that of the largest (filePath, chunkIndex, id); for each value of ``by`` apart."""
     rows = chunks.where("name <> ''")
     if workspace is not None:
         rows = rows.where(F.col("workspaceId") == workspace)
     last = F.max(F.struct("filePath", "chunkIndex", "id", "kind")).alias("last")
-    return rows.groupBy("name").agg(last).select("name", "last.kind", "last.filePath")
+    return rows.groupBy(*by, "name").agg(last).select(*by, "name", "last.kind", "last.filePath")
 
 
 def graph_edges(edges: DataFrame, workspace: str | None = None) -> DataFrame:
-    """(fromName, toName, kind), repeated ones of different chunks included."""
+    """(workspaceId, fromName, toName, kind), repeated ones of different chunks included."""
     rows = edges if workspace is None else edges.where(F.col("workspaceId") == workspace)
-    return rows.select("fromName", "toName", "kind")
+    return rows.select("workspaceId", "fromName", "toName", "kind")
+
+
+def numbered(rows: DataFrame, order: str, name: str, by: tuple[str, ...] = (), lead: int = 3) -> DataFrame:
+    """``rows`` with ``name``, the place of each by the string ``order`` from 0, within each value of ``by``.
+
+    Rows are numbered among those whose ``order`` starts alike, and the numbers of
+    earlier starts are added, so that no task sorts all rows.
+    """
+    start = F.substring(order, 1, lead)
+    starts = rows.groupBy(*by, start.alias("_start")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = [F.col(f"_of_{c}").eqNullSafe(F.col(c)) for c in by] + [F.col("_of_start").eqNullSafe(F.col("_start"))]
+    starts = starts.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_start").alias("_of_start"), "_before")
+    nth = F.row_number().over(Window.partitionBy(*by, "_start").orderBy(order)) - 1
+    placed = rows.withColumn("_start", start).withColumn("_nth", nth).join(starts, same)
+    return placed.select(*[F.col(c) for c in rows.columns], (F.col("_before") + F.col("_nth")).alias(name))
 
 
-def graph_layout(nodes: DataFrame, columns: int = 5, dx: int = 200, dy: int = 150) -> DataFrame:
-    """(name, x, y, is_function): nodes on a grid in the order of their names; for drawing, so for as many as fit a screen."""
-    i = F.row_number().over(Window.orderBy("name")) - 1
-    return nodes.withColumn("i", i).select(
-        "name", ((F.col("i") % columns) * dx).alias("x"), (F.floor(F.col("i") / columns) * dy).alias("y"), F.contains("kind", F.lit("function")).alias("is_function")
+def graph_layout(nodes: DataFrame, columns: int = 5, dx: int = 200, dy: int = 150, by: tuple[str, ...] = ()) -> DataFrame:
+    """(name, x, y, is_function): nodes on a grid in the order of their names, a grid for each value of ``by``."""
+    i = F.col("i")
+    return numbered(nodes, "name", "i", by).select(
+        *by, "name", ((i % columns) * dx).cast("int").alias("x"), (F.floor(i / columns) * dy).alias("y"), F.contains("kind", F.lit("function")).alias("is_function")
     )

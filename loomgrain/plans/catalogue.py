@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,13 @@ from pyspark.sql import functions as F
 from loomgrain.functions import secrets as secret_rules
 from loomgrain.functions import text as tx
 from loomgrain.functions.vectors import quantised
-from loomgrain.operators import chat, chunking, index, relations, search
+from loomgrain.operators import chat, chunking, index, relations, search, workspaces
 from loomgrain.operators import timeline as tl
 from loomgrain.operators.embedding import HashEmbedder, embedded
 from loomgrain.sources import files as fs
 from loomgrain.sources import fixtures as fx
 from loomgrain.sources import services
+from loomgrain.sources.shared import shared_folder
 from loomgrain.streaming.watch import debounced
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,16 +157,29 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_HEADING = "(?is)(\\n|^)\\s*(FOLLOW_UP_SUGGESTIONS|Follow-up suggestions|Follow up suggestions|Follow-up question)s?\\s*:?\\s*(\\n|$).*"
+_HISTORY = f"""
+SELECT conv_id, turn, CASE WHEN lower(role) = 'assistant' THEN 'assistant' ELSE 'user' END AS role,
+  substr(CASE WHEN lower(role) = 'assistant' THEN regexp_replace(text, '{_HEADING}', '') ELSE text END, 1, 500) AS content
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back BETWEEN 2 AND 21"""
+
+
 @registered(
     _HYBRID
-    + f""", ctx AS (SELECT string_agg(concat('--- Context ', rank, ' ---', chr(10), document), chr(10) || chr(10) ORDER BY rank) AS c FROM hybrid)
-SELECT 0 AS position, 'system' AS role, concat({_quoted(chat.BASE_PROMPT)}, chr(10), chr(10), 'PINNED CONTEXT:', chr(10), 'None', chr(10), chr(10), 'CONTEXT:', chr(10), c) AS content FROM ctx
-UNION ALL SELECT 1, 'user', concat((SELECT text FROM benchmark ORDER BY item_id LIMIT 1), {_quoted(chat.FOLLOW_UP_REQUEST)})"""
+    + f""", ctx AS (SELECT string_agg(concat('--- Context ', rank, ' ---', chr(10), document), chr(10) || chr(10) ORDER BY rank) AS c FROM hybrid),
+parts AS (SELECT 0 AS part, 0 AS turn, 'system' AS role, concat({_quoted(chat.BASE_PROMPT)}, chr(10), chr(10), 'PINNED CONTEXT:', chr(10), 'None', chr(10), chr(10), 'CONTEXT:', chr(10), c) AS content FROM ctx
+UNION ALL SELECT 1, turn, role, content FROM ({_HISTORY}) WHERE conv_id = (SELECT min(conv_id) FROM conversations)
+UNION ALL SELECT 2, 0, 'user', concat((SELECT text FROM benchmark ORDER BY item_id LIMIT 1), {_quoted(chat.FOLLOW_UP_REQUEST)}))
+SELECT cast(row_number() OVER (ORDER BY part, turn) - 1 AS INTEGER) AS position, role, content FROM parts"""
 )
 def rag_messages(spark: SparkSession, d: str) -> DataFrame:
-    system = chat.context_block(_hybrid(spark, d)).select(F.lit(0).alias("position"), F.lit("system").alias("role"), chat.system_message(F.col("context")).alias("content"))
-    user = spark.createDataFrame([(1, "user", _first_text(spark, d) + chat.FOLLOW_UP_REQUEST)], "position int, role string, content string")
-    return system.unionByName(user)
+    """What a model gets: the found texts, the turns of the first conversation and the question."""
+    turns = fx.table(spark, d, "conversations")
+    conv = turns.agg(F.min("conv_id")).first()[0]
+    system = chat.context_block(_hybrid(spark, d)).select(F.lit(conv).alias("conv_id"), chat.system_message(F.col("context")).alias("content"))
+    question = fx.table(spark, d, "benchmark").orderBy("item_id").limit(1).select(F.lit(conv).alias("conv_id"), F.col("text").alias("content"))
+    history = chat.history_window(turns.where(F.col("conv_id") == conv))
+    return chat.model_messages(system, history, question).select("position", "role", "content")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,11 +260,12 @@ _LINES = "SELECT *, CASE WHEN list_extract(a, -1) = '' THEN a[1:len(a) - 1] ELSE
 @registered(f"""
 WITH l AS ({_LINES.format(fx.FILES)}),
 w AS (SELECT "workspaceId", file_path, cast(s AS INTEGER) AS "lineRangeStart", cast(least(s + 50, len(ls)) AS INTEGER) AS "lineRangeEnd", array_to_string(ls[s + 1:s + 50], chr(10)) AS document FROM l, range(0, len(ls), 40) r(s))
-SELECT "workspaceId", file_path AS "filePath", "lineRangeStart", "lineRangeEnd", md5(document) AS document_md5,
-  cast(row_number() OVER (PARTITION BY "workspaceId", file_path ORDER BY "lineRangeStart") - 1 AS INTEGER) AS "chunkIndex" FROM w WHERE regexp_matches(document, '\\S')""")
+SELECT *, sha256(concat("workspaceId", chr(31), "filePath", chr(31), "chunkIndex")) AS id FROM (
+  SELECT "workspaceId", file_path AS "filePath", "lineRangeStart", "lineRangeEnd", md5(document) AS document_md5,
+  cast(row_number() OVER (PARTITION BY "workspaceId", file_path ORDER BY "lineRangeStart") - 1 AS INTEGER) AS "chunkIndex" FROM w WHERE regexp_matches(document, '\\S'))""")
 def line_chunks(spark: SparkSession, d: str) -> DataFrame:
     found = chunking.line_chunks(fx.files(spark, d))
-    return found.select("workspaceId", "filePath", "lineRangeStart", "lineRangeEnd", F.md5("document").alias("document_md5"), "chunkIndex")
+    return found.select("workspaceId", "filePath", "lineRangeStart", "lineRangeEnd", F.md5("document").alias("document_md5"), "chunkIndex", "id")
 
 
 @registered(f"""
@@ -268,18 +282,33 @@ def read_slice(spark: SparkSession, d: str) -> DataFrame:
     return fx.files(spark, d).select("file_path", tx.read_slice(F.col("content"), 2, 6).alias("r")).select("file_path", "r.*")
 
 
-_CODE = {
-    "a.py": "import os\n\n\nclass Store:\n    def __init__(self):\n        self.rows = []\n        self.size = 0\n        self.open = True\n\n    def add(self, row):\n        self.rows.append(row)\n        self.size += 1\n        return load_rows(self)\n\n\ndef load_rows(store):\n    out = []\n    for r in store.rows:\n        out.append(r)\n    return out\n",
-    "b.rs": "pub struct Store {\n    rows: Vec<u8>,\n    size: usize,\n    open: bool,\n}\n\nimpl Store {\n    pub fn add(&mut self, row: u8) {\n        // { not a brace\n        self.rows.push(row);\n        self.size += 1;\n    }\n}\n",
-    "c.ts": "export class Store {\n  rows: string[] = [];\n  add(row: string): void {\n    this.rows.push(row);\n    const text = '}';\n    show(text);\n  }\n}\n",
-}
-
-
-@registered()
+#: A source file for each document by doc_id modulo 3; its symbols are (chunkIndex, first and last line, kind, name).
+_CODE = [
+    ("py", "import os\n\n\nclass C{id}:\n    def run(self):\n        # {md5}\n        a = 1\n        return a\n\n\ndef helper_{id}(x):\n    y = x\n    z = y\n    return z\n",
+     [(0, 3, 7, "class_definition", "C{id}"), (1, 4, 7, "function_definition", "run"), (2, 10, 13, "function_definition", "helper_{id}")]),
+    ("rs", "pub struct S{id} {\n    rows: Vec<u8>,\n    size: usize,\n    open: bool,\n}\n\nimpl S{id} {\n    pub fn add(&mut self, row: u8) {\n        // { {md5}\n        self.rows.push(row);\n        self.size += 1;\n    }\n}\n",
+     [(0, 0, 4, "struct_item", "S{id}"), (1, 6, 12, "impl_item", "S{id}"), (2, 7, 11, "function_item", "add")]),
+    ("ts", "export class T{id} {\n  rows: string[] = [];\n  add(row: string): void {\n    this.rows.push(row);\n    const text = '}{md5}';\n    show(text);\n  }\n}\n",
+     [(0, 0, 7, "class_declaration", "T{id}"), (1, 2, 6, "method_definition", None)]),
+]
+_FILLED = "replace(replace({0}, '{{id}}', cast(doc_id AS VARCHAR)), '{{md5}}', md5(text))"
+_SYMBOLS = " UNION ALL ".join(
+    f"""SELECT source AS "workspaceId", concat('f', doc_id, '.{ext}') AS "filePath", {k}::INTEGER AS "chunkIndex", {a}::INTEGER AS "lineRangeStart", {e}::INTEGER AS "lineRangeEnd", '{kind}' AS kind,
+  {_FILLED.format(_quoted(name)) if name else 'NULL::VARCHAR'} AS name, md5(array_to_string(string_split({_FILLED.format(_quoted(code))}, chr(10))[{a + 1}:{e + 1}], chr(10))) AS document_md5
+  FROM documents WHERE doc_id % 3 = {m}"""
+    for m, (ext, code, symbols) in enumerate(_CODE) for k, a, e, kind, name in symbols
+)
+
+
+@registered(_SYMBOLS)
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of three small source files, the fixtures having none."""
-    code = spark.createDataFrame([("w", p, c) for p, c in _CODE.items()], "workspaceId string, file_path string, content string")
-    return chunking.chunks(code).drop("id")
+    """Symbols of a source file for each document, the fixtures having none."""
+    n = (F.col("doc_id") % 3).cast("int")
+    pick = lambda own: F.get(F.array(*map(F.lit, own)), n)
+    code = F.replace(F.replace(pick([c for _, c, _ in _CODE]), F.lit("{id}"), F.col("doc_id").cast("string")), F.lit("{md5}"), F.md5("text"))
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), pick([e for e, _, _ in _CODE]))
+    files = fx.table(spark, d, "documents").select(F.col("source").alias("workspaceId"), path.alias("file_path"), code.alias("content"))
+    return chunking.chunks(files).withColumn("document_md5", F.md5("document")).drop("id", "document")
 
 
 @registered()
@@ -384,6 +413,35 @@ def index_count(spark: SparkSession, d: str) -> DataFrame:
     return fx.chunks(spark, d).where("vector IS NOT NULL").groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("chunks"))
 
 
+@registered(f"""SELECT "filePath", "chunkIndex", document_md5 FROM ({ORACLE_SQL['line_chunks']})""")
+def index_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What an index holds after two runs: the second finds new, changed and removed files and those of another model."""
+    store = index.IndexStore(spark, shared_folder(spark, "index"))
+    own = fx.files(spark, d)
+    keys = lambda df: df.select(F.col("workspace_id").alias("workspaceId"), F.col("file_path").alias("filePath"))
+    vector = F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>")
+    cut = lambda files: chunking.line_chunks(files).withColumn("vector", vector)
+    first = fx.manifest(spark, d)
+    before = own.where("doc_id % 5 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("old\n"), "content")).otherwise(F.col("content")))
+    gone = first.join(own, "file_path", "left_anti").select(F.col("workspace_id").alias("workspaceId"), "file_path", F.lit("gone").alias("content"))
+    store.replace_files(keys(first), cut(before.select(*gone.columns).unionByName(gone)), manifest=first.select(*fs.MANIFEST.fieldNames()))
+    known, now = store.manifest(fs.MANIFEST), _file_keys(spark, d)
+    wanted, doomed = index.needs_indexing(now, known, "m"), index.stale(known, now)
+    todo = own.join(wanted.select("file_path"), "file_path", "left_semi")
+    entries = wanted.select("workspace_id", "file_path", "mtime", F.lit(1).alias("chunk_count"), F.lit("m").alias("model"))
+    store.replace_files(keys(wanted).unionByName(keys(doomed)), cut(todo), manifest=index.upserted(known, entries, doomed))
+    return store.chunks().select("filePath", "chunkIndex", F.md5("document").alias("document_md5"))
+
+
+@registered(f"""
+WITH c AS (SELECT file_path, doc_id % 7 AS n, regexp_extract(file_path, '^.*/') AS folder FROM ({fx.FILES})),
+r AS (SELECT file_path, n, cast(sum(n) OVER (ORDER BY folder, file_path) AS BIGINT) AS chunks_done, row_number() OVER (ORDER BY folder, file_path) AS files_done,
+  cast(sum(n) OVER () AS BIGINT) AS all_chunks, count(*) OVER () AS all_files FROM c)
+SELECT *, CASE WHEN all_chunks > 0 THEN chunks_done * all_files // all_chunks ELSE all_files END AS processed_files FROM r""")
+def index_progress(spark: SparkSession, d: str) -> DataFrame:
+    return index.progress(fx.files(spark, d).select("file_path", (F.col("doc_id") % 7).alias("n")))
+
+
 # ---- secrets ----
 
 
@@ -451,13 +509,7 @@ def debounce_batch(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- conversations ----
 
-_HEADING = "(?is)(\\n|^)\\s*(FOLLOW_UP_SUGGESTIONS|Follow-up suggestions|Follow up suggestions|Follow-up question)s?\\s*:?\\s*(\\n|$).*"
-
-
-@registered(f"""
-SELECT conv_id, turn, CASE WHEN lower(role) = 'assistant' THEN 'assistant' ELSE 'user' END AS role,
-  substr(CASE WHEN lower(role) = 'assistant' THEN regexp_replace(text, '{_HEADING}', '') ELSE text END, 1, 500) AS content
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back BETWEEN 2 AND 21""")
+@registered(_HISTORY)
 def history_window(spark: SparkSession, d: str) -> DataFrame:
     return chat.history_window(fx.table(spark, d, "conversations"))
 
@@ -500,6 +552,23 @@ def greeting(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "conversations").select("conv_id", "turn", tx.is_greeting(F.col("text")).alias("greeting"))
 
 
+_REPLIES = ", ".join(_quoted(g) for g in chat.GREETINGS)
+
+
+@registered(f"""SELECT conv_id, turn, CASE WHEN turn = 0 AND (conv_id % 4 = 0 OR regexp_matches(text, {_quoted(tx.GREETING.replace(chr(92) + 'A', '^').replace(chr(92) + 'z', '$'))}))
+  THEN list_extract([{_REPLIES}], cast(conv_id % {len(chat.GREETINGS)} + 1 AS INTEGER)) END AS reply FROM conversations""")
+def greeting_reply(spark: SparkSession, d: str) -> DataFrame:
+    """Every message as a question after as many turns as it has before it; every fourth conversation says hello."""
+    asked = F.when(F.col("conv_id") % 4 == 0, "hello").otherwise(F.col("text"))
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", chat.greeting_reply(asked, F.col("turn"), F.col("conv_id")).alias("reply"))
+
+
+@registered("""SELECT conv_id, turn, CASE WHEN n > 10 AND back > 6 THEN 'summary' ELSE 'verbatim' END AS part FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)""")
+def summary_split(spark: SparkSession, d: str) -> DataFrame:
+    return workspaces.split_for_summary(fx.table(spark, d, "conversations")).select("conv_id", "turn", "part")
+
+
 @registered("""
 WITH a AS (SELECT conv_id, turn, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM conversations),
 b AS (SELECT conv_id, turn, list_transform(CASE WHEN list_extract(ls, -1) = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: trim(x)) AS ls FROM a),
@@ -542,17 +611,19 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return relations.graph_nodes(fx.named_lines(spark, d))
 
 
-@registered(ORACLE_SQL["reference_edges"].replace("SELECT c.\"workspaceId\", c.\"filePath\", c.id, c.name AS", "SELECT c.name AS").replace("WHERE c.name <>", "WHERE c.\"workspaceId\" = 'src1' AND c.name <>"))
+@registered(ORACLE_SQL["reference_edges"].replace("c.\"filePath\", c.id, c.name AS", "c.name AS"))
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return relations.graph_edges(relations.reference_edges(fx.named_lines(spark, d)), "src1")
+    return relations.graph_edges(relations.reference_edges(fx.named_lines(spark, d)))
 
 
 @registered(f"""
-WITH n AS (SELECT name, max_by(kind, {{'a': "filePath", 'b': "chunkIndex", 'c': id}}) AS kind FROM ({fx.LINES}) WHERE name <> '' AND "workspaceId" = 'src1' GROUP BY name),
-i AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS i FROM n)
-SELECT name, cast(i % 5 * 200 AS INTEGER) AS x, cast(i // 5 * 150 AS BIGINT) AS y, contains(kind, 'function') AS is_function FROM i""")
+WITH n AS (SELECT "workspaceId", name, max_by(kind, {{'a': "filePath", 'b': "chunkIndex", 'c': id}}) AS kind FROM ({fx.LINES}) WHERE name <> '' GROUP BY "workspaceId", name),
+i AS (SELECT *, row_number() OVER (PARTITION BY "workspaceId" ORDER BY name) - 1 AS i FROM n)
+SELECT "workspaceId", name, cast(i % 5 * 200 AS INTEGER) AS x, cast(i // 5 * 150 AS BIGINT) AS y, contains(kind, 'function') AS is_function FROM i""")
 def graph_layout(spark: SparkSession, d: str) -> DataFrame:
-    return relations.graph_layout(relations.graph_nodes(fx.named_lines(spark, d), "src1"))
+    """A grid for each workspace."""
+    by = ("workspaceId",)
+    return relations.graph_layout(relations.graph_nodes(fx.named_lines(spark, d), by=by), by=by)
 
 
 # ---- palette, edits and service answers ----
@@ -584,30 +655,48 @@ def diff_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Proposed edits in answers: JSON blocks with a path and the new content; every second message here has one."""
     body = F.to_json(F.struct(F.concat(F.lit("/f/"), F.col("turn").cast("string")).alias("filepath"), F.col("text").alias("newContent")))
     text = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("See:\n```json\n"), body, F.lit("\n```\nDone."))).otherwise(F.col("text"))
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```json\s*\n(.*?)```"), 1)
-    rows = fx.table(spark, d, "conversations").select("conv_id", "turn", F.explode(blocks).alias("b"))
-    found = rows.select("conv_id", "turn", F.get_json_object("b", "$.filepath").alias("filePath"), F.get_json_object("b", "$.newContent").alias("newContent"))
-    return found.where('filePath IS NOT NULL AND newContent IS NOT NULL')
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", F.explode(chat.proposed_edits(text)).alias("e")).select("conv_id", "turn", "e.*")
 
 
-_CATALOGUE = json.dumps({"data": [{"id": "a/one", "name": "One", "pricing": {"prompt": "0"}}, {"id": "b/two", "name": "Two", "pricing": {"prompt": "0.002"}}, {"id": "c/three", "name": "Three"}]})
+def _bodies(spark: SparkSession, d: str, item, form) -> DataFrame:
+    """A service's answer for each conversation: ``item`` over its turns, joined, in the ``form`` of the answer."""
+    text = chat.joined_in_order(fx.table(spark, d, "conversations"), ["conv_id"], "turn", item, ",")
+    return text.select("conv_id", form(F.col("text")).alias("body"))
 
 
-@registered("SELECT * FROM (VALUES ('a/one', 'One', 'free'), ('b/two', 'Two', 'paid'), ('c/three', 'Three', 'paid')) v(id, name, tier)")
+@registered("""SELECT conv_id, concat(conv_id, '/', turn) AS id, CASE WHEN turn % 2 = 0 THEN concat(role, ' ', turn) ELSE concat(conv_id, '/', turn) END AS name,
+  CASE WHEN turn % 3 = 0 THEN 'free' ELSE 'paid' END AS tier FROM conversations""")
 def model_partition(spark: SparkSession, d: str) -> DataFrame:
-    return services.model_groups(spark.createDataFrame([(_CATALOGUE,)], "body string"))
+    """Each conversation as a catalogue of models: a third is free, a third has a price, a third has none given; every second has a name."""
+    price = F.when(F.col("turn") % 3 == 0, "0").when(F.col("turn") % 3 == 1, "0.002")
+    name = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit(" "), F.col("turn").cast("string")))
+    model = F.to_json(F.struct(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), name.alias("name"), F.struct(price.alias("prompt")).alias("pricing")))
+    bodies = _bodies(spark, d, model, lambda t: F.concat(F.lit('{"data": ['), t, F.lit("]}")))
+    return services.model_groups(bodies, keep=("conv_id",))
 
 
-_ANSWERS = [
-    ("tavily", json.dumps({"results": [{"title": "T1", "url": "u1", "content": "x" * 600}, {"title": "T2", "content": "no url"}]})),
-    ("serper", json.dumps({"organic": [{"title": "S1", "link": "l1", "snippet": "s"}, {"title": "S2", "link": "l2"}]})),
-    ("other", "{}"),
-]
+@registered("""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE conv_id % 3 WHEN 0 THEN 'tavily' WHEN 1 THEN 'serper' ELSE 'other' END AS provider FROM conversations)
+SELECT conv_id, provider, cast(n - 1 AS INTEGER) AS rank, concat('T', turn) AS title, concat('u', conv_id) AS url, CASE provider WHEN 'tavily' THEN substr(text, 1, 500) ELSE text END AS snippet
+FROM t WHERE provider <> 'other' AND n <= 5 AND turn % 4 <> 3""")
+def web_results_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as the answer of a search service; every fourth result has no link and is left out."""
+    kind = F.when(F.col("conv_id") % 3 == 0, "tavily").when(F.col("conv_id") % 3 == 1, "serper").otherwise("other")
+    link = F.when(F.col("turn") % 4 != 3, F.concat(F.lit("u"), F.col("conv_id").cast("string")))
+    item = F.to_json(F.struct(F.concat(F.lit("T"), F.col("turn").cast("string")).alias("title"), link.alias("url"), link.alias("link"), F.col("text").alias("content"), F.col("text").alias("snippet")))
+    bodies = _bodies(spark, d, item, lambda t: F.concat(F.lit('{"results": ['), t, F.lit('], "organic": ['), t, F.lit("]}")))
+    return services.web_results(bodies.withColumn("provider", kind), keep=("conv_id",))
 
 
-@registered("SELECT * FROM (VALUES ('tavily', 0, 'T1', 'u1', repeat('x', 500)), ('serper', 0, 'S1', 'l1', 's'), ('serper', 1, 'S2', 'l2', '')) v(provider, rank, title, url, snippet)")
-def web_results_parse(spark: SparkSession, d: str) -> DataFrame:
-    return services.web_results(spark.createDataFrame(_ANSWERS, "provider string, body string"))
+@registered("""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)
+SELECT conv_id, cast(n AS INTEGER) AS seq, role AS status, cast(floor(100.0::DOUBLE * 3 * turn / (10 * (turn + 1)) + 0.5) AS INTEGER) AS percent, false AS done FROM t
+UNION ALL SELECT conv_id, cast(count(*) AS INTEGER), 'success', 100, true FROM t GROUP BY conv_id""")
+def pull_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as the progress of fetching a model, with broken lines and something after success."""
+    event = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("role").alias("status"), (10 * (F.col("turn") + 1)).alias("total"), (3 * F.col("turn")).alias("completed"))))
+    bodies = chat.joined_in_order(fx.table(spark, d, "conversations"), ["conv_id"], "turn", event, "\ndata: {broken\n\n")
+    return services.pull_progress(bodies.select("conv_id", F.concat("text", F.lit('\ndata: {"status": "success"}\ndata: {"status": "late"}')).alias("body")))
 
 
 @registered("SELECT conv_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, text AS token FROM conversations")

@@ -1,22 +1,28 @@
-"""Incremental indexing: crawl, compare with the manifest, chunk, embed, store, and write the manifest last."""
+"""Incremental indexing: list, compare with the manifest, read what changed, chunk, embed, and store it with the manifest."""
 
 from __future__ import annotations
 
+import threading
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.operators import chunking, index, relations
 from loomgrain.operators.embedding import Embedder, embedded
+from loomgrain.sources import connectors
 from loomgrain.sources import files as fs
 
 
 @dataclass
 class Indexer:
-    """Keeps an index of one folder, the workspace. Running it twice changes nothing the second time."""
+    """Keeps an index of one folder, the workspace. Running it twice changes nothing the second time.
+
+    The folder's ignore file holds, and then ``patterns``. Packed files are read
+    through ``extractors``. ``calls`` bounds the embedder's calls in flight.
+    """
 
     spark: SparkSession
     folder: str
@@ -24,42 +30,64 @@ class Indexer:
     embedder: Embedder
     model: str
     patterns: tuple[str, ...] = ()
+    extractors: dict[str, Callable[[bytes], str | None]] = field(default_factory=lambda: dict(connectors.EXTRACTORS))
+    calls: int = 4
 
     @property
     def store(self) -> index.IndexStore:
         return index.IndexStore(self.spark, self.root)
 
     def manifest(self) -> DataFrame:
-        return fs.load_manifest(self.spark, self._manifest_path())
+        return self.store.manifest(fs.MANIFEST)
 
-    def _manifest_path(self) -> str:
-        try:
-            return self.spark.read.text(f"{self.root}/manifest.current").first()[0]
-        except AnalysisException:  # none yet
-            return f"{self.root}/manifest/none"
+    def run(self, on_progress: Callable[[dict], None] | None = None, every: float = 0.5) -> dict[str, int]:
+        """Index what is new, changed or embedded by another model; forget what is gone. Returns counts.
 
-    def run(self) -> dict[str, int]:
-        """Index what is new, changed or embedded by another model; forget what is gone. Returns counts."""
-        files = fs.crawl(self.spark, self.folder, self.patterns).withColumn("workspaceId", F.lit(self.folder))
-        keys = fs.crawl_metadata(self.spark, self.folder, self.patterns).select(F.lit(self.folder).alias("workspace_id"), "file_path", "mtime")
-        old = self.manifest()
-        wanted = index.needs_indexing(keys, old, self.model)
-        gone = index.stale(old, keys)
-        n_wanted, n_gone = wanted.count(), gone.count()
-        if not n_wanted and not n_gone:
-            return {"indexed": 0, "removed": 0}
-        path_key = lambda df: df.select(F.col("workspace_id").alias("workspaceId"), F.col("file_path"))
-        todo = files.join(path_key(wanted), ["workspaceId", "file_path"], "left_semi")
+        Paths alone are compared with the manifest; content is read of the files to
+        be indexed only. ``on_progress`` is told of status, processedFiles and
+        totalChunks ``every`` so many seconds while chunks are embedded, and at the end.
+        """
+        patterns = (*fs.root_patterns(self.folder), *self.patterns)
+        listed = fs.crawl_metadata(self.spark, self.folder, patterns, self.extractors).withColumn("workspace_id", F.lit(self.folder))
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        embedded(chunking.chunks(todo), self.embedder).write.parquet(staged)  # embedded once, whatever reads it
-        new = self.spark.read.parquet(staged)
-        doomed = path_key(wanted).unionByName(path_key(gone)).withColumnRenamed("file_path", "filePath")
-        self.store.replace_files(doomed, new, relations.reference_edges(new))
-        counts = new.groupBy(F.col("workspaceId").alias("workspace_id"), F.col("filePath").alias("file_path")).agg(F.count("*").cast("int").alias("chunk_count"))
-        entries = wanted.join(counts, ["workspace_id", "file_path"], "left").select(
-            "workspace_id", "file_path", "mtime", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(self.model).alias("model")
-        )
-        version = f"{self.root}/manifest/{uuid.uuid4().hex}"
-        index.upserted(old, entries, gone).write.parquet(version)
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest.current")
+        listed.write.parquet(f"{staged}/paths")  # listed once, so that one state of the folder is indexed
+        listed = self.spark.read.schema(listed.schema).parquet(f"{staged}/paths")
+        old = self.manifest()
+        wanted = index.needs_indexing(listed.select("workspace_id", "file_path", "mtime"), old, self.model)
+        gone = index.stale(old, listed)
+        n_files, n_wanted, n_gone = listed.count(), wanted.count(), gone.count()
+        if n_wanted or n_gone:
+            todo = listed.join(wanted.select("workspace_id", "file_path"), ["workspace_id", "file_path"], "left_semi").withColumnRenamed("workspace_id", "workspaceId")
+            todo = fs.with_content(todo.repartition(max(1, min(10_000, n_wanted))), self.extractors)
+            chunking.chunks(todo).write.parquet(f"{staged}/chunks")  # parsed once; the total is known before embedding
+            cut = self.spark.read.parquet(f"{staged}/chunks")
+            total = cut.count()
+            done = self.spark.sparkContext.accumulator(0)
+            stop = threading.Event()
+
+            def tell(status: str, processed: int) -> None:
+                if on_progress:
+                    on_progress({"status": status, "processedFiles": processed, "totalChunks": total})
+
+            def watch() -> None:
+                while not stop.wait(every):
+                    tell("running", min(done.value, total) * n_files // total if total else n_files)
+
+            watcher = threading.Thread(target=watch, daemon=True)
+            watcher.start()
+            try:
+                embedded(cut.coalesce(self.calls), self.embedder, counter=done).write.parquet(f"{staged}/vectors")  # embedded once, whatever reads it
+            finally:
+                stop.set()
+                watcher.join()
+            new = self.spark.read.parquet(f"{staged}/vectors")
+            keys = lambda df: df.select(F.col("workspace_id").alias("workspaceId"), F.col("file_path").alias("filePath"))
+            counts = new.groupBy(F.col("workspaceId").alias("workspace_id"), F.col("filePath").alias("file_path")).agg(F.count("*").cast("int").alias("chunk_count"))
+            entries = wanted.join(counts, ["workspace_id", "file_path"], "left").select(
+                "workspace_id", "file_path", "mtime", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(self.model).alias("model")
+            )
+            self.store.replace_files(keys(wanted).unionByName(keys(gone)), new, relations.reference_edges(new), index.upserted(old, entries, gone))
+            tell("running", n_files)
+            tell("completed", n_files)
+        self.store.discard(staged)
         return {"indexed": n_wanted, "removed": n_gone}

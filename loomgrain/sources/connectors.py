@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import io
 import json
-import re
 import subprocess
 import urllib.error
 import urllib.request
@@ -117,12 +116,3 @@ def web_search(spark: SparkSession, provider: str, query: str, key: str) -> Data
 def model_catalogue(spark: SparkSession, url: str, headers: dict[str, str] | None = None) -> DataFrame:
     """(body): a catalogue of models, for ``services.model_groups`` or ``services.local_models``."""
     return spark.createDataFrame([(fetch(url, headers=headers),)], "body string")
-
-
-def root_patterns(folder: str) -> list[str]:
-    """Lines of the ignore file at the root of a local folder; none if there is none."""
-    try:
-        with open(f"{re.sub(r'^file:(//)?', '', folder)}/.gitignore", encoding="utf-8") as f:
-            return f.read().splitlines()
-    except OSError:
-        return []

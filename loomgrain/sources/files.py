@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import quote
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,10 +86,10 @@ def is_hidden(relative: Column) -> Column:
     return relative.rlike(r"(?:\A|/)\.[^/]")
 
 
-def wanted_paths(files: DataFrame, patterns: Iterable[str] = (), path: str = "file_path") -> DataFrame:
-    """Rows whose path is neither hidden nor ignored and has an indexed extension. Reads no content."""
+def wanted_paths(files: DataFrame, patterns: Iterable[str] = (), path: str = "file_path", also: Iterable[str] = ()) -> DataFrame:
+    """Rows whose path is neither hidden nor ignored and has an indexed extension or one of ``also``. Reads no content."""
     p = F.col(path)
-    return files.where(~is_hidden(p) & ~is_ignored(p, patterns) & extension(p).isin(EXTENSIONS))
+    return files.where(~is_hidden(p) & ~is_ignored(p, patterns) & extension(p).isin([*EXTENSIONS, *also]))
 
 
 def wanted_files(files: DataFrame, patterns: Iterable[str] = ()) -> DataFrame:
@@ -93,33 +97,117 @@ def wanted_files(files: DataFrame, patterns: Iterable[str] = ()) -> DataFrame:
     return wanted_paths(files, patterns).where((F.col("size") <= MAX_FILE_BYTES) & F.col("content").isNotNull() & ~is_blank(F.col("content")))
 
 
-def crawl(spark: SparkSession, root: str, patterns: Iterable[str] = ()) -> DataFrame:
-    """(file_path, content, mtime, size) of the indexed text files below ``root``, undecodable ones left out.
+def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+    scheme = re.match(r"\A[a-z0-9+.-]+:", uri)
+    return pafs.FileSystem.from_uri(quote(uri, safe="/:@") if scheme else f"file://{quote(os.path.abspath(uri))}")
 
-    Paths and sizes are filtered before any content is read.
-    """
-    raw = _listing(spark, root)
-    kept = wanted_paths(raw, patterns).where(F.col("size") <= MAX_FILE_BYTES)
-    text = kept.where(F.is_valid_utf8(F.col("content"))).withColumn("content", F.col("content").cast("string"))
-    return text.where(~is_blank(F.col("content")))
 
+def root_patterns(folder: str) -> list[str]:
+    """Lines of the ignore file at the root of a folder, local or not; none if there is none."""
+    try:
+        fs, path = _located(f"{folder.rstrip('/')}/.gitignore")
+        with fs.open_input_stream(path) as f:
+            return f.read().decode("utf-8", "replace").splitlines()
+    except OSError:
+        return []
 
-def crawl_metadata(spark: SparkSession, root: str, patterns: Iterable[str] = ()) -> DataFrame:
-    """(file_path, mtime, size) by paths alone; the content column is never read."""
-    return wanted_paths(_listing(spark, root).drop("content"), patterns)
 
+def listing(spark: SparkSession, root: str, patterns: Iterable[str] = ()) -> DataFrame:
+    """(file_path, uri, mtime, size) of all files below ``root`` but those in hidden and ignored folders, which are not entered.
 
-def _listing(spark: SparkSession, root: str) -> DataFrame:
+    Tasks list the folders: the root, then its folders, and then each of theirs
+    with all that is below, so one such subtree is listed by one task. No content
+    is read. Unlike Spark's own listing this finds files whose names start with an underscore.
+    """
     base = root.rstrip("/")
-    bare = re.escape(re.sub(r"\A[a-z0-9+.-]+:/*", "/", base))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    relative = F.regexp_replace("path", rf"\A[a-z0-9+.-]+:/*?(?=/)|\A", "")
-    return files.select(
-        F.regexp_replace(relative, rf"\A.*?{bare}/", "").alias("file_path"),
-        "content",
-        (F.unix_micros("modificationTime") / 1000.0).alias("mtime"),
-        F.col("length").alias("size"),
-    )
+    rules = [(ignored, re.compile(p.replace("\\z", r"\Z"))) for ignored, p in filter(None, map(ignore_rule, [*DEFAULT_IGNORES, *patterns]))]
+    prune = all(ignored for ignored, _ in rules)  # a rule that takes something back may do so inside an ignored folder
+    schema = "file_path string, folder boolean, mtime double, size long"
+
+    def entered(relative: str) -> bool:
+        return not relative.rsplit("/", 1)[-1].startswith(".") and not (prune and any(r.search(f"{relative}/") for _, r in rules))
+
+    def children(relative: str) -> list[tuple[str, bool, float, int]]:
+        fs, top = _located(base)
+        found = fs.get_file_info(pafs.FileSelector(f"{top.rstrip('/')}/{relative}".rstrip("/") or "/", allow_not_found=True))
+        rows = []
+        for f in found:
+            path, folder = f"{relative}/{f.base_name}".lstrip("/"), f.type == pafs.FileType.Directory
+            if not folder or entered(path):
+                rows.append((path, folder, (f.mtime_ns or 0) / 1e6, f.size or 0))
+        return rows
+
+    def expand(deep: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = ["file_path", "folder", "mtime", "size"]
+            for batch in batches:
+                yield batch[~batch.folder.astype(bool)]
+                waiting = batch[batch.folder.astype(bool)].file_path.tolist()
+                rows: list[tuple] = []
+                while waiting:
+                    for row in children(waiting.pop()):
+                        if deep and row[1]:
+                            waiting.append(row[0])
+                        else:
+                            rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names).astype({"folder": bool, "mtime": float, "size": "int64"})
+
+        return run
+
+    start = spark.createDataFrame([("", True, 0.0, 0)], schema).coalesce(1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = start.mapInPandas(expand(False), schema).repartition(parts, "file_path").mapInPandas(expand(False), schema)
+    files = top.repartition(parts, "file_path").mapInPandas(expand(True), schema)
+    return files.select("file_path", F.concat(F.lit(f"{base}/"), "file_path").alias("uri"), "mtime", "size")
+
+
+def with_content(files: DataFrame, extractors: dict[str, Callable[[bytes], str | None]] | None = None) -> DataFrame:
+    """``files`` (with uri) and ``content``: only these files are read, by the tasks.
+
+    Packed formats go through their extractor, others must be UTF-8; files that
+    give no text, that are blank or gone are left out.
+    """
+    own = dict(extractors or {})
+    columns = [c for c in files.columns if c != "content"]
+
+    def text_of(uri: str) -> str | None:
+        try:
+            fs, path = _located(uri)
+            with fs.open_input_stream(path) as f:
+                data = f.read()
+            name = uri.rsplit("/", 1)[-1]
+            packed = own.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
+            return packed(data) if packed else data.decode("utf-8")
+        except (OSError, UnicodeDecodeError):
+            return None
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = 0
+            while at < len(batch):  # at most some ten files of the largest size at once
+                part = batch.iloc[at : at + 16]
+                yield part.assign(content=[text_of(u) for u in part.uri])
+                at += 16
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*columns).schema)
+    out = files.select(*columns).mapInPandas(read, f"{schema}, content string")
+    return out.where(F.col("content").isNotNull() & ~is_blank(F.col("content")))
+
+
+def crawl(spark: SparkSession, root: str, patterns: Iterable[str] = (), extractors: dict[str, Callable[[bytes], str | None]] | None = None) -> DataFrame:
+    """(file_path, content, mtime, size) of the indexed text files below ``root``, undecodable ones left out.
+
+    Folders, paths and sizes are filtered before any content is read.
+    """
+    return with_content(crawl_metadata(spark, root, patterns, extractors or ()), extractors).select("file_path", "content", "mtime", "size")
+
+
+def crawl_metadata(spark: SparkSession, root: str, patterns: Iterable[str] = (), also: Iterable[str] = ()) -> DataFrame:
+    """(file_path, uri, mtime, size) of the files that ``crawl`` would read, by listing alone."""
+    return wanted_paths(listing(spark, root, patterns), patterns, also=also).where(F.col("size") <= MAX_FILE_BYTES)
 
 
 def file_tree(files: DataFrame, patterns: Iterable[str] = (), depth: int | None = None) -> DataFrame:

@@ -84,7 +84,7 @@ def test_store_replaces_files(spark, tmp_path):
 
 def test_progress(spark):
     counts = spark.createDataFrame([("a", 3), ("b", 1), ("c", 0)], "file_path string, n long")
-    rows = index.progress(counts, ["file_path"]).orderBy("file_path").collect()
+    rows = index.progress(counts).orderBy("file_path").collect()
     assert [(r.chunks_done, r.files_done, r.processed_files) for r in rows] == [(3, 1, 2), (4, 2, 3), (4, 3, 3)]
 
 
