@@ -34,7 +34,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         least = materialise(least, "large-star-least")
         larger = around.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(larger.distinct(), "large-star")
+        large = materialise(larger, "large-star")
         # small star: the smaller neighbours and the node itself are linked to the smallest one
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "small-star-least")
         smaller = large.join(least, F.col("a") == F.col("n"))
@@ -44,9 +44,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct(),
             "small-star",
         )
-        # a star forest: no centre has a link upwards
-        done = new.join(new.select(F.col("a").alias("c")).distinct(), F.col("b") == F.col("c"), "left_semi").isEmpty()
-        if done and new.groupBy("a").count().where("count > 1").isEmpty():
+        # a star forest: each node has one link down, and none that has one has a link from above
+        ends = new.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(new.select(F.col("b").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down > 0 AND up > 0)").isEmpty():
             pairs = new.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())
         edges = new

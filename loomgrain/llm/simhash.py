@@ -213,7 +213,8 @@ def _similar_to(sets: list[np.ndarray], pivots: list[np.ndarray], similarity: fl
 
 
 def _block_links(table: pa.Table, shingle: int, similarity: float) -> pa.Table:
-    """Links (a, b) that connect what is similar in one block: rows and pivots, and pivots among themselves. At most one a row."""
+    """(component, a, b): what is similar in one block, rows to pivots and pivots among themselves; b is the first pivot of what they connect."""
+    table = table.sort_by([("pivot", "descending"), ("uid", "ascending")])  # so that all blocks name the same pivot
     uids = table.column("uid").to_pylist()
     sets = [_shingle_set(t.as_py(), shingle) for t in table.column("body")]
     pivots = np.flatnonzero(table.column("pivot").to_numpy())
@@ -227,9 +228,11 @@ def _block_links(table: pa.Table, shingle: int, similarity: float) -> pa.Table:
 
     for k, found in enumerate(_similar_to(sets, [sets[p] for p in pivots], similarity)):
         for p in pivots[found].tolist():
-            parent[root(k)] = root(p)
+            x, y = sorted((root(k), root(p)))
+            parent[y] = x
     links = [(uids[k], uids[root(k)]) for k in range(len(uids)) if root(k) != k]
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+    component = table.column("component")[0].as_py()
+    return pa.table([pa.array([component] * len(links), pa.int64()), *(pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))], ["component", "a", "b"])
 
 
 def similar_groups(
@@ -257,10 +260,10 @@ def similar_groups(
 
     Rows are compared with up to ``pivots`` rows of their candidate group in blocks
     of a bounded size; a block only tells what it connects, at most one link a row.
-    A further round is needed where more rows are left that were no pivots and are
-    not in the largest group found yet; that one's rows need no further comparison
-    with each other. So a large group of copies takes a round or two, and no group
-    is gathered in one task. ``uid`` tells rows apart; a null text counts as empty;
+    A further round is needed where a candidate group has more rows: those that the
+    first round did not connect with its most common pivot are pivots in turn, and
+    the others need no comparison with each other. So a large group of copies takes
+    a round or two, and no group is gathered in one task. ``uid`` tells rows apart; a null text counts as empty;
     an empty table gives no rows.
     """
 
@@ -295,19 +298,19 @@ def similar_groups(
         pivot = F.col("_uid").isNotNull()
         salts = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("uid"), F.col("blocks"))))
         cells = dealt.select("component", F.explode(salts).alias("salt"), "uid", pivot.alias("pivot"), "body")
-        new = cells.groupBy("component", "salt").applyInArrow(lambda t: _block_links(t, shingle, similarity), "a long, b long")
+        new = cells.groupBy("component", "salt").applyInArrow(lambda t: _block_links(t, shingle, similarity), "component long, a long, b long")
         new = materialise(new, "near-links")
-        joined = new if joined is None else joined.unionByName(new)
-        # rows of small candidate groups have all been pivots; of the others, those outside the largest group wait
+        first_round = joined is None
+        joined = new if first_round else joined.unionByName(new)
         waiting = materialise(waiting.join(chosen.select("_uid"), F.col("uid") == F.col("_uid"), "left_anti"), "near-waiting")
         if waiting.isEmpty():
             break
-        groups = components(joined).toDF("_node", "group")
-        large = slim.join(waiting.select("component").distinct(), "component", "left_semi").join(groups, F.col("uid") == F.col("_node"), "left")
-        large = materialise(large.select("uid", "component", F.coalesce("group", "uid").alias("group")), "near-large")
-        largest = large.groupBy("component", "group").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("group", F.struct("n", "group")).alias("_largest"))
-        outside = large.join(largest.withColumnRenamed("component", "_of"), F.col("component") == F.col("_of")).where("group <> _largest").select(F.col("uid").alias("_uid"))
-        waiting = materialise(waiting.join(outside, F.col("uid") == F.col("_uid"), "left_semi"), "near-waiting")
+        if first_round:  # what the most common pivot connects needs no further comparison
+            each = new.groupBy("component", "b").agg(F.countDistinct("a").alias("n"))
+            common = each.groupBy("component").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+            inside = new.join(common, ["component", "b"], "left_semi").select(F.col("a").alias("_uid"))
+            waiting = materialise(waiting.join(inside, F.col("uid") == F.col("_uid"), "left_anti"), "near-waiting")
+    joined = joined.select("a", "b") if joined is not None else None
     groups = components(joined if joined is not None else links.limit(0)).toDF("_node", "group")
     named = materialise(members.select("uid", "id", "sha").join(groups, F.col("uid") == F.col("_node")).drop("_node"), "near-groups")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "uid"))
