@@ -70,3 +70,43 @@ def test_incremental_indexing(spark, tmp_path):
     other = Indexer(spark, str(folder), str(tmp_path / "index"), HashEmbedder(16), "another model")
     assert other.run() == {"indexed": 1, "removed": 0}
     assert store.count() == 1
+
+
+def test_index_honours_ignore_file_and_packed_files(spark, tmp_path):
+    folder = tmp_path / "work dir"
+    for sub in ("src/deep", "node_modules/x", ".hidden", "logs"):
+        (folder / sub).mkdir(parents=True)
+    (folder / ".gitignore").write_text("logs/\n*.secret.md\n")
+    (folder / "src/__init__.py").write_text("x = 1\n")
+    (folder / "src/deep/a b.md").write_text("deep notes\n")
+    (folder / "src/key.secret.md").write_text("key\n")
+    (folder / "logs/l.txt").write_text("log\n")
+    (folder / "node_modules/x/m.js").write_text("m\n")
+    (folder / ".hidden/h.md").write_text("h\n")
+    (folder / "bad.txt").write_bytes(b"\xff\xfe")
+    (folder / "blank.txt").write_text(" \n")
+    (folder / "r.docx").write_bytes(docx("report text"))
+    (folder / "p.pdf").write_bytes(b"PDF words")
+    told = []
+    indexer = Indexer(spark, str(folder), str(tmp_path / "index"), HashEmbedder(16), "hash", extractors={"docx": connectors.docx_text, "pdf": lambda b: b.decode()})
+    assert indexer.run(told.append, every=0.01) == {"indexed": 6, "removed": 0}
+    assert {r.filePath: r.document for r in indexer.store.chunks().collect()} == {"src/__init__.py": "x = 1", "src/deep/a b.md": "deep notes", "r.docx": "report text", "p.pdf": "PDF words"}
+    assert told[-1] == {"status": "completed", "processedFiles": 6, "totalChunks": 4} and all(x["status"] == "running" for x in told[:-1])
+    assert indexer.run(told.append) == {"indexed": 0, "removed": 0}
+    (folder / ".gitignore").unlink()
+    assert indexer.run() == {"indexed": 2, "removed": 0}
+
+
+def test_only_changed_files_are_read(spark, tmp_path):
+    folder = tmp_path / "w"
+    folder.mkdir()
+    for k in range(4):
+        (folder / f"{k}.md").write_text(f"text {k}\n")
+    indexer = Indexer(spark, str(folder), str(tmp_path / "index"), HashEmbedder(16), "hash")
+    indexer.run()
+    for k in range(3):
+        os.chmod(folder / f"{k}.md", 0)
+    (folder / "3.md").write_text("new\n")
+    os.utime(folder / "3.md", (2_000_000_000, 2_000_000_000))
+    assert indexer.run() == {"indexed": 1, "removed": 0}
+    assert {r.filePath: r.document for r in indexer.store.chunks().collect()} == {"0.md": "text 0", "1.md": "text 1", "2.md": "text 2", "3.md": "new"}

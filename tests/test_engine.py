@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.operators import chat, index, relations, search
 from loomgrain.operators import timeline as tl
-from loomgrain.operators.embedding import HashEmbedder, embedded, query_vector
+from loomgrain.operators.embedding import HashEmbedder, embedded, hypothetical_vector, query_vector
 from loomgrain.sources import files as fs
 from loomgrain.streaming import watch
 
@@ -132,6 +132,82 @@ def test_embedding(spark):
     assert query_vector(HashEmbedder(16), "a b") is query_vector(HashEmbedder(16), "a b")
 
 
+def test_hash_embedder_equals_counts(spark):
+    """Signed counts of hashed words by a loop."""
+    import hashlib
+
+    texts = ["a b a", "", "one Two two", "x " * 500]
+    rows = embedded(spark.createDataFrame([(t,) for t in texts], "document string"), HashEmbedder(8)).collect()
+    for r in rows:
+        want = [0.0] * 8
+        for w in r.document.lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            want[h % 8] += 1 if h >> 63 else -1
+        length = sum(x * x for x in want) ** 0.5 or 1
+        assert np.allclose(r.vector, [x / length for x in want], atol=1e-6)
+
+
+def test_hypothetical_vector():
+    own = HashEmbedder(16)
+    assert hypothetical_vector(own, "question", lambda q: f"answer to {q}") == query_vector(own, "answer to question")
+
+    def broken(q):
+        raise OSError
+
+    assert hypothetical_vector(own, "question", broken) == hypothetical_vector(own, "question") == hypothetical_vector(own, "question", lambda q: " ") == query_vector(own, "question")
+
+
+def test_store_lifecycle(spark, tmp_path):
+    store = index.IndexStore(spark, str(tmp_path / "idx"), buckets=4)
+    rows = chunk_rows(spark)
+    doomed = lambda *p: spark.createDataFrame([(w, x) for w in ("w1", "w2") for x in p], "workspaceId string, filePath string")
+    edges = spark.createDataFrame([("w1", "/f1", "1", "A", "B", "reference"), ("w1", "/f3", "3", "C", "D", "reference")], "workspaceId string, filePath string, id string, fromName string, toName string, kind string")
+    manifest = spark.createDataFrame([("w1", "/f1", 1.0, 1, "m")], fs.MANIFEST)
+    store.replace_files(doomed("/f1"), rows, edges, manifest)
+    before = store.state()
+    store.replace_files(spark.createDataFrame([("w1", "/f1")], "workspaceId string, filePath string"), rows.limit(0), edges.limit(0))
+    after = store.state()
+    kept = [b for b, v in before["tables"]["chunks"]["parts"].items() if after["tables"]["chunks"]["parts"].get(b) == v]
+    assert len(kept) >= len(before["tables"]["chunks"]["parts"]) - 1  # one bucket is rewritten
+    assert {r.filePath for r in store.edges().collect()} == {"/f3"} and store.manifest(fs.MANIFEST).count() == 1
+    assert store.chunks().where("workspaceId = 'w1' AND filePath = '/f1'").count() == 0 and store.count() == 41 - rows.where("workspaceId = 'w1' AND filePath = '/f1'").count()
+    n = store.count()
+    assert store.vacuum() > 0 and store.count() == n and len(store._pointers()) == 1
+    store.reset()
+    assert store.count() == 0 and store.edges().count() == 0 and store.manifest(fs.MANIFEST).count() == 0
+    store.replace_files(doomed("/f0"), rows)
+    assert store.count() == 41
+    stale_state = store.state()
+    store.replace_files(doomed("/f0"), rows)
+    try:
+        store._point(stale_state)
+        raise AssertionError("a second writer must fail")
+    except RuntimeError:
+        pass
+
+
+def test_numbering_by_starts(spark):
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choices("abB\u00e9_", k=rng.randint(1, 6))) for _ in range(300)}, key=lambda s: s.encode())
+    df = spark.createDataFrame([(n,) for n in rng.sample(names, len(names))], "name string")
+    assert {r.name: r.i for r in relations.numbered(df, "name", "i", lead=2).collect()} == {n: k for k, n in enumerate(names)}
+
+
+def test_references_of_a_large_file(spark):
+    """As many symbols as words: the work grows with the text, not with their product."""
+    n = 60_000
+    df = spark.range(n).select(F.lit("w").alias("workspaceId"), F.lit("f").alias("filePath"), F.col("id").cast("string").alias("id"), F.concat(F.lit("name_"), F.col("id")).alias("name"),
+                               F.concat(F.lit("calls name_"), (F.col("id") + 1) % n, F.lit(" and name_"), (F.col("id") + 7) % n).alias("document"))
+    assert relations.reference_edges(df).count() == 2 * n
+    rows = [("1", "a::b", "uses c$d, c$dx"), ("2", "c$d", "xa::b a::b"), ("3", "\u00e9t\u00e9", "un \u00e9t\u00e9s"), ("4", "z", "\u00e9t\u00e9 a::bc")]
+    odd = spark.createDataFrame([("w", "f", *r) for r in rows], "workspaceId string, filePath string, id string, name string, document string")
+    assert {(r.fromName, r.toName) for r in relations.reference_edges(odd).collect()} == {("a::b", "c$d"), ("c$d", "a::b"), ("z", "\u00e9t\u00e9")}
+
+
+def test_percent():
+    assert [index.percent_done(*x) for x in ((None, 3), (0, 3), (1, 3), (1, 200), (3, 3), (2, 0))] == [5, 5, 33, 5, 100, 5]
+
+
 def test_watch_stream(spark, tmp_path):
     t = datetime(2024, 1, 1)
     rows = [("w", "/a.py", t), ("w", "/b.py", t + timedelta(seconds=1)), ("w", "/c.py", t + timedelta(seconds=10)), ("w", "/.git/x", t + timedelta(seconds=11)), ("v", "/a.py", t), ("z", "/late.py", t + timedelta(hours=2))]

@@ -130,3 +130,13 @@ def test_streams_of_answers(spark):
     assert [r.token for r in services.sse_tokens(df).collect()] == ["a"]
     df = spark.createDataFrame([('{"models":[{"name":"m1"},{"name":"m2"}]}',)], "body string")
     assert [r.name for r in services.local_models(df).collect()] == ["m1", "m2"]
+
+
+def test_broken_python_keeps_its_symbols():
+    from loomgrain.operators.chunking import indented_symbols, python_symbols
+
+    whole = "import os\n\n\nclass Store:\n    def add(\n        self,\n        row,\n    ):\n        self.row = row\n\n        return row\n\n    size = 3\n\n\nasync def load(x):\n    y = x\n    return y\n"
+    assert [(s.kind, s.name, s.start, s.end) for s in indented_symbols(whole)] == [(s.kind, s.name, s.start, s.end) for s in python_symbols(whole)]
+    broken = whole + "def broken(:\n    pass\n    x = (\n    y\n"
+    assert [s.name for s in python_symbols(broken)] == ["Store", "add", "load", "broken"]
+    assert python_symbols("x = = 1") == [] and python_symbols("") == []
