@@ -32,10 +32,12 @@ def lower_ascii(text: Column) -> Column:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that every executor and the driver share: ``spark.checkpoint.dir``.
 
-    It is read from the session. Only where it is unset, as in local tests, a
-    folder under the warehouse is used.
+    It is read from the session. Only where it is unset and driver and executors
+    are one machine, as in local tests, a folder under the warehouse is used.
     """
     root = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {_CHECKPOINT} to a folder that the driver and all executors share")
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
     return f"{root.rstrip('/')}/loomgrain-{spark.sparkContext.applicationId}"

@@ -1,9 +1,14 @@
 """Operator 8: exact deduplication through a log-structured merge index. DataFrame functions only.
 
-* A *memtable* is what one map task holds. It is flushed as a run: a Parquet file
-  sorted by digest, with a Bloom filter and min/max statistics on the digest.
-* *Compaction* merges all runs into one entry per digest: the identifier that
-  stays (smallest or largest) and the number of rows.
+* *Memtable*: what the map side of a flush combines, one entry a digest and task
+  with the identifier that stays and the number of rows, before anything is shuffled.
+* *Flush*: each batch becomes a run, Parquet files sorted by digest, with Bloom
+  filters and min/max statistics for point lookups, and a bitmap filter of its own.
+  Before a batch is flushed its digests are probed against the filters of all runs
+  so far, and those that may be there are marked.
+* *Compaction*: an entry that no later batch may have met is in one run only and is
+  taken over as it is. The others, found by a filter of the marked digests, are
+  merged: the smallest (or largest) identifier and the sum of the rows are kept.
 * A digest with more than one row is a *hit*. Every hit is verified byte by byte:
   rows of hits are grouped by digest *and text*, which compares the texts
   themselves. If one digest ever stands for several texts, these rows are
@@ -28,43 +33,98 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+@dataclass
+class Filter:
+    """Bitmap over hashes of digests, at most 64 MiB, the bound of what is broadcast; a fuller one only lets more through."""
+
+    bits: DataFrame  # _row, _bits
+    rows: int
+
+    @staticmethod
+    def rows_for(digests: int) -> int:
+        """Rows of a filter with 16 bits a digest, within the bound."""
+        return min(16_384, 1 << (digests * 16 // _ROW_BITS + 1).bit_length())
+
+    def _slot(self) -> tuple[Column, Column]:
+        h = F.xxhash64("digest")
+        return F.pmod(h, F.lit(self.rows)), F.pmod(F.shiftrightunsigned(h, 20), F.lit(_ROW_BITS))
+
+    @classmethod
+    def of(cls, digests: DataFrame, rows: int, tag: str) -> Filter:
+        row, bit = cls(digests, rows)._slot()
+        marked = digests.select(row.alias("_row"), bit.alias("_bit"))
+        return cls(materialise(marked.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), tag), rows)
+
+    def also(self, other: Filter) -> Filter:
+        """What either filter lets through."""
+        return Filter(self.bits.unionByName(other.bits).groupBy("_row").agg(F.bitmap_or_agg("_bits").alias("_bits")), self.rows)
+
+    def probed(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with the boolean ``name``: false where ``digest`` surely isn't in the filter."""
+        row, bit = self._slot()
+        byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10)
+        is_set = F.get(F.array(*(byte.cast("int").bitwiseAND(1 << k) != 0 for k in range(8))), F.pmod(bit, F.lit(8)).cast("int"))
+        return rows.withColumn("_row", row).join(F.broadcast(self.bits), "_row", "left").withColumn(name, F.coalesce(is_set, F.lit(False))).drop("_row", "_bits")
+
+
 @dataclass
 class MergeIndex:
-    """Digest runs in a shared folder.
+    """Sorted digest runs in a shared folder.
 
-    ``insert`` flushes a batch, ``compact`` merges the runs, ``lookup`` finds a
-    bounded list of digests through the runs' filters.
+    ``insert`` flushes a batch as a run, ``compact`` merges the runs, ``lookup``
+    finds a bounded list of digests through the runs' own filters.
     """
 
     spark: SparkSession
     path: str
     keep: str = "min"
+    filter_rows: int = 1
+    n_runs: int = 0
+    known: Filter | None = None  # of all runs so far
+    met: Filter | None = None  # of the digests of later runs that earlier ones may have
 
     @classmethod
-    def create(cls, spark: SparkSession, keep: str = "min") -> MergeIndex:
+    def create(cls, spark: SparkSession, keep: str = "min", expected: int = 1_000_000) -> MergeIndex:
+        """``expected`` digests size the filters; more make them less selective, not wrong."""
         if keep not in ("min", "max"):
             raise ValueError("keep is 'min' or 'max'")
-        return cls(spark, scratch(spark, "digest-runs"), keep)
+        return cls(spark, scratch(spark, "digest-runs"), keep, Filter.rows_for(expected))
+
+    def best(self, column: str) -> Column:
+        """The identifier that stays. Nulls lose to any other."""
+        return F.min(column) if self.keep == "min" else F.max(column)
 
     def insert(self, entries: DataFrame) -> None:
-        """Flush ``entries`` (id, digest, ...): one sorted run for each task's memtable."""
+        """Flush ``entries`` (id, digest) as one more run: digest, keep_id, n and whether an earlier run may have the digest."""
+        batch = entries.groupBy("digest").agg(self.best("id").alias("keep_id"), F.count("*").alias("n"))
+        batch = self.known.probed(batch, "met") if self.known else batch.withColumn("met", F.lit(False))
         with freeing_shuffles(self.spark):
             (
-                entries.sortWithinPartitions("digest")
-                .write.mode("append")
-                .option("parquet.bloom.filter.enabled#digest", "true")
+                batch.sortWithinPartitions("digest")
+                .write.option("parquet.bloom.filter.enabled#digest", "true")
                 .option("parquet.bloom.filter.expected.ndv#digest", "50000")
-                .parquet(f"{self.path}/level0")
+                .parquet(f"{self.path}/run={self.n_runs}")
             )
+        own = self.spark.read.schema(batch.schema).parquet(f"{self.path}/run={self.n_runs}")
+        filled = Filter.of(own, self.filter_rows, "digest-filter")
+        met = Filter.of(own.where("met"), self.filter_rows, "digest-met")
+        self.known = self.known.also(filled) if self.known else filled
+        self.met = self.met.also(met) if self.met else met
+        self.n_runs += 1
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/level0")
+        return self.spark.read.parquet(self.path)
+
+    def parted(self) -> DataFrame:
+        """All runs with ``shared``: false for entries whose digest surely is in one run only."""
+        return self.met.probed(self.runs(), "shared")
 
     def compact(self) -> DataFrame:
-        """One row a digest: digest, keep_id, n. Nulls lose to any identifier."""
-        best = F.min("id") if self.keep == "min" else F.max("id")
-        merged = self.runs().groupBy("digest").agg(best.alias("keep_id"), F.count("*").alias("n"))
-        return materialise(merged.sortWithinPartitions("digest"), "digest-level1")
+        """One row a digest: digest, keep_id, n. Only entries that several runs may share are shuffled."""
+        every = self.parted()
+        merged = every.where("shared").groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        alone = every.where("NOT shared").select("digest", "keep_id", "n")
+        return materialise(merged.unionByName(alone).sortWithinPartitions("digest"), "digest-level1")
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
         """Entries of up to 10,000 digests; the literals reach the files' statistics and Bloom filters."""
@@ -73,28 +133,10 @@ class MergeIndex:
         return self.runs().where(F.col("digest").isin([bytearray(d) for d in digests]))
 
 
-def _slot(digest: Column, rows: int) -> tuple[Column, Column]:
-    h = F.xxhash64(digest)
-    return F.pmod(h, F.lit(rows)), F.pmod(F.shiftrightunsigned(h, 20), F.lit(_ROW_BITS))
-
-
 def _maybe_hit(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows whose digest may be a hit: all hits and a few others.
-
-    The filter has 16 bits for each hit and at most 64 MiB, the bound of what is
-    broadcast; a fuller filter only lets more rows through.
-    """
-    wanted = hits.count() * 16 // _ROW_BITS + 1
-    rows = min(16_384, 1 << wanted.bit_length())
-    row, bit = _slot(F.col("digest"), rows)
-    bits = (
-        hits.select(row.alias("_row"), bit.alias("_bit"))
-        .groupBy("_row")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    )
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    is_set = F.get(F.array(*(byte.cast("int").bitwiseAND(1 << k) != 0 for k in range(8))), F.pmod(bit, F.lit(8)).cast("int"))
-    return docs.withColumn("_row", row).join(F.broadcast(bits), "_row").where(is_set).drop("_row", "_bits")
+    """Rows whose digest may be a hit: all hits and a few others."""
+    found = Filter.of(hits, Filter.rows_for(hits.count()), "digest-hits")
+    return found.probed(docs, "_hit").where("_hit").drop("_hit")
 
 
 def exact_dedup(
@@ -103,6 +145,7 @@ def exact_dedup(
     text_col: str = "text",
     keep: str = "min",
     digest: Callable[[Column], Column] = sha256,
+    memtables: int = 4,
 ) -> DataFrame:
     """Find rows with equal texts after lower-casing A-Z.
 
@@ -114,30 +157,37 @@ def exact_dedup(
     a group has no other, its rows have a null keep_id and stay.
     Ties and repeated rows: rows that repeat the staying identifier with the same
     text are that document and are all marked kept; they count in group_size.
-    Empty tables give no rows. ``digest`` may be replaced in tests by a weak
+    Very long texts are hashed and compared whole. Empty tables give no rows. ``digest`` may be replaced in tests by a weak
     function; colliding texts are told apart by their bytes.
     """
     spark = docs.sparkSession
     norm = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
 
-    index = MergeIndex.create(spark, keep)
-    index.insert(rows.select("id", "digest", sha256(F.col("norm")).alias("sha")))
+    # the digests are computed once; batches are dealt by identifier, so that copies are in several runs
+    batch = F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int").alias("batch")
+    given = scratch(spark, "digests")
+    columns = ["id", "digest"] if digest is sha256 else ["id", "digest", sha256(F.col("norm")).alias("sha")]
+    rows.select(*columns, batch).write.partitionBy("batch").parquet(given)
+    schema = rows.select(*columns).schema.add("batch", "integer")
+    entries = spark.read.schema(schema).parquet(given)
+    index = MergeIndex.create(spark, keep, docs.count())
+    for k in range(memtables):
+        index.insert(entries.where(F.col("batch") == k))
     level1 = index.compact()
 
     # byte verification of the hits: the text itself is a grouping key, combined before the shuffle
-    best = F.min("id") if keep == "min" else F.max("id")
+    best = index.best("id")
     suspects = _maybe_hit(rows, level1.where("n > 1"))
     texts = suspects.groupBy("digest", "norm").agg(best.alias("keep_id"), F.count("*").alias("n"))
     broken = materialise(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "digest-collisions")
 
     out = [F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"),
            F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-           F.lower(F.hex("sha")).alias("text_sha256")]
-    runs = index.runs()
+           F.lower(F.hex("digest" if digest is sha256 else "sha")).alias("text_sha256")]
     if broken.isEmpty():
-        return runs.join(level1, "digest").select(*out)
-    clear = runs.join(broken, "digest", "left_anti").join(level1, "digest").select(*out)
+        return entries.join(level1, "digest").select(*out)
+    clear = entries.join(broken, "digest", "left_anti").join(level1, "digest").select(*out)
     apart = rows.join(broken, "digest", "left_semi")
     groups = apart.groupBy("digest", "norm").agg(best.alias("keep_id"), F.count("*").alias("n"))
     unclear = apart.join(groups, ["digest", "norm"]).withColumn("sha", sha256(F.col("norm"))).select(*out)

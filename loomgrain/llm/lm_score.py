@@ -38,6 +38,8 @@ _ANSWERS = "block long, kind int, shard long, totals binary, n_distinct long, n_
 _BINS = "bucket int, q2 int, q1 int, weight double, log2 double, log1 double"
 
 
+#: Bytes of input from which on blocks grow with its square root: at 100 times this size they are ten times as large.
+GROWING = 1 << 40
 #: Bytes of a hash that are sent; the shard tells apart what they don't.
 KEY_BYTES = 7
 
@@ -160,13 +162,17 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 8 << 2
     Nulls: a null text counts as empty and has its end only. Repeated rows are
     counted and scored each; rows equal in doc_id and text share a block. Without
     training rows both scores are 0. Empty tables give no rows; other columns are
-    not read. ``block_bytes`` bounds what one task holds, up to the longest text;
-    ``min_blocks`` is for small inputs, where deleting a block must leave something.
+    not read. Very long texts are scored whole, by one task each. A block is about
+    ``block_bytes`` (and grows with the root of the input beyond ``GROWING``) or its
+    longest text, or what rows equal in doc_id and text take together: nothing but
+    their place tells these apart. ``min_blocks`` is for small inputs, where
+    deleting a block must leave something.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long"), body.alias("body"), F.coalesce(held_out, F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n_blocks = max(min_blocks, math.ceil(size / block_bytes))
+    # blocks times shards would grow with the square of the input; blocks that grow with its root keep the requests in proportion
+    n_blocks = max(min_blocks, math.ceil(size / (block_bytes * max(1.0, math.sqrt(size / GROWING)))))
     shards = n_blocks
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(n_blocks)))
 

@@ -54,19 +54,40 @@ def test_drop_copies(spark):
 
 
 def test_index_runs(spark):
-    index = MergeIndex.create(spark)
-    batch = lambda lo: spark.range(lo, lo + 100).select("id", sha256((F.col("id") % 60).cast("string")).alias("digest"))
+    index = MergeIndex.create(spark, expected=300)
+    batch = lambda lo, n=100: spark.range(lo, lo + n).select("id", sha256((F.col("id") % 60 + F.floor(F.col("id") / 10_000) * 60).cast("string")).alias("digest"))
     index.insert(batch(0))
     index.insert(batch(1000))
+    index.insert(batch(10_000, 50))
     merged = index.compact()
-    assert merged.count() == 60 and merged.where("n = 4").count() + merged.where("n = 3").count() + merged.where("n = 2").count() == 60
-    assert merged.agg(F.max("keep_id")).first()[0] < 60
-    wanted = bytes(merged.first().digest)
-    assert {bytes(r.digest) for r in index.lookup([wanted]).collect()} == {wanted}
+    assert merged.count() == 110 and merged.where("n = 4").count() + merged.where("n = 3").count() + merged.where("n = 2").count() == 60
+    assert merged.where("n > 1").agg(F.max("keep_id")).first()[0] < 60
+    wanted = bytes(merged.where("n > 1").first().digest)
+    assert [(bytes(r.digest), r.run) for r in index.lookup([wanted]).orderBy("run").collect()] == [(wanted, 0), (wanted, 1)]
     with pytest.raises(ValueError):
         index.lookup([b""] * 10_001)
 
 
+def test_filters_spare_what_one_run_has(spark):
+    """Probed before a flush, the filters mark what earlier runs may have; compaction shuffles little else."""
+    index = MergeIndex.create(spark, expected=4000)
+    digests = lambda lo, hi: spark.range(lo, hi).select("id", sha256(F.col("id").cast("string")).alias("digest"))
+    index.insert(digests(0, 2000))
+    index.insert(digests(1900, 3900))
+    second = index.runs().where("run = 1")
+    assert second.where("met AND keep_id < 2000").count() == 100 and second.where("met").count() < 300
+    assert index.parted().where("shared AND keep_id BETWEEN 1900 AND 1999").count() == 200 and index.parted().where("shared").count() < 600
+    plan = index.parted()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert index.compact().count() == 3900 and index.compact().where("n = 2").count() == 100
+    files = [f.replace("file://", "") for f in index.runs().inputFiles()]
+    import pyarrow.parquet as pq
+
+    for f in files:
+        group = pq.ParquetFile(f).read().column("digest").to_pylist()
+        assert group == sorted(group)
+
+
 def brute_components(links):
     parent = {}
 

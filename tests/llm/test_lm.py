@@ -93,3 +93,76 @@ def test_empty_and_untrained(spark):
     assert score_documents(docs.limit(0), held()).count() == 0
     row = score_documents(docs, held()).first()
     assert row.train_tokens == 0 and row.n_known == 0 and row.base_score == pytest.approx(0) and row.score == pytest.approx(0)
+
+
+def plain_model(rows, block_of, held_row):
+    """The model by dictionaries: weights by expectation-maximisation over exact estimates, and the score of each row."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    pairs_of = lambda t: list(zip([b"", *tokens(t)[:-1]], tokens(t), strict=True))
+    words, pairs = collections.Counter(), collections.Counter()
+    own = {}
+    for k, (_, t) in enumerate(rows):
+        if not held_row[k]:
+            w, p = own.setdefault(block_of[k], (collections.Counter(), collections.Counter()))
+            w.update(tokens(t))
+            p.update(pairs_of(t))
+    for w, p in own.values():
+        words.update(w)
+        pairs.update(p)
+    n, floor = sum(words.values()), 1 / (len(words) + 1)
+    held = collections.defaultdict(list)  # by bucket: weight, bigram and unigram estimate without the block's own counts
+    for w, p in own.values():
+        for (a, b), c in p.items():
+            context = words[a] - w[a]
+            p2 = (pairs[a, b] - p[a, b]) / context if context else 0.0
+            held[int(bucket_of(np.array([context]))[0])].append((c, p2, (words[b] - w[b]) / (n - sum(w.values()))))
+
+    def fit(cells):
+        mix = [1 / 3] * 3
+        for _ in range(100):
+            new = [0.0, 0.0, 0.0]
+            for c, p2, p1 in cells:
+                parts = [mix[0] * p2, mix[1] * p1, mix[2] * floor]
+                for k in range(3):
+                    new[k] += c * parts[k] / sum(parts)
+            mix = [x / sum(new) for x in new]
+        mix = [max(x, 1e-7) for x in mix]
+        return [x / sum(mix) for x in mix]
+
+    weights = {b: fit(cells) for b, cells in held.items()}
+    rest = fit([c for cells in held.values() for c in cells])
+
+    def score(t, weights):
+        total = 0.0
+        for a, b in pairs_of(t):
+            bucket = int(bucket_of(np.array([words[a]]))[0])
+            mix = weights.get(bucket, rest)
+            if not bucket:
+                mix = [0.0, mix[1] / (mix[1] + mix[2]), mix[2] / (mix[1] + mix[2])]
+            total += math.log10(mix[0] * pairs[a, b] / max(words[a], 1) + mix[1] * words[b] / n + mix[2] * floor)
+        return total
+
+    return score, weights
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_score_equals_dictionaries(spark, monkeypatch, exact):
+    """With fixed weights the scores are those of dictionaries; with learned ones they differ by the binning of estimates alone."""
+    from loomgrain.llm import lm_score
+
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 60), p=(s := 1 / np.arange(1, 61)) / s.sum()))) for k in range(150)] + [(1000, None), (1001, "never seen Words here"), (3, "W1 w2 w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = docs.select(F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit("")).cast("binary")), F.lit(8)).alias("b")).collect()
+    held_row = [i % 3 == 0 for i, _ in rows]
+    score, weights = plain_model(rows, [r.b for r in blocks], held_row)
+    if exact:
+        fixed = {b: [0.6, 0.3, 0.1] if b % 2 else [0.2, 0.5, 0.3] for b in range(lm_score.BUCKETS)}
+        table = np.array([fixed[b] for b in range(lm_score.BUCKETS)])
+        table[0] = [0, *(table[0][1:] / table[0][1:].sum())]
+        monkeypatch.setattr(lm_score, "learn_weights", lambda *a, **k: table)
+        weights = fixed
+    got = {(r.doc_id, r.n_tokens): r.score for r in score_documents(docs, held()).collect()}
+    off = [abs(got[i, len((t or "").split()) + 1] / score(t, weights) - 1) for i, t in rows]
+    assert max(off) < (1e-9 if exact else 0.05) and sum(off) / len(off) < 0.005
