@@ -18,6 +18,7 @@ takes them as candidates only and compares the texts' shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +106,11 @@ def _signed(mask: int) -> int:
 
 
 def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(member, first) links of the components within ``radius`` among distinct fingerprints."""
+    """(member, first) links of the components within ``radius`` among distinct fingerprints.
+
+    The first is the smallest, so that the buckets of a large group name the same few.
+    """
+    fps = np.sort(fps)
     own = fps.view(np.uint64)
     label = np.full(len(own), -1, np.int64)
     for first in range(len(own)):
@@ -150,6 +155,9 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["space", "a", "b"])
 
     out = None
+    # so many tasks that the counts of one fit its memory
+    masks = (1 << (radius + 1)) - 1
+    distinct = distinct.select("space", "fp").repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct.count() * masks / 1_000_000)), "fp")
     first = F.array(*map(F.lit, map(_signed, covering_masks(list(range(64)), radius))))
     level = distinct.select("space", "fp", F.explode(first).alias("mask"))
     while True:
