@@ -105,25 +105,32 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def spanning_links(fps: np.ndarray, radius: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(member, first) links of the components within ``radius`` among distinct fingerprints.
 
-    The first is the smallest, so that the buckets of a large group name the same few.
+    The first is the smallest. Fingerprints of one label are known to be connected:
+    a link is given for each label of a component but the first's.
     """
-    fps = np.sort(fps)
+    order = np.argsort(fps)
+    fps, known = fps[order], np.arange(len(fps)) if labels is None else labels[order]
     own = fps.view(np.uint64)
-    label = np.full(len(own), -1, np.int64)
+    root = np.full(len(own), -1, np.int64)
+    links = []
     for first in range(len(own)):
-        if label[first] >= 0:
+        if root[first] >= 0:
             continue
-        label[first] = first
+        root[first] = first
         edge = [first]
-        while edge and (label < 0).any():
-            rest = np.flatnonzero(label < 0)
-            near = np.bitwise_count(own[rest] ^ own[edge.pop()]) <= radius
-            label[rest[near]] = first
+        while edge and (root < 0).any():
+            rest = np.flatnonzero(root < 0)
+            at = edge.pop()
+            near = (np.bitwise_count(own[rest] ^ own[at]) <= radius) | (known[rest] == known[at])
+            root[rest[near]] = first
             edge.extend(rest[near].tolist())
-    return [(int(fps[k]), int(fps[label[k]])) for k in range(len(fps)) if label[k] != k]
+        member = np.flatnonzero(root == first)
+        _, one = np.unique(known[member], return_index=True)
+        links += [(int(fps[k]), int(fps[first])) for k in member[one].tolist() if known[k] != known[first]]
+    return links
 
 
 def _masks_of(radius: int):
@@ -140,10 +147,11 @@ def _masks_of(radius: int):
     return of
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1024) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1024, labels: DataFrame | None = None) -> DataFrame:
     """Links (space, a, b) that connect all fingerprints ``fp`` of one ``space`` of ``distinct`` within ``radius`` of each other.
 
-    Buckets are counted by a grouping, combined before its shuffle, and the counts
+    ``labels`` (space, fp, label) tells what is connected already: no links are
+    given between fingerprints of one label. Buckets are counted by a grouping, combined before its shuffle, and the counts
     are joined back, so that no task sees a whole hot bucket before it is split.
     """
     if bucket_rows < 1 << (radius + 1):
@@ -151,7 +159,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(s, *x) for s, fps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in spanning_links(np.array(fps.as_py(), np.int64), radius)]
+            pairs = []
+            for space, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fps, known = rows.values.field("fp").to_numpy(), rows.values.field("label").to_numpy(zero_copy_only=False)
+                pairs += [(space, *x) for x in spanning_links(fps, radius, known)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["space", "a", "b"])
 
     out = None
@@ -165,8 +176,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 1
         counts = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-counts")
         sized = materialise(buckets.join(counts, "bucket"), "simhash-buckets")
         # a hash that two buckets share only makes one of them larger
-        small = sized.where(F.col("n") <= bucket_rows).groupBy("bucket", "space").agg(F.collect_list("fp").alias("fps"))
-        found = small.select("space", "fps").mapInArrow(links, "space int, a long, b long")
+        small = sized.where(F.col("n") <= bucket_rows)
+        small = small.join(labels, ["space", "fp"]) if labels is not None else small.withColumn("label", F.col("fp"))
+        small = small.groupBy("bucket", "space").agg(F.collect_list(F.struct("fp", "label")).alias("rows"))
+        found = small.select("space", "rows").mapInArrow(links, "space int, a long, b long")
         out = found if out is None else out.unionByName(found)
         large = sized.where(F.col("n") > bucket_rows)
         if large.isEmpty():
@@ -282,12 +295,22 @@ def similar_groups(
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     own = materialise(rows.select("uid", F.posexplode(of(body)).alias("space", "fp")), "near-fingerprints")
     firsts = materialise(own.groupBy("space", "fp").agg(F.min("uid").alias("first")), "near-firsts")
-    links = fingerprint_links(firsts.select("space", "fp"), radius, bucket_rows)
-    for end in ("a", "b"):  # from fingerprints to the first rows that have them
-        links = links.join(firsts.toDF("space", end, f"row_{end}"), ["space", end])
-    within = own.join(firsts, ["space", "fp"]).where("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b"))
-    links = links.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).unionByName(within)
-    found = components(links).select(F.col("node").alias("uid"), "component")
+
+    def rows_linked(some: str, labels: DataFrame | None = None) -> DataFrame:
+        """Links (a, b) between rows by the fingerprints of some spaces: through the first row of each, and the others to it."""
+        links = fingerprint_links(firsts.where(some).select("space", "fp"), radius, bucket_rows, labels)
+        for end in ("a", "b"):
+            links = links.join(firsts.toDF("space", end, f"row_{end}"), ["space", end])
+        within = own.where(some).join(firsts, ["space", "fp"]).where("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b"))
+        return links.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).unionByName(within)
+
+    # what the first fingerprints connect is linked no further by the others
+    found = components(rows_linked("space = 0"))
+    if fingerprints > 1:
+        label = F.coalesce("component", "first").alias("label")
+        labels = materialise(firsts.where("space > 0").join(found, F.col("first") == F.col("node"), "left").select("space", "fp", label), "near-labels")
+        found = components(rows_linked("space > 0", labels).unionByName(found.toDF("a", "b")))
+    found = found.select(F.col("node").alias("uid"), "component")
     members = rows.select("uid", "id", body.alias("body"), F.sha2(body, 256).alias("sha")).join(found, "uid")
     members = materialise(members, "near-members")
     slim = members.select("uid", "component", "sha", F.octet_length("body").alias("bytes"))
@@ -319,7 +342,7 @@ def similar_groups(
             inside = new.join(common, ["component", "b"], "left_semi").select(F.col("a").alias("_uid"))
             waiting = materialise(waiting.join(inside, F.col("uid") == F.col("_uid"), "left_anti"), "near-waiting")
     joined = joined.select("a", "b") if joined is not None else None
-    groups = components(joined if joined is not None else links.limit(0)).toDF("_node", "group")
+    groups = components(joined if joined is not None else found.toDF("a", "b").limit(0)).toDF("_node", "group")
     named = materialise(members.select("uid", "id", "sha").join(groups, F.col("uid") == F.col("_node")).drop("_node"), "near-groups")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "uid"))
     stays = materialise(named.groupBy("group").agg(first.alias("first")).select(F.col("group").alias("_group"), F.col("first.uid").alias("stays")), "near-stays")

@@ -95,6 +95,19 @@ def test_spanning_links():
     assert sorted(spanning_links(fps, 1)) == [(1, 0), (3, 0), ((1 << 40) | 1, 1 << 40)] or len(spanning_links(fps, 1)) == 4
 
 
+def test_labels_spare_links(spark):
+    """What labels connect gets no link; together they connect the same as all near pairs."""
+    rng = random.Random(9)
+    fps = clustered(rng, 10, 20)
+    label = {f: k // 3 for k, f in enumerate(fps)}
+    signed = {f: f - 2**64 if f >> 63 else f for f in fps}
+    labels = spark.createDataFrame([(0, signed[f], label[f]) for f in fps], "space int, fp long, label long")
+    got = [(r.a % 2**64, r.b % 2**64) for r in fingerprint_links(labels.select("space", "fp"), 4, 1024, labels).collect()]
+    assert all(label[a] != label[b] for a, b in got)
+    same = [(a, b) for a, b in itertools.combinations(fps, 2) if label[a] == label[b]]
+    assert same_partition(components_of(got + same, fps), components_of(near_pairs(fps, 4) + same, fps))
+
+
 def test_table(spark):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(400)]
