@@ -43,8 +43,9 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loomgrain-{spark.sparkContext.applicationId}"
 
 
-#: Applications whose folder is already marked for deletion.
+#: Applications whose folder is already marked for deletion, and the folders of the scopes that are open.
 _marked: set[str] = set()
+_scopes: list[str] = []
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -60,7 +61,21 @@ def scratch(spark: SparkSession, tag: str) -> str:
         fs.mkdirs(path)
         fs.deleteOnExit(path)
         _marked.add(root)
-    return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
+    return "/".join([root, *_scopes, f"{tag}-{uuid.uuid4().hex[:12]}"])
+
+
+@contextmanager
+def discarding(spark: SparkSession, tag: str):
+    """Delete the intermediate tables that the block writes when it ends; what is to last is written elsewhere by then."""
+    scratch(spark, tag)  # marks the application's folder
+    _scopes.append(f"{tag}-{uuid.uuid4().hex[:12]}")
+    path = "/".join([scratch_root(spark), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        fs, where = _filesystem(spark, path)
+        fs.delete(where, True)
 
 
 @contextmanager

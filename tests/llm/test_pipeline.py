@@ -1,11 +1,12 @@
 import itertools
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 from test_dedup import norm
 from test_simhash import jaccard, plain_stays, shingles
 
-from loomgrain.llm.common import table
+from loomgrain.llm.common import materialise, scratch_root, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,6 +71,8 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+    left = Path(scratch_root(spark).removeprefix("file:")).glob("stage-tables-*")
+    assert not list(left)  # each stage's own tables went with it
 
 
 def test_no_stage_loses_rows_for_their_identifiers(spark):
@@ -84,7 +87,7 @@ def test_no_stage_loses_rows_for_their_identifiers(spark):
     odd = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
         before = [r.text for r in odd.collect()]
-        odd = corpus_pipeline.materialise(stage(spark, odd, SF), f"test-{k}")
+        odd = materialise(stage(spark, odd, SF), f"test-{k}")
         after = [r.text for r in odd.collect()]
         if k == 1:
             assert sorted(map(norm, after)) == sorted({norm(t) for t in before})
