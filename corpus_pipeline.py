@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm.common import materialise, table
+from loomgrain.llm.common import discarding, freeing_shuffles, scratch, table
 from loomgrain.llm.decontaminate import drop_leaks
 from loomgrain.llm.exact_dedup import drop_copies
 from loomgrain.llm.mixing import mix_sources
@@ -56,5 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-').lower()}")
+        kept = scratch(spark, f"stage-{name.replace(' ', '-').lower()}")
+        with discarding(spark, "stage-tables"), freeing_shuffles(spark):  # what only this stage needs goes with it
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(kept)
+        docs = spark.read.schema(out.schema).parquet(kept)
     return docs
