@@ -136,6 +136,31 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d).select("rank", "id", "filePath", "distance")
 
 
+_EVERY_50 = f"""
+q AS (SELECT id AS query_id, vector AS q, list_transform({_KEYWORDS.format('document')}, lambda w: lower(w)) AS words FROM ({fx.CHUNKS}) WHERE id % 50 = 0),
+hit AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS place FROM q, (SELECT id, lower(document) AS low FROM ({fx.CHUNKS})) c
+  WHERE len(list_filter(words, lambda w: contains(low, w))) > 0 QUALIFY place <= 10),
+close AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM (
+  SELECT query_id, id, round({_L2.format(a='vector', b='q')}, 6) AS distance FROM q, (SELECT id, vector FROM ({fx.CHUNKS}) WHERE vector IS NOT NULL) c WHERE q IS NOT NULL) QUALIFY place <= 10),
+merged AS (SELECT query_id, id, 0.0::DOUBLE AS distance, 0 AS src, place FROM hit UNION ALL SELECT query_id, id, distance, 1, place FROM close)"""
+
+
+def _every_50(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of the batch searches: every row whose identifier is divisible by 50, with its vector and the keywords of its text."""
+    return fx.chunks(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"), tx.keywords(F.col("document")).alias("words"))
+
+
+@registered(f"WITH {_EVERY_50} SELECT query_id, cast(place AS INTEGER) AS rank, id FROM hit")
+def keyword_search_batch(spark: SparkSession, d: str) -> DataFrame:
+    return search.keyword_search_batch(fx.chunks(spark, d), _every_50(spark, d), 10)
+
+
+@registered(f"""WITH {_EVERY_50}, once AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY src, place) = 1)
+SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY src, place) AS INTEGER) AS rank, id, distance FROM once QUALIFY rank <= 10""")
+def hybrid_search_batch(spark: SparkSession, d: str) -> DataFrame:
+    return search.hybrid_search_batch(fx.chunks(spark, d), _every_50(spark, d), 10)
+
+
 @registered(f"""SELECT id, "filePath", 0 AS "lineRangeStart", substr(document, 1, 200) AS snippet FROM (
   SELECT *, round({_L2.format(a='vector', b='q')}, 6) AS distance FROM (SELECT *, {_Q} AS q FROM ({fx.CHUNKS}) WHERE vector IS NOT NULL) ORDER BY distance, id LIMIT 10)""")
 def search_files(spark: SparkSession, d: str) -> DataFrame:
