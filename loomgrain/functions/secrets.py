@@ -27,9 +27,12 @@ RULES = [
 HINTS = [("AKIA",), ("=", ":"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("sk-",), ("=", ":"), ("xox",), ("PRIVATE",), ("eyJ",), ("://",), ("=", ":")]
 
 
+def _hinted(text: Column, order: int) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in HINTS[order]])
+
+
 def _has(text: Column, order: int) -> Column:
-    hinted = reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in HINTS[order]])
-    return hinted & text.rlike(RULES[order][1])
+    return _hinted(text, order) & text.rlike(RULES[order][1])
 
 
 def has_secret(text: Column) -> Column:
@@ -37,19 +40,23 @@ def has_secret(text: Column) -> Column:
 
 
 def _matches(text: Column, order: int, kind: str, pattern: str) -> Column:
-    """Struct array (offset, order, kind, preview) of one rule: lengths of the pieces between matches give the offsets."""
+    """Struct array (offset, order, kind, preview) of one rule: lengths of the pieces between matches give the offsets.
+
+    The text is searched for the matches and for what lies between them; the groups are taken from the matches.
+    """
     between = F.split(text, pattern, -1)
-    whole, before, secret = (F.regexp_extract_all(text, F.lit(pattern), g) for g in (0, 1, 2))
-    rows = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), before.alias("pre"), secret.alias("secret"))
+    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
+    rows = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"))
     none = F.array().cast("array<struct<offset: bigint, order: int, kind: string, preview: string>>")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
 
     def step(acc: Column, row: Column) -> Column:
         at = acc["at"] + F.octet_length(row["gap"])
-        found = F.struct((at + F.octet_length(row["pre"])).cast("bigint").alias("offset"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), redact(row["secret"]).alias("preview"))
+        before, secret = (F.regexp_extract(row["whole"], pattern, g) for g in (1, 2))
+        found = F.struct((at + F.octet_length(before)).cast("bigint").alias("offset"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), redact(secret).alias("preview"))
         return F.struct((at + F.octet_length(row["whole"])).cast("bigint").alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
 
-    return F.when(_has(text, order), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(_hinted(text, order), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def secrets(text: Column) -> Column:
