@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import secrets as secret_rules
@@ -237,8 +237,6 @@ fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELEC
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     own = fx.chunks(spark, d)
     rank = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
     near = rank(search.vector_topk(own, _first_vector(spark, d), 30).select("id", "distance"), "distance", "id")
@@ -458,6 +456,27 @@ def index_two_runs(spark: SparkSession, d: str) -> DataFrame:
     return store.chunks().select("filePath", "chunkIndex", F.md5("document").alias("document_md5"))
 
 
+@registered(f"""SELECT "workspaceId", "filePath", id, "fromName", "toName", kind FROM ({{edges}}) WHERE cast("filePath" AS BIGINT) % 3 <> 0""")
+def index_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of an index after the files whose number is divisible by three are deleted."""
+    store = index.IndexStore(spark, shared_folder(spark, "index"))
+    lines = fx.named_lines(spark, d)
+    files = lines.select("workspaceId", "filePath").distinct()
+    chunks = lines.select("workspaceId", "filePath", "chunkIndex", "document", "id", "kind", "name").withColumn("vector", F.array(F.lit(1.0)).cast("array<float>"))
+    edges = relations.reference_edges(lines)
+    store.replace_files(files, chunks, edges)
+    store.replace_files(files.where("cast(filePath AS BIGINT) % 3 = 0"), chunks.limit(0), edges.limit(0))
+    return store.edges()
+
+
+@registered(fx.MANIFEST)
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest as it is read back from where it was written."""
+    path = shared_folder(spark, "manifest")
+    fx.manifest(spark, d).write.parquet(path)
+    return fs.load_manifest(spark, path)
+
+
 @registered(f"""
 WITH c AS (SELECT file_path, doc_id % 7 AS n, regexp_extract(file_path, '^.*/') AS folder FROM ({fx.FILES})),
 r AS (SELECT file_path, n, cast(sum(n) OVER (ORDER BY folder, file_path) AS BIGINT) AS chunks_done, row_number() OVER (ORDER BY folder, file_path) AS files_done,
@@ -617,6 +636,53 @@ def think_segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", "position", "s.*")
 
 
+@registered(f"""SELECT string_agg(concat('--- Pinned Context ', n, ' ---', chr(10), substr(content, 1, 8000), chr(10), chr(10)), '' ORDER BY n) AS context FROM (
+  SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM ({fx.FILES}) ORDER BY doc_id LIMIT 9) WHERE n % 4 <> 0""")
+def pinned_context(spark: SparkSession, d: str) -> DataFrame:
+    """Nine pinned files, of which every fourth can't be read."""
+    own = fx.files(spark, d).orderBy("doc_id").limit(9).withColumn("position", F.row_number().over(Window.orderBy("doc_id")))
+    return chat.pinned_block(own.withColumn("content", F.when(F.col("position") % 4 != 0, F.col("content"))))
+
+
+_EDITED = f"""SELECT id, CASE WHEN id % 4 = 0 THEN concat('Renamed ', id) ELSE title END AS title, CASE WHEN id % 4 = 1 THEN 1 ELSE "updatedAt" END AS "updatedAt"
+  FROM ({fx.SESSIONS}) WHERE id % 5 <> 0 OR id > 40 UNION ALL SELECT -1, 'Added', 7"""
+
+
+@registered(_EDITED)
+def sessions_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions after some were renamed, some saved again, one added and some deleted; fields that aren't given keep their value."""
+    own = fx.sessions(spark, d)
+    title = F.when(F.col("id") % 4 == 0, F.concat(F.lit("Renamed "), F.col("id").cast("string")))
+    changes = own.where("id % 4 < 2").select("id", title.alias("title"), F.when(F.col("id") % 4 == 1, F.lit(1)).cast("long").alias("updatedAt"))
+    added = spark.createDataFrame([(-1, "Added", 7)], changes.schema)
+    return workspaces.removed(workspaces.upserted(own, changes.unionByName(added)), [5 * k for k in range(9)])
+
+
+@registered("""SELECT conv_id, array_to_string(CASE WHEN list_contains(['system', 'user'], role) THEN list_filter(['system', 'user'], lambda r: r <> role) ELSE ['system', 'user', role] END, ',') AS active, turn FROM conversations""")
+def toggled_sources(spark: SparkSession, d: str) -> DataFrame:
+    active = F.array(F.lit("system"), F.lit("user"))
+    return fx.table(spark, d, "conversations").select("conv_id", F.array_join(workspaces.toggled(active, F.col("role")), ",").alias("active"), "turn")
+
+
+@registered(f"""SELECT * FROM (SELECT concat(source, '/', doc_id) AS id, concat(lang, ' ', doc_id) AS name FROM documents) WHERE contains(lower(name), lower('N 1')) OR contains(lower(id), lower('N 1')) ORDER BY id LIMIT 30""")
+def model_search(spark: SparkSession, d: str) -> DataFrame:
+    models = fx.table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("id"), F.concat_ws(" ", "lang", F.col("doc_id").cast("string")).alias("name"))
+    return workspaces.find_models(models, "N 1")
+
+
+@registered(f"""SELECT "workspaceId", count(*) AS files, count(*) FILTER (doc_id % 5 <> 0) AS indexed, round(100.0 * count(*) FILTER (doc_id % 5 <> 0) / count(*), 2) AS percent FROM ({fx.FILES}) GROUP BY 1""")
+def index_coverage(spark: SparkSession, d: str) -> DataFrame:
+    own = fx.files(spark, d)
+    return workspaces.coverage(own, own.where("doc_id % 5 <> 0"))
+
+
+@registered("SELECT conv_id, concat(role, ':', turn) AS name FROM conversations")
+def local_models(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as a local server's list of models."""
+    item = F.to_json(F.struct(F.concat_ws(":", "role", F.col("turn").cast("string")).alias("name"), F.col("text").alias("digest")))
+    return services.local_models(_bodies(spark, d, item, lambda t: F.concat(F.lit('{"models": ['), t, F.lit("]}"))), keep=("conv_id",))
+
+
 # ---- graph ----
 
 
@@ -628,6 +694,8 @@ def reference_edges(spark: SparkSession, d: str) -> DataFrame:
     return relations.reference_edges(fx.named_lines(spark, d))
 
 
+ORACLE_SQL["index_edges"] = ORACLE_SQL["index_edges"].format(edges=ORACLE_SQL["reference_edges"])
+
 _NODES = f"""SELECT name, max_by(kind, {{'a': "filePath", 'b': "chunkIndex", 'c': id}}) AS kind, max_by("filePath", {{'a': "filePath", 'b': "chunkIndex", 'c': id}}) AS "filePath" FROM ({fx.LINES}) WHERE name <> '' GROUP BY name"""
 
 

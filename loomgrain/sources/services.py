@@ -31,10 +31,10 @@ def model_groups(bodies: DataFrame, body: str = "body", keep: tuple[str, ...] =
     return bodies.select(*keep, F.explode(rows).alias("m")).where("m.id IS NOT NULL").select(*keep, "m.id", F.coalesce("m.name", "m.id").alias("name"), tier.alias("tier"))
 
 
-def local_models(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """(name) of a local server's models."""
+def local_models(bodies: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(name) of a local server's models, after the columns ``keep``."""
     rows = F.from_json(F.get_json_object(body, "$.models"), "array<struct<name: string>>")
-    return bodies.select(F.explode(rows).alias("m")).select("m.name").where("name IS NOT NULL")
+    return bodies.select(*keep, F.explode(rows).alias("m")).select(*keep, "m.name").where("name IS NOT NULL")
 
 
 def web_results(bodies: DataFrame, provider: Column | str = "provider", body: str = "body", most: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
