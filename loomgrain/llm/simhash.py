@@ -284,7 +284,9 @@ def similar_groups(
     A further round is needed where a candidate group has more rows: those that the
     first round did not connect with its most common pivot are pivots in turn, and
     the others need no comparison with each other. So a large group of copies takes
-    a round or two, and no group is gathered in one task. ``uid`` tells rows apart; a null text counts as empty;
+    a few rounds, and no group is gathered in one task. Rows that the fingerprints
+    connect but the texts don't are what costs: u such rows among m are compared
+    u * m times, in rounds of up to four times ``pivots``. ``uid`` tells rows apart; a null text counts as empty;
     an empty table gives no rows.
     """
 
@@ -315,10 +317,10 @@ def similar_groups(
     members = materialise(members, "near-members")
     slim = members.select("uid", "component", "sha", F.octet_length("body").alias("bytes"))
 
-    waiting, joined = slim, None  # rows that may have to be pivots, and the links found
+    waiting, joined, most = slim, None, pivots  # rows that may have to be pivots, the links found, and pivots in the next round
     while True:
         place = F.row_number().over(Window.partitionBy("component").orderBy("sha", "uid"))
-        chosen = waiting.select("uid", "component", "sha").withColumn("place", place).where(F.col("place") <= pivots)
+        chosen = waiting.select("uid", "component", "sha").withColumn("place", place).where(F.col("place") <= most)
         chosen = materialise(chosen.select(F.col("uid").alias("_uid"), "component"), "near-pivots")
         if chosen.isEmpty():
             break
@@ -341,6 +343,7 @@ def similar_groups(
             common = each.groupBy("component").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
             inside = new.join(common, ["component", "b"], "left_semi").select(F.col("a").alias("_uid"))
             waiting = materialise(waiting.join(inside, F.col("uid") == F.col("_uid"), "left_anti"), "near-waiting")
+        most = min(2 * most, 4 * pivots)
     joined = joined.select("a", "b") if joined is not None else None
     groups = components(joined if joined is not None else found.toDF("a", "b").limit(0)).toDF("_node", "group")
     named = materialise(members.select("uid", "id", "sha").join(groups, F.col("uid") == F.col("_node")).drop("_node"), "near-groups")
