@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import uuid
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,22 +110,66 @@ def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """A written copy of ``df`` and the name of the column in it that tells its rows apart.
+#: Bits in one row of a filter, fixed by ``bitmap_construct_agg``.
+_ROW_BITS = 32768
 
-    Stages that drop rows decide by this number, so that null and repeated
-    identifiers and rows that are equal in every column are no obstacle.
-    """
-    name = "_row"
-    while name in df.columns:
-        name += "_"
-    return materialise(df.withColumn(name, F.monotonically_increasing_id()), tag), name
 
+@dataclass
+class Filter:
+    """Bitmap over hashes of digests, at most 64 MiB, the bound of what is broadcast; a fuller one only lets more through."""
+
+    bits: DataFrame  # _row, _bits
+    rows: int
+
+    @staticmethod
+    def rows_for(digests: int) -> int:
+        """Rows of a filter with 16 bits a digest, within the bound."""
+        return min(16_384, 1 << (digests * 16 // _ROW_BITS + 1).bit_length())
+
+    def _slot(self, digest: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(digest)
+        return F.pmod(h, F.lit(self.rows)), F.pmod(F.shiftrightunsigned(h, 20), F.lit(_ROW_BITS))
+
+    @classmethod
+    def of(cls, digests: DataFrame, rows: int, tag: str) -> Filter:
+        """The filter of column ``digest``."""
+        row, bit = cls(digests, rows)._slot(F.col("digest"))
+        marked = digests.select(row.alias("_row"), bit.alias("_bit"))
+        return cls(materialise(marked.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), tag), rows)
+
+    def also(self, other: Filter) -> Filter:
+        """What either filter lets through."""
+        return Filter(self.bits.unionByName(other.bits).groupBy("_row").agg(F.bitmap_or_agg("_bits").alias("_bits")), self.rows)
 
-def without(df: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
-    """``df`` (as ``numbered`` made it) without the rows whose numbers are in the one column of ``dropped``."""
-    gone = dropped.toDF("_gone")
-    return df.join(gone, df[row] == gone["_gone"], "left_anti").drop(row)
+    def probed(self, rows: DataFrame, name: str, digest: str = "digest") -> DataFrame:
+        """``rows`` with the boolean ``name``: false where the column ``digest`` surely isn't in the filter."""
+        own = f"{name}_{uuid.uuid4().hex[:8]}"
+        row, bit = self._slot(F.col(digest))
+        bits = self.bits.select(F.col("_row").alias(f"{own}_row"), F.col("_bits").alias(f"{own}_bits"))
+        byte = F.conv(F.hex(F.substring(f"{own}_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10)
+        is_set = F.get(F.array(*(byte.cast("int").bitwiseAND(1 << k) != 0 for k in range(8))), F.pmod(bit, F.lit(8)).cast("int"))
+        joined = rows.withColumn(f"{own}_at", row).join(F.broadcast(bits), F.col(f"{own}_at") == F.col(f"{own}_row"), "left")
+        return joined.withColumn(name, F.coalesce(is_set, F.lit(False))).drop(f"{own}_at", f"{own}_row", f"{own}_bits")
+
+
+def text_key(*texts: Column) -> Column:
+    """MD5 (hex) of texts, nulls and where one ends told apart: rows are decided by what they say, so their identifiers don't matter."""
+    parts = [F.when(t.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)) for t in (x.cast("string") for x in texts)]
+    return F.md5(F.concat(*parts))
+
+
+def without(df: DataFrame, key: Column, dropped: DataFrame, tag: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` is in the one column of ``dropped``, which is a written table.
+
+    Only rows that a filter of the dropped keys lets through are joined with them, so the others aren't shuffled.
+    """
+    gone = dropped.toDF("digest")
+    found = Filter.of(gone, Filter.rows_for(gone.count()), f"{tag}-filter")
+    name = f"_key_{uuid.uuid4().hex[:8]}"
+    marked = found.probed(df.withColumn(name, key), f"{name}_hit", name)
+    maybe = marked.where(F.col(f"{name}_hit"))
+    kept = maybe.join(gone, maybe[name] == gone["digest"], "left_anti").unionByName(marked.where(~F.col(f"{name}_hit")))
+    return kept.drop(name, f"{name}_hit")
 
 
 def release(spark: SparkSession) -> None:

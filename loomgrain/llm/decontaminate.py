@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import materialise, numbered, without
+from .common import materialise, text_key, without
 
 #: Letters A-Z to lower case; letters, digits and all bytes beyond ASCII stay; the rest parts words.
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -142,7 +143,7 @@ class Matcher:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each document row and benchmark item that it holds: doc_id, item_id, distance, budget, start_word, end_word.
 
-    Words are runs of letters and digits, A-Z lower-cased, and single characters of
+    A doc_id may be a string or a number. Words are runs of letters and digits, A-Z lower-cased, and single characters of
     scripts without spaces; distances are word edits, at most (1 - similarity) of
     the item's words, so that items of fewer than five words are found unchanged;
     the place is that of the best passage, the earliest of equally good ones.
@@ -162,31 +163,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, b
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("body"), F.lit(blocks)))
-    texts = docs.select(F.col("doc_id").cast("long"), body("text"))
+    named = isinstance(docs.schema["doc_id"].dataType, StringType)
+    texts = docs.select(F.col("doc_id").cast("string" if named else "long"), body("text"))
+    schema = MATCHES.replace("doc_id long", "doc_id string") if named else MATCHES
     names = [x.split()[0] for x in MATCHES.split(", ")]
 
     def scan(own: list[tuple[int | None, bytes]]) -> DataFrame:
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(own, similarity)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            types = [pa.string() if named else pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             for batch in batches:
                 rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in matcher.matches(t.as_py())]
                 columns = zip(*rows, strict=True) if rows else [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-        return texts.mapInArrow(match, MATCHES)
+        return texts.mapInArrow(match, schema)
 
     out = None
     for n in range(blocks):
         own = [(r["number"], bytes(r["body"])) for r in items.where(F.col("block") == n).collect()]  # one block of items
         found = scan(own)
         out = found if out is None else out.unionByName(found)
-    named = out.join(ids, out["item_id"] == ids["_number"])
-    return named.select("doc_id", F.col("_item").alias("item_id"), *names[2:])
+    found = out.join(ids, out["item_id"] == ids["_number"])
+    return found.select("doc_id", F.col("_item").alias("item_id"), *names[2:])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; rows decide, so null and repeated doc_ids don't matter."""
-    own, row = numbered(docs, "leak-rows")
-    found = find_leaks(own.select(F.col(row).alias("doc_id"), "text"), benchmark, similarity)
-    return without(own, row, materialise(found.select("doc_id").distinct(), "leaks"))
+    """``docs`` without the rows that hold a benchmark item; texts decide, so null and repeated doc_ids don't matter."""
+    key = text_key(F.col("text"))
+    found = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, similarity)
+    return without(docs, key, materialise(found.select("doc_id").distinct(), "leaks"), "leaks")

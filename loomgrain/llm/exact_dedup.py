@@ -17,56 +17,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freeing_shuffles, lower_ascii, materialise, scratch
-
-#: Bits in one row of a hit filter, fixed by ``bitmap_construct_agg``.
-_ROW_BITS = 32768
-
+from .common import Filter, freeing_shuffles, lower_ascii, materialise, scratch, without
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-@dataclass
-class Filter:
-    """Bitmap over hashes of digests, at most 64 MiB, the bound of what is broadcast; a fuller one only lets more through."""
-
-    bits: DataFrame  # _row, _bits
-    rows: int
-
-    @staticmethod
-    def rows_for(digests: int) -> int:
-        """Rows of a filter with 16 bits a digest, within the bound."""
-        return min(16_384, 1 << (digests * 16 // _ROW_BITS + 1).bit_length())
-
-    def _slot(self) -> tuple[Column, Column]:
-        h = F.xxhash64("digest")
-        return F.pmod(h, F.lit(self.rows)), F.pmod(F.shiftrightunsigned(h, 20), F.lit(_ROW_BITS))
-
-    @classmethod
-    def of(cls, digests: DataFrame, rows: int, tag: str) -> Filter:
-        row, bit = cls(digests, rows)._slot()
-        marked = digests.select(row.alias("_row"), bit.alias("_bit"))
-        return cls(materialise(marked.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), tag), rows)
-
-    def also(self, other: Filter) -> Filter:
-        """What either filter lets through."""
-        return Filter(self.bits.unionByName(other.bits).groupBy("_row").agg(F.bitmap_or_agg("_bits").alias("_bits")), self.rows)
-
-    def probed(self, rows: DataFrame, name: str) -> DataFrame:
-        """``rows`` with the boolean ``name``: false where ``digest`` surely isn't in the filter."""
-        row, bit = self._slot()
-        byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10)
-        is_set = F.get(F.array(*(byte.cast("int").bitwiseAND(1 << k) != 0 for k in range(8))), F.pmod(bit, F.lit(8)).cast("int"))
-        return rows.withColumn("_row", row).join(F.broadcast(self.bits), "_row", "left").withColumn(name, F.coalesce(is_set, F.lit(False))).drop("_row", "_bits")
-
-
 @dataclass
 class MergeIndex:
     """Sorted digest runs in a shared folder.
@@ -202,11 +165,12 @@ def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     further step that runs only if there are such rows.
     """
     found = materialise(exact_dedup(docs, keep=keep), "exact-copies")
-    drop = found.where("NOT kept").select(F.col("doc_id").alias("_id"), "text_sha256")
-    marked = docs.withColumn("_sha", F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256))
-    same = marked["doc_id"].eqNullSafe(drop["_id"]) & (marked["_sha"] == drop["text_sha256"])
-    stays = marked.join(drop, same, "left_anti")
+    row = lambda ident, sha: F.concat(F.coalesce(ident.cast("string"), F.lit("-")), F.lit(":"), sha)
+    sha = F.sha2(lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
+    dropped = materialise(found.where("NOT kept").select(row(F.col("doc_id"), F.col("text_sha256"))).distinct(), "exact-dropped")
+    stays = without(docs, row(F.col("doc_id"), sha), dropped, "exact")
     again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    if not again.isEmpty():
-        stays = stays.dropDuplicates(["doc_id", "_sha"])
-    return stays.drop("_sha")
+    if again.isEmpty():
+        return stays
+    name = f"_sha_{uuid.uuid4().hex[:8]}"
+    return stays.withColumn(name, sha).dropDuplicates(["doc_id", name]).drop(name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, without
+from .common import materialise, text_key, without
 
 #: Bounds of the fitted model: labelled documents read, words kept, and the fewest documents that a word is in.
 MAX_LABELLED = 12_000
@@ -227,8 +227,8 @@ def with_posteriors(scored: DataFrame, name: str) -> DataFrame:
     return joined.withColumn(f"{name}_site", site).withColumn(name, 1 / (1 + F.exp(-logit))).drop("_host", "_path", "n", "s", "hn", "hs")
 
 
-def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", cut: float = 0.5, id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: doc_id (the value of ``id_col``), host, path, low, toxic (posteriors), their site rates, rejected.
+def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", cut: float = 0.5, row_id: Column | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id (or ``row_id``, a string), host, path, low, toxic (posteriors), their site rates, rejected.
 
     ``labels`` has doc_id, quality and toxic (0/1); repeated labels count as the
     worst one, null ones are skipped. Nulls: a null text counts as empty, null
@@ -259,14 +259,15 @@ def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *out], ["doc_id", "host", "path", *(f"{k}_{s}" for k in models for s in ("llr", "p"))])
 
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body")
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), body)
-    scored = chosen.mapInArrow(score, "doc_id long, host string, path string, low_llr double, low_p double, toxic_llr double, toxic_p double")
+    chosen = docs.select((F.col("doc_id").cast("long") if row_id is None else row_id).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), body)
+    scored = chosen.mapInArrow(score, f"doc_id {'long' if row_id is None else 'string'}, host string, path string, low_llr double, low_p double, toxic_llr double, toxic_p double")
     scored = materialise(scored, "quality-scores")
     out = with_posteriors(with_posteriors(scored, "low"), "toxic")
     return out.select("doc_id", "host", "path", "low", "toxic", "low_site", "toxic_site", ((F.col("low") >= cut) | (F.col("toxic") >= cut)).alias("rejected"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``classify`` rejects; rows decide, so null and repeated doc_ids don't matter."""
-    own, row = numbered(docs, "quality-rows")
-    return without(own, row, materialise(classify(own, labels, id_col=row).where("rejected").select("doc_id"), "quality-rejects"))
+def drop_rejected(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows that ``classify`` rejects; text, host and path decide, so null and repeated doc_ids don't matter."""
+    key = text_key(F.col(host_col), F.col(path_col), F.col("text"))
+    found = classify(docs, labels, host_col, path_col, row_id=key).where("rejected").select("doc_id").distinct()
+    return without(docs, key, materialise(found, "quality-rejects"), "quality")

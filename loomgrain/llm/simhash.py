@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, without
+from .common import Filter, materialise, text_key, without
 from .components import components
 
 
@@ -269,15 +269,17 @@ def similar_groups(
     block_rows: int = 512,
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """(uid, stays) of the rows of ``rows`` (uid, id, text) that have a near copy; ``stays`` is the uid of the row that stands for its group.
+    """(key, stays, lead, copies) of each text of ``rows`` (id, text) that has a near copy or repeats.
 
-    Candidates are rows that links of covering LSH connect: in some of the several
+    ``key`` is the text's ``text_key``, ``stays`` whether it stands for its group,
+    ``lead`` its smallest id (nulls last) and ``copies`` the number of its rows.
+    Equal texts are one row from here on. Candidates are rows that links of covering LSH connect: in some of the several
     fingerprints of a text they differ in at most ``radius`` bits. These are of
     shingles of ``link_shingle`` words, because an edit changes fewer of these, so
     that similar texts are within a small radius. The decision is exact: two
     connected rows are linked if the Jaccard similarity of their sets of
     ``shingle``-word shingles is at least ``similarity``, and a group is what these
-    links connect. Of a group the first row by id (nulls last), text and uid stays.
+    links connect. Of a group the first text by lead and key stays.
 
     Rows are compared with up to ``pivots`` rows of their candidate group in blocks
     of a bounded size; a block only tells what it connects, at most one link a row.
@@ -294,8 +296,13 @@ def similar_groups(
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.array(several_fingerprints(t, link_shingle, seed, fingerprints), np.uint64).view(np.int64))
 
-    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    own = materialise(rows.select("uid", F.posexplode(of(body)).alias("space", "fp")), "near-fingerprints")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = rows.select("id", text.cast("binary").alias("body"), text_key(text).alias("key"))
+    slim = texts.select("id", "key", F.monotonically_increasing_id().alias("uid"), "body").select("id", "key", "uid", of("body").alias("fps"))
+    slim = materialise(slim, "near-fingerprints")
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"))).alias("lead")
+    classes = materialise(slim.groupBy("key").agg(F.min("uid").alias("uid"), F.first("fps").alias("fps"), lead, F.count("*").alias("copies")), "near-classes")
+    own = materialise(classes.select("uid", F.posexplode("fps").alias("space", "fp")), "near-spaces")
     firsts = materialise(own.groupBy("space", "fp").agg(F.min("uid").alias("first")), "near-firsts")
 
     def rows_linked(some: str, labels: DataFrame | None = None) -> DataFrame:
@@ -313,9 +320,11 @@ def similar_groups(
         labels = materialise(firsts.where("space > 0").join(found, F.col("first") == F.col("node"), "left").select("space", "fp", label), "near-labels")
         found = components(rows_linked("space > 0", labels).unionByName(found.toDF("a", "b")))
     found = found.select(F.col("node").alias("uid"), "component")
-    members = rows.select("uid", "id", body.alias("body"), F.sha2(body, 256).alias("sha")).join(found, "uid")
-    members = materialise(members, "near-members")
-    slim = members.select("uid", "component", "sha", F.octet_length("body").alias("bytes"))
+    wanted = materialise(classes.select("uid", "key", "lead", "copies").join(found, "uid"), "near-wanted")
+    some = Filter.of(wanted.select(F.col("key").alias("digest")), Filter.rows_for(wanted.count()), "near-wanted-filter").probed(texts.select("key", "body"), "_hit", "key")
+    bodies = some.where("_hit").groupBy("key").agg(F.min("body").alias("body"))
+    members = materialise(bodies.join(wanted.select("uid", "component", "key"), "key"), "near-members")
+    slim = members.select("uid", "component", F.col("key").alias("sha"), F.octet_length("body").alias("bytes"))
 
     waiting, joined, most = slim, None, pivots  # rows that may have to be pivots, the links found, and pivots in the next round
     while True:
@@ -346,19 +355,28 @@ def similar_groups(
         most = min(2 * most, 4 * pivots)
     joined = joined.select("a", "b") if joined is not None else None
     groups = components(joined if joined is not None else found.toDF("a", "b").limit(0)).toDF("_node", "group")
-    named = materialise(members.select("uid", "id", "sha").join(groups, F.col("uid") == F.col("_node")).drop("_node"), "near-groups")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "uid"))
-    stays = materialise(named.groupBy("group").agg(first.alias("first")).select(F.col("group").alias("_group"), F.col("first.uid").alias("stays")), "near-stays")
-    return named.join(stays, F.col("group") == F.col("_group")).select("uid", "stays")
+    named = materialise(wanted.join(groups, F.col("uid") == F.col("_node")).drop("_node"), "near-groups")
+    first = F.min(F.struct("lead", "key")).alias("first")
+    stays = materialise(named.groupBy("group").agg(first).select(F.col("group").alias("_group"), F.col("first.key").alias("_stays")), "near-stays")
+    grouped = named.join(stays, F.col("group") == F.col("_group")).select("key", (F.col("key") == F.col("_stays")).alias("stays"), F.col("lead.id").alias("lead"), "copies")
+    alone = classes.where("copies > 1").join(named.select("key"), "key", "left_anti").select("key", F.lit(True).alias("stays"), F.col("lead.id").alias("lead"), "copies")
+    return grouped.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **options) -> DataFrame:
     """``docs`` with one row for each group of ``similar_groups``; rows without near copies stay.
 
-    Rows decide, not identifiers: a row with a null or repeated doc_id goes only
-    if links of similar texts lead to a row that stays. Of rows equal in every column one stays.
-    A null text counts as empty; other columns may have any names.
+    Texts decide, not identifiers: a row with a null or repeated doc_id goes only if
+    links of similar texts lead to a row that stays. Of rows with the text that
+    stays, the one of the smallest doc_id does; of several that are equal in both,
+    one. A null text counts as empty; other columns may have any names.
     """
-    own, row = numbered(docs, "near-rows")
-    found = similar_groups(own.select(F.col(row).alias("uid"), F.col("doc_id").alias("id"), "text"), similarity, **options)
-    return without(own, row, materialise(found.where("uid <> stays").select("uid"), "near-copies"))
+    key = text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = materialise(similar_groups(docs.select(F.col("doc_id").alias("id"), "text"), similarity, **options), "near-copies")
+    left = without(docs, key, materialise(found.where("NOT stays").select("key"), "near-dropped"), "near")
+    again = found.where("stays AND copies > 1").select(F.col("key").alias("_again"), F.col("lead").alias("_lead"))
+    if again.isEmpty():
+        return left
+    marked = left.withColumn("_key_of_text", key).join(again, F.col("_key_of_text") == F.col("_again"), "left")
+    first = marked.where(F.col("_again").isNotNull() & left["doc_id"].eqNullSafe(F.col("_lead"))).dropDuplicates(["_key_of_text"])
+    return marked.where("_again IS NULL").unionByName(first).drop("_key_of_text", "_again", "_lead")
