@@ -21,7 +21,8 @@ from .common import materialise
 MAX_RULES = 2000
 #: Parts of a page that hold no links of its own.
 _NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_HREF = r"""\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_MAYBE_HIDDEN = r"(?i)<(?:!--|script|style)"
+_HREF = r"""\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _LINK, _BASE = r"(?i)<(?:a|area)" + _HREF, r"(?i)<base" + _HREF
 #: Named character references that may stand in the part of a link that has the host.
 _NAMED = {"&amp;": "&", "&colon;": ":", "&sol;": "/", "&period;": ".", "&hyphen;": "-", "&Tab;": "", "&NewLine;": ""}
@@ -84,18 +85,29 @@ def links_of(html: Column) -> Column:
     page's own, too, unless a ``base`` names another host. Character references
     are decoded; links in comments, scripts and styles are none.
     """
-    shown = F.regexp_replace(F.coalesce(html, F.lit("")), _NOT_SHOWN, " ")
-    found = lambda of, k: F.regexp_extract_all(shown, F.lit(of), F.lit(k))
-    quoted = F.zip_with(found(_LINK, 1), found(_LINK, 2), lambda a, b: F.concat(a, b))
-    hrefs = F.zip_with(quoted, found(_LINK, 3), lambda a, b: F.trim(_decoded(F.concat(a, b))))
+    bare = lambda u: F.trim(_decoded(F.regexp_replace(u, r"""(?s)\A(["'])(.*)\1\z""", "$2")))
     whole = lambda u: F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)
     absolute = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//"
-    far = F.transform(F.filter(hrefs, lambda u: u.rlike(absolute)), lambda u: host_of(whole(u)))
-    base = F.concat(*[F.regexp_extract(shown, _BASE, k) for k in (1, 2, 3)])
-    base = F.trim(_decoded(base))
-    near = F.exists(hrefs, lambda u: ~u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//|#)"))
-    own = F.when(base.rlike(absolute) & near, F.array(host_of(whole(base)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(far, own))
+    none = F.array().cast("array<string>")
+
+    def of(shown: Column) -> Column:
+        def hosts(hrefs: Column) -> Column:
+            far = F.transform(F.filter(hrefs, lambda u: u.rlike(absolute)), lambda u: host_of(whole(u)))
+            base = F.when(F.contains(F.lower(shown), F.lit("<base")), bare(F.regexp_extract(shown, _BASE, 1)))
+            near = F.exists(hrefs, lambda u: ~u.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//|#)"))
+            own = F.when(base.rlike(absolute) & near, F.array(host_of(whole(base)))).otherwise(none)
+            return F.array_distinct(F.concat(far, own))
+
+        return _once(F.transform(F.regexp_extract_all(shown, F.lit(_LINK), F.lit(1)), bare), hosts)
+
+    text = F.coalesce(html, F.lit(""))
+    has = F.contains(F.lower(text), F.lit("href"))
+    return F.when(has, _once(F.when(text.rlike(_MAYBE_HIDDEN), F.regexp_replace(text, _NOT_SHOWN, " ")).otherwise(text), of)).otherwise(none)
+
+
+def _once(value: Column, then) -> Column:
+    """``then`` of ``value``, which is computed once however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
