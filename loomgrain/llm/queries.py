@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_corpus
 from .chat_format import format_conversations, read_back
 from .common import table
 from .decontaminate import find_leaks
@@ -16,7 +18,9 @@ from .html_extract import extract_main_text
 from .lm_score import score_documents
 from .mixing import mix_sources
 from .quality import classify
+from .runs import find_runs, plant_period, strongest
 from .simhash import near_duplicates
+from .token_files import tokens_in_files
 from .warc import archive_pages
 
 
@@ -82,6 +86,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = plant_period(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = strongest(F.col("_runs"))
+    found = find_runs(docs).select("doc_id", "_runs", "_collapsed", best.alias("best"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("_runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("_runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("_collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = align_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.select(F.col("identifier").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+#: The id that op13 puts after each document.
+END_ID = 2
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = tokens_in_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
@@ -93,4 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_simhash": op10_simhash,
+    "op11_runs": op11_runs,
+    "op12_alignment": op12_alignment,
+    "op13_token_files": op13_token_files,
 }
