@@ -2,13 +2,12 @@
 
 The standard library's streaming parser turns a page into *lines*, one for each
 block of text, with the number of tags seen since the line before. The ratio of
-text to tags of each line is smoothed with a Gaussian, and a threshold splits the
-lines into content and the rest. The content lines select a *region*: article or
-main elements if they hold most of the content, else the smallest element that
-holds all content lines. All lines of the region are returned, short ones too, and
+text to tags of each line is smoothed with a Gaussian (as a logarithm), and a threshold
+between two clusters splits the lines into content and the rest. The content lines select a
+*region*: article or main elements if they hold most of the content, else the smallest
+element that holds all content lines. All lines of the region are returned, short ones too, and
 so are content lines outside it; lines inside boilerplate elements are not. Lines
-that mainly consist of links neither widen the region nor are added to it; other
-lines of ten words or more do and are, whatever their ratio.
+that mainly consist of links neither widen the region nor are added to it.
 """
 
 from __future__ import annotations
@@ -69,14 +68,19 @@ CONTAINERS = frozenset("html body main article section div center td".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Headings and their ranks.
 HEADINGS = {f"h{k}": k for k in range(1, 7)}
-#: Words from which on a line that isn't mainly links is content whatever its ratio.
+#: Words from which on a line is prose: if its own ratio is near the threshold, this decides for it.
 PROSE = 10
-#: Share of the threshold that a content line's own ratio has at least.
-OWN = 0.1
+#: Shares of the threshold: what a content line's own ratio has at least, and from where on a line is near it.
+OWN, NEAR = 0.1, 0.7
+#: Characters a tag beyond which no threshold lies, however long the longest lines of the page are.
+CEILING = 60.0
 #: Elements that are too wide to be boilerplate whatever their class says.
 _WIDE = frozenset(["html", "body", "main", "article"])
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-_OPEN_TAG = re.compile(r"<[!/?a-zA-Z]")
+_COMMENT_END = re.compile(r"--!?>")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />\x00]*")
+#: Decimal character references of more digits than any character has.
+_LONG_REFERENCE = re.compile(r"&#(\d{8,});?")
 
 
 def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> str:
@@ -145,11 +149,84 @@ class Page:
         return np.cumsum(steps)[:-1] > 0
 
 
-class Lines(HTMLParser):
-    """Parser events to lines. Whatever an event asks of the open elements is kept up to date, so that the time doesn't grow with their depth."""
+class WholePage(HTMLParser):
+    """The standard parser for a page that is fed as a whole: no markup makes it raise, and it tells comments from text as browsers do.
+
+    A comment ends at ``-->`` or ``--!>``; ``<!-->`` and ``<!--->`` are empty ones. Other declarations and
+    processing instructions end at the next ``>``, whatever they hold. What the end of the page cuts off is
+    no text. Inside script, style, textarea and the like only their own end tag is markup; where it is missing, script and style
+    take the rest, the others only their start tag. A malformed start tag ends at the next ``>``.
+    """
+
+    CDATA_CONTENT_ELEMENTS = tuple("script style textarea title iframe noembed noframes xmp".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.last_end: dict[str, int] = {}  # where the last end tag of an element begins
+
+    def feed(self, data: str) -> None:
+        super().feed(_LONG_REFERENCE.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or '0'};", data))
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers aren't needed
+
+    def set_cdata_mode(self, elem: str) -> None:
+        if elem not in ("script", "style"):
+            if elem not in self.last_end:
+                ends = [m.start() for m in re.finditer(rf"</{elem}(?=[\s/>])", self.rawdata, re.I)]
+                self.last_end[elem] = ends[-1] if ends else -1
+            if self.last_end[elem] < self.at:
+                return
+        self.cdata_elem = elem
+        self.interesting = re.compile(rf"</{elem}(?=[\s/>])", re.I)
+
+    def _to(self, mark: str, i: int) -> int:
+        """The place after the next ``mark``, or the end of the page."""
+        end = self.rawdata.find(mark, i)
+        return end + len(mark) if end >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._to(">", i + 2)
+
+    parse_pi = parse_html_declaration
+
+    def parse_starttag(self, i: int) -> int:
+        self.at = i
+        end = self.check_for_whole_start_tag(i)
+        if end > 0 and self.rawdata[end - 1] == ">":
+            return super().parse_starttag(i)
+        stop = self.rawdata.find(">", max(end, i + 1))
+        if stop < 0:
+            return len(self.rawdata)
+        tag = _TAG_NAME.match(self.rawdata, i + 1)[0].lower()
+        self.handle_starttag(tag, [])
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return stop + 1
+
+    def parse_endtag(self, i: int) -> int:
+        name = _TAG_NAME.match(self.rawdata, i + 2)
+        if name:
+            self.clear_cdata_mode()  # only its own end tag is looked for in that mode
+            end = self._to(">", name.end())
+            if self.rawdata[end - 1] == ">":
+                self.handle_endtag(name[0].lower())
+            return end
+        return self._to(">", i + 2)
+
+
+class Lines(WholePage):
+    """Parser events to lines. Whatever an event asks of the open elements is kept up to date, so that the time doesn't grow with their depth."""
+
+    def __init__(self) -> None:
+        super().__init__()
         self.lines: list[Line] = []
         self.names: list[str] = []  # element name by number
         self.marks: dict[int, str] = {}  # kind of mark by number
@@ -166,9 +243,6 @@ class Lines(HTMLParser):
         self.tags = 0
         self.linked = 0
 
-    def updatepos(self, i: int, j: int) -> int:
-        return j  # line numbers aren't needed
-
     def _flush(self) -> None:
         if not self.parts:
             return
@@ -292,11 +366,13 @@ def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
 def content_lines(lines: list[Line], sigma: float = 1.0) -> list[bool]:
     """Which lines form the high cluster of smoothed text-to-tag ratios.
 
-    Starts from the mean as threshold and moves it halfway between the two
-    clusters' means until it stays (two-means in one dimension). A line whose own
-    ratio is below ``OWN`` of the threshold is not lifted above it by its neighbours.
+    Ratios count by their logarithm, so that a few very long lines don't outweigh
+    the rest. Starts from the mean as threshold and moves it halfway between the two
+    clusters' means until it stays (two-means in one dimension), but not above ``CEILING``. A line whose own
+    ratio is below ``OWN`` of the threshold is not lifted above it by its neighbours; one of
+    ``PROSE`` words whose own ratio is from ``NEAR`` of it on is content, too.
     """
-    own = [len(x.text) / max(1, x.tags) for x in lines]
+    own = [math.log(len(x.text) / max(1, x.tags)) for x in lines]
     ratios = smooth(own, sigma)
     if not ratios:
         return []
@@ -310,7 +386,9 @@ def content_lines(lines: list[Line], sigma: float = 1.0) -> list[bool]:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return [r >= cut and x >= OWN * cut for r, x in zip(ratios, own, strict=True)]
+    cut = min(cut, math.log(CEILING))
+    lifted, near = cut + math.log(OWN), cut + math.log(NEAR)
+    return [(r >= cut and x >= lifted) or (x >= near and line.is_prose) for r, x, line in zip(ratios, own, lines, strict=True)]
 
 
 def unmarked(page: Page, sigma: float, share: float) -> Page:
@@ -377,14 +455,13 @@ def region(page: Page, content: list[bool]) -> list[Line]:
     lines = page.lines
     if not lines:
         return []
-    # a few very long lines raise the threshold above short paragraphs, so prose counts as well
-    chosen = np.array([(c or x.is_prose) and not x.is_links for x, c in zip(lines, content, strict=True)], bool)
+    chosen = np.array([c and not x.is_links for x, c in zip(lines, content, strict=True)], bool)
     if not chosen.any():
         chosen = np.array(content, bool)
     size_of = np.array([len(x.text) for x in lines])
     for kind in ("article", "main"):
         within = page.within(kind)
-        if within.any() and 2 * size_of[chosen & within].sum() >= size_of[chosen].sum():
+        if (chosen & within).any() and 2 * size_of[chosen & within].sum() >= size_of[chosen].sum():
             taken = chosen | within
             for k in range(len(lines) - 2, -1, -1):  # a heading goes with what it heads
                 after = lines[k + 1]
@@ -407,11 +484,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     if not html:
         return ""
     parser = Lines()
-    # a tag or comment that the end of the page cuts off is no text, and what follows its start belongs to it
-    cut = _OPEN_TAG.search(html, html.rfind(">") + 1)
-    html = html[: cut.start()] if cut else html
-    comment = html.find("<!--", html.rfind("-->") + 1)
-    parser.feed(html[:comment] if comment >= 0 else html)
+    parser.feed(html)
     page = unmarked(parser.page(), sigma, share)
     return "\n\n".join(x.text for x in region(page, content_lines(page.lines, sigma)))
 
@@ -419,8 +492,8 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
 def extract_main_text(pages: DataFrame, html_col: str = "html", sigma: float = 1.0) -> DataFrame:
     """``pages`` with ``text`` (main text, '' if none) and ``n_chars`` (its code points) added.
 
-    A null page gives an empty text; every row gives a row, repeated ones too. Pages are
-    read whole, however long or deeply nested; the time is in proportion to their length.
+    A null page gives an empty text; every row gives a row, repeated ones too. Malformed
+    markup never fails and hides no more than browsers do (``WholePage``). Pages are read whole, however long or deeply nested; the time is in proportion to their length.
     Columns of ``pages`` named text or n_chars are replaced. Empty tables give no rows.
     """
 

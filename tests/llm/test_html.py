@@ -166,3 +166,61 @@ def test_fixture_articles(spark):
         body = body if "</article>" in r.html else re.sub(r"<[^>]*$", "", body)
         blocks = [" ".join(entities.unescape(re.sub(r"<(br|b|/b)>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+BROKEN = ["<![>", "<![ endif]>", "<![foo[x]]>", "<![1]>", "<![endif]-->", "<!>", "<!->", "<!x y>", "<!DOCTYPE [<!ENTITY a>", "<?php echo 1 ?>", "</>", "</ p>", "<a b'c>", "&#" + "9" * 6000 + ";", "&#x" + "f" * 6000 + ";", "<![CDATA[x]]>", "<p/ =a>"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_no_markup_fails_or_hides_the_text_after_it(piece):
+    assert main_text(f"<article><p>Before the piece.</p>{piece}<p>After the piece.</p></article>").split("\n\n")[-1] == "After the piece."
+    main_text(piece)
+    main_text(piece[:-1])
+
+
+@pytest.mark.parametrize("piece", [
+    '<script>document.write("<!--")</script>', "<style><!-- p {} </style>", "<textarea><!--</textarea>", "<!-- a --!>", "<!-->", "<!--->", '<p title="<!--x">Titled.</p>', "<title><!--</title>", "<!-- a -- b -->",
+    "<script>if (a<b) x='</p><!--'</script >", "<textarea>not closed", "<iframe><!--</iframe>", "<title>never closed",
+])
+def test_what_only_looks_like_a_comment_hides_nothing(piece):
+    text = main_text(f"<body>{piece}<article><p>The text of this page.</p></article>")
+    if piece.endswith("closed"):
+        piece = ""  # elements without end take what they hold
+    else:
+        assert text.split("\n\n")[-1] == "The text of this page."
+    assert main_text(f"{piece}<p>The text of this page.</p>").endswith("The text of this page.")
+
+
+def boiler(k, words=14):
+    """Ten words and more, hardly a link, and nearly a tag a word."""
+    return "<div><div>" + " ".join(f"<b>w{k}{i}</b>" if i % 2 else f"<i>w{k}{i}</i>" for i in range(words)) + "</div></div>"
+
+
+VERSE = [f"The {a} moon goes {b} again" for a in ("pale", "old", "cold", "thin") for b in ("down", "home", "dark")]
+TALK = [f"“{a}?” — “Not {b}, no.”" for a in ("You went there alone", "Who saw the boat", "Was it raining") for b in ("today", "really", "me")]
+CAPTIONS = [f"Plate {k}: the harbour at noon" for k in range(1, 10)]
+
+
+@pytest.mark.parametrize("lines", [VERSE, TALK, CAPTIONS])
+@pytest.mark.parametrize("tag", ["p", "li", "div"])
+def test_only_the_ratio_tells(lines, tag, monkeypatch):
+    """Short lines of an article between long boilerplate without names, links or article tags: the clustering decides."""
+    body = "".join(f"<{tag}>{x}</{tag}>" for x in lines)
+    page = f"<body><div>{''.join(map(boiler, range(4)))}</div><div>{body}</div><div>{''.join(map(boiler, range(4, 8)))}</div></body>"
+    assert main_text(page).split("\n\n") == lines
+    for decision in (False, True):
+        monkeypatch.setattr(html_extract, "content_lines", lambda x, sigma=1.0, d=decision: [d] * len(x))
+        assert main_text(page).split("\n\n") != lines
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_without_content_lines_pages_change(seed, monkeypatch):
+    page, want = made_page(seed)
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines, sigma=1.0: [False] * len(lines))
+    assert main_text(page) != want
+
+
+def test_broken_rows_survive(spark):
+    rows = [(k, f"<article><p>Text {k}.</p>{x}<p>End {k}.</p>") for k, x in enumerate(BROKEN)]
+    found = extract_main_text(spark.createDataFrame(rows, "page_id long, html string")).orderBy("page_id").collect()
+    assert len(found) == len(BROKEN) and all(r.text.endswith(f"End {r.page_id}.") for r in found)
