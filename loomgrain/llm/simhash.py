@@ -19,6 +19,7 @@ takes them as candidates only and compares the texts' shingles.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -374,9 +375,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, **options) ->
     key = text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))
     found = materialise(similar_groups(docs.select(F.col("doc_id").alias("id"), "text"), similarity, **options), "near-copies")
     left = without(docs, key, materialise(found.where("NOT stays").select("key"), "near-dropped"), "near")
-    again = found.where("stays AND copies > 1").select(F.col("key").alias("_again"), F.col("lead").alias("_lead"))
-    if again.isEmpty():
+    own, again, lead = (f"_{name}_{uuid.uuid4().hex[:8]}" for name in ("key", "again", "lead"))
+    several = found.where("stays AND copies > 1").select(F.col("key").alias(again), F.col("lead").alias(lead))
+    if several.isEmpty():
         return left
-    marked = left.withColumn("_key_of_text", key).join(again, F.col("_key_of_text") == F.col("_again"), "left")
-    first = marked.where(F.col("_again").isNotNull() & left["doc_id"].eqNullSafe(F.col("_lead"))).dropDuplicates(["_key_of_text"])
-    return marked.where("_again IS NULL").unionByName(first).drop("_key_of_text", "_again", "_lead")
+    marked = left.withColumn(own, key).join(several, F.col(own) == F.col(again), "left")
+    first = marked.where(F.col(again).isNotNull() & F.col("doc_id").eqNullSafe(F.col(lead))).dropDuplicates([own])
+    return marked.where(F.col(again).isNull()).unionByName(first).drop(own, again, lead)

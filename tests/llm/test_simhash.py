@@ -216,3 +216,15 @@ def test_hot_group_takes_several_rounds(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = sorted(r.doc_id for r in drop_near_duplicates(df, block_rows=20, radius=8, pivots=10).collect())
     assert left == plain_stays(list(enumerate(texts)), radius=8) and 5 < len(left) <= 21
+
+
+def test_clashing_column_names(spark):
+    """Columns of any names, also those that the operator might use itself, with repeated rows and near copies."""
+    names = ["_again", "_lead", "_key_of_text", "digest", "_hit", "key", "stays", "lead", "copies", "uid", "component", "id"]
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, body), (1, body), (2, body), (3, body + " more"), (4, "another text"), (None, "another text"), (5, None)]
+    df = spark.createDataFrame([(*r, *[k] * len(names)) for k, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    left = drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted(r.text or "" for r in left.collect()) == sorted(["", "another text", body])
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5]
