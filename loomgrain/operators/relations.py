@@ -2,38 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: Runs of word characters, of any script.
 _RUNS = r"(?U)(\w+)"
+#: Most names of a file that meet its chunks as one array; files of more names are joined word by word.
+NAMES_A_ROW = 2048
 
 
-def reference_edges(chunks: DataFrame) -> DataFrame:
+def _words(document: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(document, F.lit(_RUNS), 1))
+
+
+def _is_whole(document: Column, name: Column) -> Column:
+    return F.contains(document, name) & F.regexp_like(document, F.concat(F.lit(r"(?U)\b\Q"), name, F.lit(r"\E\b")))
+
+
+def reference_edges(chunks: DataFrame, names_a_row: int = NAMES_A_ROW) -> DataFrame:
     """(workspaceId, filePath, id, fromName, toName, kind): a named chunk refers to another name of its file as a whole word.
 
-    An equi-join of each chunk's distinct words with the names of its file, so the
-    work grows with the text and not with chunks times names. A name that is not
-    one word is looked up by its first word and then searched for; a name has a
-    word character. Edges are distinct for each chunk.
+    The names of a file meet its chunks as one array, so that each chunk is shuffled
+    once, by its file, and its words are taken and compared where it arrives. A name that is not one word
+    is searched for in the text; a name has a word character. Files of more than
+    ``names_a_row`` names, if there are any, take an equi-join of the chunks' distinct words with the names instead,
+    so that no group grows without bound. Edges are distinct for each chunk.
     """
     named = chunks.where("name IS NOT NULL AND name <> ''")
     names = named.select(F.col("workspaceId").alias("_ws"), F.col("filePath").alias("_file"), F.col("name").alias("toName")).distinct()
     names = names.withColumn("_word", F.regexp_extract("toName", _RUNS, 1)).where("_word <> ''")
-    words = F.explode(F.array_distinct(F.regexp_extract_all("document", F.lit(_RUNS), 1)))
-    # one long leads the comparison of keys; the strings decide
-    key = lambda ws, file, word: F.xxhash64(ws, file, word).alias("_key")
-    left = named.select("workspaceId", "filePath", "id", F.col("name").alias("fromName"), words.alias("word"), "document")
-    plain = names.where("_word = toName").select(key("_ws", "_file", "_word"), "_ws", "_file", "toName")
-    found = left.select(key("workspaceId", "filePath", "word"), "workspaceId", "filePath", "id", "fromName", "word")
-    found = found.join(plain, "_key").where("workspaceId = _ws AND filePath = _file AND word = toName AND fromName <> toName")
+    large = names.groupBy("_ws", "_file").count().where(F.col("count") > names_a_row).select("_ws", "_file")
+    some_large = not large.isEmpty()
+    few = names.join(large, ["_ws", "_file"], "left_anti") if some_large else names
+    plain, odd = F.col("_word") == F.col("toName"), F.col("_word") != F.col("toName")
+    of_file = few.groupBy("_ws", "_file").agg(F.collect_list(F.when(plain, F.col("toName"))).alias("_plain"), F.collect_list(F.when(odd, F.col("toName"))).alias("_odd"))
+    own = named.select("workspaceId", "filePath", "id", F.col("name").alias("fromName"), "document")
+    met = own.join(of_file, (F.col("workspaceId") == F.col("_ws")) & (F.col("filePath") == F.col("_file")))
+    searched = F.when(F.size("_odd") > 0, F.filter("_odd", lambda n: _is_whole(F.col("document"), n))).otherwise(F.array().cast("array<string>"))
     columns = ["workspaceId", "filePath", "id", "fromName", "toName"]
-    odd = names.where("_word <> toName").select(key("_ws", "_file", "_word"), "_ws", "_file", "_word", "toName")
-    whole = F.concat(F.lit(r"(?U)\b\Q"), F.col("toName"), F.lit(r"\E\b"))
-    other = left.select(key("workspaceId", "filePath", "word"), "*").join(odd, "_key").where("workspaceId = _ws AND filePath = _file AND word = _word AND fromName <> toName")
-    other = other.where(F.contains("document", "toName") & F.regexp_like("document", whole))
-    return found.select(*columns).unionByName(other.select(*columns)).withColumn("kind", F.lit("reference"))
+    hits = F.explode(F.concat(F.array_intersect(_words("document"), "_plain"), searched)).alias("toName")
+    out = met.select("workspaceId", "filePath", "id", "fromName", hits).where("fromName <> toName")
+    if some_large:
+        out = out.unionByName(_edges_by_word(own.join(large, (F.col("workspaceId") == F.col("_ws")) & (F.col("filePath") == F.col("_file")), "left_semi"), names))
+    return out.select(*columns).withColumn("kind", F.lit("reference"))
+
+
+def _edges_by_word(own: DataFrame, names: DataFrame) -> DataFrame:
+    """The edges of ``own`` by an equi-join of words; only identifiers and words are shuffled for it.
+
+    A name that is not one word is looked up by its first word, and the few pairs
+    of chunk and name that this gives are joined back to the texts.
+    """
+    pair = ["workspaceId", "filePath", "id", "fromName"]
+    words = own.select(*pair, F.explode(_words("document")).alias("word"))
+    found = words.join(names, (F.col("workspaceId") == F.col("_ws")) & (F.col("filePath") == F.col("_file")) & (F.col("word") == F.col("_word")) & (F.col("fromName") != F.col("toName")))
+    plain = found.where("word = toName").select(*pair, "toName")
+    maybe = found.where("word <> toName").select(*pair, "toName").distinct()
+    other = own.join(maybe, pair).where(_is_whole(F.col("document"), F.col("toName")))
+    return plain.unionByName(other.select(*pair, "toName"))
 
 
 def graph_nodes(chunks: DataFrame, workspace: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
