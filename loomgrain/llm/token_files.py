@@ -222,7 +222,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, identifier: str = "doc_id
 
 
 #: Bytes of text that are tokenised together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 
 
 def frequencies(rows: DataFrame) -> Frequencies:

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 MOST_PIECES = 500_000
 #: Pieces that go to the library as one text.
 JOINED = 1000
+#: ASCII letters between other ASCII marks. An apostrophe before letters may belong to them, and "<" to the string of a special token.
+_LETTERS = r"^(?P<before>[^A-Za-z0-9'<\x80-\x{10ffff}]*)(?P<letters>[A-Za-z]+)(?P<after>[^A-Za-z0-9<\x80-\x{10ffff}]*)$"
 
 #: A space before a character that is no white space: there a byte-level pre-tokenizer always starts anew.
 _BEFORE_WORD = re.compile(rb"(?= [!-~\xc3-\xdf\xe4-\xf4])")
@@ -41,59 +43,65 @@ class PieceEncoder:
     so the ids of the pieces, one after the other, are those of the text. Each
     distinct piece goes to the library once: many are joined by ``mark``, a text
     whose ids tell where a piece ends; pieces that hold its NUL or don't start as
-    ``fits`` says go alone. What is remembered is bounded. ``plain`` takes
-    the strings of special tokens inside texts as text.
+    ``fits`` says go alone. With ``word_end``, the end of a word's last token, words of ASCII letters are
+    folded to lower case, apart from other marks around them, and joined by a space. What is
+    remembered is bounded. ``plain`` takes the strings of special tokens inside texts as text.
     """
 
-    def __init__(self, path: str, cut: Callable[[pa.Array], pa.ListArray], mark: str = " \0 ", fits: str = "", plain: bool = False) -> None:
+    def __init__(self, path: str, cut: Callable[[pa.Array], pa.ListArray], mark: str = " \0 ", fits: str = "", plain: bool = False, word_end: str = "") -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut, self.mark, self.fits = Tokenizer.from_file(path), cut, mark, fits
         self.tokenizer.encode_special_tokens = plain
         self.marked = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        if word_end:
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
+        self.folds = bool(word_end)
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.ids, self.ends = pa.array([], pa.string()), np.empty(0, self.dtype), np.zeros(1, np.int64)
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: pa.Array, mark: str):
+        """Ids of ``JOINED`` pieces at a time, joined by ``mark``."""
+        lists = pa.ListArray.from_arrays(pa.array([*range(0, len(pieces), JOINED), len(pieces)], pa.int32()), pieces)
+        texts = pc.binary_join(lists, mark).to_pylist() if len(pieces) else []
+        return chain.from_iterable(self._encode(texts[i : i + 16]) for i in range(0, len(texts), 16))
+
     def _made(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces and how many each has."""
-        alone = pc.match_substring(pieces, "\0").to_numpy(zero_copy_only=False) | ~pc.starts_with(pieces, self.fits).to_numpy(zero_copy_only=False)
-        many, few = np.flatnonzero(~alone), np.flatnonzero(alone)
-        lists = pa.ListArray.from_arrays(pa.array([*range(0, len(many), JOINED), len(many)], pa.int32()), pieces.take(pa.array(many)))
-        joined = pc.binary_join(lists, self.mark).to_pylist() if len(many) else []
-        encode = lambda texts: [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        true = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+        word = true(pc.match_substring_regex(pieces, "^[a-z]+$")) if self.folds else np.zeros(len(pieces), bool)
+        alone = true(pc.match_substring(pieces, "\0")) | ~true(pc.starts_with(pieces, self.fits))
+        words, many, few = np.flatnonzero(word), np.flatnonzero(~word & ~alone), np.flatnonzero(alone)
         counts, parts = np.zeros(len(pieces), np.int64), []
-        for k, own in enumerate(chain.from_iterable(encode(joined[i : i + 16]) for i in range(0, len(joined), 16))):
+        for k, own in enumerate(self._joined(pieces.take(pa.array(words)), " ")):
+            counts[words[k * JOINED : (k + 1) * JOINED]] = np.diff(np.flatnonzero(self.ends_word[own]), prepend=-1)
+            parts.append(own)
+        for k, own in enumerate(self._joined(pieces.take(pa.array(many)), self.mark)):
             at = np.flatnonzero(own == self.marked[-1])
             inside = np.ones(len(own), bool)
             for j in range(len(self.marked)):
                 inside[at - j] = False
-            here = many[k * JOINED : (k + 1) * JOINED]
-            counts[here] = np.diff(np.concatenate([[-1], at, [len(own) - 1 + len(self.marked)]])) - len(self.marked)
+            counts[many[k * JOINED : (k + 1) * JOINED]] = np.diff(np.concatenate([[-1], at, [len(own) - 1 + len(self.marked)]])) - len(self.marked)
             parts.append(own[inside])
-        singles = encode(pieces.take(pa.array(few)).to_pylist())
+        singles = self._encode(pieces.take(pa.array(few)).to_pylist())
         counts[few] = [len(x) for x in singles]
-        order = np.concatenate([many, few])
+        order = np.concatenate([words, many, few])
         flat = np.concatenate([np.empty(0, self.dtype), *parts, *singles])
         ends = np.cumsum(counts[order])
         starts = np.empty(len(pieces), np.int64)
         starts[order] = ends - counts[order]
-        return self._gathered(flat, starts, counts), counts
+        return _gathered(flat, starts, counts), counts
 
-    @staticmethod
-    def _gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The stretches of ``flat`` that begin at ``starts``, one after the other."""
-        ends = np.cumsum(counts)
-        shift = (starts - ends + counts).astype(np.int32 if len(flat) < 1 << 30 and (not len(ends) or ends[-1] < 1 << 30) else np.int64)
-        return flat[np.repeat(shift, counts) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=shift.dtype)]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts (no nulls), one after the other, and where each text's ids begin and the last end."""
-        lists = self.cut(texts)
-        words = lists.flatten().dictionary_encode()
-        pieces = words.dictionary
+    def _of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the pieces begin in what is known, and how many each has; new ones are learnt."""
         if len(self.known) > MOST_PIECES:
             self._forget()
         at = pc.index_in(pieces, value_set=self.known)
@@ -104,17 +112,44 @@ class PieceEncoder:
         self.known = pa.concat_arrays([self.known, new])
         self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        starts = self.ends[place]
-        sizes = self.ends[place + 1] - starts
+        return self.ends[place], self.ends[place + 1] - self.ends[place]
+
+    def _folded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces by their parts: all ids, where each piece's begin, and how many it has."""
+        found = pc.extract_regex(pieces, _LETTERS)
+        whole = pc.is_null(found)
+        parts = [found.field("before"), pc.if_else(whole, pieces, pc.ascii_lower(found.field("letters"))), found.field("after")]
+        parts = pa.concat_arrays([p.fill_null("") for p in parts]).dictionary_encode()
+        starts, sizes = self._of(parts.dictionary)
+        which = parts.indices.to_numpy().reshape(3, len(pieces)).T.ravel()
+        flat = _gathered(self.ids, starts[which], sizes[which])
+        counts = sizes[which].reshape(-1, 3).sum(axis=1)
+        return flat, np.cumsum(counts) - counts, counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), one after the other, and where each text's ids begin and the last end."""
+        lists = self.cut(texts)
+        words = lists.flatten().dictionary_encode()
+        if self.folds:
+            flat, starts, sizes = self._folded(words.dictionary)
+        else:
+            starts, sizes = self._of(words.dictionary)
+            flat = self.ids
         which = words.indices.to_numpy()
-        sizes = sizes[which]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        return self._gathered(self.ids, starts[which], sizes), before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        before = np.concatenate([[0], np.cumsum(sizes[which])])
+        return _gathered(flat, starts[which], sizes[which]), before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(counts)
+    shift = (starts - ends + counts).astype(np.int32 if len(flat) < 1 << 30 and (not len(ends) or ends[-1] < 1 << 30) else np.int64)
+    return flat[np.repeat(shift, counts) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=shift.dtype)]
 
 
 def word_bpe(path: str) -> PieceEncoder:
-    """Encoder for a tokenizer that drops white space."""
-    return PieceEncoder(path, at_white_space)
+    """Encoder for a tokenizer that drops white space, folds case, splits letters from other marks and marks ends of words."""
+    return PieceEncoder(path, at_white_space, word_end="</w>")
 
 
 def byte_bpe(path: str) -> PieceEncoder:
