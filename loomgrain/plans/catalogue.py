@@ -13,6 +13,7 @@ from loomgrain.functions.vectors import quantised
 from loomgrain.operators import chat, chunking, index, relations, search, workspaces
 from loomgrain.operators import timeline as tl
 from loomgrain.operators.embedding import HashEmbedder, embedded
+from loomgrain.operators.postings import PostingIndex
 from loomgrain.sources import files as fs
 from loomgrain.sources import fixtures as fx
 from loomgrain.sources import services
@@ -275,6 +276,81 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     return search.reranked(scored)
 
 
+# ---- ranking for a batch of queries ----
+
+_BM25_BATCH = f"""{_EVERY_50},
+cand AS (SELECT id, document, {_TOKENS.format('document')} AS toks FROM ({fx.CHUNKS})),
+stats AS (SELECT count(*) AS docs, avg(len(toks)) AS mean FROM cand),
+tfs AS (SELECT id, n, term, count(*) AS tf FROM (SELECT id, len(toks) AS n, unnest(toks) AS term FROM cand) GROUP BY id, n, term),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+asked AS (SELECT DISTINCT query_id, unnest(words) AS term FROM q),
+bm AS (SELECT query_id, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score
+  FROM asked JOIN tfs USING (term) JOIN dfs USING (term), stats GROUP BY query_id, id),
+lex AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM bm)
+"""
+
+
+def _ranked_by_words(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k best texts of each query of the batch, by an index that is built first."""
+    built = PostingIndex.build(fx.chunks(spark, d).select("id", "document"), shared_folder(spark, "postings"))
+    return built.search_batch(_every_50(spark, d).select("query_id", "words"), k)
+
+
+@registered(f"WITH {_BM25_BATCH} SELECT query_id, cast(place AS INTEGER) AS rank, id, score FROM lex WHERE place <= 10")
+def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked_by_words(spark, d, 10)
+
+
+_FUSED_BATCH = f"""{_BM25_BATCH},
+near AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM (
+  SELECT query_id, id, round({_L2.format(a='vector', b='q')}, 6) AS distance FROM q, (SELECT id, vector FROM ({fx.CHUNKS}) WHERE vector IS NOT NULL) c WHERE q IS NOT NULL)),
+fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS rrf FROM (
+  SELECT query_id, id, place FROM near WHERE place <= 30 UNION ALL SELECT query_id, id, place FROM lex WHERE place <= 30) GROUP BY query_id, id)"""
+
+
+def _fused_batch(spark: SparkSession, d: str) -> DataFrame:
+    near = search.vector_topk_batch(fx.chunks(spark, d), _every_50(spark, d).select("query_id", "query"), 30)
+    return search.reciprocal_ranks_batch(near, _ranked_by_words(spark, d, 30))
+
+
+@registered(f"WITH {_FUSED_BATCH} SELECT query_id, id, rrf FROM fused")
+def rrf_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _fused_batch(spark, d)
+
+
+_CROSS_BATCH = f"""{_FUSED_BATCH},
+seen AS (SELECT id AS seen, list_distinct({_TOKENS.format('document')}) AS toks, {_GRAMS.format('document')} AS grams,
+  list_distinct({_TOKENS.format("substr(document, 1, ceil(length(document) / 4.0)::INTEGER)")}) AS head
+  FROM ({fx.CHUNKS}) WHERE id IN (SELECT id FROM fused) OR id IN (SELECT query_id FROM fused)),
+parts AS (SELECT query_id, id, rrf, coalesce(len(list_intersect(a.toks, b.toks))::DOUBLE / nullif(len(a.toks), 0), 0) AS cover,
+  coalesce(len(list_intersect(a.grams, b.grams))::DOUBLE / nullif(len(list_distinct(list_concat(a.grams, b.grams))), 0), 0) AS jac,
+  CASE WHEN len(list_intersect(a.toks, b.head)) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS early FROM fused JOIN seen a ON a.seen = query_id JOIN seen b ON b.seen = id),
+ce AS (SELECT query_id, id, rrf, round(CASE WHEN cover < 0.5 THEN (cover + jac + early) / 3 * 0.5 ELSE (cover + jac + early) / 3 END, 6) AS cross_score FROM parts)"""
+
+
+def _scored_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of both rankings first; only these are compared with their query's text."""
+    texts = fx.chunks(spark, d).select("id", "document")
+    asked = texts.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("document").alias("query"))
+    fused = _fused_batch(spark, d)
+    crossed = search.cross_scores(fused.join(texts, "id").join(asked, "query_id"))
+    return fused.join(crossed, ["query_id", "id"])
+
+
+@registered(f"WITH {_CROSS_BATCH} SELECT query_id, id, cross_score FROM ce")
+def cross_score_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_batch(spark, d).select("query_id", "id", F.col("cross").alias("cross_score"))
+
+
+@registered(f"""WITH {_CROSS_BATCH},
+z AS (SELECT query_id, id, coalesce((rrf - min(rrf) OVER w) / nullif(max(rrf) OVER w - min(rrf) OVER w, 0), 1) AS a,
+  coalesce((cross_score - min(cross_score) OVER w) / nullif(max(cross_score) OVER w - min(cross_score) OVER w, 0), 1) AS b FROM ce WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, id, round(0.6 * a + 0.4 * b, 6) AS final FROM z)
+SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS INTEGER) AS rank, id, final FROM f QUALIFY rank <= 8""")
+def rerank_batch(spark: SparkSession, d: str) -> DataFrame:
+    return search.reranked_batch(_scored_batch(spark, d))
+
+
 # ---- chunking ----
 
 _LINES = "SELECT *, CASE WHEN list_extract(a, -1) = '' THEN a[1:len(a) - 1] ELSE a END AS ls FROM (SELECT *, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM ({0}))"

@@ -8,10 +8,16 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset, below the warehouse, and only if all runs on one machine."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset, below the warehouse, and only if all runs on one machine. It goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    own = f"{root.rstrip('/')}/retrieval-{spark.sparkContext.applicationId}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return f"{own}/{tag}-{uuid.uuid4().hex[:12]}"
