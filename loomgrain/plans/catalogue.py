@@ -12,6 +12,7 @@ from loomgrain.functions import text as tx
 from loomgrain.functions.vectors import quantised
 from loomgrain.operators import chat, chunking, index, relations, search, workspaces
 from loomgrain.operators import timeline as tl
+from loomgrain.operators.cells import CellIndex
 from loomgrain.operators.embedding import HashEmbedder, embedded
 from loomgrain.operators.postings import PostingIndex
 from loomgrain.sources import files as fs
@@ -91,6 +92,29 @@ def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk_batch(own, queries, 10, "vec_id", "embedding")
 
 
+def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors, the queries among them, and the ten nearest of each by cells."""
+    rows = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    built = CellIndex.build(rows, shared_folder(spark, "cells"))
+    return rows, queries, built.search_batch(queries, 10)
+
+
+@registered()
+def vector_cells_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d)[2]
+
+
+@registered("""SELECT count(*) AS queries, sum(least(10, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL)))::BIGINT AS neighbours, true AS nine_in_ten_found
+FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL""")
+def vector_cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the exact ten nearest of each query, whether the search by cells finds nine in ten."""
+    rows, queries, found = _cells(spark, d)
+    exact = search.vector_topk_batch(rows, queries, 10).select("query_id", "id")
+    hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("nine_in_ten_found"))
+
+
 @registered(f"""
 WITH m AS (SELECT vec_id, embedding, coalesce(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 0) AS top FROM embeddings),
 s AS (SELECT *, CASE WHEN top > 0 THEN top / 127 ELSE 1.0 END AS scale FROM m)
