@@ -27,7 +27,7 @@ from .common import materialise
 from .tokens import byte_bpe
 
 #: Bytes of text that are tokenised together, and links after which a block of texts ends.
-GROUP_BYTES, BLOCK_LINKS = 8 << 20, 1 << 21
+GROUP_BYTES, BLOCK_LINKS = 2 << 20, 1 << 21
 
 
 def byte_level_table(vocabulary: dict[str, int]) -> list[bytes]:
