@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import byte_bpe
+from .tokens import MOST_PIECES, before_words, byte_bpe, gathered
 
 #: Bytes of text that are tokenised together, and links after which a block of texts ends.
 GROUP_BYTES, BLOCK_LINKS = 2 << 20, 1 << 21
@@ -88,7 +89,12 @@ def _sections(values: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 class Aligner:
-    """Tokens, groups and links of batches of texts; made once in a task."""
+    """Tokens, groups and links of batches of texts; made once in a task.
+
+    Texts are cut before words, where the tokens of both tokenizers end (for the second this is
+    so if none of its pieces has a space after another character), and each distinct
+    piece is tokenised once. Divide and conquer goes on from these cuts.
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
@@ -96,32 +102,59 @@ class Aligner:
         self.a = byte_bpe(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = byte_level_table(self.a.tokenizer.get_vocab()), piece_table(self.b)
+        self.local = all("▁" not in self.b.id_to_piece(i).lstrip("▁") for i in range(len(self.bytes_b)))
+        self._forget()
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         number = lambda n, mark: np.array([b"%d%s" % (i, mark) for i in range(n)], object)
         self.a_more, self.a_last = number(len(self.bytes_a), b","), number(len(self.bytes_a), b"|")
         self.b_more, self.b_last = number(len(self.bytes_b), b","), number(len(self.bytes_b), b";")
 
-    def align(self, texts: list[str]) -> dict:
+    def _forget(self) -> None:
+        self.known, self.good = pa.array([], pa.string()), np.empty(0, bool)
+        self.flat, self.ends = [np.empty(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2
+
+    def _pieces(self, pieces: pa.Array) -> np.ndarray:
+        """The places of the pieces among the known ones; new ones are tokenised."""
+        if len(self.known) > MOST_PIECES:
+            self._forget()
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(at))
+        ids_a, n_a = self.a.made(new)
+        texts = new.to_pylist()
+        lists = self.b.encode([t[1:] for t in texts], num_threads=1)  # it adds the space that each piece begins with
+        ids_b, n_b = np.fromiter(chain.from_iterable(lists), np.int64), np.array([len(x) for x in lists], np.int64)
+        a, b = (b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+        ends_a, ends_b = (np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist() for sizes, ids, n in ((self.sizes_a, ids_a, n_a), (self.sizes_b, ids_b, n_b)))
+        same = [a[x0:x1] == t.encode() == b[y0:y1] for t, x0, x1, y0, y1 in zip(texts, ends_a, ends_a[1:], ends_b, ends_b[1:], strict=False)]
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        self.known, self.good = pa.concat_arrays([self.known, new]), np.concatenate([self.good, np.array(same, bool)])
+        self.flat = [np.concatenate([f, i]) for f, i in zip(self.flat, (ids_a, ids_b), strict=True)]
+        self.ends = [np.concatenate([e, e[-1] + np.cumsum(n)]) for e, n in zip(self.ends, (n_a, n_b), strict=True)]
+        return place
+
+    def align(self, texts: pa.Array) -> dict:
         """Columns for texts (no nulls): n_a, n_b, n_groups, n_links, groups (bytes) and, for links, text, id pair and how often."""
-        lead = [f" {t}" for t in texts]
-        flat_a, off_a = self.a.encode(pa.array(lead, pa.string()))
-        list_b = self.b.encode(texts, num_threads=1)
-        good = np.zeros(len(texts), bool)
-        for k, (t, ids_b) in enumerate(zip(lead, list_b, strict=True)):
-            want = t.encode()
-            good[k] = len(want) > 1 and b"".join(map(self.bytes_a.__getitem__, flat_a[off_a[k] : off_a[k + 1]].tolist())) == want == b"".join(map(self.bytes_b.__getitem__, ids_b))
+        lead = pc.binary_join_element_wise(pa.scalar(""), texts, " ")
+        lists = before_words(lead) if self.local else pa.ListArray.from_arrays(pa.array(np.arange(len(lead) + 1), pa.int32()), lead)
+        words = lists.flatten().dictionary_encode()
+        at = lists.offsets.to_numpy()
+        which = self._pieces(words.dictionary)[words.indices.to_numpy()]
+        good = (pc.binary_length(lead).to_numpy() > 1) & (np.diff(np.concatenate([[0], np.cumsum(~self.good[which])])[at]) == 0)
         kept = np.flatnonzero(good)
-        n_a = np.where(good, np.diff(off_a), 0)
-        n_b = np.where(good, [len(x) for x in list_b], 0)
-        ids_a = np.concatenate([np.empty(0, np.int64), *(flat_a[off_a[k] : off_a[k + 1]].astype(np.int64) for k in kept)])
-        ids_b = np.concatenate([np.empty(0, np.int64), *(np.array(list_b[k], np.int64) for k in kept)])
+        which = which[np.repeat(good, np.diff(at))]
+        text_of = np.repeat(np.arange(len(texts)), np.where(good, np.diff(at), 0))
+        starts, sizes = ([e[which] for e in self.ends], [e[which + 1] - e[which] for e in self.ends])
+        n_a, n_b = (np.bincount(text_of, n, len(texts)).astype(np.int64) for n in sizes)
+        ids_a, ids_b = (gathered(f, x, n) for f, x, n in zip(self.flat, starts, sizes, strict=True))
         zero = np.zeros(len(texts), np.int64)
         out = {"n_a": n_a, "n_b": n_b, "n_groups": zero, "n_links": zero.copy(), "groups": [b""] * len(texts)}
         if not len(kept):
             return out | {"pairs": np.empty(0, np.int64), "times": np.empty(0, np.int64), "at": np.zeros(len(texts) + 1, np.int64)}
         a_ends, b_ends = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
         a_stop, b_stop = np.cumsum(n_a[kept]), np.cumsum(n_b[kept])  # where each text's tokens stop
-        cut = shared_cuts(a_ends, b_ends, a_stop - n_a[kept], a_stop - 1)
+        stops = np.cumsum(sizes[0])
+        cut = shared_cuts(a_ends, b_ends, stops - sizes[0], stops - 1)
         cut_a = np.flatnonzero(cut)
         cut_b = np.searchsorted(b_ends, a_ends[cut_a])
         out["n_groups"] = zero.copy()
@@ -180,7 +213,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, identifier: str = "doc_id
                 base = sizes[begin - 1] if begin else 0
                 end = max(begin + 1, int(np.searchsorted(sizes, base + GROUP_BYTES, "right")))
                 own = batch.slice(begin, end - begin)
-                found = aligner.align(own.column(1).to_pylist())
+                found = aligner.align(own.column(1))
                 total = links + np.cumsum(found["n_links"])
                 blocks = block + total // BLOCK_LINKS
                 block, links = int(blocks[-1]), int(total[-1]) % BLOCK_LINKS

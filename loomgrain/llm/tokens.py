@@ -17,8 +17,8 @@ JOINED = 1000
 #: ASCII letters between other ASCII marks. An apostrophe before letters may belong to them, and "<" to the string of a special token.
 _LETTERS = r"^(?P<before>[^A-Za-z0-9'<\x80-\x{10ffff}]*)(?P<letters>[A-Za-z]+)(?P<after>[^A-Za-z0-9<\x80-\x{10ffff}]*)$"
 
-#: A space before a character that is no white space: there a byte-level pre-tokenizer always starts anew.
-_BEFORE_WORD = re.compile(rb"(?= [!-~\xc3-\xdf\xe4-\xf4])")
+#: A space before a character that is no white space, and not after a space: there a byte-level pre-tokenizer always starts anew.
+_BEFORE_WORD = re.compile(rb"(?<! )(?= [!-~\xc3-\xdf\xe4-\xf4])")
 
 
 def at_white_space(texts: pa.Array) -> pa.ListArray:
@@ -74,7 +74,7 @@ class PieceEncoder:
         texts = pc.binary_join(lists, mark).to_pylist() if len(pieces) else []
         return chain.from_iterable(self._encode(texts[i : i + 16]) for i in range(0, len(texts), 16))
 
-    def _made(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def made(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces and how many each has."""
         true = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
         word = true(pc.match_substring_regex(pieces, "^[a-z]+$")) if self.folds else np.zeros(len(pieces), bool)
@@ -98,7 +98,7 @@ class PieceEncoder:
         ends = np.cumsum(counts[order])
         starts = np.empty(len(pieces), np.int64)
         starts[order] = ends - counts[order]
-        return _gathered(flat, starts, counts), counts
+        return gathered(flat, starts, counts), counts
 
     def _of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of the pieces begin in what is known, and how many each has; new ones are learnt."""
@@ -106,7 +106,7 @@ class PieceEncoder:
             self._forget()
         at = pc.index_in(pieces, value_set=self.known)
         new = pieces.filter(pc.is_null(at))
-        ids, counts = self._made(new)
+        ids, counts = self.made(new)
         place = at.fill_null(-1).to_numpy().astype(np.int64)
         place[place < 0] = len(self.known) + np.arange(len(new))
         self.known = pa.concat_arrays([self.known, new])
@@ -122,7 +122,7 @@ class PieceEncoder:
         parts = pa.concat_arrays([p.fill_null("") for p in parts]).dictionary_encode()
         starts, sizes = self._of(parts.dictionary)
         which = parts.indices.to_numpy().reshape(3, len(pieces)).T.ravel()
-        flat = _gathered(self.ids, starts[which], sizes[which])
+        flat = gathered(self.ids, starts[which], sizes[which])
         counts = sizes[which].reshape(-1, 3).sum(axis=1)
         return flat, np.cumsum(counts) - counts, counts
 
@@ -137,10 +137,10 @@ class PieceEncoder:
             flat = self.ids
         which = words.indices.to_numpy()
         before = np.concatenate([[0], np.cumsum(sizes[which])])
-        return _gathered(flat, starts[which], sizes[which]), before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return gathered(flat, starts[which], sizes[which]), before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
-def _gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The stretches of ``flat`` that begin at ``starts``, one after the other."""
     ends = np.cumsum(counts)
     shift = (starts - ends + counts).astype(np.int32 if len(flat) < 1 << 30 and (not len(ends) or ends[-1] < 1 << 30) else np.int64)
