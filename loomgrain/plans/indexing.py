@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,6 +14,15 @@ from loomgrain.operators import chunking, index, relations
 from loomgrain.operators.embedding import Embedder, embedded
 from loomgrain.sources import connectors
 from loomgrain.sources import files as fs
+from loomgrain.streaming.progress import Progress, ProgressListener, listening
+
+
+class JobProgress(dict):
+    """status, processedFiles and totalChunks of an indexing job, and whose they are."""
+
+    def __init__(self, job: str, workspace: str, **state: object) -> None:
+        super().__init__(state)
+        self.job, self.workspace = job, workspace
 
 
 @dataclass
@@ -40,16 +49,32 @@ class Indexer:
     def manifest(self) -> DataFrame:
         return self.store.manifest(fs.MANIFEST)
 
-    def run(self, on_progress: Callable[[dict], None] | None = None, every: float = 0.5) -> dict[str, int]:
+    def _embed(self, staged: str, heard: Callable[[Progress], None], tell: Callable[[str, int], None]) -> None:
+        """Embed the staged chunks once, whatever reads them, as a stream whose batches are the chunks' files; its progress is that of the job."""
+        name = f"embed-{uuid.uuid4().hex}"
+        chunks = self.spark.readStream.schema(self.spark.read.parquet(f"{staged}/chunks").schema).option("maxFilesPerTrigger", 8 * self.calls).parquet(f"{staged}/chunks")
+        sink = embedded(chunks.coalesce(self.calls), self.embedder).writeStream.queryName(name).format("parquet").option("path", f"{staged}/vectors")
+        with listening(self.spark, ProgressListener(heard, (name,))) as listener:
+            query = sink.option("checkpointLocation", f"{staged}/embedding").trigger(availableNow=True).start()
+            try:
+                query.awaitTermination()
+            except Exception:
+                tell("failed", 0)
+                raise
+            listener.wait_for(query)
+
+    def run(self, on_progress: Callable[[dict], None] | None = None, every: float = 0.0) -> dict[str, int]:
         """Index what is new, changed or embedded by another model; forget what is gone. Returns counts.
 
         Paths alone are compared with the manifest; content is read of the files to
-        be indexed only. ``on_progress`` is told of status, processedFiles and
-        totalChunks ``every`` so many seconds while chunks are embedded, and at the end.
+        be indexed only. ``on_progress`` is told (``JobProgress``) of status (running, completed or failed), processedFiles
+        and totalChunks after each batch of chunks that is embedded, but not more
+        often than ``every`` so many seconds, and at the end.
         """
         patterns = (*fs.root_patterns(self.folder), *self.patterns)
         listed = fs.crawl_metadata(self.spark, self.folder, patterns, self.extractors).withColumn("workspace_id", F.lit(self.folder))
-        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+        job = uuid.uuid4().hex
+        staged = f"{self.root}/staged/{job}"
         listed.write.parquet(f"{staged}/paths")  # listed once, so that one state of the folder is indexed
         listed = self.spark.read.schema(listed.schema).parquet(f"{staged}/paths")
         old = self.manifest()
@@ -62,24 +87,19 @@ class Indexer:
             chunking.chunks(todo).write.parquet(f"{staged}/chunks")  # parsed once; the total is known before embedding
             cut = self.spark.read.parquet(f"{staged}/chunks")
             total = cut.count()
-            done = self.spark.sparkContext.accumulator(0)
-            stop = threading.Event()
 
             def tell(status: str, processed: int) -> None:
                 if on_progress:
-                    on_progress({"status": status, "processedFiles": processed, "totalChunks": total})
+                    on_progress(JobProgress(job, self.folder, status=status, processedFiles=processed, totalChunks=total))
 
-            def watch() -> None:
-                while not stop.wait(every):
-                    tell("running", min(done.value, total) * n_files // total if total else n_files)
+            told = [0.0]
 
-            watcher = threading.Thread(target=watch, daemon=True)
-            watcher.start()
-            try:
-                embedded(cut.coalesce(self.calls), self.embedder, counter=done).write.parquet(f"{staged}/vectors")  # embedded once, whatever reads it
-            finally:
-                stop.set()
-                watcher.join()
+            def heard(event: Progress) -> None:
+                if event.status == "running" and time.monotonic() - told[0] >= every:
+                    told[0] = time.monotonic()
+                    tell("running", min(event.total, total) * n_files // total if total else n_files)
+
+            self._embed(staged, heard, tell)
             new = self.spark.read.parquet(f"{staged}/vectors")
             keys = lambda df: df.select(F.col("workspace_id").alias("workspaceId"), F.col("file_path").alias("filePath"))
             counts = new.groupBy(F.col("workspaceId").alias("workspace_id"), F.col("filePath").alias("file_path")).agg(F.count("*").cast("int").alias("chunk_count"))
