@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import bisect
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.functions.text import bound, extension, is_blank, lines
+from loomgrain.operators.braces import declarations
 
 WINDOW, STEP = 50, 40
 #: Fewest lines of a symbol beyond its first.
@@ -118,48 +118,9 @@ def indented_symbols(source: str) -> list[Symbol]:
     return sorted(found, key=lambda s: (s.start, -s.end))
 
 
-#: What may stand before a declaration that braces enclose: pattern with its name, and kind.
-_RUST = [
-    (r"(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*fn\s+(\w+)", "function_item"),
-    (r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", "struct_item"),
-    (r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)", "enum_item"),
-    (r"(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(\w+)", "impl_item"),
-    (r"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)", "trait_item"),
-    (r"(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)", "mod_item"),
-]
-_SCRIPT = [
-    (r"(?:abstract\s+)?class\s+(\w+)", "class_declaration"),
-    (r"(?:async\s+)?function\s*\*?\s+(\w+)", "function_declaration"),
-    (r"interface\s+(\w+)", "interface_declaration"),
-    (r"type\s+(\w+)[^=;{]*=\s*(?=\{)", "type_alias_declaration"),
-    (r"(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)#?\w+\s*\([^(){}]*\)\s*(?::[^{;]+)?(?=\{)", "method_definition"),
-]
-_QUIET = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
-_QUIET_RUST = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|r(#*)".*?"\1|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\\n])'""", re.S)
-
-
 def brace_symbols(source: str, rust: bool) -> list[Symbol]:
-    """Declarations whose braces can be matched, comments and strings left aside. An approximation of a grammar."""
-    quiet = (_QUIET_RUST if rust else _QUIET).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-    closing: dict[int, int] = {}
-    stack: list[int] = []
-    for m in re.finditer(r"[{}]", quiet):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            closing[stack.pop()] = m.start()
-    starts = [0, *(m.end() for m in re.finditer("\n", quiet))]
-    line = lambda at: bisect.bisect_right(starts, at) - 1
-    found: dict[int, Symbol] = {}  # by opening brace; the more telling patterns come first
-    for pattern, kind in _RUST if rust else _SCRIPT:
-        for m in re.finditer(rf"(?m)(?:^|(?<=[{{}};\s]))(?:export\s+)?(?:default\s+)?({pattern})", quiet):
-            brace = quiet.find("{", m.end())
-            stop = quiet.find(";", m.end())
-            if brace < 0 or brace not in closing or (0 <= stop < brace):
-                continue
-            name = None if kind == "method_definition" else m[2]
-            found.setdefault(brace, Symbol(kind, name, line(m.start(1)), line(closing[brace])))
-    return sorted(found.values(), key=lambda s: (s.start, -s.end, s.kind))
+    """Declarations of a Rust file, or of a JavaScript or TypeScript file."""
+    return [Symbol(*d) for d in declarations(source, rust)]
 
 
 #: Chunkers by extension; more can be registered.

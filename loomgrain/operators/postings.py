@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions.vectors import DIGITS
+from loomgrain.operators.search import BETWEEN
 
 #: Texts of a shard, and so postings of a block at most, about; and postings of a term that each task marks as its best.
 BLOCK, LEADS = 128, 64
 #: Postings that one task sorts, about, and buckets of terms.
 SLICE_POSTINGS, BUCKETS = 4 << 20, 64
-#: Characters between terms: white space and punctuation of ASCII.
-_BETWEEN = r"[ \t\n\x0B\f\r!-/:-@\[-`{-~]+"
 #: Most terms of one search that are given to the scan as a list.
 MOST_LISTED = 1000
 
@@ -58,7 +57,7 @@ class PostingIndex:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lists = pc.split_pattern_regex(batch.column(1), _BETWEEN)
+                lists = pc.split_pattern_regex(batch.column(1), BETWEEN)
                 words = lists.flatten().dictionary_encode()
                 row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
                 which = words.indices.to_numpy().astype(np.int64)

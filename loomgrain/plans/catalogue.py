@@ -285,7 +285,8 @@ ce AS (SELECT id, round(CASE WHEN cover < 0.5 THEN (cover + jac + early) / 3 * 0
 
 @registered(f"WITH {_CROSS} SELECT id, cross_score FROM ce")
 def cross_score(spark: SparkSession, d: str) -> DataFrame:
-    return fx.chunks(spark, d).select("id", search.cross_score(F.col("document"), _first_text(spark, d)).alias("cross_score"))
+    pairs = fx.chunks(spark, d).select(F.lit(0).alias("query_id"), "id", F.lit(_first_text(spark, d)).alias("query"), "document")
+    return search.cross_scores(pairs).select("id", F.col("cross").alias("cross_score"))
 
 
 @registered(f"""WITH {_BM25}, {_NEAR30}, {_CROSS},
@@ -295,9 +296,9 @@ z AS (SELECT id, coalesce((rrf - min(rrf) OVER ()) / nullif(max(rrf) OVER () - m
 SELECT id, round(0.6 * a + 0.4 * b, 6) AS final FROM z ORDER BY final DESC, id LIMIT 8""")
 def rerank(spark: SparkSession, d: str) -> DataFrame:
     fused = _fused(spark, d)
-    own = fx.chunks(spark, d).join(F.broadcast(fused), "id")  # at most twice thirty rows
-    scored = own.select("id", "rrf", search.cross_score(F.col("document"), _first_text(spark, d)).alias("cross"))
-    return search.reranked(scored)
+    own = fx.chunks(spark, d).join(F.broadcast(fused.limit(60)), "id")  # at most twice thirty rows
+    crossed = search.cross_scores(own.select(F.lit(0).alias("query_id"), "id", F.lit(_first_text(spark, d)).alias("query"), "document"))
+    return search.reranked(own.select("id", "rrf").join(F.broadcast(crossed.limit(60)), "id").select("id", "rrf", "cross"))
 
 
 # ---- ranking for a batch of queries ----
