@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _KEYS = ["workspace_id", "file_path"]
+#: Buckets that a change of few files splits at most.
+MOST_SPLITS = 4
 
 
 def needs_indexing(files: DataFrame, manifest: DataFrame, model: str) -> DataFrame:
@@ -42,10 +44,12 @@ def without_files(rows: DataFrame, doomed: DataFrame) -> DataFrame:
 class IndexStore:
     """Chunks, edges and the manifest under one folder.
 
-    Rows lie in ``buckets`` by a hash of their file, and in those chunks are
+    Rows lie in buckets by a hash of their file, and in those chunks are
     partitioned by vector length and workspace, so a search reads one length and
-    the wanted workspaces. A change rewrites the buckets of the files that it
-    touches, beside the old ones, and one pointer for all three tables moves last:
+    the wanted workspaces. There are ``buckets`` of them at least and one for each ``bucket_rows`` chunks: by
+    linear hashing, a change that finds more splits a few buckets (``MOST_SPLITS``, or as many as it touches) in two and leaves the others,
+    and a store that is empty begins with as many as it needs. A change rewrites the buckets of the files that it
+    touches and those that it splits, beside the old ones, a large one as several files, and one pointer for all three tables moves last:
     a run that fails leaves the old state readable. ``vacuum`` deletes what no
     recent pointer names. One writer at a time; a second one fails at the pointer.
     """
@@ -53,6 +57,7 @@ class IndexStore:
     spark: SparkSession
     root: str
     buckets: int = 16
+    bucket_rows: int = 50_000
 
     def _fs(self, path: str):
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -89,7 +94,7 @@ class IndexStore:
             fs.delete(new, False)
             raise RuntimeError("another writer has changed the index")
 
-    def _read(self, name: str, state: dict, only: list[int] | None = None) -> DataFrame | None:
+    def _read(self, name: str, state: dict, only: list[int] | None = None, keep_bucket: bool = False) -> DataFrame | None:
         known = state["tables"].get(name)
         if known is None:
             return None
@@ -103,10 +108,22 @@ class IndexStore:
             some = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}/{version}").parquet(*paths)
             out = some if out is None else out.unionByName(some)
         out = out if out is not None else self.spark.createDataFrame([], schema)
-        return out.drop("_bucket")
+        return out if keep_bucket else out.drop("_bucket")
 
     def _bucket(self, workspace: str, path: str, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(workspace, path), F.lit(buckets)).cast("int").alias("_bucket")
+        """Linear hashing: the buckets from the largest power of two on are halves of those so many places before."""
+        level = 1 << (buckets.bit_length() - 1)
+        fine, coarse = (F.pmod(F.xxhash64(workspace, path), F.lit(n)) for n in (2 * level, level))
+        return F.when(fine < buckets, fine).otherwise(coarse).cast("int").alias("_bucket")
+
+    def _grown(self, state: dict, rows: int, touched: int) -> tuple[int, list[int]]:
+        """How many buckets there are for so many chunks, and which of the old ones are split for it."""
+        now, wanted = state["buckets"], -(-rows // self.bucket_rows)
+        if not any(t["parts"] for t in state["tables"].values()):
+            return max(now, self.buckets, wanted), []
+        most = now + max(MOST_SPLITS, touched)
+        split = [n - (1 << (n.bit_length() - 1)) for n in range(now, max(now, min(wanted, most)))]
+        return now + len(split), sorted({b for b in split if b < now})
 
     def _replaced(self, name: str, state: dict, doomed: DataFrame, touched: list[int], new: DataFrame, by: list[str]) -> dict:
         """The table's entry in the pointer after a rewrite of the touched buckets."""
@@ -114,7 +131,7 @@ class IndexStore:
         rows = without_files(old, doomed).unionByName(new.select(*old.columns)) if old is not None else new
         rows = rows.withColumn("_bucket", self._bucket("workspaceId", "filePath", state["buckets"]))
         version = uuid.uuid4().hex
-        rows.repartition("_bucket", *by).write.partitionBy("_bucket", *by).parquet(f"{self.root}/{name}/{version}")
+        rows.hint("rebalance", "_bucket", *by).write.partitionBy("_bucket", *by).parquet(f"{self.root}/{name}/{version}")
         parts = {b: v for b, v in state["tables"].get(name, {"parts": {}})["parts"].items() if int(b) not in touched}
         parts |= {n.split("=")[1]: version for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("_bucket=")}
         return {"schema": rows.schema.jsonValue(), "parts": parts}
@@ -134,13 +151,24 @@ class IndexStore:
         state = self.state()
         new = chunks.withColumn("dim", F.size("vector"))
         keys = doomed.select("workspaceId", "filePath").unionByName(new.select("workspaceId", "filePath"))
-        touched = [r[0] for r in keys.select(self._bucket("workspaceId", "filePath", state["buckets"])).distinct().collect()]  # at most as many as there are buckets
+        places = lambda n: [r[0] for r in keys.select(self._bucket("workspaceId", "filePath", n)).distinct().collect()]  # noqa: E731  at most as many as there are buckets
+        touched, counts = places(state["buckets"]), state.get("rows", {})
+        buckets, split = self._grown(state, sum(counts.values()) + new.count(), len(touched))
+        if buckets != state["buckets"]:
+            touched = sorted({*places(buckets), *split})
+            state = state | {"buckets": buckets}
         tables = dict(state["tables"])
         if touched:
             tables["chunks"] = self._replaced("chunks", state, doomed, touched, new, ["dim", "workspaceId"])
             if edges is not None:
                 tables["edges"] = self._replaced("edges", state, doomed, touched, edges, ["workspaceId"])
-        state = state | {"tables": tables}
+            elif split and "edges" in tables:  # buckets of both tables are split together
+                old = self._read("edges", state, split)
+                tables["edges"] = self._replaced("edges", state, doomed.limit(0), split, old.limit(0), ["workspaceId"])
+            state = state | {"tables": tables}
+            rows = self._read("chunks", state, [*touched, *range(state["buckets"] - len(split), state["buckets"])], keep_bucket=True)
+            found = {str(r["_bucket"]): r["count"] for r in rows.groupBy("_bucket").count().collect()} if rows is not None else {}
+            state["rows"] = {b: n for b, n in counts.items() if int(b) not in touched} | found
         if manifest is not None:
             state["manifest"] = f"{self.root}/manifest/{uuid.uuid4().hex}"
             manifest.write.parquet(state["manifest"])
@@ -150,7 +178,7 @@ class IndexStore:
         """Forget all chunks, edges and manifest entries; the schemas stay. Files stay until ``vacuum``."""
         state = self.state()
         tables = {name: t | {"parts": {}} for name, t in state["tables"].items()}
-        self._point({k: v for k, v in state.items() if k != "manifest"} | {"tables": tables})
+        self._point({k: v for k, v in state.items() if k not in ("manifest", "rows")} | {"tables": tables})
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete versions and pointers that none of the newest ``keep`` pointers need; returns how many versions went."""
