@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.functions.text import extension, is_blank
+from loomgrain.sources.pdf import pdf_text
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -34,18 +35,6 @@ def docx_text(data: bytes) -> str | None:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in root.iter(f"{_WORD}p"))
 
 
-def pdf_text(data: bytes) -> str | None:
-    """Text of a PDF through ``pypdf`` where it is installed; None otherwise or if it can't be read."""
-    try:
-        from pypdf import PdfReader
-    except ModuleNotFoundError:
-        return None
-    try:
-        return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
-    except Exception:  # noqa: BLE001  a broken file is left out, like any that can't be decoded
-        return None
-
-
 #: Extractors by extension; more can be registered.
 EXTRACTORS: dict[str, Callable[[bytes], str | None]] = {"docx": docx_text, "pdf": pdf_text}
 
