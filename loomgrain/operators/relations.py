@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrain.sources.shared import shared_folder
+
 
 #: Runs of word characters, of any script.
 _RUNS = r"(?U)(\w+)"
@@ -32,16 +34,21 @@ def reference_edges(chunks: DataFrame, names_a_row: int = NAMES_A_ROW) -> DataFr
     named = chunks.where("name IS NOT NULL AND name <> ''")
     names = named.select(F.col("workspaceId").alias("_ws"), F.col("filePath").alias("_file"), F.col("name").alias("toName")).distinct()
     names = names.withColumn("_word", F.regexp_extract("toName", _RUNS, 1)).where("_word <> ''")
+    path = shared_folder(chunks.sparkSession, "names")
+    names.write.parquet(path)  # a few words a chunk; what follows reads them more than once
+    names = chunks.sparkSession.read.schema(names.schema).parquet(path)
     large = names.groupBy("_ws", "_file").count().where(F.col("count") > names_a_row).select("_ws", "_file")
     some_large = not large.isEmpty()
     few = names.join(large, ["_ws", "_file"], "left_anti") if some_large else names
     plain, odd = F.col("_word") == F.col("toName"), F.col("_word") != F.col("toName")
     of_file = few.groupBy("_ws", "_file").agg(F.collect_list(F.when(plain, F.col("toName"))).alias("_plain"), F.collect_list(F.when(odd, F.col("toName"))).alias("_odd"))
     own = named.select("workspaceId", "filePath", "id", F.col("name").alias("fromName"), "document")
-    met = own.join(of_file, (F.col("workspaceId") == F.col("_ws")) & (F.col("filePath") == F.col("_file")))
+    # names have no bound, so they are not broadcast; and the words are then taken by as many tasks as there are partitions
+    met = own.join(of_file.hint("merge"), (F.col("workspaceId") == F.col("_ws")) & (F.col("filePath") == F.col("_file")))
     searched = F.when(F.size("_odd") > 0, F.filter("_odd", lambda n: _is_whole(F.col("document"), n))).otherwise(F.array().cast("array<string>"))
     columns = ["workspaceId", "filePath", "id", "fromName", "toName"]
-    hits = F.explode(F.concat(F.array_intersect(_words("document"), "_plain"), searched)).alias("toName")
+    # of explode the optimiser infers a filter that finds all words once more; the comparison below drops the rows that explode_outer adds
+    hits = F.explode_outer(F.concat(F.array_intersect(_words("document"), "_plain"), searched)).alias("toName")
     out = met.select("workspaceId", "filePath", "id", "fromName", hits).where("fromName <> toName")
     if some_large:
         out = out.unionByName(_edges_by_word(own.join(large, (F.col("workspaceId") == F.col("_ws")) & (F.col("filePath") == F.col("_file")), "left_semi"), names))
@@ -55,7 +62,7 @@ def _edges_by_word(own: DataFrame, names: DataFrame) -> DataFrame:
     of chunk and name that this gives are joined back to the texts.
     """
     pair = ["workspaceId", "filePath", "id", "fromName"]
-    words = own.select(*pair, F.explode(_words("document")).alias("word"))
+    words = own.select(*pair, F.explode_outer(_words("document")).alias("word"))
     found = words.join(names, (F.col("workspaceId") == F.col("_ws")) & (F.col("filePath") == F.col("_file")) & (F.col("word") == F.col("_word")) & (F.col("fromName") != F.col("toName")))
     plain = found.where("word = toName").select(*pair, "toName")
     maybe = found.where("word <> toName").select(*pair, "toName").distinct()
