@@ -63,7 +63,7 @@ def joined_in_order(df: DataFrame, by: list[str], order: str, text: Column, sepa
 
 
 def export_markdown(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """(id, markdown): title and messages under headings, with the names of cited files."""
+    """(id, markdown): title and messages under headings, with the names of cited files. The form, its marks and headings are fixed values."""
     who = F.when(F.col("role") == "user", "👤 You").otherwise("🤖 Assistant")
     cited = F.array_join(F.transform("citations", basename), ", ")
     text = F.concat(F.lit("## "), who, F.lit("\n\n"), "content", F.when(F.size("citations") > 0, F.concat(F.lit("\n\n*Sources: "), cited, F.lit("*"))).otherwise(""))
@@ -91,6 +91,7 @@ def pinned_block(files: DataFrame, chars: int = 8000) -> DataFrame:
 
 
 def system_message(context: Column, pinned: Column | None = None, instruction: Column | None = None, base: str = BASE_PROMPT) -> Column:
+    """What a model is told first. Its headings are fixed values, which must be the same for equal results."""
     told = F.concat(F.lit("USER INSTRUCTION:\n"), instruction, F.lit("\n\n\n")) if instruction is not None else F.lit("")
     return F.concat(
         F.lit(f"{base}\n\n"), F.coalesce(told, F.lit("")), F.lit("PINNED CONTEXT:\n"),
@@ -130,7 +131,7 @@ def proposed_edits(text: Column) -> Column:
 
 
 def git_block(branch: str, files: list[str], diff: str, commits: list[str]) -> str:
-    """What a prompt says of a repository's state."""
+    """What a prompt says of a repository's state. The form is a fixed value."""
     rows = [
         "--- Git Context ---", f"Active Branch: {branch}", f"Uncommitted Files: {', '.join(files) or 'None'}",
         f"Diff Summary: {diff or 'No changes'}", f"Recent Commits: {' | '.join(commits) or 'None'}", "-------------------",
