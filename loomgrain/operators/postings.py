@@ -16,8 +16,8 @@ from loomgrain.operators.search import BETWEEN
 
 #: Texts of a shard, and so postings of a block at most, about; and postings of a term that each task marks as its best.
 BLOCK, LEADS = 128, 64
-#: Postings that one task sorts, about, and buckets of terms.
-SLICE_POSTINGS, BUCKETS = 4 << 20, 64
+#: Postings that one task sorts, about; postings of a bucket of terms, about; and most buckets.
+SLICE_POSTINGS, BUCKET_POSTINGS, MOST_BUCKETS = 4 << 20, 1 << 20, 1024
 #: Most terms of one search that are given to the scan as a list.
 MOST_LISTED = 1000
 
@@ -47,10 +47,10 @@ class PostingIndex:
         self.schemas = {"blocks": _blocks(about["id"]), "terms": "_bucket int, term string, df long"}
 
     @classmethod
-    def build(cls, chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "document", buckets: int = BUCKETS) -> PostingIndex:
+    def build(cls, chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, id_col: str = "id", text_col: str = "document", buckets: int | None = None) -> PostingIndex:
         """Index ``chunks`` below ``path``: terms are counted where the text is, and only (term, id, count, length) is shuffled, once.
 
-        A null text has no terms but counts as a text; rows with a null identifier are left out; an identifier should be there once.
+        ``buckets``: by the number of postings, if not given. A null text has no terms but counts as a text; rows with a null identifier are left out; an identifier should be there once.
         """
         spark, kind = chunks.sparkSession, dict(chunks.dtypes)[id_col]
         rows = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.lower(text_col), F.lit("")).alias("low"))
@@ -74,6 +74,7 @@ class PostingIndex:
         rows.mapInArrow(count, f"term string, id {kind}, tf int, n int").write.parquet(f"{path}/counted")
         counted = spark.read.parquet(f"{path}/counted")
         docs, words, postings = counted.agg(F.sum(F.when(F.col("term").isNull(), F.col("tf"))), F.sum(F.when(F.col("term").isNull(), F.col("n"))), F.count("term")).first()
+        buckets = buckets or max(1, min(MOST_BUCKETS, -(-postings // BUCKET_POSTINGS)))
         docs, mean = docs or 0, (words or 0) / docs if docs else 0.0
         about = json.dumps({"docs": docs, "mean": mean, "k1": k1, "b": b, "buckets": buckets, "id": kind})
         slices = -(-postings // (SLICE_POSTINGS * buckets)) or 1
@@ -82,38 +83,40 @@ class PostingIndex:
         placed = counted.where("term IS NOT NULL").select(bucket, shard, *names).withColumn("_slice", F.pmod(F.xxhash64("term", "shard"), F.lit(slices)))
         placed = placed.repartition(max(1, min(buckets * slices, -(-postings // 100_000))), "_bucket", "_slice").sortWithinPartitions("_bucket", "term", "shard", "id")
 
+        def packed(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+            """Blocks of whole terms, which stand together and are sorted by shard."""
+            own = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            term = own.column("term").dictionary_encode().indices.to_numpy()
+            shard, tf, n = (own.column(c).to_numpy() for c in ("shard", "tf", "n"))
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+            first = np.concatenate([[0], np.flatnonzero((np.diff(term) != 0) | (np.diff(shard) != 0)) + 1])
+            sizes, most, of = np.diff(first, append=len(tf)), np.maximum.reduceat(weight, first), term[first]
+            order = np.lexsort((-most, of))
+            before = np.cumsum(sizes[order]) - sizes[order]
+            begins = np.concatenate([[True], np.diff(of[order]) != 0])
+            lead = np.zeros(len(first), bool)
+            lead[order] = before - np.maximum.accumulate(np.where(begins, before, 0)) < LEADS
+            items = pa.StructArray.from_arrays([own.column(c) for c in ("id", "tf", "n")], ["id", "tf", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(tf)), pa.int32()), items)
+            at = pa.array(first)
+            return pa.RecordBatch.from_arrays([own.column("_bucket").take(at), own.column("term").take(at), pa.array(shard[first]), pa.array(most), pa.array(lead), lists], names=["_bucket", "term", "shard", "most", "lead", "postings"])
+
         def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def packed(waiting: list[pa.RecordBatch], term: str, bucket: int) -> pa.RecordBatch:
-                own = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-                shard, tf, n = (own.column(c).to_numpy() for c in ("shard", "tf", "n"))
-                weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(tf)]])
-                most = np.maximum.reduceat(weight, edges[:-1])
-                best = np.argsort(-most, kind="stable")
-                lead = np.zeros(len(most), bool)
-                lead[best[: int(np.searchsorted(np.cumsum(np.diff(edges)[best]), LEADS)) + 1]] = True
-                items = pa.StructArray.from_arrays([own.column(c) for c in ("id", "tf", "n")], ["id", "tf", "n"])
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), items)
-                return pa.RecordBatch.from_arrays([pa.array([bucket] * len(most), pa.int32()), pa.array([term] * len(most)), pa.array(shard[edges[:-1]]), pa.array(most), pa.array(lead), lists], names=["_bucket", "term", "shard", "most", "lead", "postings"])
-
-            waiting: list[pa.RecordBatch] = []
-            term, at = None, 0
+            waiting: list[pa.RecordBatch] = []  # whole terms before, and the open one
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                codes = batch.column(1).dictionary_encode().indices.to_numpy()
-                edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
-                done = []
-                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    own, own_at = batch.column(1)[lo].as_py(), batch.column(0)[lo].as_py()
-                    if waiting and own != term:
-                        done.append(packed(waiting, term, at))
-                        waiting = []
-                    term, at = own, own_at
-                    waiting.append(batch.slice(lo, hi - lo).select(["shard", "id", "tf", "n"]))
-                yield from pa.Table.from_batches(done).combine_chunks().to_batches() if done else []
+                term = batch.column("term")
+                codes = term.dictionary_encode().indices.to_numpy()
+                last = int(np.flatnonzero(np.diff(codes, prepend=-1))[-1])  # where the last term begins
+                if last or (waiting and waiting[-1].column("term")[0].as_py() != term[0].as_py()):
+                    done = [*waiting, batch.slice(0, last)] if last else waiting
+                    yield packed(done)
+                    waiting = [batch.slice(last)]
+                else:
+                    waiting.append(batch)
             if waiting:
-                yield packed(waiting, term, at)
+                yield packed(waiting)
 
         blocks = placed.select("_bucket", "term", "shard", "id", "tf", "n").mapInArrow(block, _blocks(kind))
         blocks.write.partitionBy("_bucket").parquet(f"{path}/blocks")
