@@ -12,6 +12,7 @@ null, identifiers, lengths), the checkpoints and the words, and a checksum of al
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -204,6 +205,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, identifier: str = "doc_id
     rows = docs.select(F.col(identifier).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread of the library would hold memory of its own
         encoder = word_bpe(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
