@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,7 +31,7 @@ from .common import materialise, scratch
 from .tokens import word_bpe
 
 #: Ids after which a block ends, lanes, and ids between checkpoints (a multiple of the lanes).
-BLOCK_IDS, LANES, EVERY = 1 << 18, 512, 1 << 16
+BLOCK_IDS, LANES, EVERY = 1 << 19, 2048, 1 << 18
 #: Ids a task writes, about; a file ends after so many bytes.
 TASK_IDS, ROLL_BYTES = 1 << 23, 64 << 20
 #: States lie between 2^31 and 2^63; 32 bits at a time leave or enter them.
@@ -233,11 +234,13 @@ def frequencies(rows: DataFrame) -> Frequencies:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in batches:
-            for ids, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                width = len(ids.as_buffer()) // n
-                counts = total.setdefault(width, np.zeros(1 << 16 if width == 2 else 1 << 20, np.int64))
-                own = np.frombuffer(ids.as_buffer(), f"<u{width}")
-                counts[: int(own.max()) + 1] += np.bincount(own)
+            n = batch.column(1).to_numpy()
+            widths = pc.binary_length(batch.column(0)).to_numpy() // n
+            for width in np.unique(widths).tolist():
+                ids = batch.column(0).filter(pa.array(widths == width))
+                begin, *_, end = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset).tolist()
+                own = np.frombuffer(ids.buffers()[2], f"<u{width}", (end - begin) // width, begin)
+                total[width] = total.get(width, 0) + np.bincount(own, minlength=1 << 20)
         counts = sum(total.values()) if total else np.zeros(0, np.int64)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["id", "n"])
@@ -346,8 +349,8 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
                 except ValueError as e:
                     raise ValueError(f"{file} at {offset}: {e}") from None
                 ends = np.cumsum(block.lengths)
-                own = [ids[a:b].tobytes() for a, b in zip((ends - block.lengths).tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(block.doc_ids, pa.int64()), pa.array(start + ends - block.lengths), pa.array(block.lengths), pa.array(own, pa.binary())]
+                own = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, 4 * ends).astype("<i4")), pa.py_buffer(ids)])
+                columns = [pa.array(block.doc_ids, pa.int64()), pa.array(start + ends - block.lengths), pa.array(block.lengths), own]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
 
     chosen = blocks.select("file", "offset", "bytes", "start")

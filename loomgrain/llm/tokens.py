@@ -14,8 +14,10 @@ import pyarrow.compute as pc
 MOST_PIECES = 500_000
 #: Pieces that go to the library as one text.
 JOINED = 1000
-#: ASCII letters between other ASCII marks. An apostrophe before letters may belong to them, and "<" to the string of a special token.
-_LETTERS = r"^(?P<before>[^A-Za-z0-9'<\x80-\x{10ffff}]*)(?P<letters>[A-Za-z]+)(?P<after>[^A-Za-z0-9<\x80-\x{10ffff}]*)$"
+#: Letters of ASCII and Latin-1 between other ASCII marks. An apostrophe before letters may belong to them, and "<" to the string of a special token.
+_LETTERS = r"^(?P<before>[^A-Za-z0-9'<\x80-\x{10ffff}]*)(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>[^A-Za-z0-9<\x80-\x{10ffff}]*)$"
+#: Words of such letters in lower case, which no normalisation changes.
+_FOLDED = "^[a-zß-öø-ÿ]+$"
 
 #: A space before a character that is no white space, and not after a space: there a byte-level pre-tokenizer always starts anew.
 _BEFORE_WORD = re.compile(rb"(?<! )(?= [!-~\xc3-\xdf\xe4-\xf4])")
@@ -43,8 +45,8 @@ class PieceEncoder:
     so the ids of the pieces, one after the other, are those of the text. Each
     distinct piece goes to the library once: many are joined by ``mark``, a text
     whose ids tell where a piece ends; pieces that hold its NUL or don't start as
-    ``fits`` says go alone. With ``word_end``, the end of a word's last token, words of ASCII letters are
-    folded to lower case, apart from other marks around them, and joined by a space. What is
+    ``fits`` says go alone. With ``word_end``, the end of a word's last token, words of ASCII and Latin-1 letters are
+    folded to lower case, apart from other marks around them, joined by a space, and not normalised again. What is
     remembered is bounded. ``plain`` takes the strings of special tokens inside texts as text.
     """
 
@@ -60,28 +62,31 @@ class PieceEncoder:
         if word_end:
             self.ends_word[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
         self.folds = bool(word_end)
+        self.folded = Tokenizer(self.tokenizer.model)  # without the normaliser
+        if self.tokenizer.pre_tokenizer:
+            self.folded.pre_tokenizer = self.tokenizer.pre_tokenizer
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.ids, self.ends = pa.array([], pa.string()), np.empty(0, self.dtype), np.zeros(1, np.int64)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: pa.Array, mark: str):
+    def _joined(self, pieces: pa.Array, mark: str, tokenizer=None):
         """Ids of ``JOINED`` pieces at a time, joined by ``mark``."""
         lists = pa.ListArray.from_arrays(pa.array([*range(0, len(pieces), JOINED), len(pieces)], pa.int32()), pieces)
         texts = pc.binary_join(lists, mark).to_pylist() if len(pieces) else []
-        return chain.from_iterable(self._encode(texts[i : i + 16]) for i in range(0, len(texts), 16))
+        return chain.from_iterable(self._encode(texts[i : i + 16], tokenizer) for i in range(0, len(texts), 16))
 
     def made(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces and how many each has."""
         true = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
-        word = true(pc.match_substring_regex(pieces, "^[a-z]+$")) if self.folds else np.zeros(len(pieces), bool)
+        word = true(pc.match_substring_regex(pieces, _FOLDED)) if self.folds else np.zeros(len(pieces), bool)
         alone = true(pc.match_substring(pieces, "\0")) | ~true(pc.starts_with(pieces, self.fits))
         words, many, few = np.flatnonzero(word), np.flatnonzero(~word & ~alone), np.flatnonzero(alone)
         counts, parts = np.zeros(len(pieces), np.int64), []
-        for k, own in enumerate(self._joined(pieces.take(pa.array(words)), " ")):
+        for k, own in enumerate(self._joined(pieces.take(pa.array(words)), " ", self.folded)):
             counts[words[k * JOINED : (k + 1) * JOINED]] = np.diff(np.flatnonzero(self.ends_word[own]), prepend=-1)
             parts.append(own)
         for k, own in enumerate(self._joined(pieces.take(pa.array(many)), self.mark)):
@@ -118,7 +123,7 @@ class PieceEncoder:
         """Ids of the pieces by their parts: all ids, where each piece's begin, and how many it has."""
         found = pc.extract_regex(pieces, _LETTERS)
         whole = pc.is_null(found)
-        parts = [found.field("before"), pc.if_else(whole, pieces, pc.ascii_lower(found.field("letters"))), found.field("after")]
+        parts = [found.field("before"), pc.if_else(whole, pieces, pc.utf8_lower(found.field("letters"))), found.field("after")]
         parts = pa.concat_arrays([p.fill_null("") for p in parts]).dictionary_encode()
         starts, sizes = self._of(parts.dictionary)
         which = parts.indices.to_numpy().reshape(3, len(pieces)).T.ravel()
