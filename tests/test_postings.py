@@ -91,3 +91,19 @@ def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
                 opened.append(node.metrics().get("numOutputRows").get().value())
             plan += [node.children().apply(i) for i in range(node.children().size())]
     assert max(opened) < 2000  # of 4020 postings
+
+
+def test_a_batch_writes_no_postings_by_query(spark, tmp_path, monkeypatch):
+    """Many queries ask for common words: parts of the index meet them in memory, and what is shuffled on is k rows a query and part."""
+    monkeypatch.setattr(postings, "PART_POSTINGS", 1500)
+    rng = random.Random(5)
+    rows = list(enumerate(texts(rng, 400)))
+    index = PostingIndex.build(spark.createDataFrame(rows, "id long, document string"), str(tmp_path / "index"))
+    queries = [(q, rng.sample(WORDS[:20], 6)) for q in range(60)]
+    found = index.search_batch(spark.createDataFrame(queries, "query_id long, words array<string>"), 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(postings" not in plan
+    want = brute(rows, queries, 5)
+    got = sorted(tuple(r) for r in found.collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
