@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrain.operators.search import QUERY_BLOCK, nearest_blocks
+from loomgrain.operators.search import QUERY_BLOCK, SLICE_CELLS, nearest_blocks
 
 #: Vectors that the cells are fitted on, at most, and the most bytes of these; most cells.
 SAMPLE_ROWS, SAMPLE_BYTES, MOST_CELLS = 16_384, 64 << 20, 4096
@@ -150,6 +150,9 @@ def nearest_cells(vectors: pa.Array, centres: np.ndarray, probes: int) -> np.nda
     out = np.full((len(vectors), probes), OTHER, np.int64)
     if not len(centres) or not len(vectors):
         return out
+    most = max(1, SLICE_CELLS // len(centres))  # distances to all centres, so many at once
+    if len(vectors) > most:
+        return np.concatenate([nearest_cells(vectors.slice(at, most), centres, probes) for at in range(0, len(vectors), most)])
     fits = np.flatnonzero(pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False) == centres.shape[1])
     if len(fits):
         own = vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
