@@ -28,7 +28,7 @@ from .common import materialise
 from .tokens import MOST_PIECES, before_words, byte_bpe, gathered
 
 #: Bytes of text that are tokenised together, and links after which a block of texts ends.
-GROUP_BYTES, BLOCK_LINKS = 2 << 20, 1 << 21
+GROUP_BYTES, BLOCK_LINKS = 1 << 19, 1 << 21
 
 
 def byte_level_table(vocabulary: dict[str, int]) -> list[bytes]:
@@ -111,7 +111,7 @@ class Aligner:
 
     def _forget(self) -> None:
         self.known, self.good = pa.array([], pa.string()), np.empty(0, bool)
-        self.flat, self.ends = [np.empty(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2
+        self.flat, self.ends = [np.empty(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
 
     def _pieces(self, pieces: pa.Array) -> np.ndarray:
         """The places of the pieces among the known ones; new ones are tokenised."""
@@ -122,14 +122,14 @@ class Aligner:
         ids_a, n_a = self.a.made(new)
         texts = new.to_pylist()
         lists = self.b.encode([t[1:] for t in texts], num_threads=1)  # it adds the space that each piece begins with
-        ids_b, n_b = np.fromiter(chain.from_iterable(lists), np.int64), np.array([len(x) for x in lists], np.int64)
+        ids_b, n_b = np.fromiter(chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists], np.int64)
         a, b = (b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
         ends_a, ends_b = (np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist() for sizes, ids, n in ((self.sizes_a, ids_a, n_a), (self.sizes_b, ids_b, n_b)))
         same = [a[x0:x1] == t.encode() == b[y0:y1] for t, x0, x1, y0, y1 in zip(texts, ends_a, ends_a[1:], ends_b, ends_b[1:], strict=False)]
         place = at.fill_null(-1).to_numpy().astype(np.int64)
         place[place < 0] = len(self.known) + np.arange(len(new))
         self.known, self.good = pa.concat_arrays([self.known, new]), np.concatenate([self.good, np.array(same, bool)])
-        self.flat = [np.concatenate([f, i]) for f, i in zip(self.flat, (ids_a, ids_b), strict=True)]
+        self.flat = [np.concatenate([f, i.astype(np.int32)]) for f, i in zip(self.flat, (ids_a, ids_b), strict=True)]
         self.ends = [np.concatenate([e, e[-1] + np.cumsum(n)]) for e, n in zip(self.ends, (n_a, n_b), strict=True)]
         return place
 
@@ -183,7 +183,7 @@ class Aligner:
         is_b = ~is_a
         is_b[in_a[cut_a]] = True
         link_a, link_b = np.cumsum(is_a) - is_a, np.cumsum(is_b) - is_b
-        pair = ids_a[link_a] * len(self.bytes_b) + ids_b[link_b]
+        pair = ids_a[link_a].astype(np.int64) * len(self.bytes_b) + ids_b[link_b]
         text = np.searchsorted(a_stop, link_a, "right")
         out["n_links"][kept] = np.bincount(text, minlength=len(kept))
         span = len(self.bytes_a) * len(self.bytes_b)
