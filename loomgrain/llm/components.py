@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-
-
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b); component is the smallest node reachable.
 
@@ -29,11 +25,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         "links",
     )
     for _ in range(max_rounds):
-        # large star: every larger neighbour is linked to the smallest one
-        around = _both_ways(edges)
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        least = materialise(least, "large-star-least")
-        larger = around.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # large star: every larger neighbour is linked to the smallest one, or to the node itself; links lead down, so they are read as they are, not both ways
+        least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "large-star-least")
+        larger = edges.join(least, F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b"))
         large = materialise(larger, "large-star")
         # small star: the smaller neighbours and the node itself are linked to the smallest one
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "small-star-least")

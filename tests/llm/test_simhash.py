@@ -228,3 +228,15 @@ def test_clashing_column_names(spark):
     assert left.columns == df.columns
     assert sorted(r.text or "" for r in left.collect()) == sorted(["", "another text", body])
     assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5]
+
+
+def test_components_double_no_links(spark, monkeypatch):
+    """As the buckets of a group of near copies give them: each of many nodes is linked to each of some smaller ones."""
+    from loomgrain.llm import components as own
+
+    plans, true = [], own.materialise
+    monkeypatch.setattr(own, "materialise", lambda df, name, *more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or true(df, name, *more))
+    links = [(100 + n, c) for n in range(200) for c in range(20)] + [(5001, 5000), (5002, 5001), (5003, 5001), (100, 5004)]
+    found = {r.node: r.component for r in own.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert plans and not any("Generate" in p for p in plans)
+    assert found == {**dict.fromkeys([*range(20), *range(100, 300), 5004], 0), **dict.fromkeys(range(5000, 5004), 5000)}
