@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 _KEYS = ["workspace_id", "file_path"]
 #: Buckets that a change of few files splits at most.
@@ -150,10 +150,13 @@ class IndexStore:
         """Delete the rows of ``doomed`` files, append the new ones and take over the manifest, all at once."""
         state = self.state()
         new = chunks.withColumn("dim", F.size("vector"))
-        keys = doomed.select("workspaceId", "filePath").unionByName(new.select("workspaceId", "filePath"))
+        # the new chunks are cut here only to be counted by file, and once more to be written; what is asked below is asked of these few columns
+        path = f"{self.root}/counts/{uuid.uuid4().hex}"
+        new.groupBy("workspaceId", "filePath").count().unionByName(doomed.select("workspaceId", "filePath", F.lit(0).cast("long").alias("count"))).write.parquet(path)
+        keys = self.spark.read.schema(StructType([*new.select("workspaceId", "filePath").schema.fields, StructField("count", LongType())])).parquet(path)
         places = lambda n: [r[0] for r in keys.select(self._bucket("workspaceId", "filePath", n)).distinct().collect()]  # noqa: E731  at most as many as there are buckets
         touched, counts = places(state["buckets"]), state.get("rows", {})
-        buckets, split = self._grown(state, sum(counts.values()) + new.count(), len(touched))
+        buckets, split = self._grown(state, sum(counts.values()) + (keys.agg(F.sum("count")).first()[0] or 0), len(touched))
         if buckets != state["buckets"]:
             touched = sorted({*places(buckets), *split})
             state = state | {"buckets": buckets}
@@ -173,6 +176,7 @@ class IndexStore:
             state["manifest"] = f"{self.root}/manifest/{uuid.uuid4().hex}"
             manifest.write.parquet(state["manifest"])
         self._point(state)
+        self.discard(path)
 
     def reset(self) -> None:
         """Forget all chunks, edges and manifest entries; the schemas stay. Files stay until ``vacuum``."""
